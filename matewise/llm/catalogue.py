@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, packing, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,18 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(rows, pieces).select("doc_id", "size", "source_size", "target", "taken", "n_slots")
 
 
+def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 ids."""
+    rows = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return rows.withColumnRenamed("id", "doc_id")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has more than 512."""
+    rows = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "n_pre_tokens")
+
+
 def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards (2 regions of 3 racks of 4), and where a 25th would put them."""
     rows = sharding.shard_rows(table(spark, sf_dir, "documents"), sharding.HashTree.uniform(2, 3, 4))
@@ -31,6 +44,8 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mix_sources": op3_mix_sources,
+        "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
+        "op6_token_counts": op6_token_counts,
         "op8_hash_tree_shards": op8_hash_tree_shards,
     }
 
