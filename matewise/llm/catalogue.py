@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, tokens
+from . import langid, mixing, packing, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +41,20 @@ def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    filters = langid.fit(docs.where(~F.col("held_out")))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), filters).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mix_sources": op3_mix_sources,
         "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
         "op6_token_counts": op6_token_counts,
         "op8_hash_tree_shards": op8_hash_tree_shards,
+        "op9_language_filters": op9_language_filters,
     }
 
 
