@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, sharding, tokens
+from . import langid, mixing, packing, sharding, tokens, vectorlinks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,12 @@ def op9_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), filters).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_rotation_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more among vectors of one label, and their components."""
+    rows, _ = vectorlinks.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return rows.withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mix_sources": op3_mix_sources,
@@ -55,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": op6_token_counts,
         "op8_hash_tree_shards": op8_hash_tree_shards,
         "op9_language_filters": op9_language_filters,
+        "op10_rotation_code_links": op10_rotation_code_links,
     }
 
 
