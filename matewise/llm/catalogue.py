@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, sharding, tokens, vectorlinks
+from . import langid, mixing, neardup, packing, sharding, tokens, vectorlinks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets have a similarity of 0.75 or more."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a 150 % mix at weights 3, 1, 2 takes of each document."""
     rows, _, pieces = mixing.mix(table(spark, sf_dir, "documents"))
@@ -56,6 +61,7 @@ def op10_rotation_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_setsketch_near_duplicates": op2_setsketch_near_duplicates,
         "op3_mix_sources": op3_mix_sources,
         "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
         "op6_token_counts": op6_token_counts,
