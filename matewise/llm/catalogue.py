@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, packing, sharding, tokens, vectorlinks
+from . import langid, mixing, neardup, nndescent, packing, sharding, tokens, vectorlinks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "n_pre_tokens")
 
 
+def op7_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest found for every embedding whose id is divisible by 50."""
+    return nndescent.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards (2 regions of 3 racks of 4), and where a 25th would put them."""
     rows = sharding.shard_rows(table(spark, sf_dir, "documents"), sharding.HashTree.uniform(2, 3, 4))
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": op3_mix_sources,
         "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
         "op6_token_counts": op6_token_counts,
+        "op7_nn_descent_search": op7_nn_descent_search,
         "op8_hash_tree_shards": op8_hash_tree_shards,
         "op9_language_filters": op9_language_filters,
         "op10_rotation_code_links": op10_rotation_code_links,

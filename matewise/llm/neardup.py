@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import stash
 from .graph import components
+from .runs import by_run
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -346,21 +347,7 @@ def cross_pairs(rows: DataFrame, nodes: DataFrame, sketch: SetSketch, limit: Thr
         return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        last = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            columns = [table.column(c).to_numpy() for c in ("key", "i", "j")]
-            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-            edges = [0, *change.tolist(), len(table)]
-            for a, b in zip(edges, edges[1:]):
-                name = tuple(c[a] for c in columns)
-                if held and name != last:
-                    yield compare(pa.concat_tables(held))
-                    held.clear()
-                held.append(table.slice(a, b - a))
-                last = name
-        if held:
-            yield compare(pa.concat_tables(held))
+        for some in by_run(batches, ["key", "i", "j"]):
+            yield compare(some)
 
     return work.mapInArrow(run, "a long, b long")

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import stash
 from .graph import components
+from .runs import by_run
 
 
 def rotations(dims: int, count: int, seed: int) -> np.ndarray:
@@ -176,24 +177,9 @@ def link_pairs(
         return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"]) if pairs.size else None
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        last = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            columns = [table.column(c).to_numpy() for c in group]
-            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
-            edges = [0, *change.tolist(), len(table)]
-            for a, b in zip(edges, edges[1:]):
-                key = tuple(c[a] for c in columns)
-                if held and key != last:
-                    out = compare(pa.concat_tables(held))
-                    held.clear()
-                    if out is not None:
-                        yield out
-                held.append(table.slice(a, b - a))
-                last = key
-        if held and (out := compare(pa.concat_tables(held))) is not None:
-            yield out
+        for some in by_run(batches, group):
+            if (out := compare(some)) is not None:
+                yield out
 
     return work.select("node", *group, "block", "vector").mapInArrow(linked, "a long, b long")
 
