@@ -75,26 +75,21 @@ def running_offsets(
     order: list[str],
     value: str | None,
     out: str,
-    rows_per_chunk: int = 256,
+    rows_per_chunk: int = 2048,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` (or the count) over the rows before, within ``group``.
 
     The order is that of ``order`` after a hash, so it is pseudorandom but fixed.
-    A group is cut into chunks of about ``rows_per_chunk`` rows by hash, chunks are
-    numbered by a running sum over one row per chunk, and only rows of one chunk
-    are ever sorted together: a group that holds a third of all rows spreads over
-    many tasks.  ``group`` must not be null; ``rows`` is read three times, so stash
-    what is dear to compute.
+    Rows are cut by hash into chunks of about ``rows_per_chunk`` rows over all groups;
+    the chunks of a group are numbered by a running sum over one row per chunk, and
+    only rows of one group and chunk are ever sorted together: a group that holds a
+    third of all rows spreads over many tasks.  ``group`` must not be null; ``rows`` is
+    read three times, so stash what is dear to compute.
     """
-    h, chunk, n, base = "__h", "__chunk", "__chunks", "__base"
+    h, chunk, base = "__h", "__chunk", "__base"
     amount = F.lit(1).cast("long") if value is None else F.col(value).cast("long")
-    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_chunk)).cast("long").alias(n))
-    placed = (
-        rows.withColumn(h, F.xxhash64(*[F.col(c) for c in order]))
-        .join(sizes, group)
-        .withColumn(chunk, F.pmod(F.col(h), F.col(n)))
-        .drop(n)
-    )
+    chunks = max(1, -(-rows.count() // rows_per_chunk))
+    placed = rows.withColumn(h, F.xxhash64(*[F.col(c) for c in order])).withColumn(chunk, F.pmod(F.col(h), F.lit(chunks)))
     before = Window.partitionBy(group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         placed.groupBy(group, chunk)
