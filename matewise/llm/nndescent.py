@@ -46,9 +46,9 @@ class Shape:
     sample: int = 10
     trees: int = 4
     bucket: int = 512
-    iterations: int = 3
+    iterations: int = 4
     seeds: int = 256
-    beam: int = 384
+    beam: int = 512
     expand: int = 128
     recheck: int = 64
     seed: int = 0
