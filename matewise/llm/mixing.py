@@ -28,6 +28,8 @@ from .common import WORD, running_offsets, stash, uniform
 
 #: Rounds of the swap-or-not shuffle.
 ROUNDS = 12
+#: Slots that one task draws or permutes.
+SLOTS_PER_TASK = 100_000
 
 
 def source_plan(
@@ -76,7 +78,7 @@ def multinomial_counts(plan: DataFrame, shard_slots: int, seed: int) -> DataFram
     )
     n_shards = -(-total // shard_slots)
     drawn = (
-        spark.range(n_shards)
+        spark.range(0, n_shards, 1, max(1, total // SLOTS_PER_TASK))
         .select(
             F.col("id").alias("shard"),
             F.explode(F.sequence(F.lit(0), F.least(F.lit(shard_slots), F.lit(total) - F.col("id") * shard_slots).cast("int") - 1)).alias("i"),
@@ -119,8 +121,10 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS) -> Column
 
 
 def slot_table(plan: DataFrame, counts: DataFrame, block_words: int, seed: int) -> DataFrame:
-    """(rank, block, shard, slot, take): the words 0 .. take - 1 of a block go into a shard."""
-    one = counts.join(plan.select("rank", "passes", "rest", "full", "blocks"), "rank").select(
+    """(rank, block, shard, slot, turn, take): the words 0 .. take - 1 of a block go into a shard."""
+    total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first()["n"]
+    spread = counts.repartition(max(1, total // SLOTS_PER_TASK), "rank", "shard")
+    one = spread.join(plan.select("rank", "passes", "rest", "full", "blocks"), "rank").select(
         "*", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot")
     )
     turn = F.least(F.floor(F.col("slot") / F.col("blocks")).cast("long"), F.col("passes"))
@@ -130,7 +134,7 @@ def slot_table(plan: DataFrame, counts: DataFrame, block_words: int, seed: int)
     )
     length = F.lit(block_words).cast("long")
     take = F.when(F.col("turn") < F.col("passes"), length).otherwise(F.least(length, F.col("rest") - F.col("j") * length))
-    return one.select("rank", block.alias("block"), "shard", "slot", take.alias("take"))
+    return one.select("rank", block.alias("block"), "shard", "slot", "turn", take.alias("take"))
 
 
 def block_pieces(rows: DataFrame, block_words: int) -> DataFrame:
@@ -160,8 +164,8 @@ def mix(
     """The mix of all documents, as three tables.
 
     ``rows``: doc_id, source, size, rank, at (place in its source's stream), source_size,
-    target.  ``slots``: rank, block, shard, slot, take.  ``pieces``: the join of blocks and
-    slots: doc columns, shard, slot, and the words ``from`` .. ``upto`` - 1 of the block.
+    target.  ``slots``: rank, block, shard, slot, turn, take.  ``pieces``: the join of blocks
+    and slots: doc columns, shard, slot, turn, and the words ``from`` .. ``upto`` - 1 of the block.
     """
     if not share < most or most > 2:
         raise ValueError("share must be below most, and most at most 2")
@@ -175,7 +179,7 @@ def mix(
     plan = stash(source_plan(sized, weights, share, most, block_words), "sources")
     known = plan.select(F.col("source").alias("s"), "rank", "source_size", "target")
     rows = sized.join(known, sized["source"].eqNullSafe(known["s"])).drop("s")
-    rows = stash(running_offsets(rows, "rank", ["doc_id", "size", "text_hash"], "size", "at").drop("text_hash"), "places")
+    rows = stash(running_offsets(rows, "rank", ["doc_id", "size", "text_hash"], "size", "at"), "places")
     slots = slot_table(plan, multinomial_counts(plan, shard_slots, seed), block_words, seed)
     pieces = (
         block_pieces(rows, block_words)
@@ -193,3 +197,36 @@ def taken_words(rows: DataFrame, pieces: DataFrame) -> DataFrame:
     none = [F.lit(0).cast("long").alias(c) for c in ("taken", "n_slots")]
     got = pieces.select(*key, (F.col("upto") - F.col("from")).alias("taken"), F.lit(1).cast("long").alias("n_slots"))
     return rows.select(*key, *none).unionByName(got).groupBy(*key).agg(F.sum("taken").alias("taken"), F.sum("n_slots").alias("n_slots"))
+
+
+def mixed_documents(
+    docs: DataFrame,
+    rows: DataFrame,
+    pieces: DataFrame,
+    block_words: int = 64,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix as documents: one row per document and pass, its text being the words that pass takes.
+
+    A pass that takes a whole document keeps its text as it is; else the taken runs of words
+    are joined by spaces, in order.  The other columns of ``docs`` are kept.
+    """
+    start = F.col("block") * block_words + F.col("from") - F.col("at")
+    spans = pieces.groupBy("doc_id", "source", "text_hash", "rank", "at", "size", "turn").agg(
+        F.array_sort(F.collect_list(F.struct(start.cast("int").alias("first"), (F.col("upto") - F.col("from")).cast("int").alias("n")))).alias("spans"),
+        F.sum(F.col("upto") - F.col("from")).alias("taken"),
+    )
+    spans = spans.select(*[F.col(c).alias(f"__{c}") for c in spans.columns])
+    one = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
+    one = one.dropDuplicates([id_col, source_col, "__hash"])
+    joined = one.join(
+        spans,
+        one[id_col].eqNullSafe(spans["__doc_id"]) & one[source_col].eqNullSafe(spans["__source"]) & (one["__hash"] == spans["__text_hash"]),
+    )
+    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
+    some = joined.withColumn("__words", F.when(F.col("__taken") < F.col("__size"), words))
+    parts = F.transform("__spans", lambda x: F.array_join(F.slice("__words", x["first"] + 1, x["n"]), " "))
+    text = F.when(F.col("__taken") < F.col("__size"), F.array_join(parts, " ")).otherwise(F.col(text_col))
+    return some.withColumn(text_col, text).select(*docs.columns)
