@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, nndescent, packing, sharding, tokens, vectorlinks
+from . import htmltext, langid, mixing, neardup, nndescent, packing, quotes, sharding, tokens, vectorlinks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations in reply order, without quotes."""
+    rows, _ = quotes.threads(table(spark, sf_dir, "conversations"))
+    return rows.withColumnRenamed("conv", "conv_id")
+
+
 def op2_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a similarity of 0.75 or more."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -32,6 +38,12 @@ def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "doc_id")
 
 
+def op5_host_suffix_array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    rows = htmltext.extract(table(spark, sf_dir, "pages"))
+    return rows.withColumnRenamed("id", "page_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it has more than 512."""
     rows = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -66,9 +78,11 @@ def op10_rotation_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quotation_threads": op1_quotation_threads,
         "op2_setsketch_near_duplicates": op2_setsketch_near_duplicates,
         "op3_mix_sources": op3_mix_sources,
         "op4_sum_of_squares_packing": op4_sum_of_squares_packing,
+        "op5_host_suffix_array_text": op5_host_suffix_array_text,
         "op6_token_counts": op6_token_counts,
         "op7_nn_descent_search": op7_nn_descent_search,
         "op8_hash_tree_shards": op8_hash_tree_shards,
