@@ -1,4 +1,70 @@
-"""The corpus pipeline.  Stages are added with their operators."""
+"""The corpus pipeline: language ID, near-duplicates, mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept, and
+returns a DataFrame that is written as Parquet and read again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matewise.llm import langid, mixing, neardup, packing
+from matewise.llm.common import stash
+
+#: A text with fewer than this share of n-grams known to its best language is in none of them.
+LEAST_SCORE = 0.2
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that no learned language explains: without letters, or with too few known n-grams.
+
+    The filters are learned from the stage's own labelled documents; with none, nothing is known
+    and nothing is dropped.
+    """
+    filters = langid.fit(docs)
+    if not filters.languages:
+        return docs
+    told = langid.predict(docs, filters, lang_out="__lang", score_out="__score")
+    return told.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group; documents without an id stay."""
+    found = neardup.near_duplicates(docs)
+    gone = found.where("NOT kept").select(F.col("id").alias("__gone")).distinct()
+    named = docs.where("doc_id IS NOT NULL")
+    kept = named.join(gone, named["doc_id"] == gone["__gone"], "left_anti").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix at weights 3, 1, 2: one row per document and pass, with the words that pass takes."""
+    rows, _, pieces = mixing.mix(docs)
+    out = mixing.mixed_documents(docs, rows, pieces)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents of the mix in sequences of 2048 ids, one row per piece."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("mix_sources", mix_sources),
+    ("pack", pack_sequences),
+]
+
+#: SQL can express neither the sketches nor the tokenizer; tests hold each stage against a plain version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
