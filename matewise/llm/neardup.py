@@ -294,7 +294,7 @@ def near_duplicates(
     second = rest.where("comp <> lead_comp").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = links.unionByName(verified(likely(second)))
     # 3. what is left: sets of different components that share a bucket
-    links = links.unionByName(verified(cross_pairs(labelled(links), nodes, sketch, limit, block_rows).distinct()))
+    links = links.unionByName(verified(cross_pairs(labelled(links), nodes, docs, words, sketch, limit, block_rows).distinct()))
     known = components(links).select("node", "component")
     named = grouped.join(known, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     out = drawn.select("id", "n", "print").join(named, "print", "left")
@@ -304,47 +304,80 @@ def near_duplicates(
     )
 
 
-def cross_pairs(rows: DataFrame, nodes: DataFrame, sketch: SetSketch, limit: Threshold, block_rows: int) -> DataFrame:
-    """Pairs of one bucket (key) in different components (comp) that the estimate doesn't rule out.
+def cross_pairs(
+    rows: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, sketch: SetSketch, limit: Threshold, block_rows: int
+) -> DataFrame:
+    """Pairs of one bucket (key) in different components (comp) that hold on 32-bit sets, give or take a percent.
 
     A bucket is cut into blocks by hash; each pair of blocks is one group of work, streamed
-    from a sorted partition.
+    from a sorted partition.  Within it, equal registers are counted for all pairs at once;
+    pairs that the joint estimate leaves open are compared on their sets, in the first band
+    they share, so only near certain links leave the task.
     """
     blocks = F.ceil(F.col("size") / block_rows).cast("int")
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))
     )
+    wanted = stash(rows.select("node").distinct(), "wanted")
+    sets = full_sets(docs, wanted, words)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = [np.unique(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint32)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], ["node", "set"])
+
+    known = stash(nodes.join(sets.mapInArrow(narrow, "node long, set binary"), "node"), "open-sets")
     work = (
         rows.withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .select("node", "comp", "key", "block", F.explode(meets).alias("meet"))
         .select("node", "comp", "key", "block", "meet.i", "meet.j")
-        .join(nodes, "node")
+        .join(known, "node")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j", "node")
-        .select("key", "i", "j", "block", "node", "comp", "n", "registers")
+        .select("key", "i", "j", "block", "node", "comp", "n", "registers", "set")
     )
 
     def compare(some: pa.Table) -> pa.RecordBatch:
         block, node, comp, n = (some.column(c).to_numpy() for c in ("block", "node", "comp", "n"))
-        i, j = some.column("i")[0].as_py(), some.column("j")[0].as_py()
+        i, j, key = (some.column(c)[0].as_py() for c in ("i", "j", "key"))
         regs = unpack(some.column("registers"), "<u2")
+        band = int(np.flatnonzero(sketch.band_keys(regs[:1])[0] == key)[0])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        found: list[np.ndarray] = [np.empty((2, 0), np.int64)]
-        for k in left.tolist():
-            other = right[(comp[right] != comp[k]) & limit.possible(n[right], n[k])]
+        columns, held = np.ascontiguousarray(regs[right].T), some.column("set")
+        sets: dict[int, frozenset] = {}
+
+        def set_of(k: int) -> frozenset:
+            if k not in sets:
+                sets[k] = frozenset(np.frombuffer(held[k].as_buffer(), np.uint32).tolist())
+            return sets[k]
+
+        found: list[tuple[int, int]] = []
+        for at in range(0, len(left), 128):
+            rows = left[at : at + 128]
+            equal = np.zeros((len(rows), len(right)), np.uint16)
+            for r in range(sketch.m):
+                equal += regs[rows, r][:, None] == columns[r][None, :]
+            near = (equal >= sketch.m * (limit.least - 0.1)) & (comp[rows][:, None] != comp[right][None, :])
             if i == j:
-                other = other[other > k]
-            if not len(other):
-                continue
-            greater, less = (regs[k] > regs[other]).sum(axis=1), (regs[k] < regs[other]).sum(axis=1)
-            rough = (sketch.m - greater - less) / sketch.m >= limit.least - 0.1
-            other, greater, less = other[rough], greater[rough], less[rough]
-            if len(other):
-                hit = other[sketch.similarity(greater, less, np.full(len(other), n[k]), n[other]) >= limit.least]
-                found.append(np.stack([np.full(len(hit), node[k]), node[hit]]))
-        pairs = np.concatenate(found, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"])
+                near &= rows[:, None] < right[None, :]
+            x, y = np.nonzero(near)
+            a, b = rows[x], right[y]
+            fits = limit.possible(n[a], n[b])
+            a, b = a[fits], b[fits]
+            for k in range(0, len(a), 4096):
+                c, d = a[k : k + 4096], b[k : k + 4096]
+                more, less = regs[c] > regs[d], regs[c] < regs[d]
+                same = ~(more | less).reshape(len(c), sketch.bands, sketch.rows).any(axis=2)
+                likely = sketch.similarity(more.sum(axis=1), less.sum(axis=1), n[c], n[d]) >= limit.least
+                pick = (same.argmax(axis=1) == band) & likely
+                for p, q in zip(c[pick].tolist(), d[pick].tolist()):
+                    s, t = set_of(p), set_of(q)
+                    both = len(s & t)
+                    if 100 * both >= (limit.percent - 1) * (len(s) + len(t) - both):
+                        found.append((p, q))
+        pairs = node[np.array(found, np.int64).reshape(-1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in by_run(batches, ["key", "i", "j"]):
