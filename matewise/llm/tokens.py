@@ -18,6 +18,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -64,9 +65,9 @@ def is_latin(text: str) -> bool:
 
 
 #: Distinct pre-tokens a Python worker gathers before it sends them on.
-CACHE = 150_000
+CACHE = 60_000
 #: Characters a Python worker cuts before it looks pieces up and sends them on.
-CHARACTERS = 2_000_000
+CHARACTERS = 1_000_000
 #: Words whose ids a Python worker remembers.
 WORD_CACHE = 1_000_000
 
@@ -82,13 +83,19 @@ class PreTokens:
             raise ValueError("only a plain byte-level tokenizer without a normalizer counts by pre-token")
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("added tokens with strip or word rules are not supported")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
         self.pattern = regex.compile(BYTE_LEVEL)
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """Loaded where pieces are counted; most texts are cut without it."""
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def cut(self, text: str) -> tuple[list[str], int]:
         """The text's pre-tokens, and how many added tokens stand between them."""
         parts, n = [text], 0
@@ -106,7 +113,9 @@ class PreTokens:
         return out, n
 
     def pieces(self, pre_tokens: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(pre_tokens, add_special_tokens=False)]
+        """Pieces of each pre-token, encoded one by one: a batch would start a thread pool in each worker."""
+        encode = self.tokenizer.encode
+        return [len(encode(p, add_special_tokens=False)) for p in pre_tokens]
 
 
 def count_tokens(
@@ -156,12 +165,13 @@ def count_tokens(
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     is_frequent = (F.col("n") * F.lit(frequent) >= F.lit(total)) & (F.length("piece") <= 64)
     top = vocabulary.where(is_frequent).select("piece", "tokens").toArrow().combine_chunks()
-    known = spark.sparkContext.broadcast((top.column(0).to_pylist(), top.column(1).to_numpy()))
+    pieces, tokens = (top.column(i).combine_chunks() for i in range(2))
+    known = spark.sparkContext.broadcast((pieces, tokens.to_numpy()))
     names = ["piece", "row", "n", "id", "n_bytes", "n_pre", "tokens"]
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = PreTokens(path)
-        frequent_pieces, frequent_tokens = pa.array(known.value[0], pa.string()), known.value[1]
+        frequent_pieces, frequent_tokens = known.value
 
         def counted(some: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             """One row per document with what the frequent pieces give, then one per rare piece and document."""
