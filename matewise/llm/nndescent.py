@@ -46,10 +46,10 @@ class Shape:
     sample: int = 10
     trees: int = 4
     bucket: int = 512
-    iterations: int = 4
+    iterations: int = 3
     seeds: int = 256
     beam: int = 512
-    expand: int = 128
+    expand: int = 192
     recheck: int = 64
     seed: int = 0
 
@@ -116,34 +116,35 @@ def first_graph(nodes: DataFrame, n: int, dims: int, shape: Shape) -> DataFrame:
 
 def descend(graph: DataFrame, nodes: DataFrame, dims: int, shape: Shape, turn: int) -> DataFrame:
     """One NN-descent iteration over (node, nbr, sim, new)."""
-    mixing = F.xxhash64(F.lit(turn), "node", "nbr")
-    order = Window.partitionBy("node", "new").orderBy(mixing)
-    ranked = graph.withColumn("r", F.row_number().over(order))
-    aged = ranked.withColumn("taken", F.col("r") <= shape.sample)
+    by_node = graph.repartition("node")
+    order = Window.partitionBy("node", "new").orderBy(F.xxhash64(F.lit(turn), "node", "nbr"))
+    aged = by_node.withColumn("taken", F.row_number().over(order) <= shape.sample)
     taken = aged.where("taken")
     forward = taken.select(F.col("node").alias("center"), F.col("nbr").alias("member"), "new")
     turned = taken.select(F.col("nbr").alias("center"), F.col("node").alias("member"), "new")
     limit = Window.partitionBy("center", "new").orderBy(F.xxhash64(F.lit(turn), "member"))
     turned = turned.withColumn("r", F.row_number().over(limit)).where(F.col("r") <= shape.sample).drop("r")
-    members = forward.unionByName(turned).groupBy("center", "member").agg(F.max("new").alias("new"))
-    worst = graph.groupBy("node").agg(
+    members = forward.unionByName(turned)
+    worst = by_node.groupBy("node").agg(
         F.when(F.count(F.lit(1)) >= shape.neighbours, F.min("sim")).otherwise(F.lit(-9.0).cast("float")).alias("worst")
     )
     known = nodes.select("node", "code").join(worst, "node", "left").withColumnRenamed("node", "member")
     work = (
         members.join(known, "member")
         .repartition("center")
-        .sortWithinPartitions("center", "member")
+        .sortWithinPartitions("center", "member", F.desc("new"))
         .select("center", "member", "new", "code", F.coalesce("worst", F.lit(-9.0).cast("float")).alias("worst"))
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in by_run(batches, ["center"]):
-            new = run.column("new").to_numpy(zero_copy_only=False)
+            member = run.column("member").to_numpy()
+            once = np.flatnonzero(np.concatenate(([True], member[1:] != member[:-1])))  # new before old
+            new = run.column("new").to_numpy(zero_copy_only=False)[once]
             if len(new) < 2 or not new.any():
                 continue
-            member, worst = run.column("member").to_numpy(), run.column("worst").to_numpy()
-            unit = read_codes(run.column("code"), dims)
+            member, worst = member[once], run.column("worst").to_numpy()[once]
+            unit = read_codes(run.column("code"), dims)[once]
             sim = unit @ unit.T
             np.fill_diagonal(sim, -9)
             sim[np.ix_(~new, ~new)] = -9
@@ -152,7 +153,7 @@ def descend(graph: DataFrame, nodes: DataFrame, dims: int, shape: Shape, turn: i
 
     proposals = work.mapInArrow(compare, "node long, nbr long, sim float").withColumn("new", F.lit(True))
     kept = aged.select("node", "nbr", "sim", (F.col("new") & ~F.col("taken")).alias("new"))
-    merged = kept.unionByName(proposals).groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    merged = kept.unionByName(proposals).repartition("node").groupBy("node", "nbr").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
     return best(merged, "node", shape.neighbours, F.desc("sim"), F.asc("nbr"))
 
 
@@ -164,8 +165,38 @@ def build(nodes: DataFrame, n: int, dims: int, shape: Shape) -> DataFrame:
     return graph.drop("new")
 
 
+BEAM = "q long, code binary, ids array<long>, sims array<float>, done array<boolean>, open int, kind int"
+
+
+def _lists(values: np.ndarray, ends: list[int], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+
+def _beams(rows: list[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Beams (q, code, ids, sims, done) as a batch of the BEAM schema."""
+    ends = np.cumsum([0, *(len(r[2]) for r in rows)]).tolist()
+    ids, sims, done = (np.concatenate([r[k] for r in rows]) if rows else np.empty(0) for k in (2, 3, 4))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([r[0] for r in rows], pa.int64()),
+            pa.array([r[1] for r in rows], pa.binary()),
+            _lists(ids.astype(np.int64), ends, pa.int64()),
+            _lists(sims.astype(np.float32), ends, pa.float32()),
+            _lists(done.astype(bool), ends, pa.bool_()),
+            pa.array([int((~r[4]).sum()) for r in rows], pa.int32()),
+            pa.array(np.zeros(len(rows), np.int32)),
+        ],
+        ["q", "code", "ids", "sims", "done", "open", "kind"],
+    )
+
+
 def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dims: int, shape: Shape) -> DataFrame:
-    """(q, node, sim): the beam of every query of ``queries`` (q, code)."""
+    """(q, node, sim): the beam of every query of ``queries`` (q, code).
+
+    A beam is one row per query, best first.  A round sends its best unexpanded nodes as
+    requests to the nodes' rows (one shuffle) and takes what they answer back into the
+    beam (one more).
+    """
     spark = nodes.sparkSession
     back = best(
         graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "sim"), "node", shape.neighbours, F.desc("sim"), F.asc("nbr")
@@ -175,7 +206,7 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dims: int, sh
         pairs.join(nodes.select(F.col("node").alias("nbr"), "code"), "nbr")
         .groupBy("node")
         .agg(F.collect_list(F.struct("nbr", "code")).alias("near"))
-        .select("node", F.col("near.nbr").alias("ids"), F.col("near.code").alias("codes"))
+        .select("node", F.col("near.nbr").alias("nbrs"), F.col("near.code").alias("codes"))
     )
     rows = stash(rows, "adjacency").repartition("node").persist(StorageLevel.MEMORY_AND_DISK)
     start = nodes.orderBy(F.xxhash64(F.lit("seed"), "node"), "node").limit(shape.seeds).select("node", "code").toArrow()
@@ -186,45 +217,73 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dims: int, sh
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 some = batch.slice(at, 1024)
-                sim = read_codes(some.column(1), dims) @ unit.T
-                flat = [np.repeat(some.column(0).to_numpy(), len(ids)), np.tile(ids, len(some)), sim.ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["q", "node", "sim"])
+                out = []
+                for q, code, sims in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), read_codes(some.column(1), dims) @ unit.T):
+                    order = np.lexsort((ids, -sims))[: shape.beam]
+                    out.append((q, code, ids[order], sims[order], np.zeros(len(order), bool)))
+                yield _beams(out)
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, code, ids, sims, done in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                nodes_asked = [i for i, d in zip(ids, done) if not d][: shape.expand]
+                bound = sims[-1] if len(ids) >= shape.beam else -9.0
+                n = len(nodes_asked)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([q] * n, pa.int64()), pa.array([code] * n, pa.binary()), pa.array([bound] * n, pa.float32()), pa.array(nodes_asked, pa.int64())],
+                    ["q", "code", "bound", "node"],
+                )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
             near, ids, codes = read_codes(batch.column(1), dims), batch.column(3), batch.column(4)
             sizes = np.diff(ids.offsets.to_numpy())
-            unit = read_codes(codes.flatten(), dims)
             which = np.repeat(np.arange(len(batch)), sizes)
-            sim = np.einsum("nd,nd->n", unit, near[which])
-            hit = np.flatnonzero(sim > batch.column(2).to_numpy()[which])
-            flat = [batch.column(0).to_numpy()[which[hit]], ids.flatten().to_numpy()[hit], sim[hit].astype(np.float32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["q", "node", "sim"])
-
-    schema = "q long, node long, sim float"
-    state = best(queries.select("q", "code").mapInArrow(begin, schema), "q", shape.beam, F.desc("sim"), F.asc("node"))
-    state = stash(state.withColumn("done", F.lit(False)), "beam")
-    while state.where("NOT done").limit(1).count():
-        bound = state.groupBy("q").agg(
-            F.when(F.count(F.lit(1)) >= shape.beam, F.min("sim")).otherwise(F.lit(-9.0).cast("float")).alias("bound")
-        )
-        asked = stash(best(state.where("NOT done"), "q", shape.expand, F.desc("sim"), F.asc("node")).select("q", "node"), "asked")
-        found = (
-            asked.join(queries.join(bound, "q"), "q")
-            .join(rows, "node")
-            .select("q", "code", "bound", "ids", "codes")
-            .mapInArrow(expand, schema)
-            .withColumn("done", F.lit(False))
-        )
-        marked = state.join(asked.withColumn("hit", F.lit(True)), ["q", "node"], "left").select(
-            "q", "node", "sim", (F.col("done") | F.coalesce("hit", F.lit(False))).alias("done")
-        )
-        merged = marked.unionByName(found).groupBy("q", "node").agg(F.max("sim").alias("sim"), F.max("done").alias("done"))
-        state = stash(best(merged, "q", shape.beam, F.desc("sim"), F.asc("node")), "beam")
+            sim = np.einsum("nd,nd->n", read_codes(codes.flatten(), dims), near[which])
+            hit = sim > batch.column(2).to_numpy()[which]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(which[hit], minlength=len(batch))))).tolist()
+            n, found = len(batch), int(hit.sum())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.nulls(n, pa.binary()),
+                    _lists(ids.flatten().to_numpy()[hit], ends, pa.int64()),
+                    _lists(sim[hit].astype(np.float32), ends, pa.float32()),
+                    _lists(np.zeros(found, bool), ends, pa.bool_()),
+                    pa.array(np.zeros(n, np.int32)),
+                    pa.array(np.ones(n, np.int32)),
+                ],
+                ["q", "code", "ids", "sims", "done", "open", "kind"],
+            )
+
+    def take_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for run in by_run(batches, ["q"]):
+            q, code = run.column("q")[0].as_py(), run.column("code")[0].as_py()
+            ids, sims, done = (run.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("ids", "sims", "done"))
+            own = len(run.column("ids")[0])
+            done = done.astype(bool).copy()
+            done[np.flatnonzero(~done[:own])[: shape.expand]] = True
+            ids, first = np.unique(ids, return_index=True)  # the beam's own entry comes first
+            sims, done = sims[first], done[first]
+            order = np.lexsort((ids, -sims))[: shape.beam]
+            out.append((q, code, ids[order], sims[order], done[order]))
+            if len(out) >= 256:
+                yield _beams(out)
+                out = []
+        if out:
+            yield _beams(out)
+
+    state = stash(queries.select("q", "code").mapInArrow(begin, BEAM), "beam")
+    while state.where("open > 0").limit(1).count():
+        asked = state.where("open > 0").mapInArrow(ask, "q long, code binary, bound float, node long")
+        answers = asked.join(rows, "node").select("q", "code", "bound", "nbrs", "codes").mapInArrow(answer, BEAM)
+        merged = state.unionByName(answers).repartition("q").sortWithinPartitions("q", "kind")
+        state = stash(merged.mapInArrow(take_back, BEAM), "beam")
     rows.unpersist()
-    return state.select("q", "node", "sim")
+    return state.select("q", F.explode(F.arrays_zip("ids", "sims")).alias("x")).select("q", F.col("x.ids").alias("node"), F.col("x.sims").alias("sim"))
 
 
 def nearest(
