@@ -320,6 +320,9 @@ def run(p: Pairs, config: EngineConfig, steps: tuple[str, ...]) -> None:
             find_overlaps(p, config.overlap)
         elif step in ("overlap_start", "overlap_end"):
             find_from_one_end(p, config.overlap, step == "overlap_end")
+        elif step == "informative":
+            policy = config.validation or ValidationPolicy()
+            p.informative = informative_length(p.a, p.b, policy.k, policy.score)
         elif step == "validate":
             validate(p, config.validation or ValidationPolicy())
         elif step == "merge":

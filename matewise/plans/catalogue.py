@@ -39,11 +39,8 @@ OVERLAP_COLUMNS = ("overlap_len", "r1_start", "r2_start", "diff")
 OUTCOME = ("key", "status", "reason", "seq", "qual")
 
 
-def pairs(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
-    """The generated pairs, spread over the cluster: the source is one small file."""
-    rows = generated(spark, sf_dir)
-    out = pairs_from(rows, "key", r1_name="name1", r2_name="name2")
-    return out.repartition(spark.sparkContext.defaultParallelism) if spread else out
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs_from(generated(spark, sf_dir), "key", r1_name="name1", r2_name="name2")
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +58,7 @@ def read_id_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orient_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.oriented(pairs(spark, sf_dir, False)).select("key", "a", "qa", "b", "qb")
+    return R.oriented(pairs(spark, sf_dir)).select("key", "a", "qa", "b", "qb")
 
 
 def phred_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +108,8 @@ def _complexity(tail: bool) -> Query:
 
 
 def min_informative_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.informative_length(_names(spark, sf_dir), "key", 3, 30)
+    rows = pairs(spark, sf_dir).withColumn("mates_match", F.lit(True))
+    return run_steps(rows, EngineConfig(), ("informative",)).select("key", "min_informative")
 
 
 def validation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +184,7 @@ def mate_mismatch_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mate_mismatch_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.mate_budget(pairs(spark, sf_dir, False), "key", 2)
+    return R.mate_budget(pairs(spark, sf_dir), "key", 2)
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,11 @@ def pairs_sql(source: str = "orders") -> str:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of a scale's orders."""
-    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("matewise_orders")
+    """The pairs of a scale's orders.
+
+    Keys are spread before anything is generated: they are small, reads are not, and the
+    source may be a single file.
+    """
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    keys.repartition(spark.sparkContext.defaultParallelism, "o_orderkey").createOrReplaceTempView("matewise_orders")
     return spark.sql(pairs_sql("matewise_orders")).withColumn("ins", F.col("ins").cast("int"))

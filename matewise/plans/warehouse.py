@@ -77,41 +77,40 @@ def tool_counts(records: DataFrame) -> DataFrame:
 def agreement(records: DataFrame, executions: DataFrame) -> DataFrame:
     """Per dataset and unordered pair of tools: merged, shared and exclusive reads, Jaccard.
 
-    Shared reads come from one self-join on (run, dataset, read); tools that merged nothing
-    still appear.
+    One shuffle brings a read's tools together; every pair of them (a tool with itself gives
+    its own count) is counted, so the records are read once and never joined with
+    themselves.  Tools that merged nothing still appear.
     """
+    where = PARTITIONS[:2]
+    per_read = records.groupBy(*where, "read_id").agg(F.array_sort(F.collect_list("tool")).alias("tools"))
+    both = F.flatten(
+        F.transform("tools", lambda a: F.transform(F.filter("tools", lambda b: b >= a), lambda b: F.struct(a.alias("l"), b.alias("r"))))
+    )
+    counted = per_read.select(*where, F.explode(both).alias("pair")).groupBy(*where, "pair").agg(F.count(F.lit(1)).alias("n"))
+    counts = counted.groupBy(*where).agg(F.map_from_entries(F.collect_list(F.struct("pair", "n"))).alias("counts"))
     tools = executions.select(*PARTITIONS).distinct()
-    left = tools.withColumnRenamed("tool", "left_tool")
-    pairs = left.join(tools.withColumnRenamed("tool", "right_tool"), PARTITIONS[:2]).where("right_tool > left_tool")
-    ids = records.select(*PARTITIONS, "read_id")
-    shared = (
-        ids.withColumnRenamed("tool", "left_tool")
-        .join(ids.withColumnRenamed("tool", "right_tool"), [*PARTITIONS[:2], "read_id"])
+    pairs = (
+        tools.withColumnRenamed("tool", "left_tool")
+        .join(tools.withColumnRenamed("tool", "right_tool"), where)
         .where("right_tool > left_tool")
-        .groupBy(*PARTITIONS[:2], "left_tool", "right_tool")
-        .agg(F.count(F.lit(1)).alias("shared"))
-    )
-    counts = tool_counts(records)
-    one = counts.withColumnRenamed("tool", "left_tool").withColumnRenamed("merged", "l")
-    two = counts.withColumnRenamed("tool", "right_tool").withColumnRenamed("merged", "r")
-    joined = (
-        pairs.join(one, [*PARTITIONS[:2], "left_tool"], "left")
-        .join(two, [*PARTITIONS[:2], "right_tool"], "left")
-        .join(shared, [*PARTITIONS[:2], "left_tool", "right_tool"], "left")
+        .join(counts, where, "left")
     )
-    n_l, n_r, both = (F.coalesce(c, F.lit(0)).cast("long") for c in ("l", "r", "shared"))
-    union = n_l + n_r - both
-    return joined.select(
-        "run_key",
-        "dataset_name",
+
+    def number(left: str, right: str) -> F.Column:
+        return F.coalesce(F.try_element_at("counts", F.struct(F.col(left).alias("l"), F.col(right).alias("r"))), F.lit(0)).cast("long")
+
+    n_l, n_r, shared = number("left_tool", "left_tool"), number("right_tool", "right_tool"), number("left_tool", "right_tool")
+    union = n_l + n_r - shared
+    return pairs.select(
+        *where,
         "left_tool",
         "right_tool",
         n_l.alias("left_merged"),
         n_r.alias("right_merged"),
-        both.alias("shared_merged"),
-        (n_l - both).alias("left_only"),
-        (n_r - both).alias("right_only"),
-        F.round(F.when(union == 0, F.lit(0.0)).otherwise(both / union), 6).alias("jaccard"),
+        shared.alias("shared_merged"),
+        (n_l - shared).alias("left_only"),
+        (n_r - shared).alias("right_only"),
+        F.round(F.when(union == 0, F.lit(0.0)).otherwise(shared / union), 6).alias("jaccard"),
     )
 
 
