@@ -41,17 +41,29 @@ def stash(df: DataFrame, label: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _STASHED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of stashed frames that nothing still to be computed reads."""
+    for df in frames:
+        for item in [x for x in _STASHED if x[1] == getattr(df, "_stashed_at", None)]:
+            _STASHED.remove(item)
+            _delete(*item)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop_stashes() -> None:
     """Delete every folder :func:`stash` wrote.  Best effort: the session may be gone."""
     while _STASHED:
-        spark, path = _STASHED.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(*_STASHED.pop())
         except Exception:  # noqa: BLE001 - the JVM has ended already
             continue
 

@@ -220,7 +220,8 @@ def mixed_documents(
     )
     spans = spans.select(*[F.col(c).alias(f"__{c}") for c in spans.columns])
     one = docs.withColumn("__hash", F.xxhash64(F.col(text_col)))
-    one = one.dropDuplicates([id_col, source_col, "__hash"])
+    if rows.groupBy("doc_id", "source", "text_hash").count().where("count > 1").limit(1).count():
+        one = one.dropDuplicates([id_col, source_col, "__hash"])  # equal rows get all their spans from one
     joined = one.join(
         spans,
         one[id_col].eqNullSafe(spans["__doc_id"]) & one[source_col].eqNullSafe(spans["__source"]) & (one["__hash"] == spans["__text_hash"]),

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 from .graph import components
 from .runs import by_run
 
@@ -275,7 +275,9 @@ def near_duplicates(
                 ]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-        return stash(joined.select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long"), "links")
+        out = stash(joined.select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long"), "links")
+        discard(pairs, wanted, sets)
+        return out
 
     def labelled(links: DataFrame) -> DataFrame:
         """``members`` of buckets that still hold more than one component, with comp."""
@@ -293,9 +295,13 @@ def near_duplicates(
     rest = labelled(links)
     second = rest.where("comp <> lead_comp").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = links.unionByName(verified(likely(second)))
+    discard(rest)
     # 3. what is left: sets of different components that share a bucket
-    links = links.unionByName(verified(cross_pairs(labelled(links), nodes, docs, words, sketch, limit, block_rows).distinct()))
+    rest = labelled(links)
+    crossing, read = cross_pairs(rest, nodes, docs, words, sketch, limit, block_rows)
+    links = links.unionByName(verified(crossing.distinct()))
     known = components(links).select("node", "component")
+    discard(rest, members, nodes, *read)
     named = grouped.join(known, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     out = drawn.select("id", "n", "print").join(named, "print", "left")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
@@ -306,13 +312,14 @@ def near_duplicates(
 
 def cross_pairs(
     rows: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, sketch: SetSketch, limit: Threshold, block_rows: int
-) -> DataFrame:
+) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs of one bucket (key) in different components (comp) that hold on 32-bit sets, give or take a percent.
 
     A bucket is cut into blocks by hash; each pair of blocks is one group of work, streamed
     from a sorted partition.  Within it, equal registers are counted for all pairs at once;
     pairs that the joint estimate leaves open are compared on their sets, in the first band
-    they share, so only near certain links leave the task.
+    they share, so only near certain links leave the task.  Also returned are the stashed
+    frames that the result reads.
     """
     blocks = F.ceil(F.col("size") / block_rows).cast("int")
     meets = F.transform(
@@ -383,4 +390,4 @@ def cross_pairs(
         for some in by_run(batches, ["key", "i", "j"]):
             yield compare(some)
 
-    return work.mapInArrow(run, "a long, b long")
+    return work.mapInArrow(run, "a long, b long"), [wanted, known]

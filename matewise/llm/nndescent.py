@@ -33,7 +33,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 from .runs import by_run
 from .vectorlinks import matrix, unit_rows, usable
 
@@ -76,7 +76,7 @@ def best(rows: DataFrame, group: str, k: int, *order: Column) -> DataFrame:
 def first_graph(nodes: DataFrame, n: int, dims: int, shape: Shape) -> DataFrame:
     """(node, nbr, sim) from the buckets of ``trees`` sets of random hyperplanes."""
     bits = max(0, math.ceil(math.log2(max(1, 2 * n / shape.bucket))))
-    planes = np.random.default_rng([shape.seed, dims]).standard_normal((dims, max(1, shape.trees * bits)))
+    planes = np.random.default_rng([shape.seed, dims]).standard_normal((dims, shape.trees * max(1, bits)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +161,8 @@ def build(nodes: DataFrame, n: int, dims: int, shape: Shape) -> DataFrame:
     """The neighbour graph (node, nbr, sim)."""
     graph = stash(first_graph(nodes, n, dims, shape).withColumn("new", F.lit(True)), "graph")
     for turn in range(shape.iterations):
-        graph = stash(descend(graph, nodes, dims, shape, turn), "graph")
+        last, graph = graph, stash(descend(graph, nodes, dims, shape, turn), "graph")
+        discard(last)
     return graph.drop("new")
 
 
@@ -281,7 +282,8 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dims: int, sh
         asked = state.where("open > 0").mapInArrow(ask, "q long, code binary, bound float, node long")
         answers = asked.join(rows, "node").select("q", "code", "bound", "nbrs", "codes").mapInArrow(answer, BEAM)
         merged = state.unionByName(answers).repartition("q").sortWithinPartitions("q", "kind")
-        state = stash(merged.mapInArrow(take_back, BEAM), "beam")
+        last, state = state, stash(merged.mapInArrow(take_back, BEAM), "beam")
+        discard(last)
     rows.unpersist()
     return state.select("q", F.explode(F.arrays_zip("ids", "sims")).alias("x")).select("q", F.col("x.ids").alias("node"), F.col("x.sims").alias("sim"))
 

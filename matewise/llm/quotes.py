@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 MARKS = r"^[ \t]*(>[ \t]?)+"
 #: Turns that are numbered together.
@@ -147,6 +147,7 @@ def chain_roots(links: DataFrame) -> DataFrame:
         up = now.select(F.col("conv").alias("u_conv"), F.col("turn").alias("u_turn"), F.col("to").alias("up"))
         jumped = now.join(up, now["conv"].eqNullSafe(up["u_conv"]) & (now["to"] == up["u_turn"]), "left")
         jumped = stash(jumped.select("conv", "turn", F.coalesce("up", "to").alias("to"), F.col("up").isNotNull().alias("moved")), "chains")
+        discard(now)
         now = jumped.drop("moved")
         if not jumped.where("moved").limit(1).count():
             return now.select(F.col("conv").alias("r_conv"), F.col("turn").alias("r_turn"), F.col("to").alias("root"))
