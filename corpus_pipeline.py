@@ -32,10 +32,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group; documents without an id stay."""
-    found = neardup.near_duplicates(docs)
+    found = stash(neardup.near_duplicates(docs), "groups")
     gone = found.where("NOT kept").select(F.col("id").alias("__gone")).distinct()
     named = docs.where("doc_id IS NOT NULL")
-    kept = named.join(gone, named["doc_id"] == gone["__gone"], "left_anti").dropDuplicates(["doc_id"])
+    kept = named.join(gone, named["doc_id"] == gone["__gone"], "left_anti")
+    if found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
