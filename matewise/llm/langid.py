@@ -135,8 +135,8 @@ def fit(
         raise ValueError("a slice holds 64 languages")
     if not languages:
         return LanguageFilters((), np.zeros(1 << bits, np.uint64), bits, np.zeros(0))
-    keep = int(10_000 * min(1.0, most_rows / total))
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(10_000)) < max(1, keep))
+    keep = int((1 << 40) * min(1.0, most_rows / total))
+    sample = rows.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1 << 40)) < keep)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

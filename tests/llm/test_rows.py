@@ -149,6 +149,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 def test_page_text():
     got = htmltext.main_texts([PAGE.format(extra=""), None, "", "no markup at all", "<p>a<p>b &lt;c&gt;"])
     assert [x[0] for x in got] == ["A & B\nFirst bold\nSecond line", "", "", "no markup at all", "a\nb <c>"]
+    odd = ['<p title="a<b">x</p>1 < 2 <!-- gone', '<a href="x>y</a> z', "<p>" + "<a '" * 50_000, "<nav>" * 500 + "x", "a<br/>b"]
+    assert [x[0] for x in htmltext.main_texts(odd)][:2] == ["x\n1 < 2", "y z"] and htmltext.main_texts(odd[-1:])[0][0] == "a b"
 
 
 def test_host_boilerplate_without_a_main_element(spark):
