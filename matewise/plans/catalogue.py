@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -187,22 +187,24 @@ def mate_mismatch_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.mate_budget(pairs(spark, sf_dir), "key", 2)
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merged reads of all tools, one assembly per configuration."""
-    rows = pairs(spark, sf_dir)
-    steps = [run_steps(rows, c, c.steps()).where("status = 'merged'").withColumn("tool", F.lit(t)) for t, c in TOOLS.items()]
-    union = reduce(DataFrame.unionByName, steps)
-    return W.read_records(
-        union.select(
-            F.lit("run1").alias("run_key"), F.lit("orders").alias("dataset_name"), "tool",
-            F.concat(F.lit("@read"), F.col("key").cast("string"), F.lit("/1")).alias("header"), "seq", "qual",
-        )
-    )
+def _labelled(tool: str) -> list[Column]:
+    return [F.lit("run1").alias("run_key"), F.lit("orders").alias("dataset_name"), F.lit(tool).alias("tool")]
+
+
+def _merged_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the reads that each tool merges: those whose pairs pass, so nothing is merged for it."""
+    rows, name = pairs(spark, sf_dir), F.concat(F.lit("read"), F.col("key").cast("string")).alias("read_id")
+    parts = []
+    for tool, config in TOOLS.items():
+        passed = run_steps(rows, config, tuple(s for s in config.steps() if s in ("overlap", "validate"))).where("status = 'pair'")
+        parts.append(passed.select(*_labelled(tool), name))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def merged_read_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _records(spark, sf_dir).where("tool = 'normal'")
-    return rows.withColumn("avg_qual", F.round("avg_qual", 6))
+    header = F.concat(F.lit("@read"), F.col("key").cast("string"), F.lit("/1")).alias("header")
+    reads = assemble(pairs(spark, sf_dir)).where("status = 'merged'").select(*_labelled("normal"), header, "seq", "qual")
+    return W.read_records(reads).withColumn("avg_qual", F.round("avg_qual", 6))
 
 
 def _executions(spark: SparkSession) -> DataFrame:
@@ -212,11 +214,11 @@ def _executions(spark: SparkSession) -> DataFrame:
 
 
 def agreement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.agreement(_records(spark, sf_dir), _executions(spark))
+    return W.agreement(_merged_ids(spark, sf_dir), _executions(spark))
 
 
 def tool_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.tool_counts(_records(spark, sf_dir))
+    return W.tool_counts(_merged_ids(spark, sf_dir))
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
