@@ -79,11 +79,18 @@ def assemble_arrays(
     reads: list[list[str | None]], match: list[bool], config: EngineConfig, steps: tuple[str, ...], mates: bool
 ) -> dict[str, list]:
     """Results of a batch, column by column, in the order of the rows."""
-    n = len(match)
-    out: dict[str, list] = {f.name: [None] * n for f in RESULT.fields}
+    out: dict[str, list] = {f.name: [None] * len(match) for f in RESULT.fields}
+    for rows, p in _oriented(reads, match, out):
+        K.run(p, config, steps)
+        _collect(p, rows, out, mates)
+    return out
+
+
+def _oriented(reads: list[list[str | None]], match: list[bool], out: dict[str, list]) -> Iterator[tuple[list[int], K.Pairs]]:
+    """The pairs of a batch by length class, at most 8192 at a time; rows that can't be oriented get their status."""
     classes: dict[tuple[int, int], list[int]] = {}
-    encoded: list[tuple[bytes, ...] | None] = [None] * n
-    for i in range(n):
+    encoded: list[tuple[bytes, ...] | None] = [None] * len(match)
+    for i in range(len(match)):
         row = [r[i] for r in reads]
         if not match[i]:
             out["status"][i] = K.MISMATCH
@@ -105,10 +112,7 @@ def assemble_arrays(
     for rows in classes.values():
         for at in range(0, len(rows), 8192):
             some = rows[at : at + 8192]
-            p = K.Pairs.orient(*(_grid([encoded[i][k] for i in some]) for k in range(4)))
-            K.run(p, config, steps)
-            _collect(p, some, out, mates)
-    return out
+            yield some, K.Pairs.orient(*(_grid([encoded[i][k] for i in some]) for k in range(4)))
 
 
 def _collect(p: K.Pairs, rows: list[int], out: dict[str, list], mates: bool) -> None:
@@ -164,6 +168,45 @@ def assemble(pairs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFra
     return run_steps(pairs, config, config.steps())
 
 
+def compare(pairs: DataFrame, configs: dict[str, EngineConfig]) -> DataFrame:
+    """Outcomes of several configurations in one pass: the key columns, config, status, reason.
+
+    Reads are oriented once and each kind of overlap search runs once, whatever the number
+    of configurations; a pair that passes has the status ``merged``.
+    """
+    keys = [c for c in pairs.columns if c not in (*READS, "mates_match")]
+    at = [pairs.columns.index(c) for c in (*READS, "mates_match")]
+    schema = StructType(
+        [*(pairs.schema[c] for c in keys), *(StructField(c, StringType()) for c in ("config", "status", "reason"))]
+    )
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *reads, match = (batch.column(i).to_pylist() for i in at)
+            common: dict[str, list] = {"status": [None] * len(match), "reason": [None] * len(match)}
+            found = {name: {k: list(v) for k, v in common.items()} for name in configs}
+            for rows, p in _oriented(reads, match, common):
+                searched: dict[OverlapParams, K.Pairs] = {}
+                for name, config in configs.items():
+                    if config.overlap not in searched:
+                        searched[config.overlap] = p.copy()
+                        K.run(searched[config.overlap], config, ("overlap",))
+                    one = searched[config.overlap].copy()
+                    if config.validation is not None:
+                        K.run(one, config, ("validate",))
+                    for i, status, reason in zip(rows, one.status.tolist(), one.error.tolist()):
+                        found[name]["status"][i] = K.MERGED if status == K.PAIR else status
+                        found[name]["reason"][i] = reason
+            for name in configs:
+                status = [a or b for a, b in zip(common["status"], found[name]["status"])]
+                reason = [a or b for a, b in zip(common["reason"], found[name]["reason"])]
+                arrays = [batch.column(batch.schema.get_field_index(c)) for c in keys]
+                arrays += [pa.array([name] * len(match), pa.string()), pa.array(status, pa.string()), pa.array(reason, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, [*keys, "config", "status", "reason"])
+
+    return pairs.mapInArrow(go, schema)
+
+
 @dataclass(frozen=True)
 class PairFlow:
     """Stages one after another, checked when they are named, run in one pass.

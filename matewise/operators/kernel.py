@@ -6,6 +6,7 @@ operations on two-dimensional byte arrays; rows that are resolved leave the arra
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -91,6 +92,13 @@ class Pairs:
 
         return cls(r1, decode(q1), np.ascontiguousarray(_READ[r2][:, ::-1]), np.ascontiguousarray(decode(q2)[:, ::-1]))
 
+    def copy(self) -> Pairs:
+        """The same reads with outcomes of their own."""
+        out = copy.copy(self)
+        for name in ("status", "error", "informative", "mismatches", "expected"):
+            setattr(out, name, getattr(self, name).copy())
+        return out
+
     @property
     def live(self) -> np.ndarray:
         return np.isin(self.status, (PAIR, MERGED))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from ..functions.params import (
     ValidationPolicy,
 )
 from ..operators import relational as R
-from ..operators.assembly import PairFlow, assemble, pairs_from, run_steps
+from ..operators.assembly import PairFlow, assemble, compare, pairs_from, run_steps
 from . import oracles as O
 from . import stats as S
 from . import warehouse as W
@@ -192,13 +191,10 @@ def _labelled(tool: str) -> list[Column]:
 
 
 def _merged_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of the reads that each tool merges: those whose pairs pass, so nothing is merged for it."""
-    rows, name = pairs(spark, sf_dir), F.concat(F.lit("read"), F.col("key").cast("string")).alias("read_id")
-    parts = []
-    for tool, config in TOOLS.items():
-        passed = run_steps(rows, config, tuple(s for s in config.steps() if s in ("overlap", "validate"))).where("status = 'pair'")
-        parts.append(passed.select(*_labelled(tool), name))
-    return reduce(DataFrame.unionByName, parts)
+    """Ids of the reads that each tool merges, all tools in one pass: a pair that passes is merged."""
+    passed = compare(pairs(spark, sf_dir), TOOLS).where("status = 'merged'")
+    name = F.concat(F.lit("read"), F.col("key").cast("string")).alias("read_id")
+    return passed.select(*_labelled("")[:2], F.col("config").alias("tool"), name)
 
 
 def merged_read_records(spark: SparkSession, sf_dir: str) -> DataFrame:
