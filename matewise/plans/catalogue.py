@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -253,13 +253,15 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs written as two FASTQ files and read again in step."""
+    """All pairs written as two FASTQ files in the shared folder and read again in step."""
     from ..sources import fastq
 
     fastq.register(spark)
-    root = tempfile.mkdtemp(prefix="matewise-")
-    rows = generated(spark, sf_dir).orderBy("key").limit(2000)
-    fastq.write_pair_files(rows, f"{root}/r1.fastq", f"{root}/r2.fastq.gz", order="key")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = f"{shared.rstrip('/')}/fastq-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+    fastq.write_pair_files(generated(spark, sf_dir), f"{root}/r1.fastq", f"{root}/r2.fastq.gz", order="key")
     read = spark.read.format("fastq_pairs").option("r1", f"{root}/r1.fastq").option("r2", f"{root}/r2.fastq.gz").load()
     return read.select("pair_ordinal", "r1_name", "r1_seq", "r1_qual", "r2_name", "r2_seq", "r2_qual")
 

@@ -4,7 +4,7 @@
 ``fastq_pairs`` reads two files in step (pair_ordinal and both records).  A file is one
 partition, since record boundaries can't be found from within; scale comes from many
 files, and ``repartition`` after the scan spreads a large one.  Files are opened through
-Spark's own file systems, so any store that Spark reads will do.
+pyarrow's file systems: local and shared folders by path, other stores by URI.
 
 Records are strict: a header that starts with @, a separator that starts with +, equal
 lengths of sequence and quality, quality bytes of 33 or more, and no record cut short.
@@ -13,8 +13,11 @@ Gzip is chosen by the extension ``gz``; all members are read.
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import io
+import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,10 +33,14 @@ PAIR = "pair_ordinal bigint, r1_name string, r1_seq string, r1_qual string, r2_n
 BATCH = 8192
 
 
+def _file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(path if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", path) else f"file://{os.path.abspath(path)}")
+
+
 def open_lines(path: str) -> io.BufferedReader:
     """A file's bytes, unpacked if its extension is gz."""
     try:
-        system, inner = pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        system, inner = _file_system(path)
         raw = system.open_input_file(inner)
     except (OSError, pa.ArrowInvalid) as e:
         raise InputError(f"can't open {path}: {e}") from e
@@ -185,10 +192,11 @@ def write_folder(rows: DataFrame, path: str, order: list[str], name: str = "name
 def write_file(rows: DataFrame, path: str, order: list[str], name: str = "name", seq: str = "seq", qual: str = "qual") -> int:
     """Records in order as one file, streamed through the driver partition by partition; returns their number."""
     text, n = rows.orderBy(*order).select(record_text(name, seq, qual).alias("value")), 0
-    opener = gzip.open if path.endswith("gz") else open
-    with opener(path, "wt", encoding="utf-8", newline="\n") as out:
+    system, inner = _file_system(path)
+    raw = system.open_output_stream(inner, compression=None)
+    with raw, gzip.GzipFile(fileobj=raw, mode="wb") if path.endswith("gz") else contextlib.nullcontext(raw) as out:
         for row in text.toLocalIterator(prefetchPartitions=True):
-            out.write(row["value"] + "\n")
+            out.write(f"{row['value']}\n".encode())
             n += 1
     return n
 
