@@ -87,7 +87,7 @@ def running_offsets(
     order: list[str],
     value: str | None,
     out: str,
-    rows_per_chunk: int = 2048,
+    rows_per_chunk: int = 512,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` (or the count) over the rows before, within ``group``.
 
