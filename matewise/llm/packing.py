@@ -1,9 +1,9 @@
 """Sum-of-squares packing of documents into sequences of bounded length.
 
-Within a packing group, pieces come longest first.  A piece goes where the sum over
-residual gaps of (open bins with that gap) squared becomes smallest; bins without a
-gap are closed and count nothing.  A new bin must beat every open one by two, the
-smaller gap wins ties.
+Within a packing group, pieces come longest first.  A piece goes to the open bin for
+which the sum over residual gaps of (open bins with that gap) squared becomes smallest,
+the smaller gap winning ties; a new bin is opened only where no open one has room.
+Bins without a gap are closed and count nothing.
 
 Groups hold about ``group_rows`` pieces by a hash of the piece, so that a task packs a
 bounded number; at that size a group wastes a few bins in thousands.  Lengths travel,
@@ -36,7 +36,7 @@ def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
         after[0] = 0
         here = count[size:]
         cost = np.where(here > 0, after - here + 1, never)
-        cost[-1] = after[-1] + 1
+        cost[-1] = never - 1
         gap = int(np.argmin(cost)) + size
         if gap == most:
             b, n_bins = n_bins, n_bins + 1
