@@ -104,7 +104,7 @@ class LanguageFilters:
         return np.maximum(hits - n * self.false_rate, 0) / (1 - self.false_rate), n
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages:
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         hits, n = self.counts(text)
         if not n:
