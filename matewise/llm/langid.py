@@ -149,8 +149,8 @@ def fit(
             )
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for block in blocks(text):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for block in blocks(text.as_py()):
                     which, n = np.unique(grams(block).view(np.int64), return_counts=True)
                     for g, k in zip(which.tolist(), n.tolist()):
                         seen[lang, g] += k
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", l
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value
         for batch in batches:
-            out = [model.predict(t) for t in batch.column(at).to_pylist()]
+            out = [model.predict(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
                 [*batch.schema.names, lang_out, score_out],
