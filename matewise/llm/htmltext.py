@@ -4,16 +4,20 @@ A page becomes blocks of text, each with a zone: ``main`` (inside an article or
 element), ``chrome`` (menus, headers, footers, sidebars, notices, adverts, forms,
 comments) or ``plain`` (anything else in the body).  The pages of a host are
 concatenated as token streams; a suffix array over them, sorted to the depth of the
-shortest long substring, finds every substring of ``least`` tokens or more that occurs
-on two distinct pages, and so which tokens of each block are covered by repeats.
+shortest long substring, finds every substring of ``least`` tokens that occurs, and on how
+many distinct pages, and so which tokens of each block are covered by repeats.
 
 Chrome is never text.  Where a page marks its main part, that is its text: passages that
 articles share stay.  Where it doesn't, its plain blocks are its text but for those that
 are mostly covered by repeats; if that leaves nothing, the page is a copy and keeps its
 plain blocks.
 
-Hosts are cut into chunks of about ``chunk_pages`` pages by hash, so a host with a third
-of all pages is many tasks; a chunk is evidence enough of what a host repeats.
+Hosts are cut into chunks of about ``chunk_pages`` pages by hash of their content, so a host
+with a third of all pages is many tasks.  Chunks of one host tell each other how many pages
+hold each of their substrings, so counts are those of the whole host: hashes of the
+substrings, in a few bits more than tell a host's apart, meet by host and range of hashes, and
+those that several chunks hold go back.  Two different substrings of a host share a hash with
+a probability of about 2 in a million.  Pages with equal blocks are one page in all counts.
 
 Edge cases: null and empty pages give an empty text; a null or odd URL has the empty
 host; repeated rows are copies of each other and returned each; unclosed elements end
@@ -22,6 +26,7 @@ with their parent; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -35,6 +40,10 @@ from pyspark.sql import functions as F
 from .common import stash
 from .runs import by_run
 
+#: Ranges of hashes for up to so many chunks of a host, and bits of a hash beyond those of the number of its pages.
+RANGES, CHUNKS, BITS = 64, 512, 28
+ZONES = {"main": "m", "chrome": "c", "plain": "p"}
+
 #: A comment, a tag (attributes with quoted values, or failing that anything up to >), or a declaration.
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?:(?P<attributes>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)>|(?P<rest>[^>]*)>)"
@@ -162,15 +171,36 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def repeated_tokens(streams: list[np.ndarray], least: int) -> list[np.ndarray]:
-    """For each stream of token ids, which tokens lie in a substring of ``least`` or more that another stream holds too.
+@dataclass
+class Repeats:
+    """The substrings of ``least`` tokens of some streams: distinct ones are classes, in order of their first suffix's rank."""
+
+    sizes: np.ndarray
+    least: int
+    suffixes: np.ndarray  # start of each, by class
+    first: np.ndarray  # index of each class's first suffix
+    counts: np.ndarray  # streams that hold each class
+
+    def covered(self, counts: np.ndarray, pages: float) -> list[np.ndarray]:
+        """For each stream, which tokens lie in a substring that ``pages`` streams hold."""
+        total = int(self.sizes.sum())
+        edges = np.zeros(total + 1, np.int64)
+        runs = np.diff(np.append(self.first, len(self.suffixes)))
+        starts = self.suffixes[np.repeat(counts >= pages, runs)]
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + self.least, -1)
+        return np.split(np.cumsum(edges[:-1]) > 0, np.cumsum(self.sizes)[:-1])
+
+
+def repeats(streams: list[np.ndarray], least: int, counted: np.ndarray | None = None) -> Repeats:
+    """Classes of equal substrings of ``least`` token ids; only streams that are ``counted`` count.
 
     ``least`` is a power of two: suffixes are sorted by prefix doubling to that depth.
     """
-    sizes = np.array([len(s) for s in streams])
-    total = int(sizes.sum())
+    sizes = np.array([len(s) for s in streams], np.int64)
+    total, none = int(sizes.sum()), np.empty(0, np.int64)
     if not total:
-        return [np.zeros(0, bool) for _ in streams]
+        return Repeats(sizes, least, none, none, none)
     page = np.repeat(np.arange(len(streams)), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(total)  # tokens to the end of the stream
     rank = np.unique(np.concatenate(streams), return_inverse=True)[1].astype(np.int64)
@@ -183,68 +213,267 @@ def repeated_tokens(streams: list[np.ndarray], least: int) -> list[np.ndarray]:
         depth *= 2
     suffixes = np.argsort(rank, kind="stable")
     suffixes = suffixes[left[suffixes] >= least]
+    if not len(suffixes):
+        return Repeats(sizes, least, none, none, none)
     order, home = rank[suffixes], page[suffixes]
-    first = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1]))) if len(order) else np.empty(0, np.int64)
-    spread = np.zeros(len(order), bool)
-    if len(order):
-        # within a class suffixes are in stream order, so two pages show at its ends
-        last = np.concatenate((first[1:], [len(order)])) - 1
-        spread = np.repeat(home[first] != home[last], last - first + 1)
-    edges = np.zeros(total + 1, np.int64)
-    starts = suffixes[spread]
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + least, -1)
-    covered = np.cumsum(edges[:-1]) > 0
-    return np.split(covered, np.cumsum(sizes)[:-1])
+    change = np.concatenate(([True], order[1:] != order[:-1]))
+    # within a class suffixes are in stream order, so each stream shows once
+    seen = change | np.concatenate(([True], home[1:] != home[:-1]))
+    if counted is not None:
+        seen &= counted[home]
+    first = np.flatnonzero(change)
+    return Repeats(sizes, least, suffixes, first, np.add.reduceat(seen.astype(np.int64), first))
+
+
+def repeated_tokens(streams: list[np.ndarray], least: int) -> list[np.ndarray]:
+    """For each stream of token ids, which tokens lie in a substring of ``least`` or more that another stream holds too."""
+    found = repeats(streams, least)
+    return found.covered(found.counts, 2)
+
+
+class Chunk:
+    """Pages of one host: their distinct contents, as token streams, and the repeats in them."""
+
+    def __init__(self, parsed: list[list[Block]], counted: list[bool] | None = None, least: int = 8) -> None:
+        at: dict[tuple, int] = {}
+        self.which = [at.setdefault(tuple((b.zone, b.text) for b in page), len(at)) for page in parsed]
+        self.pages = [[Block(text, zone) for zone, text in key] for key in at]
+        ids: dict[str, int] = {}
+        self.streams, self.ends = [], []
+        for page in self.pages:
+            words = [b.text.split(" ") for b in page]
+            self.streams.append(np.array([ids.setdefault(w, len(ids)) for ws in words for w in ws], dtype=np.int64))
+            self.ends.append(np.cumsum([0, *map(len, words)]))
+        self.words = list(ids)
+        counts = np.zeros(len(self.pages), bool)
+        for k, c in zip(self.which, counted or [True] * len(parsed)):
+            counts[k] |= c
+        self.repeats = repeats(self.streams, least, counts)
+        self.n_pages = int(counts.sum())
+
+    def hashes(self, bits: int) -> np.ndarray:
+        """A hash of ``bits`` bits for each class of repeats, the same in every chunk."""
+        word = np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in self.words), np.uint64)
+        tokens = np.concatenate(self.streams) if self.streams else np.empty(0, np.int64)
+        starts = self.repeats.suffixes[self.repeats.first]
+        factors = np.random.default_rng(8).integers(0, 1 << 64, self.repeats.least, np.uint64) | np.uint64(1)
+        out = np.zeros(len(starts), np.uint64)
+        for k, f in enumerate(factors):
+            out += word[tokens[starts + k]] * f
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0x94D049BB133111EB)
+        return (out >> np.uint64(64 - bits)).astype(np.int64)
+
+    def texts(self, counts: np.ndarray, covered_share: float) -> list[tuple[str, int, int]]:
+        """(text, tokens, repeated tokens) of each page, where ``counts`` pages of the host hold each class."""
+        out = []
+        for page, stream, end, covered in zip(self.pages, self.streams, self.ends, self.repeats.covered(counts, 2)):
+            if any(b.zone == "main" for b in page):
+                kept = [b.text for b in page if b.zone == "main"]
+            else:
+                share = [covered[a:z].mean() for a, z in zip(end, end[1:])]
+                plain = [(b.text, s) for b, s in zip(page, share) if b.zone == "plain"]
+                kept = [t for t, s in plain if s < covered_share] or [t for t, _ in plain]
+            out.append(("\n".join(kept), len(stream), int(covered.sum())))
+        return [out[k] for k in self.which]
 
 
 def main_texts(pages: list[str | None], least: int = 8, covered_share: float = 0.8) -> list[tuple[str, int, int]]:
     """(text, tokens, repeated tokens) of the pages of one host."""
-    parsed = [blocks(p) for p in pages]
-    ids: dict[str, int] = {}
-    streams, ends = [], []
-    for page in parsed:
-        words = [b.text.split(" ") for b in page]
-        streams.append(np.array([ids.setdefault(w, len(ids)) for ws in words for w in ws], dtype=np.int64))
-        ends.append(np.cumsum([0, *map(len, words)]))
-    out = []
-    for page, stream, end, covered in zip(parsed, streams, ends, repeated_tokens(streams, least)):
-        if any(b.zone == "main" for b in page):
-            kept = [b.text for b in page if b.zone == "main"]
-        else:
-            share = [covered[a:z].mean() for a, z in zip(end, end[1:])]
-            plain = [(b.text, s) for b, s in zip(page, share) if b.zone == "plain"]
-            kept = [t for t, s in plain if s < covered_share] or [t for t, _ in plain]
-        out.append(("\n".join(kept), len(stream), int(covered.sum())))
-    return out
+    chunk = Chunk([blocks(p) for p in pages], least=least)
+    return chunk.texts(chunk.repeats.counts, covered_share)
+
+
+def pack_sorted(values: np.ndarray, base: int, bits: int) -> bytes:
+    """Ascending numbers from ``base``, below ``base + 2 ** bits``: low bits as they are, steps of the high bits in unary."""
+    low = max(0, bits - max(1, len(values)).bit_length())
+    values = values - base
+    steps = (values >> low) + np.arange(len(values))
+    unary = np.zeros(int(steps[-1]) + 1 if len(steps) else 0, bool)
+    unary[steps] = True
+    lows = ((values[:, None] >> np.arange(low)) & 1).astype(bool)
+    return np.array([len(values), low], "<u4").tobytes() + np.packbits(lows.ravel()).tobytes() + np.packbits(unary).tobytes()
+
+
+def unpack_sorted(packed: bytes, base: int) -> np.ndarray:
+    n, low = np.frombuffer(packed, "<u4", 2).tolist()
+    cut = 8 + (n * low + 7) // 8
+    lows = np.unpackbits(np.frombuffer(packed, np.uint8, cut - 8, 8), count=n * low).reshape(n, low).astype(np.int64)
+    steps = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=cut)))
+    return ((steps - np.arange(n)) << low) + lows @ (1 << np.arange(low, dtype=np.int64)) + base
+
+
+def hash_bits(rows: int) -> int:
+    return min(62, BITS + rows.bit_length())
+
+
+def n_ranges(chunks: int) -> int:
+    return RANGES * -(-chunks // CHUNKS)
+
+
+def range_starts(chunks: int, bits: int) -> np.ndarray:
+    n = n_ranges(chunks)
+    return np.array([(k << bits) // n for k in range(n + 1)], np.int64)
+
+
+def parse(rows: DataFrame) -> DataFrame:
+    """(id, url, host, blob, size): the blocks of each page in compressed form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+        for batch in batches:
+            plain = ["\n".join(ZONES[b.zone] + b.text for b in blocks(p.as_py())).encode("utf-8", "surrogatepass") for p in batch.column("html")]
+            packed = [codec.compress(x, asbytes=True) for x in plain]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("id", "url", "host")), pa.array(packed, pa.binary()), pa.array(list(map(len, plain)), pa.int64())],
+                ["id", "url", "host", "blob", "size"],
+            )
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {id_type}, url string, host string, blob binary, size long")
+
+
+def read_chunk(some: pa.Table) -> Chunk:
+    codec, names = pa.Codec("zstd"), {v: k for k, v in ZONES.items()}
+    parsed = []
+    for blob, size in zip(some.column("blob").to_pylist(), some.column("size").to_pylist()):
+        text = codec.decompress(blob, size, asbytes=True).decode("utf-8", "surrogatepass") if size else ""
+        parsed.append([Block(x[1:], names[x[0]]) for x in text.split("\n") if x])
+    return Chunk(parsed, some.column("counted").to_pylist())
+
+
+def tell_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hosted, part, group, prints, counts) for each range of hashes that a chunk of a host of several chunks holds."""
+    for some in by_run(batches, ["group"]):
+        chunks, rows, hosted, group = (some.column(c)[0].as_py() for c in ("chunks", "rows", "hosted", "group"))
+        if chunks == 1:
+            continue
+        chunk, bits = read_chunk(some), hash_bits(rows)
+        values, which = np.unique(chunk.hashes(bits), return_inverse=True)
+        counts = np.bincount(which, chunk.repeats.counts, len(values)).astype("<i4")
+        starts = range_starts(chunks, bits)
+        cuts = np.searchsorted(values, starts)
+        spans = [(k, a, z) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
+        prints = [pack_sorted(values[a:z], int(starts[k]), int(starts[k + 1] - starts[k]).bit_length()) for k, a, z in spans]
+        others = [np.flatnonzero(counts[a:z] != 1).astype("<i4") for _, a, z in spans]
+        more = [x.tobytes() + counts[a:z][x].tobytes() for x, (_, a, z) in zip(others, spans)]
+        n = len(spans)
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(pa.array([x] * n, pa.int64()) for x in (hosted, group, chunks, rows)),
+                pa.array([k for k, _, _ in spans], pa.int64()),
+                pa.array(prints, pa.binary()),
+                pa.array(more, pa.binary()),
+            ],
+            ["hosted", "group", "chunks", "rows", "part", "prints", "counts"],
+        )
+
+
+def add_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, part, prints, counts): to each chunk its hashes that other chunks of the host hold too, with the host's counts."""
+    for some in by_run(batches, ["hosted", "part"]):
+        chunks, rows, part = (some.column(c)[0].as_py() for c in ("chunks", "rows", "part"))
+        bits = hash_bits(rows)
+        starts = range_starts(chunks, bits)
+        base, width = int(starts[part]), int(starts[part + 1] - starts[part]).bit_length()
+        values = [unpack_sorted(p, base) for p in some.column("prints").to_pylist()]
+        if len(values) < 2:
+            continue
+        counts = []
+        for v, packed in zip(values, some.column("counts").to_pylist()):
+            other, n = np.frombuffer(packed, "<i4").reshape(2, -1)
+            own = np.ones(len(v), np.int64)
+            own[other] = n
+            counts.append(own)
+        _, which, holders = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        totals = np.bincount(which, np.concatenate(counts)).astype("<i4")
+        shared = np.split(holders[which] > 1, np.cumsum([len(v) for v in values])[:-1])
+        told = np.split(totals[which], np.cumsum([len(v) for v in values])[:-1])
+        groups = some.column("group").to_pylist()
+        out = [(g, pack_sorted(v[s], base, width), t[s].tobytes()) for g, v, s, t in zip(groups, values, shared, told) if s.any()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([x[0] for x in out], pa.int64()),
+                pa.array([part] * len(out), pa.int64()),
+                pa.array([x[1] for x in out], pa.binary()),
+                pa.array([x[2] for x in out], pa.binary()),
+            ],
+            ["group", "part", "prints", "counts"],
+        )
 
 
 def extract(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", chunk_pages: int = 256, broadcast_hosts: int = 100_000
+    pages: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    html_col: str = "html",
+    chunk_pages: int = 256,
+    broadcast_hosts: int = 100_000,
+    covered_share: float = 0.8,
 ) -> DataFrame:
     """One row per page: id, url, text, n_chars, n_tokens, n_repeated."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    large = stash(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_pages), "hosts")
-    few = large.count() <= broadcast_hosts
-    chunk = F.pmod(F.xxhash64("id", "url"), F.ceil(F.coalesce("n", F.lit(1)) / chunk_pages))
+    parsed = parse(rows).withColumns({"content": F.xxhash64("size", "blob"), "row": F.xxhash64("id", "url")})
+    contents = parsed.groupBy("host", "content").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("first"))
+    contents = stash(contents, "contents")
+    large = contents.groupBy("host").agg(F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("pages")).where(F.col("rows") > chunk_pages)
+    large = stash(large.withColumn("chunks", F.ceil(F.col("rows") / chunk_pages)), "hosts")
+    # a content with many copies is spread, and counts in one place only
+    copied = contents.withColumn("spread", F.ceil(F.col("copies") * 4 / chunk_pages)).where("spread > 1").select("host", "content", "first", "spread")
+    copied = stash(copied, "copied")
+    small = lambda x: F.broadcast(x) if x.count() <= broadcast_hosts else x
+    one = F.lit(1).cast("long")
+    salt = F.pmod("row", F.coalesce("spread", one))
+    chunk = F.pmod(F.xxhash64("content", salt), F.coalesce("chunks", one))
     work = (
-        rows.join(F.broadcast(large) if few else large, "host", "left")
-        .select("id", "url", "html", F.xxhash64("host", chunk).alias("group"))
+        parsed.join(small(large), "host", "left")
+        .join(small(copied), ["host", "content"], "left")
+        .select(
+            F.xxhash64("host", chunk).alias("group"),
+            F.xxhash64("host").alias("hosted"),
+            F.coalesce("chunks", one).alias("chunks"),
+            F.coalesce("rows", one).alias("rows"),
+            F.coalesce("pages", one).alias("pages"),
+            F.coalesce(salt == F.pmod("first", F.col("spread")), F.lit(True)).alias("counted"),
+            "id",
+            "url",
+            "blob",
+            "size",
+        )
         .repartition("group")
-        .sortWithinPartitions("group")
     )
+    told = work.sortWithinPartitions("group").mapInArrow(
+        tell_ranges, "hosted long, group long, chunks long, rows long, part long, prints binary, counts binary"
+    )
+    added = told.repartition("hosted", "part").sortWithinPartitions("hosted", "part")
+    added = added.mapInArrow(add_ranges, "group long, part long, prints binary, counts binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in by_run(batches, ["group"]):
-            found = main_texts(some.column("html").to_pylist())
-            texts = [x[0] for x in found]
-            numbers = [[len(t) for t in texts], [x[1] for x in found], [x[2] for x in found]]
-            columns = [some.column(c).combine_chunks() for c in ("id", "url")]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)],
-                ["id", "url", "text", "n_chars", "n_tokens", "n_repeated"],
-            )
+    def finish(some: pa.Table, more: pa.Table) -> pa.Table:
+        if not len(some):
+            return pa.table({c: pa.array([], t) for c, t in zip(names, kinds(some))})
+        chunk = read_chunk(some)
+        counts, n_chunks, n_rows = chunk.repeats.counts, some.column("chunks")[0].as_py(), some.column("rows")[0].as_py()
+        if len(more):
+            bits = hash_bits(n_rows)
+            starts, mine = range_starts(n_chunks, bits), chunk.hashes(bits)
+            order = np.argsort(more.column("part").to_numpy(), kind="stable")
+            parts, prints, totals = (more.column(c).to_pylist() for c in ("part", "prints", "counts"))
+            values = np.concatenate([unpack_sorted(prints[k], int(starts[parts[k]])) for k in order])
+            totals = np.concatenate([np.frombuffer(totals[k], "<i4") for k in order])
+            at = np.minimum(np.searchsorted(values, mine), len(values) - 1)
+            counts = np.where(values[at] == mine, totals[at], counts)
+        found = chunk.texts(counts, covered_share)
+        texts = [x[0] for x in found]
+        numbers = [[len(t) for t in texts], [x[1] for x in found], [x[2] for x in found]]
+        columns = [some.column("id"), some.column("url"), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)]
+        return pa.table(dict(zip(names, columns)))
 
+    names = ["id", "url", "text", "n_chars", "n_tokens", "n_repeated"]
+    kinds = lambda some: [some.schema.field("id").type, pa.string(), pa.string(), *[pa.int64()] * 3]
     id_type = rows.schema["id"].dataType.simpleString()
-    return work.mapInArrow(run, f"id {id_type}, url string, text string, n_chars long, n_tokens long, n_repeated long")
+    return (
+        work.groupBy("group")
+        .cogroup(added.groupBy("group"))
+        .applyInArrow(finish, f"id {id_type}, url string, text string, n_chars long, n_tokens long, n_repeated long")
+    )

@@ -216,3 +216,21 @@ def test_pipeline(spark):
     packed = corpus_pipeline.pack_sequences(spark, mixed, SF)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "mix_sources", "pack"]
+
+
+def test_repeats_count_over_all_chunks_of_a_host(spark):
+    notice = "<div>This part of the site is looked after by the second desk alone</div>"
+    rows = [(i, f"http://h.example/{i}", f"<p>{' '.join(f'w{i}x{k}' for k in range(12))}</p>{notice if i % 50 == 0 else ''}") for i in range(300)]
+    rows += [(1000 + k, f"http://h.example/copy{k}", rows[1][2]) for k in range(60)] + [(2000, "http://i.example/", rows[0][2])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    small, whole = (sorted(htmltext.extract(frame, chunk_pages=n).collect()) for n in (16, 1000))
+    assert small == whole and len(small) == len(rows)
+    assert {r["id"] for r in small if r["n_repeated"]} == set(range(0, 300, 50))
+    assert {r["n_repeated"] for r in small if r["n_repeated"]} == {13}
+
+
+def test_packed_hashes_come_back():
+    rng = np.random.default_rng(1)
+    for n, base, bits in ((0, 0, 9), (1, 5, 3), (200, 1 << 40, 40), (1000, 7, 10), (1024, 0, 10)):
+        values = np.sort(rng.choice(1 << min(bits, 20), n, replace=False)).astype(np.int64) + base
+        assert (htmltext.unpack_sorted(htmltext.pack_sorted(values, base, bits), base) == values).all()
