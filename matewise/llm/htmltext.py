@@ -8,9 +8,10 @@ shortest long substring, finds every substring of ``least`` tokens that occurs,
 many distinct pages, and so which tokens of each block are covered by repeats.
 
 Chrome is never text.  Where a page marks its main part, that is its text: passages that
-articles share stay.  Where it doesn't, its plain blocks are its text but for those that
-are mostly covered by repeats; if that leaves nothing, the page is a copy and keeps its
-plain blocks.
+articles share stay.  Where it doesn't, its plain blocks are its text but for boilerplate;
+if that leaves nothing, it keeps its plain blocks.  Boilerplate is a block that is mostly
+covered by substrings that recur on a share of the host's distinct pages (:class:`Rule`); on
+one or two pages nothing is, as a passage that two pages share may be their text.
 
 Hosts are cut into chunks of about ``chunk_pages`` pages by hash of their content, so a host
 with a third of all pages is many tasks.  Chunks of one host tell each other how many pages
@@ -171,6 +172,23 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
+@dataclass(frozen=True)
+class Rule:
+    """What makes a block boilerplate: the share of its tokens in substrings that recur on enough pages.
+
+    Enough is a share of the host's distinct pages, ``least_pages`` at least and, for plain
+    blocks, ``enough_pages`` at most: a notice of one section of a large host is one too.
+    """
+
+    covered: float = 0.8
+    plain_share: float = 0.1
+    least_pages: int = 3
+    enough_pages: int = 50
+
+    def plain_pages(self, pages: int) -> float:
+        return max(self.least_pages, min(self.plain_share * pages, self.enough_pages))
+
+
 @dataclass
 class Repeats:
     """The substrings of ``least`` tokens of some streams: distinct ones are classes, in order of their first suffix's rank."""
@@ -264,24 +282,23 @@ class Chunk:
         out *= np.uint64(0x94D049BB133111EB)
         return (out >> np.uint64(64 - bits)).astype(np.int64)
 
-    def texts(self, counts: np.ndarray, covered_share: float) -> list[tuple[str, int, int]]:
-        """(text, tokens, repeated tokens) of each page, where ``counts`` pages of the host hold each class."""
+    def texts(self, counts: np.ndarray, pages: int, rule: Rule) -> list[tuple[str, int, int]]:
+        """(text, tokens, repeated tokens) of each page, where ``counts`` of the host's ``pages`` distinct ones hold each class."""
         out = []
-        for page, stream, end, covered in zip(self.pages, self.streams, self.ends, self.repeats.covered(counts, 2)):
-            if any(b.zone == "main" for b in page):
-                kept = [b.text for b in page if b.zone == "main"]
-            else:
-                share = [covered[a:z].mean() for a, z in zip(end, end[1:])]
-                plain = [(b.text, s) for b, s in zip(page, share) if b.zone == "plain"]
-                kept = [t for t, s in plain if s < covered_share] or [t for t, _ in plain]
-            out.append(("\n".join(kept), len(stream), int(covered.sum())))
+        often = self.repeats.covered(counts, rule.plain_pages(pages))
+        for page, end, covered, boiler in zip(self.pages, self.ends, self.repeats.covered(counts, 2), often):
+            zone = "main" if any(b.zone == "main" for b in page) else "plain"
+            share = [boiler[a:z].mean() for a, z in zip(end, end[1:])]
+            text = [(b.text, zone == "main" or s < rule.covered) for b, s in zip(page, share) if b.zone == zone]
+            kept = [t for t, own in text if own] or [t for t, _ in text]
+            out.append(("\n".join(kept), int(end[-1]), int(covered.sum())))
         return [out[k] for k in self.which]
 
 
-def main_texts(pages: list[str | None], least: int = 8, covered_share: float = 0.8) -> list[tuple[str, int, int]]:
+def main_texts(pages: list[str | None], least: int = 8, rule: Rule = Rule()) -> list[tuple[str, int, int]]:
     """(text, tokens, repeated tokens) of the pages of one host."""
     chunk = Chunk([blocks(p) for p in pages], least=least)
-    return chunk.texts(chunk.repeats.counts, covered_share)
+    return chunk.texts(chunk.repeats.counts, chunk.n_pages, rule)
 
 
 def pack_sorted(values: np.ndarray, base: int, bits: int) -> bytes:
@@ -409,7 +426,7 @@ def extract(
     html_col: str = "html",
     chunk_pages: int = 256,
     broadcast_hosts: int = 100_000,
-    covered_share: float = 0.8,
+    rule: Rule = Rule(),
 ) -> DataFrame:
     """One row per page: id, url, text, n_chars, n_tokens, n_repeated."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -463,7 +480,7 @@ def extract(
             totals = np.concatenate([np.frombuffer(totals[k], "<i4") for k in order])
             at = np.minimum(np.searchsorted(values, mine), len(values) - 1)
             counts = np.where(values[at] == mine, totals[at], counts)
-        found = chunk.texts(counts, covered_share)
+        found = chunk.texts(counts, chunk.n_pages if n_chunks == 1 else some.column("pages")[0].as_py(), rule)
         texts = [x[0] for x in found]
         numbers = [[len(t) for t in texts], [x[1] for x in found], [x[2] for x in found]]
         columns = [some.column("id"), some.column("url"), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)]

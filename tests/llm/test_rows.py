@@ -234,3 +234,15 @@ def test_packed_hashes_come_back():
     for n, base, bits in ((0, 0, 9), (1, 5, 3), (200, 1 << 40, 40), (1000, 7, 10), (1024, 0, 10)):
         values = np.sort(rng.choice(1 << min(bits, 20), n, replace=False)).astype(np.int64) + base
         assert (htmltext.unpack_sorted(htmltext.pack_sorted(values, base, bits), base) == values).all()
+
+
+def test_passages_that_two_pages_share_stay():
+    words = lambda name: " ".join(f"{name}{k}" for k in range(20))
+    article, quote, menu = f"<p>{words('a')}</p><p>{words('b')}</p>", words("q"), f"<div>{words('menu')}</div>"
+    text = lambda *pages: [x[0] for x in htmltext.main_texts(list(pages))]
+    assert text(article, article + "<p>One more</p>") == [f"{words('a')}\n{words('b')}", f"{words('a')}\n{words('b')}\nOne more"]
+    own = [f"{menu}<p>{words(f'own{i}x')}</p>" for i in range(4)]
+    quoting = [f"{own[0]}<p>{quote}</p>", f"{own[1]}<p>{quote}</p>", own[2], own[3]]
+    want = [f"{words('own0x')}\n{quote}", f"{words('own1x')}\n{quote}", words("own2x"), words("own3x")]
+    assert text(*quoting) == want
+    assert text(*quoting, quoting[2], quoting[2]) == [*want, want[2], want[2]]  # copies lose the menu too
