@@ -7,11 +7,11 @@ concatenated as token streams; a suffix array over them, sorted to the depth of
 shortest long substring, finds every substring of ``least`` tokens that occurs, and on how
 many distinct pages, and so which tokens of each block are covered by repeats.
 
-Chrome is never text.  Where a page marks its main part, that is its text: passages that
-articles share stay.  Where it doesn't, its plain blocks are its text but for boilerplate;
-if that leaves nothing, it keeps its plain blocks.  Boilerplate is a block that is mostly
-covered by substrings that recur on a share of the host's distinct pages (:class:`Rule`); on
-one or two pages nothing is, as a passage that two pages share may be their text.
+Chrome is never text.  Where a page marks its main part, its blocks are the text, elsewhere
+the plain blocks are, in both cases but for boilerplate; if that leaves nothing, all of them
+stay.  Boilerplate is a block that is mostly covered by substrings that recur on a share of
+the host's distinct pages (:class:`Rule`); on one or two pages nothing is, as a passage that
+two pages share may be their text.
 
 Hosts are cut into chunks of about ``chunk_pages`` pages by hash of their content, so a host
 with a third of all pages is many tasks.  Chunks of one host tell each other how many pages
@@ -178,16 +178,22 @@ class Rule:
 
     Enough is a share of the host's distinct pages, ``least_pages`` at least and, for plain
     blocks, ``enough_pages`` at most: a notice of one section of a large host is one too.
+    The main part needs more pages, as its mark is evidence for text.
     """
 
     covered: float = 0.8
     plain_share: float = 0.1
     least_pages: int = 3
     enough_pages: int = 50
+    main_share: float = 0.1
+    least_main_pages: int = 5
 
     def plain_pages(self, pages: int) -> float:
         return max(self.least_pages, min(self.plain_share * pages, self.enough_pages))
 
+    def main_pages(self, pages: int) -> float:
+        return max(self.least_main_pages, self.main_share * pages)
+
 
 @dataclass
 class Repeats:
@@ -285,11 +291,12 @@ class Chunk:
     def texts(self, counts: np.ndarray, pages: int, rule: Rule) -> list[tuple[str, int, int]]:
         """(text, tokens, repeated tokens) of each page, where ``counts`` of the host's ``pages`` distinct ones hold each class."""
         out = []
-        often = self.repeats.covered(counts, rule.plain_pages(pages))
-        for page, end, covered, boiler in zip(self.pages, self.ends, self.repeats.covered(counts, 2), often):
+        plain, main = (self.repeats.covered(counts, n) for n in (rule.plain_pages(pages), rule.main_pages(pages)))
+        for page, end, covered, *often in zip(self.pages, self.ends, self.repeats.covered(counts, 2), plain, main):
             zone = "main" if any(b.zone == "main" for b in page) else "plain"
+            boiler = often[zone == "main"]
             share = [boiler[a:z].mean() for a, z in zip(end, end[1:])]
-            text = [(b.text, zone == "main" or s < rule.covered) for b, s in zip(page, share) if b.zone == zone]
+            text = [(b.text, s < rule.covered) for b, s in zip(page, share) if b.zone == zone]
             kept = [t for t, own in text if own] or [t for t, _ in text]
             out.append(("\n".join(kept), int(end[-1]), int(covered.sum())))
         return [out[k] for k in self.which]

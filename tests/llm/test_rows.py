@@ -246,3 +246,12 @@ def test_passages_that_two_pages_share_stay():
     want = [f"{words('own0x')}\n{quote}", f"{words('own1x')}\n{quote}", words("own2x"), words("own3x")]
     assert text(*quoting) == want
     assert text(*quoting, quoting[2], quoting[2]) == [*want, want[2], want[2]]  # copies lose the menu too
+
+
+def test_host_boilerplate_inside_the_main_element():
+    words = lambda name: " ".join(f"{name}{k}" for k in range(20))
+    page = lambda i, more="": f"<article><p>{words(f'own{i}x')}</p>{more}</article>"
+    notice, shared = f"<p class=hint>{words('notice')}</p>", f"<p>{words('shared')}</p>"
+    pages = [page(i, notice) for i in range(6)] + [page(6, shared), page(7, shared), f"<main>{notice}</main>"]
+    want = [words(f"own{i}x") for i in range(6)] + [f"{words(f'own{i}x')}\n{words('shared')}" for i in (6, 7)] + [words("notice")]
+    assert [x[0] for x in htmltext.main_texts(pages)] == want
