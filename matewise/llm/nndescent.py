@@ -11,6 +11,10 @@ codes; only candidates that beat the query's bound travel back.  The search ends
 nothing within the beam is unexpanded.  What it found is scored again on the original
 vectors in double precision.
 
+Graph and search are over distinct directions: rows whose unit vectors are equal are one
+class, which keeps its k + 1 smallest ids.  Classes are expanded after the exact scoring, so
+equal scores go to the smallest ids, however many copies there are and however rows lie.
+
 Vectors travel as 8-bit codes with a scale.  All rows are indexed; the bounds are the
 documented parameters: neighbours per node, sampled members per node and iteration,
 seeds, and beam width.
@@ -23,6 +27,7 @@ them all; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -299,38 +304,64 @@ def nearest(
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each query row, without its own."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), is_query.alias("is_query"))
     rows = rows.where(usable("vector")).withColumn("dims", F.size("vector"))
-    rows = stash(rows.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     found = None
-    for dims, n in sorted((r["dims"], r["count"]) for r in rows.groupBy("dims").count().collect()):
-        some = _nearest(rows.where(F.col("dims") == dims), n, dims, k, shape)
+    for dims in sorted(r["dims"] for r in rows.select("dims").distinct().collect()):
+        some = _nearest(rows.where(F.col("dims") == dims), dims, k, shape)
         found = some if found is None else found.unionByName(some)
     if found is None:
         found = rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     return found
 
 
-def _nearest(rows: DataFrame, n: int, dims: int, k: int, shape: Shape) -> DataFrame:
+def classes(rows: DataFrame, dims: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The distinct directions (print, node, asked, members, vector, code), and the rows (row, id, is_query, print)."""
+    id_type = rows.schema["id"].dataType.simpleString()
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = pack_codes(unit_rows(matrix(batch.column(2), dims))) if len(batch) else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["node", "is_query", "code"])
+            unit = unit_rows(matrix(batch.column(3), dims)) + 0.0 if len(batch) else np.empty((0, dims))  # no negative zeros
+            prints = [hashlib.blake2b(u.tobytes(), digest_size=16).digest() for u in unit]
+            codes = pack_codes(unit) if len(batch) else []
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(prints, pa.binary()), pa.array(codes, pa.binary())], ["row", "id", "is_query", "print", "code"]
+            )
 
-    nodes = stash(rows.select("node", "is_query", "vector").mapInArrow(code, "node long, is_query boolean, code binary"), "codes")
-    queries = nodes.where("is_query").select(F.col("node").alias("q"), "code")
-    beam = search(queries, build(nodes, n, dims, shape), nodes, dims, shape).where("q <> node")
-    beam = best(beam, "q", max(shape.recheck, 4 * k), F.desc("sim"), F.asc("node"))
+    schema = f"row long, id {id_type}, is_query boolean, print binary, code binary"
+    coded = stash(rows.select("row", "id", "is_query", "vector").mapInArrow(code, schema), "codes")
+    first = coded.groupBy("print").agg(F.min("row").alias("node"), F.max("is_query").alias("asked"))
+    members = best(coded.select("print", "id", "row"), "print", k + 1, F.asc("id"), F.asc("row"))
+    members = members.groupBy("print").agg(F.collect_list(F.struct("id", "row")).alias("members"))
+    kept = coded.select(F.col("row").alias("node"), "code").join(rows.select(F.col("row").alias("node"), "vector"), "node")
+    return stash(first.join(members, "print").join(kept, "node"), "classes"), coded.drop("code")
+
+
+def _nearest(rows: DataFrame, dims: int, k: int, shape: Shape) -> DataFrame:
+    nodes, coded = classes(rows, dims, k)
+    queries = nodes.where("asked").select(F.col("node").alias("q"), "code")
+    beam = search(queries, build(nodes, nodes.count(), dims, shape), nodes, dims, shape).where("q <> node")
+    beam = best(beam, "q", max(shape.recheck, 4 * k), F.desc("sim"), F.asc("node")).select("q", "node")
+    beam = beam.unionByName(queries.select("q", F.col("q").alias("node")))  # the query's own copies
     pairs = (
-        beam.join(rows.select("node", F.col("id").alias("vec_id"), F.col("vector").alias("v")), "node")
-        .join(rows.select(F.col("node").alias("q"), F.col("id").alias("query_id"), F.col("vector").alias("w")), "q")
-        .select("q", "query_id", "vec_id", "node", "v", "w")
+        beam.join(nodes.select("node", F.col("vector").alias("v"), "members"), "node")
+        .join(nodes.select(F.col("node").alias("q"), "print", F.col("vector").alias("w")), "q")
+        .select("print", "members", "v", "w")
     )
     id_type = rows.schema["id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            exact = np.einsum("nd,nd->n", unit_rows(matrix(batch.column(4), dims)), unit_rows(matrix(batch.column(5), dims))) if len(batch) else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(exact, pa.float64())], ["q", "query_id", "vec_id", "node", "score"])
-
-    scored = pairs.mapInArrow(score, f"q long, query_id {id_type}, vec_id {id_type}, node long, score double")
-    w = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("vec_id"), F.asc("node"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            exact = np.einsum("nd,nd->n", unit_rows(matrix(batch.column(2), dims)), unit_rows(matrix(batch.column(3), dims))) if len(batch) else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(exact, pa.float64())], ["print", "members", "score"])
+
+    scored = pairs.mapInArrow(score, f"print binary, members array<struct<id:{id_type},row:bigint>>, score double")
+    each = scored.select("print", "score", F.explode("members").alias("m")).select("print", "score", "m.id", "m.row")
+    # one more than asked, as a query's own row is among them
+    w = Window.partitionBy("print").orderBy(F.desc("score"), F.asc("id"), F.asc("row"))
+    top = each.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
+    top = top.groupBy("print").agg(F.array_sort(F.collect_list(F.struct("place", "id", "row", "score"))).alias("top"))
+    told = coded.where("is_query").select("print", "row", F.col("id").alias("query_id")).join(top, "print")
+    others = F.slice(F.filter("top", lambda x: x["row"] != F.col("row")), 1, k)
+    return told.select("query_id", F.posexplode(others).alias("place", "x")).select(
+        "query_id", (F.col("place") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score")
+    )

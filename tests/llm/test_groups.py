@@ -159,3 +159,20 @@ def test_neighbours_are_found(spark):
     few = nndescent.nearest(frame.where("vec_id >= 207"), F.lit(True), 5).collect()
     assert {(r["query_id"], r["vec_id"]) for r in few} == {(207, 208), (208, 207)}
     assert nndescent.nearest(frame.limit(0), F.lit(True), 5).count() == 0
+
+
+def test_ties_go_to_the_smallest_ids_in_any_row_order(spark):
+    rng = np.random.default_rng(6)
+    copied = [float(x) for x in rng.standard_normal(16).astype(np.float32)]
+    rows = [(i, copied) for i in range(300)] + [(i, [float(x) for x in rng.standard_normal(16).astype(np.float32)]) for i in range(300, 400)]
+    rows += [(7, copied), (400, [2 * x for x in copied])]
+    order = rng.permutation(len(rows))
+    frame = spark.createDataFrame([rows[i] for i in order], "vec_id long, embedding array<float>")
+    shape = nndescent.Shape(neighbours=8, sample=6, trees=2, bucket=32, iterations=3, seeds=16, beam=48, expand=16)
+    got: dict[int, list] = {}
+    for r in nndescent.nearest(frame, F.col("vec_id") % 50 == 0, 5, shape).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got[0] == [1, 2, 3, 4, 5] and set(got) == set(range(0, 401, 50))
+    assert all(got[q] == [0, 1, 2, 3, 4] for q in (50, 100, 150, 200, 250, 400))
+    seven = nndescent.nearest(frame, F.col("vec_id") == 7, 9, shape).orderBy("rank").collect()
+    assert [r["vec_id"] for r in seven] == sorted([*range(9)] * 2)
