@@ -123,20 +123,22 @@ def fit(
     least_share: float = 1e-5,
     near: float = 0.3,
 ) -> LanguageFilters:
-    """Learn the filters from about ``most_rows`` labelled rows, those with the smallest id hashes.
+    """Learn the filters from about ``most_rows`` labelled rows, those with the smallest hashes of id and text.
 
-    The sample bound is the only one; every row counts towards what fraction it is.
+    Each language has an equal part of the sample, and is taken whole where it has fewer rows.
+    The sample bound is the only one; every row counts towards what fraction of its language it is.
     Counting is distributed; the driver receives at most ``2 ** bits`` slices.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     per = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
-    languages, total = tuple(r["lang"] for r in per), sum(r["n"] for r in per)
+    languages = tuple(r["lang"] for r in per)
     if len(languages) > 64:
         raise ValueError("a slice holds 64 languages")
     if not languages:
         return LanguageFilters((), np.zeros(1 << bits, np.uint64), bits, np.zeros(0))
-    keep = int((1 << 40) * min(1.0, most_rows / total))
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col)), F.lit(1 << 40)) < keep)
+    each = most_rows / len(languages)
+    keep = F.create_map(*[x for r in per for x in (F.lit(r["lang"]), F.lit(int((1 << 40) * min(1.0, each / r["n"]))).cast("long"))])
+    sample = rows.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col), F.col(text_col)), F.lit(1 << 40)) < keep[F.col(lang_col)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()

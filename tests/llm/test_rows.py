@@ -255,3 +255,9 @@ def test_host_boilerplate_inside_the_main_element():
     pages = [page(i, notice) for i in range(6)] + [page(6, shared), page(7, shared), f"<main>{notice}</main>"]
     want = [words(f"own{i}x") for i in range(6)] + [f"{words(f'own{i}x')}\n{words('shared')}" for i in (6, 7)] + [words("notice")]
     assert [x[0] for x in htmltext.main_texts(pages)] == want
+
+
+def test_rare_languages_are_learned_whole(spark):
+    rows = [(i, f"the house and of the garden {i}", "en") for i in range(3000)] + [(None, "zwölf größere Häuser über", "de")] * 3
+    filters = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_rows=20)
+    assert filters.predict("größere Häuser")[0] == "de" and filters.predict("the garden")[0] == "en"
