@@ -10,15 +10,15 @@ many distinct pages, and so which tokens of each block are covered by repeats.
 Chrome is never text.  Where a page marks its main part, its blocks are the text, elsewhere
 the plain blocks are, in both cases but for boilerplate; if that leaves nothing, all of them
 stay.  Boilerplate is a block that is mostly covered by substrings that recur on a share of
-the host's distinct pages (:class:`Rule`); on one or two pages nothing is, as a passage that
-two pages share may be their text.
+the host's distinct pages (:class:`Rule`): most pages for blocks of the main part, as articles
+may share passages, a tenth for plain blocks.
 
-Hosts are cut into chunks of about ``chunk_pages`` pages by hash of their content, so a host
-with a third of all pages is many tasks.  Chunks of one host tell each other how many pages
-hold each of their substrings, so counts are those of the whole host: hashes of the
-substrings, in a few bits more than tell a host's apart, meet by host and range of hashes, and
-those that several chunks hold go back.  Two different substrings of a host share a hash with
-a probability of about 2 in a million.  Pages with equal blocks are one page in all counts.
+Hosts are cut into chunks of about ``chunk_pages`` pages, or ``chunk_bytes`` of them, by hash of
+their content, so a host with a third of all pages is many tasks.  Results don't depend on the
+cut: a substring on a share of a host's pages is on half that share of the pages of some chunk,
+and what its chunks tell of it leaves it possible (:func:`likely`).  These few candidates are
+counted on every page of the host, by 64-bit hashes of the substrings; a chunk builds its suffix
+array once.  Pages with equal HTML are one page in all counts.
 
 Edge cases: null and empty pages give an empty text; a null or odd URL has the empty
 host; repeated rows are copies of each other and returned each; unclosed elements end
@@ -27,22 +27,23 @@ with their parent; an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import stash
+from .common import discard, stash
 from .runs import by_run
 
-#: Ranges of hashes for up to so many chunks of a host, and bits of a hash beyond those of the number of its pages.
-RANGES, CHUNKS, BITS = 64, 512, 28
 ZONES = {"main": "m", "chrome": "c", "plain": "p"}
 
 #: A comment, a tag (attributes with quoted values, or failing that anything up to >), or a declaration.
@@ -176,20 +177,22 @@ def blocks(page: str | None) -> list[Block]:
 class Rule:
     """What makes a block boilerplate: the share of its tokens in substrings that recur on enough pages.
 
-    Enough is a share of the host's distinct pages, ``least_pages`` at least and, for plain
-    blocks, ``enough_pages`` at most: a notice of one section of a large host is one too.
-    The main part needs more pages, as its mark is evidence for text.
+    Enough is a share of the host's distinct pages, and ``least_pages`` at least.  The main part
+    needs more pages, as its mark is evidence for text.
     """
 
     covered: float = 0.8
     plain_share: float = 0.1
     least_pages: int = 3
-    enough_pages: int = 50
-    main_share: float = 0.1
+    main_share: float = 0.5
     least_main_pages: int = 5
 
+    def __post_init__(self) -> None:
+        if not 0 < self.plain_share <= self.main_share <= 1 or not 0 < self.least_pages <= self.least_main_pages:
+            raise ValueError("the main part needs as many pages as plain blocks at least")
+
     def plain_pages(self, pages: int) -> float:
-        return max(self.least_pages, min(self.plain_share * pages, self.enough_pages))
+        return max(self.least_pages, self.plain_share * pages)
 
     def main_pages(self, pages: int) -> float:
         return max(self.least_main_pages, self.main_share * pages)
@@ -256,105 +259,146 @@ def repeated_tokens(streams: list[np.ndarray], least: int) -> list[np.ndarray]:
 
 
 class Chunk:
-    """Pages of one host: their distinct contents, as token streams, and the repeats in them."""
-
-    def __init__(self, parsed: list[list[Block]], counted: list[bool] | None = None, least: int = 8) -> None:
-        at: dict[tuple, int] = {}
-        self.which = [at.setdefault(tuple((b.zone, b.text) for b in page), len(at)) for page in parsed]
-        self.pages = [[Block(text, zone) for zone, text in key] for key in at]
+    """Pages of one host: their distinct contents, as token streams."""
+
+    def __init__(self, parsed: list[list[Block]], contents: list | None = None, counted: list[bool] | None = None, least: int = 8) -> None:
+        """``contents`` tells which pages are equal, ``counted`` which of them count here."""
+        at: dict = {}
+        contents = contents or [tuple((b.zone, b.text) for b in page) for page in parsed]
+        self.which = [at.setdefault(key, len(at)) for key in contents]
+        self.pages: list[list[Block]] = [[] for _ in at]
+        self.counted, self.least = np.zeros(len(at), bool), least
+        for k, page, c in zip(self.which, parsed, counted or [True] * len(parsed)):
+            self.pages[k] = page
+            self.counted[k] |= c
+        self.n_pages = int(self.counted.sum())
+
+    @cached_property
+    def words(self) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
+        """Distinct words, each page's stream of their numbers, and the ends of its blocks in it."""
         ids: dict[str, int] = {}
-        self.streams, self.ends = [], []
+        streams, ends = [], []
         for page in self.pages:
-            words = [b.text.split(" ") for b in page]
-            self.streams.append(np.array([ids.setdefault(w, len(ids)) for ws in words for w in ws], dtype=np.int64))
-            self.ends.append(np.cumsum([0, *map(len, words)]))
-        self.words = list(ids)
-        counts = np.zeros(len(self.pages), bool)
-        for k, c in zip(self.which, counted or [True] * len(parsed)):
-            counts[k] |= c
-        self.repeats = repeats(self.streams, least, counts)
-        self.n_pages = int(counts.sum())
-
-    def hashes(self, bits: int) -> np.ndarray:
-        """A hash of ``bits`` bits for each class of repeats, the same in every chunk."""
-        word = np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in self.words), np.uint64)
-        tokens = np.concatenate(self.streams) if self.streams else np.empty(0, np.int64)
-        starts = self.repeats.suffixes[self.repeats.first]
-        factors = np.random.default_rng(8).integers(0, 1 << 64, self.repeats.least, np.uint64) | np.uint64(1)
-        out = np.zeros(len(starts), np.uint64)
-        for k, f in enumerate(factors):
-            out += word[tokens[starts + k]] * f
+            each = [b.text.split(" ") for b in page]
+            streams.append(np.array([ids.setdefault(w, len(ids)) for ws in each for w in ws], dtype=np.int64))
+            ends.append(np.cumsum([0, *map(len, each)]))
+        return list(ids), streams, ends
+
+    @cached_property
+    def repeats(self) -> Repeats:
+        return repeats(self.words[1], self.least, self.counted)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        """A hash of the ``least`` tokens from each place on, the same in every chunk; meaningless where fewer follow."""
+        words, streams, _ = self.words
+        word = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+        tokens = word[np.concatenate(streams)] if words else np.empty(0, np.uint64)
+        tokens = np.concatenate((tokens, np.zeros(self.least, np.uint64)))
+        out = np.zeros(len(tokens) - self.least, np.uint64)
+        for k, f in enumerate(np.random.default_rng(8).integers(0, 1 << 63, self.least, np.uint64)):
+            out += tokens[k : k + len(out)] * (f << np.uint64(1) | np.uint64(1))
         out ^= out >> np.uint64(31)
-        out *= np.uint64(0x94D049BB133111EB)
-        return (out >> np.uint64(64 - bits)).astype(np.int64)
-
-    def texts(self, counts: np.ndarray, pages: int, rule: Rule) -> list[tuple[str, int, int]]:
-        """(text, tokens, repeated tokens) of each page, where ``counts`` of the host's ``pages`` distinct ones hold each class."""
+        return (out * np.uint64(0x94D049BB133111EB)).view(np.int64)
+
+    def on_share(self, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, pages) of the substrings on at least this share of the chunk's pages, from its suffix array."""
+        found = self.repeats
+        some = np.flatnonzero((found.counts > 0) & (found.counts >= share * self.n_pages))
+        return self.hashes[found.suffixes[found.first[some]]], found.counts[some]
+
+    def _places(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where substrings with a hash of ``some`` (sorted) start: place, page, index in ``some``."""
+        sizes = np.array([len(s) for s in self.words[1]], np.int64)
+        page = np.repeat(np.arange(len(sizes)), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(page))
+        at = np.minimum(np.searchsorted(some, self.hashes), len(some) - 1)
+        places = np.flatnonzero((some[at] == self.hashes) & (left >= self.least))
+        return places, page[places], at[places]
+
+    def count(self, some: np.ndarray) -> np.ndarray:
+        """On how many counted pages substrings with these hashes (sorted) are."""
+        _, page, at = self._places(some)
+        pairs = np.unique(np.stack([at, page])[:, self.counted[page]], axis=1)
+        return np.bincount(pairs[0], minlength=len(some))
+
+    def _covered(self, counts: np.ndarray, pages: float, some: np.ndarray | None) -> list[np.ndarray]:
+        if some is None:
+            return self.repeats.covered(counts, pages)
+        some = some[counts >= pages]
+        if not len(some):
+            return [np.zeros(len(s), bool) for s in self.words[1]]
+        sizes = np.array([len(s) for s in self.words[1]], np.int64)
+        edges = np.zeros(int(sizes.sum()) + 1, np.int64)
+        places, _, _ = self._places(some)
+        np.add.at(edges, places, 1)
+        np.add.at(edges, places + self.least, -1)
+        return np.split(np.cumsum(edges[:-1]) > 0, np.cumsum(sizes)[:-1])
+
+    def texts(self, pages: int, rule: Rule, some: np.ndarray | None = None, counts: np.ndarray | None = None) -> list[tuple[str, int, int]]:
+        """(text, tokens, repeated tokens) of each page of a host of ``pages`` distinct ones.
+
+        ``some`` (sorted hashes) and ``counts`` tell what the host's pages share; without them the chunk is the whole host.
+        """
+        counts = self.repeats.counts if some is None else counts
         out = []
-        plain, main = (self.repeats.covered(counts, n) for n in (rule.plain_pages(pages), rule.main_pages(pages)))
-        for page, end, covered, *often in zip(self.pages, self.ends, self.repeats.covered(counts, 2), plain, main):
+        plain, main = (self._covered(counts, n, some) for n in (rule.plain_pages(pages), rule.main_pages(pages)))
+        for page, end, *often in zip(self.pages, self.words[2], plain, main):
             zone = "main" if any(b.zone == "main" for b in page) else "plain"
             boiler = often[zone == "main"]
             share = [boiler[a:z].mean() for a, z in zip(end, end[1:])]
             text = [(b.text, s < rule.covered) for b, s in zip(page, share) if b.zone == zone]
             kept = [t for t, own in text if own] or [t for t, _ in text]
-            out.append(("\n".join(kept), int(end[-1]), int(covered.sum())))
+            out.append(("\n".join(kept), int(end[-1]), int(often[0].sum())))
         return [out[k] for k in self.which]
 
 
 def main_texts(pages: list[str | None], least: int = 8, rule: Rule = Rule()) -> list[tuple[str, int, int]]:
-    """(text, tokens, repeated tokens) of the pages of one host."""
-    chunk = Chunk([blocks(p) for p in pages], least=least)
-    return chunk.texts(chunk.repeats.counts, chunk.n_pages, rule)
-
+    """(text, tokens, tokens in what enough pages for plain boilerplate share) of the pages of one host."""
+    chunk = Chunk([blocks(p) for p in pages], pages, least=least)
+    return chunk.texts(chunk.n_pages, rule)
 
-def pack_sorted(values: np.ndarray, base: int, bits: int) -> bytes:
-    """Ascending numbers from ``base``, below ``base + 2 ** bits``: low bits as they are, steps of the high bits in unary."""
-    low = max(0, bits - max(1, len(values)).bit_length())
-    values = values - base
-    steps = (values >> low) + np.arange(len(values))
-    unary = np.zeros(int(steps[-1]) + 1 if len(steps) else 0, bool)
-    unary[steps] = True
-    lows = ((values[:, None] >> np.arange(low)) & 1).astype(bool)
-    return np.array([len(values), low], "<u4").tobytes() + np.packbits(lows.ravel()).tobytes() + np.packbits(unary).tobytes()
 
+def likely(told: DataFrame, rule: Rule) -> DataFrame:
+    """(host, chunks, pages, print) of the substrings that can be on enough pages of their host.
 
-def unpack_sorted(packed: bytes, base: int) -> np.ndarray:
-    n, low = np.frombuffer(packed, "<u4", 2).tolist()
-    cut = 8 + (n * low + 7) // 8
-    lows = np.unpackbits(np.frombuffer(packed, np.uint8, cut - 8, 8), count=n * low).reshape(n, low).astype(np.int64)
-    steps = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=cut)))
-    return ((steps - np.arange(n)) << low) + lows @ (1 << np.arange(low, dtype=np.int64)) + base
-
-
-def hash_bits(rows: int) -> int:
-    return min(62, BITS + rows.bit_length())
+    ``told`` has what chunks tell: (host, chunks, pages, print, n, of), n of a chunk's ``of`` pages, where
+    that is half the wanted share at least.  Chunks that tell nothing have less than that half.
+    """
+    half = rule.plain_share / 2
+    summed = told.groupBy("host", "chunks", "pages", "print").agg(F.sum("n").alias("n"), F.sum("of").alias("of"))
+    most = F.col("n") + F.lit(half) * (F.col("pages") - F.col("of"))
+    enough = F.greatest(F.lit(float(rule.least_pages)), F.lit(rule.plain_share) * F.col("pages"))
+    return summed.where(most >= enough - 1e-6).select("host", "chunks", "pages", "print")
 
 
-def n_ranges(chunks: int) -> int:
-    return RANGES * -(-chunks // CHUNKS)
+def chunk_key(host: Column, chunk: Column) -> Column:
+    return F.xxhash64(host, chunk.cast("long"))
 
 
-def range_starts(chunks: int, bits: int) -> np.ndarray:
-    n = n_ranges(chunks)
-    return np.array([(k << bits) // n for k in range(n + 1)], np.int64)
+def to_chunks(hosts: DataFrame) -> DataFrame:
+    """Rows (host, chunks, ...) to every chunk of their host, as ``group``."""
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
+    return hosts.select("*", each).withColumn("group", chunk_key(F.col("host"), F.col("chunk"))).drop("chunk")
 
 
 def parse(rows: DataFrame) -> DataFrame:
-    """(id, url, host, blob, size): the blocks of each page in compressed form."""
+    """``rows`` with blob and size, the blocks of each page in compressed form, in place of html."""
+    names = [c for c in rows.columns if c != "html"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", 3)
         for batch in batches:
-            plain = ["\n".join(ZONES[b.zone] + b.text for b in blocks(p.as_py())).encode("utf-8", "surrogatepass") for p in batch.column("html")]
-            packed = [codec.compress(x, asbytes=True) for x in plain]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("id", "url", "host")), pa.array(packed, pa.binary()), pa.array(list(map(len, plain)), pa.int64())],
-                ["id", "url", "host", "blob", "size"],
-            )
+            packed, sizes = [], []
+            for p in batch.column("html"):
+                plain = "\n".join(ZONES[b.zone] + b.text for b in blocks(p.as_py())).encode("utf-8", "surrogatepass")
+                packed.append(codec.compress(plain, asbytes=True))
+                sizes.append(len(plain))
+            columns = [*(batch.column(c) for c in names), pa.array(packed, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "blob", "size"])
 
-    id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {id_type}, url string, host string, blob binary, size long")
+    schema = StructType([*(rows.schema[c] for c in names), StructField("blob", BinaryType()), StructField("size", LongType())])
+    return rows.mapInArrow(run, schema)
 
 
 def read_chunk(some: pa.Table) -> Chunk:
@@ -363,67 +407,12 @@ def read_chunk(some: pa.Table) -> Chunk:
     for blob, size in zip(some.column("blob").to_pylist(), some.column("size").to_pylist()):
         text = codec.decompress(blob, size, asbytes=True).decode("utf-8", "surrogatepass") if size else ""
         parsed.append([Block(x[1:], names[x[0]]) for x in text.split("\n") if x])
-    return Chunk(parsed, some.column("counted").to_pylist())
-
-
-def tell_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hosted, part, group, prints, counts) for each range of hashes that a chunk of a host of several chunks holds."""
-    for some in by_run(batches, ["group"]):
-        chunks, rows, hosted, group = (some.column(c)[0].as_py() for c in ("chunks", "rows", "hosted", "group"))
-        if chunks == 1:
-            continue
-        chunk, bits = read_chunk(some), hash_bits(rows)
-        values, which = np.unique(chunk.hashes(bits), return_inverse=True)
-        counts = np.bincount(which, chunk.repeats.counts, len(values)).astype("<i4")
-        starts = range_starts(chunks, bits)
-        cuts = np.searchsorted(values, starts)
-        spans = [(k, a, z) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if z > a]
-        prints = [pack_sorted(values[a:z], int(starts[k]), int(starts[k + 1] - starts[k]).bit_length()) for k, a, z in spans]
-        others = [np.flatnonzero(counts[a:z] != 1).astype("<i4") for _, a, z in spans]
-        more = [x.tobytes() + counts[a:z][x].tobytes() for x, (_, a, z) in zip(others, spans)]
-        n = len(spans)
-        yield pa.RecordBatch.from_arrays(
-            [
-                *(pa.array([x] * n, pa.int64()) for x in (hosted, group, chunks, rows)),
-                pa.array([k for k, _, _ in spans], pa.int64()),
-                pa.array(prints, pa.binary()),
-                pa.array(more, pa.binary()),
-            ],
-            ["hosted", "group", "chunks", "rows", "part", "prints", "counts"],
-        )
+    return Chunk(parsed, some.column("content").to_pylist(), some.column("counted").to_pylist())
 
 
-def add_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, part, prints, counts): to each chunk its hashes that other chunks of the host hold too, with the host's counts."""
-    for some in by_run(batches, ["hosted", "part"]):
-        chunks, rows, part = (some.column(c)[0].as_py() for c in ("chunks", "rows", "part"))
-        bits = hash_bits(rows)
-        starts = range_starts(chunks, bits)
-        base, width = int(starts[part]), int(starts[part + 1] - starts[part]).bit_length()
-        values = [unpack_sorted(p, base) for p in some.column("prints").to_pylist()]
-        if len(values) < 2:
-            continue
-        counts = []
-        for v, packed in zip(values, some.column("counts").to_pylist()):
-            other, n = np.frombuffer(packed, "<i4").reshape(2, -1)
-            own = np.ones(len(v), np.int64)
-            own[other] = n
-            counts.append(own)
-        _, which, holders = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-        totals = np.bincount(which, np.concatenate(counts)).astype("<i4")
-        shared = np.split(holders[which] > 1, np.cumsum([len(v) for v in values])[:-1])
-        told = np.split(totals[which], np.cumsum([len(v) for v in values])[:-1])
-        groups = some.column("group").to_pylist()
-        out = [(g, pack_sorted(v[s], base, width), t[s].tobytes()) for g, v, s, t in zip(groups, values, shared, told) if s.any()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([x[0] for x in out], pa.int64()),
-                pa.array([part] * len(out), pa.int64()),
-                pa.array([x[1] for x in out], pa.binary()),
-                pa.array([x[2] for x in out], pa.binary()),
-            ],
-            ["group", "part", "prints", "counts"],
-        )
+def _host_rows(some: pa.Table, prints: np.ndarray, **more: object) -> pa.Table:
+    first = {c: pa.array([some.column(c)[0].as_py()] * len(prints), some.schema.field(c).type) for c in ("host", "chunks", "pages")}
+    return pa.table(first | {"print": pa.array(prints)} | {k: pa.array(v, pa.int64()) for k, v in more.items()})
 
 
 def extract(
@@ -432,72 +421,80 @@ def extract(
     url_col: str = "url",
     html_col: str = "html",
     chunk_pages: int = 256,
+    chunk_bytes: int = 1 << 26,
     broadcast_hosts: int = 100_000,
     rule: Rule = Rule(),
 ) -> DataFrame:
-    """One row per page: id, url, text, n_chars, n_tokens, n_repeated."""
+    """One row per page: id, url, text, n_chars, n_tokens, n_repeated (tokens in what a share of the host's pages hold)."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    parsed = parse(rows).withColumns({"content": F.xxhash64("size", "blob"), "row": F.xxhash64("id", "url")})
-    contents = parsed.groupBy("host", "content").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("first"))
+    rows = rows.withColumns({"content": F.xxhash64("html"), "row": F.xxhash64("id", "url")})
+    contents = rows.groupBy("host", "content").agg(
+        F.count(F.lit(1)).alias("copies"), F.min("row").alias("first"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")
+    )
     contents = stash(contents, "contents")
-    large = contents.groupBy("host").agg(F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("pages")).where(F.col("rows") > chunk_pages)
-    large = stash(large.withColumn("chunks", F.ceil(F.col("rows") / chunk_pages)), "hosts")
+    parts = lambda n, size: F.ceil(F.greatest(F.col(n) / chunk_pages, F.col(size) / chunk_bytes))
+    hosts = contents.groupBy("host").agg(F.sum("copies").alias("rows"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("pages"))
+    large = stash(hosts.withColumn("chunks", parts("rows", "bytes")).where("chunks > 1").select("host", "pages", "chunks"), "hosts")
     # a content with many copies is spread, and counts in one place only
-    copied = contents.withColumn("spread", F.ceil(F.col("copies") * 4 / chunk_pages)).where("spread > 1").select("host", "content", "first", "spread")
+    spread = F.ceil(4 * F.greatest(F.col("copies") / chunk_pages, F.col("bytes") / chunk_bytes))
+    copied = contents.withColumn("spread", F.least(spread, "copies")).where("spread > 1").select("host", "content", "first", "spread")
     copied = stash(copied, "copied")
+    discard(contents)
     small = lambda x: F.broadcast(x) if x.count() <= broadcast_hosts else x
     one = F.lit(1).cast("long")
     salt = F.pmod("row", F.coalesce("spread", one))
-    chunk = F.pmod(F.xxhash64("content", salt), F.coalesce("chunks", one))
-    work = (
-        parsed.join(small(large), "host", "left")
+    placed = (
+        rows.join(small(large), "host", "left")
         .join(small(copied), ["host", "content"], "left")
+        .withColumn("chunk", F.pmod(F.xxhash64("content", salt), F.coalesce("chunks", one)))
         .select(
-            F.xxhash64("host", chunk).alias("group"),
-            F.xxhash64("host").alias("hosted"),
+            chunk_key(F.col("host"), F.col("chunk")).alias("group"),
+            "host",
             F.coalesce("chunks", one).alias("chunks"),
-            F.coalesce("rows", one).alias("rows"),
             F.coalesce("pages", one).alias("pages"),
             F.coalesce(salt == F.pmod("first", F.col("spread")), F.lit(True)).alias("counted"),
+            "content",
             "id",
             "url",
-            "blob",
-            "size",
+            "html",
         )
-        .repartition("group")
     )
-    told = work.sortWithinPartitions("group").mapInArrow(
-        tell_ranges, "hosted long, group long, chunks long, rows long, part long, prints binary, counts binary"
-    )
-    added = told.repartition("hosted", "part").sortWithinPartitions("hosted", "part")
-    added = added.mapInArrow(add_ranges, "group long, part long, prints binary, counts binary")
-
-    def finish(some: pa.Table, more: pa.Table) -> pa.Table:
+    work = parse(placed).repartition("group")
+    names = ["id", "url", "text", "n_chars", "n_tokens", "n_repeated"]
+    kinds = [pages.schema[id_col].dataType, StringType(), StringType(), *[LongType()] * 3]
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in by_run(batches, ["group"]):
+            if some.column("chunks")[0].as_py() > 1:
+                chunk = read_chunk(some)
+                prints, n = chunk.on_share(rule.plain_share / 2)
+                yield from _host_rows(some, prints, n=n, of=np.full(len(n), chunk.n_pages)).to_batches()
+
+    def count(some: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(some) or not len(asked):
+            return pa.table({"host": pa.array([], pa.string()), **{c: pa.array([], pa.int64()) for c in ("chunks", "pages", "print", "n")}})
+        prints = np.unique(asked.column("print").to_numpy())
+        return _host_rows(some, prints, n=read_chunk(some).count(prints))
+
+    def finish(some: pa.Table, boiler: pa.Table) -> pa.Table:
         if not len(some):
-            return pa.table({c: pa.array([], t) for c, t in zip(names, kinds(some))})
-        chunk = read_chunk(some)
-        counts, n_chunks, n_rows = chunk.repeats.counts, some.column("chunks")[0].as_py(), some.column("rows")[0].as_py()
-        if len(more):
-            bits = hash_bits(n_rows)
-            starts, mine = range_starts(n_chunks, bits), chunk.hashes(bits)
-            order = np.argsort(more.column("part").to_numpy(), kind="stable")
-            parts, prints, totals = (more.column(c).to_pylist() for c in ("part", "prints", "counts"))
-            values = np.concatenate([unpack_sorted(prints[k], int(starts[parts[k]])) for k in order])
-            totals = np.concatenate([np.frombuffer(totals[k], "<i4") for k in order])
-            at = np.minimum(np.searchsorted(values, mine), len(values) - 1)
-            counts = np.where(values[at] == mine, totals[at], counts)
-        found = chunk.texts(counts, chunk.n_pages if n_chunks == 1 else some.column("pages")[0].as_py(), rule)
+            return to_arrow_schema(schema).empty_table()
+        chunk, order = read_chunk(some), np.argsort(boiler.column("print").to_numpy())
+        if some.column("chunks")[0].as_py() == 1:
+            found = chunk.texts(chunk.n_pages, rule)
+        else:
+            found = chunk.texts(some.column("pages")[0].as_py(), rule, *(boiler.column(c).to_numpy()[order] for c in ("print", "n")))
         texts = [x[0] for x in found]
         numbers = [[len(t) for t in texts], [x[1] for x in found], [x[2] for x in found]]
         columns = [some.column("id"), some.column("url"), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)]
         return pa.table(dict(zip(names, columns)))
 
-    names = ["id", "url", "text", "n_chars", "n_tokens", "n_repeated"]
-    kinds = lambda some: [some.schema.field("id").type, pa.string(), pa.string(), *[pa.int64()] * 3]
-    id_type = rows.schema["id"].dataType.simpleString()
-    return (
-        work.groupBy("group")
-        .cogroup(added.groupBy("group"))
-        .applyInArrow(finish, f"id {id_type}, url string, text string, n_chars long, n_tokens long, n_repeated long")
-    )
+    schema = StructType([StructField(*x) for x in zip(names, kinds)])
+    told = work.sortWithinPartitions("group").mapInArrow(tell, "host string, chunks long, pages long, print long, n long, of long")
+    asked = to_chunks(likely(told, rule)).select("group", "print")
+    counted = work.groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(count, "host string, chunks long, pages long, print long, n long")
+    totals = counted.groupBy("host", "chunks", "pages", "print").agg(F.sum("n").alias("n"))
+    enough = F.greatest(F.lit(float(rule.least_pages)), F.lit(rule.plain_share) * F.col("pages"))
+    boiler = to_chunks(totals.where(F.col("n") >= enough)).select("group", "print", "n")
+    return work.groupBy("group").cogroup(boiler.groupBy("group")).applyInArrow(finish, schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -218,22 +220,60 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "mix_sources", "pack"]
 
 
-def test_repeats_count_over_all_chunks_of_a_host(spark):
-    notice = "<div>This part of the site is looked after by the second desk alone</div>"
-    rows = [(i, f"http://h.example/{i}", f"<p>{' '.join(f'w{i}x{k}' for k in range(12))}</p>{notice if i % 50 == 0 else ''}") for i in range(300)]
-    rows += [(1000 + k, f"http://h.example/copy{k}", rows[1][2]) for k in range(60)] + [(2000, "http://i.example/", rows[0][2])]
+def plain_main_text(pages: list[list[htmltext.Block]], rule=htmltext.Rule()) -> list[str]:
+    """Texts of one host's distinct pages by sets of word windows."""
+    windows = []
+    for page in pages:
+        words = [w for b in page for w in b.text.split(" ")]
+        windows.append({tuple(words[i : i + 8]) for i in range(len(words) - 7)})
+    on = Counter(w for some in windows for w in some)
+    out = []
+    for page in pages:
+        zone = "main" if any(b.zone == "main" for b in page) else "plain"
+        least = rule.main_pages(len(pages)) if zone == "main" else rule.plain_pages(len(pages))
+        words = [(k, w) for k, b in enumerate(page) for w in b.text.split(" ")]
+        hit = [False] * len(words)
+        for i in range(len(words) - 7):
+            if on[tuple(w for _, w in words[i : i + 8])] >= least:
+                hit[i : i + 8] = [True] * 8
+        kept = []
+        for k, b in enumerate(page):
+            mine = [h for h, (j, _) in zip(hit, words) if j == k]
+            if b.zone == zone and sum(mine) < rule.covered * len(mine):
+                kept.append(b.text)
+        out.append("\n".join(kept or [b.text for b in page if b.zone == zone]))
+    return out
+
+
+def test_extraction_equals_plain_windows_for_any_number_of_chunks(spark):
+    rng = np.random.default_rng(5)
+    words = lambda n, few: " ".join(f"w{k}" for k in rng.integers(0, few, n))
+    notices = [f"<div>{words(14, 10**6)}</div>" for _ in range(6)]
+    rows = []
+    for i in range(300):
+        more = "".join(x for k, x in enumerate(notices) if rng.random() < (0.9, 0.5, 0.2, 0.1, 0.05, 0.01)[k])
+        own = f"<p>{words(20, 9)}</p><p>{words(30, 10**6)}</p>"
+        rows.append((i, f"http://h.example/{i}", f"<article>{own}{more}</article>" if i % 3 == 0 else own + more))
+    rows += [(1000 + k, f"http://h.example/copy{k}", rows[1][2]) for k in range(200)] + [(2000, "http://i.example/", rows[0][2]), (2001, None, None)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
-    small, whole = (sorted(htmltext.extract(frame, chunk_pages=n).collect()) for n in (16, 1000))
-    assert small == whole and len(small) == len(rows)
-    assert {r["id"] for r in small if r["n_repeated"]} == set(range(0, 300, 50))
-    assert {r["n_repeated"] for r in small if r["n_repeated"]} == {13}
-
-
-def test_packed_hashes_come_back():
-    rng = np.random.default_rng(1)
-    for n, base, bits in ((0, 0, 9), (1, 5, 3), (200, 1 << 40, 40), (1000, 7, 10), (1024, 0, 10)):
-        values = np.sort(rng.choice(1 << min(bits, 20), n, replace=False)).astype(np.int64) + base
-        assert (htmltext.unpack_sorted(htmltext.pack_sorted(values, base, bits), base) == values).all()
+    got = [{r["id"]: tuple(r) for r in htmltext.extract(frame, chunk_pages=n).collect()} for n in (5000, 250, 20)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    want = plain_main_text([htmltext.blocks(h) for _, _, h in rows[:300]])
+    assert [got[0][i][2] for i in range(300)] == want
+    without = plain_main_text([htmltext.blocks(h) for _, _, h in rows[:300]], htmltext.Rule(covered=2.0))
+    assert sum(a != b for a, b in zip(want, without)) > 250 and any("<article>" in h and a != b for (_, _, h), a, b in zip(rows, want, without))
+    assert all(got[0][1000 + k][2] == want[1] for k in range(200)) and got[0][2001][2] == ""
+    by_bytes = {r["id"]: tuple(r) for r in htmltext.extract(frame, chunk_bytes=20_000).collect()}
+    assert by_bytes == got[0]
+
+
+def test_page_text_of_the_given_table(spark):
+    """Every page of the table against its article, cut at headings and paragraphs."""
+    rows = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in htmltext.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect():
+        article = re.search(r"<article>(.*)</article>", rows[r["id"]]["html"], re.S)[1]
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x.replace("<b>", "").replace("</b>", ""))).split()) for x in re.split(r"</?(?:h1|p)>", article)]
+        assert r["text"] == "\n".join(x for x in parts if x)
 
 
 def test_passages_that_two_pages_share_stay():
