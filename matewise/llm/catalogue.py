@@ -72,7 +72,7 @@ def op9_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_rotation_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of cosine 0.98 or more among vectors of one label, and their components."""
-    rows, _ = vectorlinks.near_duplicates(table(spark, sf_dir, "embeddings"))
+    rows = vectorlinks.near_duplicates(table(spark, sf_dir, "embeddings"))
     return rows.withColumnRenamed("id", "vec_id")
 
 

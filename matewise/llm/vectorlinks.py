@@ -14,12 +14,15 @@ miss probability of a pair right at the threshold.  A bucket with more than
 ``block_rows`` members is cut into blocks, and pairs of blocks are compared in
 different tasks, so no task holds an unbounded bucket and no pair is dropped.
 
-Exact copies are one class with a count; their links need no pairs.
+Exact copies are one class with a count; their links need no pairs.  A task returns no
+pairs either: it adds up the links of each of its members and tells which of them belong
+together, so what leaves it is linear in its members, however dense they lie.
 
-Edge cases: a null label, or a vector that is null, empty, zero or holds a null or
+Edge cases: a null label or id, or a vector that is null, empty, zero or holds a null or
 non-finite component, links with nothing and is returned; vectors of different lengths
 never link; repeated rows are copies of each other (with equal ids they count each
-other); an empty table gives an empty result; other columns are ignored.
+other), and rows with one id and different vectors are separate vectors; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,10 +102,27 @@ def usable(vector: str) -> F.Column:
     return F.coalesce((F.size(v) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def link_pairs(
+def joined_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n points the smallest point that the edges (a, b) connect it with."""
+    label = np.arange(n)
+    while True:
+        low, last = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(label, last[a], low)
+        np.minimum.at(label, last[b], low)
+        while (label != (label := label[label])).any():
+            pass
+        if (label == last).all():
+            return label
+
+
+def link_counts(
     classes: DataFrame, threshold: float, miss: float = 1e-7, sigmas: float = 5.0, block_rows: int = 1024, seed: int = 0
 ) -> DataFrame:
-    """Pairs (a, b), a < b, of ``classes`` (node, label, dims, vector) with cosine >= threshold."""
+    """What tasks find of the links of ``classes`` (node, label, dims, vector, copies) with cosine >= threshold.
+
+    Rows (node, n, other): n rows of other classes link with ``node``, to be summed over all rows, and
+    ``other``, where not null, is reachable from it.
+    """
     largest = classes.groupBy("label", "dims").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
     bits, bands = band_shape(largest, threshold, miss)
     made: dict[int, Codes] = {}
@@ -144,7 +164,7 @@ def link_pairs(
         .withColumn("block", block)
         .select("node", *bucket, "block", F.explode(meets).alias("meet"))
         .select("node", *bucket, "block", "meet.i", "meet.j")
-        .join(classes.select("node", "vector"), "node")
+        .join(classes.select("node", "vector", "copies"), "node")
         .repartition(*bucket, "i", "j")
         .sortWithinPartitions(*bucket, "i", "j", "node")
     )
@@ -152,7 +172,7 @@ def link_pairs(
 
     def compare(some: pa.Table) -> pa.RecordBatch | None:
         first = {c: some.column(c)[0].as_py() for c in group}
-        c, node, side = codes(first["dims"]), some.column("node").to_numpy(), some.column("block").to_numpy()
+        c, node, side, copies = codes(first["dims"]), *(some.column(x).to_numpy() for x in ("node", "block", "copies"))
         unit = unit_rows(matrix(some.column("vector"), first["dims"]))
         left, right = side == first["i"], side == first["j"]
         signs, factors = c.encode(unit)
@@ -172,16 +192,20 @@ def link_pairs(
             once = (keys[a] == keys[b]).argmax(axis=1) == first["band"]
             a, b = a[once], b[once]
             exact = np.einsum("nd,nd->n", unit[a], unit[b]) >= threshold
-            found.append(np.stack([node[a[exact]], node[b[exact]]]))
-        pairs = np.concatenate(found, axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], ["a", "b"]) if pairs.size else None
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found.append(np.stack([a[exact], b[exact]]))
+        a, b = np.concatenate(found, axis=1)
+        n = np.bincount(a, copies[b], len(node)) + np.bincount(b, copies[a], len(node))
+        linked = np.flatnonzero(n)
+        other = joined_labels(len(node), a, b)[linked]
+        columns = [pa.array(node[linked]), pa.array(n[linked].astype(np.int64)), pa.array(node[other], mask=other == linked)]
+        return pa.RecordBatch.from_arrays(columns, ["node", "n", "other"]) if len(linked) else None
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in by_run(batches, group):
             if (out := compare(some)) is not None:
                 yield out
 
-    return work.select("node", *group, "block", "vector").mapInArrow(linked, "a long, b long")
+    return work.select("node", *group, "block", "vector", "copies").mapInArrow(counted, "node long, n long, other long")
 
 
 def near_duplicates(
@@ -191,34 +215,33 @@ def near_duplicates(
     vector_col: str = "embedding",
     label_col: str = "label",
     **options: float,
-) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, n_links, component_id, kept), and the links between different vectors (a, b).
+) -> DataFrame:
+    """Rows (id, n_links, component_id, kept).
 
-    Compared are only vectors with equal labels that are not null.  A link names each class
-    of exact copies by its smallest id.
+    Compared are only vectors with equal labels that are not null.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.col(label_col).alias("label"))
     rows = rows.withColumn("takes_part", usable("vector") & F.col("label").isNotNull() & F.col("id").isNotNull())
     part = rows.where("takes_part")
-    classes = part.groupBy("label", "vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    classes = stash(classes.withColumn("dims", F.size("vector")), "classes")
-    pairs = stash(link_pairs(classes, threshold, **options), "links")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = (
-        both.join(classes.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    )
+    classes = part.groupBy("label", "vector").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = stash(classes.withColumns({"dims": F.size("vector"), "node": F.monotonically_increasing_id()}), "classes")
+    told = stash(link_counts(classes, threshold, **options), "links")
+    others = told.groupBy("node").agg(F.sum("n").alias("others"))
+    known = components(told.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    named = known.join(classes.select("node", "first"), "node")
+    named = named.join(named.groupBy("component").agg(F.min("first").alias("component_id")), "component").select("node", "component_id")
     nodes = (
-        classes.join(others.withColumnRenamed("a", "node"), "node", "left")
-        .join(components(pairs), "node", "left")
+        classes.join(others, "node", "left")
+        .join(named, "node", "left")
         .select(
             "label",
             "vector",
             (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "node").alias("component_id"),
+            F.coalesce("component_id", "first").alias("component_id"),
         )
     )
     alone = rows.where("NOT takes_part").select(
         "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")
     )
     out = part.join(nodes, ["label", "vector"]).select("id", "n_links", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))), pairs
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))

@@ -121,14 +121,41 @@ def test_vector_links_equal_all_pairs(spark):
     linked = [(a[0], b[0]) for a in ok for b in ok if a[0] < b[0] and a[2] == b[2] and len(a[1]) == len(b[1]) and cosine(a[1], b[1]) >= 0.98]
     want = roots([r[0] for r in rows], linked)
     frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, n_links string")
-    found, _ = vectorlinks.near_duplicates(frame, block_rows=16)
-    got = {r["id"]: r for r in found.collect()}
+    got = {r["id"]: r for r in vectorlinks.near_duplicates(frame, block_rows=16).collect()}
     assert len(got) == len(rows) and linked
     for i in want:
         assert got[i]["n_links"] == sum(i in p for p in linked), i
         assert (got[i]["component_id"], got[i]["kept"]) == (want[i], want[i] == i)
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
-    assert vectorlinks.near_duplicates(empty)[0].count() == 0
+    assert vectorlinks.near_duplicates(empty).count() == 0
+
+
+def test_vector_links_where_ids_repeat(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(1, a, 0), (1, b, 0), (2, near(a), 0), (3, near(b), 0), (None, a, 0), (4, a, None), (5, [0.5, None, 0.1], 0)]
+    got = vectorlinks.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    key = lambda r: (r["id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"])
+    assert sorted(map(key, got)) == [(0, 0, 0, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True), (5, 0, 5, True)]
+
+
+def test_dense_vectors_give_no_rows_per_pair(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in 1 + rng.standard_normal(16) * 0.01], 0) for i in range(200)]
+    frame = spark.createDataFrame(rows, "node long, vector array<double>, label int").withColumns({"dims": F.lit(16), "copies": F.lit(1).cast("long")})
+    told = vectorlinks.link_counts(frame, 0.98, block_rows=64)
+    assert told.groupBy("node").agg(F.sum("n").alias("n")).where("n = 199").count() == 200
+    assert told.count() < 200 * 60  # a row per member and group of work
+
+
+def test_joined_labels():
+    rng = np.random.default_rng(2)
+    for n, k in ((1, 0), (50, 10), (50, 40), (300, 299)):
+        a, b = rng.integers(0, n, k), rng.integers(0, n, k)
+        want = roots(range(n), list(zip(a.tolist(), b.tolist())))
+        assert vectorlinks.joined_labels(n, a, b).tolist() == [want[i] for i in range(n)]
+    chain = np.arange(999)
+    assert not vectorlinks.joined_labels(1000, chain, chain + 1).any()
 
 
 def test_rotation_codes_estimate_within_their_bounds():
