@@ -31,14 +31,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group; documents without an id stay."""
+    """Keep one document of each group, one with the smallest id.
+
+    Rows are told apart by id and text, so one id may stand for several different documents,
+    and rows that are equal in both are one.  Documents without an id stay.
+    """
     found = stash(neardup.near_duplicates(docs), "groups")
-    gone = found.where("NOT kept").select(F.col("id").alias("__gone")).distinct()
-    named = docs.where("doc_id IS NOT NULL")
-    kept = named.join(gone, named["doc_id"] == gone["__gone"], "left_anti")
-    if found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    gone = found.where("NOT sole").select(F.col("id").alias("__gone"), F.col("place").alias("__gone_place")).distinct()
+    named = docs.where("doc_id IS NOT NULL").withColumn("__place", F.xxhash64("text"))
+    kept = named.join(gone, (named["doc_id"] == gone["__gone"]) & (named["__place"] == gone["__gone_place"]), "left_anti")
+    if found.where("id IS NOT NULL").groupBy("id", "place").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "__place"])
+    return kept.drop("__place").unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

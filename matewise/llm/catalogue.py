@@ -23,7 +23,8 @@ def op1_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a similarity of 0.75 or more."""
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    rows = neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("place", "sole")
+    return rows.withColumnRenamed("id", "doc_id")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,9 @@ compared, in blocks of bounded size and without emitting pairs that the estimate
 out.  No bucket is capped and no pair dropped.
 
 Edge cases: null and empty texts have an empty set, link with nothing and are their own
-component; equal sets are one class; a null id is returned as its own component; rows
-that repeat an id are one document; an empty table gives an empty result; other columns
+component; equal sets are one class; a null id links with nothing and is returned as its own
+component; rows that repeat an id are separate documents, each with the component of its own
+text; ids are of any type with an order; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -152,62 +153,53 @@ def unpack(column: pa.Array, dtype: str) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, sketch: SetSketch, words: int, batch_elements: int = 300_000) -> DataFrame:
-    """(id, n, print, registers) of every row of ``docs`` (id, text)."""
+    """(id, place, n, print, registers) of every row of ``docs`` (id, place, text)."""
     id_type = docs.schema["id"].dataType.simpleString()
+    names = ["id", "place", "n", "print", "registers"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets, held, first = batch.column(0), [], 0, 0
+            sets, held, first = [], 0, 0
 
             def done(upto: int) -> pa.RecordBatch:
                 regs = sketch.registers(sets)
                 prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                columns = [ids.slice(first, upto - first), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary())]
-                return pa.RecordBatch.from_arrays([*columns, pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "n", "print", "registers"])
+                columns = [batch.column(k).slice(first, upto - first) for k in range(2)]
+                columns += [pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary())]
+                return pa.RecordBatch.from_arrays([*columns, pa.array([r.tobytes() for r in regs], pa.binary())], names)
 
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column(2)):
                 sets.append(shingles(text.as_py(), words))
                 held += len(sets[-1])
                 if held > batch_elements:
                     yield done(i + 1)
                     sets, held, first = [], 0, i + 1
             if sets:
-                yield done(len(ids))
+                yield done(len(batch))
 
-    return docs.select("id", "text").mapInArrow(make, f"id {id_type}, n long, print binary, registers binary")
+    return docs.select("id", "place", "text").mapInArrow(make, f"id {id_type}, place long, n long, print binary, registers binary")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 23) -> DataFrame:
-    """(node, set) for the ids in ``wanted`` (node), from their whole texts.
+    """(node, set) for ``wanted`` (node, place), from the whole texts of ``docs`` (place, text).
 
-    A bit map of fixed size, built by aggregation, first drops the documents that are
-    surely not wanted, so their texts are neither cut nor shuffled; the join decides.
+    A bit map of fixed size, built by aggregation and broadcast, first drops the documents that
+    are surely not wanted, so their texts reach neither Python nor a shuffle; the join decides.
     """
-    spark = docs.sparkSession
-    place = F.pmod(F.xxhash64("node"), F.lit(1 << bits))
-    words64 = (
-        wanted.select(F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("bit"))
-        .groupBy("at")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toArrow()
-    )
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[words64.column(0).to_numpy()] = words64.column(1).to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(table)
+    spot = F.pmod("place", F.lit(1 << bits))
+    at, bit = F.shiftright(spot, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int")).alias("bit")
+    marks = wanted.select(at, bit).groupBy("at").agg(F.bit_or("bit").alias("bits"))  # 2 ** (bits - 6) rows at most
+    some = docs.select("place", "text", at, bit).join(F.broadcast(marks), "at").where(F.col("bit").bitwiseAND(F.col("bits")) != 0)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            hit = (marks[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-            some = batch.filter(pa.array(hit))
-            for k in range(0, len(some), 500):
-                part = some.slice(k, 500)
+            for k in range(0, len(batch), 500):
+                part = batch.slice(k, 500)
                 sets = [shingles(t.as_py(), words).tobytes() for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["place", "set"])
 
-    rows = docs.where("id IS NOT NULL").select(F.col("id").alias("node"), "text").withColumn("at", place)
-    return rows.mapInArrow(make, "node long, set binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    made = some.select("place", "text").mapInArrow(make, "place long, set binary")
+    return made.join(wanted, "place").select("node", "set").dropDuplicates(["node"])
 
 
 def near_duplicates(
@@ -219,17 +211,21 @@ def near_duplicates(
     text_col: str = "text",
     block_rows: int = 1024,
 ) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept."""
+    """One row per document: id, n_shingles, component_id, kept, place (a hash of the text) and sole.
+
+    ``sole`` holds for one id and text of each component, one with the component's id.
+    """
     sketch = sketch or SetSketch()
     limit = Threshold(percent, sketch)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # equal texts share a place, so one document of a class stands for all at its place
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("place"), F.col(text_col).alias("text"))
     drawn = stash(sketches(docs, sketch, words), "sketches")
-    grouped = drawn.where("n > 0 AND id IS NOT NULL").groupBy("print", "n").agg(F.min("id").alias("node"))
-    prints = drawn.where("n > 0 AND id IS NOT NULL").select("id", "n", "print", "registers")
-    nodes = stash(
-        prints.join(grouped.select("print", "node"), "print").where("id = node").dropDuplicates(["node", "print"]).select("node", "n", "registers"),
-        "nodes",
+    usable = (F.col("n") > 0) & F.col("id").isNotNull()
+    grouped = drawn.where(usable).groupBy("print").agg(
+        F.min(F.struct("id", "place")).alias("first"), F.any_value("n").alias("n"), F.any_value("registers").alias("registers")
     )
+    nodes = grouped.select("print", "first", "first.place", "n", "registers", F.monotonically_increasing_id().alias("node"))
+    nodes = stash(nodes, "nodes")
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,10 +254,13 @@ def near_duplicates(
 
         return joined.mapInArrow(estimate, "a long, b long")
 
+    def placed(wanted: DataFrame) -> DataFrame:
+        return stash(wanted.distinct().join(nodes.select("node", "place"), "node"), "wanted")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs that hold on their full sets."""
         pairs = stash(pairs, "pairs")
-        wanted = stash(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+        wanted = placed(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
         sets = stash(full_sets(docs, wanted, words), "sets")
         joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s_a")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("set").alias("s_b")), "b"
@@ -298,20 +297,25 @@ def near_duplicates(
     discard(rest)
     # 3. what is left: sets of different components that share a bucket
     rest = labelled(links)
-    crossing, read = cross_pairs(rest, nodes, docs, words, sketch, limit, block_rows)
+    wanted = placed(rest.select("node"))
+    crossing, read = cross_pairs(rest, nodes, full_sets(docs, wanted, words), sketch, limit, block_rows)
     links = links.unionByName(verified(crossing.distinct()))
-    known = components(links).select("node", "component")
-    discard(rest, members, nodes, *read)
-    named = grouped.join(known, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    out = drawn.select("id", "n", "print").join(named, "print", "left")
-    own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn(
-        "kept", F.col("id").eqNullSafe(F.col("component_id"))
+    known = components(links)
+    discard(rest, members, wanted, *read)
+    named = nodes.select("print", "node", "first").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
+    named = stash(named.join(smallest, "component").select("print", "smallest"), "named")
+    discard(nodes)
+    out = drawn.select("id", "place", "n", "print").join(named, "print", "left")
+    own = F.when(usable, F.col("smallest.id")).otherwise(F.col("id"))
+    sole = ~usable | ((F.col("id") == F.col("smallest.id")) & (F.col("place") == F.col("smallest.place")))
+    return out.select("id", F.col("n").alias("n_shingles"), own.alias("component_id"), "place", sole.alias("sole")).select(
+        "id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "place", "sole"
     )
 
 
 def cross_pairs(
-    rows: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, sketch: SetSketch, limit: Threshold, block_rows: int
+    rows: DataFrame, nodes: DataFrame, sets: DataFrame, sketch: SetSketch, limit: Threshold, block_rows: int
 ) -> tuple[DataFrame, list[DataFrame]]:
     """Pairs of one bucket (key) in different components (comp) that hold on 32-bit sets, give or take a percent.
 
@@ -325,15 +329,13 @@ def cross_pairs(
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))
     )
-    wanted = stash(rows.select("node").distinct(), "wanted")
-    sets = full_sets(docs, wanted, words)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             small = [np.unique(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint32)).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], ["node", "set"])
 
-    known = stash(nodes.join(sets.mapInArrow(narrow, "node long, set binary"), "node"), "open-sets")
+    known = stash(nodes.select("node", "n", "registers").join(sets.mapInArrow(narrow, "node long, set binary"), "node"), "open-sets")
     work = (
         rows.withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -390,4 +392,4 @@ def cross_pairs(
         for some in by_run(batches, ["key", "i", "j"]):
             yield compare(some)
 
-    return work.mapInArrow(run, "a long, b long"), [wanted, known]
+    return work.mapInArrow(run, "a long, b long"), [known]

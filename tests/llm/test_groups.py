@@ -77,6 +77,15 @@ def test_near_duplicates_edge_rows(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_where_ids_repeat_or_are_no_numbers(spark):
+    one, two, far = "a b c d e f g h", "p q r s t u v w", "k l m n o p"
+    rows = [("x", one), ("x", two), ("y", one + " "), ("a", two), ("x", far), ("x", far), ("z", None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    want = [("x", 4, "x"), ("x", 4, "a"), ("y", 4, "x"), ("a", 4, "a"), ("x", 2, "x"), ("x", 2, "x"), ("z", 0, "z")]
+    assert sorted((r["id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
+    assert all(r["kept"] == (r["id"] == r["component_id"]) for r in got)
+
+
 def test_sketches_merge_and_estimate():
     sketch, rng = neardup.SetSketch(), np.random.default_rng(0)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)

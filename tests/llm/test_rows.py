@@ -276,6 +276,15 @@ def test_page_text_of_the_given_table(spark):
         assert r["text"] == "\n".join(x for x in parts if x)
 
 
+def test_pipeline_keeps_one_of_each_group_where_ids_repeat(spark):
+    one, two, far = "a b c d e f g h", "p q r s t u v w", "k l m n o p"
+    rows = [(1, one), (1, two), (2, one + " "), (0, two), (3, far), (3, far), (4, far), (5, None), (5, ""), (None, far)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    want = [(1, one), (0, two), (3, far), (5, None), (5, ""), (None, far)]
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(want) and kept[0].__fields__ == docs.columns
+
+
 def test_passages_that_two_pages_share_stay():
     words = lambda name: " ".join(f"{name}{k}" for k in range(20))
     article, quote, menu = f"<p>{words('a')}</p><p>{words('b')}</p>", words("q"), f"<div>{words('menu')}</div>"
