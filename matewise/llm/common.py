@@ -7,7 +7,10 @@ operators which must stay native can call it.
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,12 +24,14 @@ _STASHED: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, a laptop) the warehouse folder is used instead.
+    The cluster names it in ``spark.checkpoint.dir``.  Only on one machine (tests, a laptop)
+    the warehouse folder is used where that is unset.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_matewise"
 
 
@@ -34,8 +39,8 @@ def stash(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs a re-read and no re-computation,
-    and later readers prune columns.  The files go when the driver ends, or with
-    :func:`drop_stashes`.
+    and later readers prune columns.  The files go when the driver ends, at the end of
+    the :func:`scratch` they were made in, or with :func:`drop_stashes`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -54,6 +59,18 @@ def discard(*frames: DataFrame) -> None:
             _delete(*item)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is stashed inside goes at the end, so results must be written by then."""
+    mine = set(_STASHED)
+    try:
+        yield
+    finally:
+        for item in [x for x in _STASHED if x not in mine]:
+            _STASHED.remove(item)
+            _delete(*item)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -81,6 +98,20 @@ def uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
+def running_sum(rows: DataFrame, keys: list[str], at: str, value: str, out: str, width: int = 4096) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows of the same ``keys`` with a smaller ``at`` (unique within keys).
+
+    Only rows of one key and block of ``width`` places are sorted together, and the sums of blocks.
+    Keys must not be null; ``rows`` is read twice.
+    """
+    block, base = "__block", "__block_base"
+    placed = rows.withColumn(block, F.floor(F.col(at) / width))
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy(*keys, block).agg(F.sum(value).alias("__sum")).select(*keys, block, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias(base))
+    within = Window.partitionBy(*keys, block).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.join(bases, [*keys, block]).withColumn(out, F.col(base) + F.coalesce(F.sum(value).over(within), F.lit(0))).drop(block, base)
+
+
 def running_offsets(
     rows: DataFrame,
     group: str,
@@ -93,21 +124,17 @@ def running_offsets(
 
     The order is that of ``order`` after a hash, so it is pseudorandom but fixed.
     Rows are cut by hash into chunks of about ``rows_per_chunk`` rows over all groups;
-    the chunks of a group are numbered by a running sum over one row per chunk, and
-    only rows of one group and chunk are ever sorted together: a group that holds a
-    third of all rows spreads over many tasks.  ``group`` must not be null; ``rows`` is
-    read three times, so stash what is dear to compute.
+    the chunks of a group are summed up in two levels, and only rows of one group and chunk
+    are ever sorted together: a group that holds a third of all rows spreads over many
+    tasks.  ``group`` must not be null; ``rows`` is read three times, so stash what is
+    dear to compute.
     """
     h, chunk, base = "__h", "__chunk", "__base"
     amount = F.lit(1).cast("long") if value is None else F.col(value).cast("long")
     chunks = max(1, -(-rows.count() // rows_per_chunk))
     placed = rows.withColumn(h, F.xxhash64(*[F.col(c) for c in order])).withColumn(chunk, F.pmod(F.col(h), F.lit(chunks)))
-    before = Window.partitionBy(group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        placed.groupBy(group, chunk)
-        .agg(F.sum(amount).alias("__total"))
-        .select(group, chunk, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias(base))
-    )
+    totals = placed.groupBy(group, chunk).agg(F.sum(amount).alias("__total"))
+    bases = running_sum(totals, [group], chunk, "__total", base).drop("__total")
     within = Window.partitionBy(group, chunk).orderBy(h, *order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         placed.join(bases, [group, chunk])

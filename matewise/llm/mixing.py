@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, running_offsets, stash, uniform
+from .common import WORD, running_offsets, running_sum, stash, uniform
 
 #: Rounds of the swap-or-not shuffle.
 ROUNDS = 12
@@ -89,11 +89,11 @@ def multinomial_counts(plan: DataFrame, shard_slots: int, seed: int) -> DataFram
         .groupBy("rank", "shard")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).join(plan.select("rank", "slots"), "rank")
+    numbered = running_sum(stash(drawn, "drawn"), ["rank"], "shard", "n", "first").join(plan.select("rank", "slots"), "rank")
     held = numbered.withColumn("held", F.greatest(F.lit(0), F.least(F.col("n"), F.col("slots") - F.col("first"))))
     held = stash(held, "draws")
     over = held.where(F.col("n") > F.col("held"))
+    # few rows: a source's draws pass its quota by some standard deviations, in its last shards
     running = Window.orderBy("shard", "rank").rowsBetween(Window.unboundedPreceding, -1)
     over = over.withColumn("more", F.col("n") - F.col("held")).withColumn("base", F.coalesce(F.sum("more").over(running), F.lit(0)))
     zero = F.lit(0).cast("long")
@@ -163,13 +163,14 @@ def mix(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix of all documents, as three tables.
 
-    ``rows``: doc_id, source, size, rank, at (place in its source's stream), source_size,
-    target.  ``slots``: rank, block, shard, slot, turn, take.  ``pieces``: the join of blocks
+    ``rows``: row (a number), doc_id, source, size, text_hash, rank, at (place in its source's
+    stream), source_size, target.  ``slots``: rank, block, shard, slot, turn, take.  ``pieces``: the join of blocks
     and slots: doc columns, shard, slot, turn, and the words ``from`` .. ``upto`` - 1 of the block.
     """
     if not share < most or most > 2:
         raise ValueError("share must be below most, and most at most 2")
     sized = docs.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -192,11 +193,12 @@ def mix(
 
 
 def taken_words(rows: DataFrame, pieces: DataFrame) -> DataFrame:
-    """One row per document of ``rows``: with taken and n_shards (output shards it lands in)."""
-    key = ["doc_id", "source", "size", "rank", "at", "source_size", "target"]
-    none = [F.lit(0).cast("long").alias(c) for c in ("taken", "n_slots")]
-    got = pieces.select(*key, (F.col("upto") - F.col("from")).alias("taken"), F.lit(1).cast("long").alias("n_slots"))
-    return rows.select(*key, *none).unionByName(got).groupBy(*key).agg(F.sum("taken").alias("taken"), F.sum("n_slots").alias("n_slots"))
+    """One row per document of ``rows``: with taken and n_slots (slots it has words in)."""
+    got = pieces.groupBy("row").agg(F.sum(F.col("upto") - F.col("from")).alias("got"), F.count(F.lit(1)).alias("slots"))
+    zero = F.lit(0).cast("long")
+    return rows.join(got, "row", "left").select(
+        "row", "doc_id", "source", "size", "rank", "at", "source_size", "target", F.coalesce("got", zero).alias("taken"), F.coalesce("slots", zero).alias("n_slots")
+    )
 
 
 def mixed_documents(
@@ -211,7 +213,8 @@ def mixed_documents(
     """The mix as documents: one row per document and pass, its text being the words that pass takes.
 
     A pass that takes a whole document keeps its text as it is; else the taken runs of words
-    are joined by spaces, in order.  The other columns of ``docs`` are kept.
+    are joined by spaces, in order.  The other columns of ``docs`` are kept; rows that are equal
+    in id, source and text get the spans of all of them from one.
     """
     start = F.col("block") * block_words + F.col("from") - F.col("at")
     spans = pieces.groupBy("doc_id", "source", "text_hash", "rank", "at", "size", "turn").agg(

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_offsets, uniform
+from .common import running_offsets, stash, uniform
 
 
 @dataclass(frozen=True)
@@ -102,4 +102,4 @@ def shard_rows(
     )
     rows = descend(rows, F.col("id"), tree)
     rows = descend(rows, F.col("id"), tree.grown(), "grown_")
-    return running_offsets(rows, "shard", ["id", "text_crc32", "size"], None, "slot")
+    return running_offsets(stash(rows, "places"), "shard", ["id", "text_crc32", "size"], None, "slot")

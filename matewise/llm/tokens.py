@@ -123,10 +123,10 @@ def count_tokens(
 ) -> DataFrame:
     """One row per document: id, n_bytes, n_tokens, n_pre_tokens.
 
-    Pre-tokens that make up at least one in ``frequent`` of all occurrences, so at most
-    ``frequent`` of them, are summed from a broadcast table of at most 64-character
-    strings.  Every other goes through a shuffle join on the pre-token, where no key can
-    be hot.
+    Pre-tokens that make up at least one in ``frequent`` of all occurrences, or for each 64
+    characters that many, are summed from a broadcast table: at most ``frequent`` strings of
+    ``64 * frequent`` characters together.  Every other goes through a shuffle join on the
+    pre-token, where no key can be hot.
     Null and empty texts count 0; repeated rows are counted each; a null id is kept;
     extra columns are ignored.
     """
@@ -163,7 +163,7 @@ def count_tokens(
     vocabulary = rows.select("text").mapInArrow(frequencies, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     vocabulary = stash(vocabulary.mapInArrow(encode, "piece string, n long, tokens long"), "pieces")
     total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    is_frequent = (F.col("n") * F.lit(frequent) >= F.lit(total)) & (F.length("piece") <= 64)
+    is_frequent = F.col("n") * F.lit(float(frequent)) >= F.greatest(F.lit(1.0), F.length("piece") / 64) * F.lit(total)
     top = vocabulary.where(is_frequent).select("piece", "tokens").toArrow().combine_chunks()
     pieces, tokens = (top.column(i).combine_chunks() for i in range(2))
     known = spark.sparkContext.broadcast((pieces, tokens.to_numpy()))

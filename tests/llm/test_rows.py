@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matewise.llm import htmltext, langid, mixing, quotes, sharding
+from matewise.llm import common, htmltext, langid, mixing, quotes, sharding
 
 SF = "/root/testdata/sf0.001"
 
@@ -107,6 +107,34 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0))[2].count() == 0
 
 
+def test_mix_returns_equal_rows_without_words(spark):
+    rows = [(5, None, "a"), (5, None, "a"), (6, "", "a"), (6, "", "a"), (None, " ", None), (None, " ", None), (7, "x y", "a"), (8, "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept, _, pieces = mixing.mix(docs)
+    got = mixing.taken_words(kept, pieces).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter((i, s, len((t or "").split())) for i, t, s in rows)
+    assert sum(r["taken"] for r in got) == 4 and all(r["taken"] <= 2 * r["size"] for r in got)
+    empty = mixing.mix(docs.where("doc_id < 7 AND doc_id > 4"))
+    assert mixing.taken_words(empty[0], empty[2]).where("taken = 0 AND target = 0").count() == 4
+
+
+def test_running_sum(spark):
+    rows = [(g, i, i % 7) for g in range(3) for i in range(0, 500, g + 1)]
+    frame = spark.createDataFrame(rows, "g int, at long, v long")
+    for r in common.running_sum(frame, ["g"], "at", "v", "before", width=16).collect():
+        assert r["before"] == sum(v for g, at, v in rows if g == r["g"] and at < r["at"])
+
+
+def test_scratch_deletes_what_was_stashed_inside(spark):
+    kept = common.stash(spark.range(3))
+    with common.scratch():
+        inside = common.stash(spark.range(4))
+        assert inside.count() == 4
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(inside._stashed_at).count()
+
+
 def test_every_pass_is_a_permutation(spark):
     for n in (1, 2, 7, 100, 1001):
         x = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3)).alias("y")).collect()
