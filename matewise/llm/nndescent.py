@@ -5,11 +5,12 @@ in each iteration a node's sampled new and old neighbours, in both directions, a
 joined to their vectors, compared with each other, and any that beat a member's worst
 neighbour are proposed to it.  Neighbours of neighbours are thus found by joins alone.
 
-A query starts from a fixed sample of seed nodes and repeatedly expands its best
-unexpanded nodes.  Requests travel to the node's row, which carries its neighbours'
-codes; only candidates that beat the query's bound travel back.  The search ends when
-nothing within the beam is unexpanded.  What it found is scored again on the original
-vectors in double precision.
+A query starts from a fixed sample of seed nodes and their neighbours, which are broadcast
+(``seeds`` rows of at most twice ``neighbours`` codes), so no node is asked by every query.
+It then repeatedly expands its best unexpanded nodes.  Requests travel to the node's row,
+which carries its neighbours' codes; only candidates that beat the query's bound travel back.
+The search ends when nothing within the beam is unexpanded; finished queries are set aside.
+What was found is scored again on the original vectors in double precision.
 
 Graph and search are over distinct directions: rows whose unit vectors are equal are one
 class, which keeps its k + 1 smallest ids.  Classes are expanded after the exact scoring, so
@@ -196,8 +197,8 @@ def _beams(rows: list[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]) ->
     )
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dims: int, shape: Shape) -> DataFrame:
-    """(q, node, sim): the beam of every query of ``queries`` (q, code).
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dims: int, shape: Shape, keep: int) -> DataFrame:
+    """(q, node, sim): the ``keep`` best of the beam of every query of ``queries`` (q, code).
 
     A beam is one row per query, best first.  A round sends its best unexpanded nodes as
     requests to the nodes' rows (one shuffle) and takes what they answer back into the
@@ -215,18 +216,27 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dims: int, sh
         .select("node", F.col("near.nbr").alias("nbrs"), F.col("near.code").alias("codes"))
     )
     rows = stash(rows, "adjacency").repartition("node").persist(StorageLevel.MEMORY_AND_DISK)
-    start = nodes.orderBy(F.xxhash64(F.lit("seed"), "node"), "node").limit(shape.seeds).select("node", "code").toArrow()
-    shared = spark.sparkContext.broadcast((start.column(0).to_numpy(), read_codes(start.column(1), dims)))
+    seeds = nodes.orderBy(F.xxhash64(F.lit("seed"), "node"), "node").limit(shape.seeds).select("node", "code")
+    around = rows.join(F.broadcast(seeds.select("node")), "node").select(F.explode(F.arrays_zip("nbrs", "codes")).alias("x"))
+    start = seeds.select("node", "code", F.lit(True).alias("seed")).unionByName(
+        around.select(F.col("x.nbrs").alias("node"), F.col("x.codes").alias("code"), F.lit(False).alias("seed"))
+    )
+    start = start.groupBy("node").agg(F.any_value("code").alias("code"), F.max("seed").alias("seed")).toArrow()
+    shared = spark.sparkContext.broadcast(
+        (start.column(0).to_numpy(), read_codes(start.column(1), dims), start.column(2).to_numpy())
+    )
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit = shared.value
+        ids, unit, expanded = shared.value
+        expanded = expanded.astype(bool)
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                some = batch.slice(at, 1024)
+            for at in range(0, len(batch), 256):
+                some = batch.slice(at, 256)
                 out = []
                 for q, code, sims in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), read_codes(some.column(1), dims) @ unit.T):
-                    order = np.lexsort((ids, -sims))[: shape.beam]
-                    out.append((q, code, ids[order], sims[order], np.zeros(len(order), bool)))
+                    near = np.argpartition(-sims, shape.beam)[: shape.beam] if len(sims) > shape.beam else np.arange(len(sims))
+                    order = near[np.lexsort((ids[near], -sims[near]))]
+                    out.append((q, code, ids[order], sims[order], expanded[order]))
                 yield _beams(out)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,15 +292,23 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dims: int, sh
         if out:
             yield _beams(out)
 
+    def finished(beams: DataFrame) -> DataFrame:
+        best_of = [F.slice(c, 1, keep).alias(c) for c in ("ids", "sims")]
+        return stash(beams.where("open = 0").select("q", *best_of), "found")
+
     state = stash(queries.select("q", "code").mapInArrow(begin, BEAM), "beam")
+    found = finished(state)
     while state.where("open > 0").limit(1).count():
-        asked = state.where("open > 0").mapInArrow(ask, "q long, code binary, bound float, node long")
+        going = state.where("open > 0")
+        asked = going.mapInArrow(ask, "q long, code binary, bound float, node long")
         answers = asked.join(rows, "node").select("q", "code", "bound", "nbrs", "codes").mapInArrow(answer, BEAM)
-        merged = state.unionByName(answers).repartition("q").sortWithinPartitions("q", "kind")
+        merged = going.unionByName(answers).repartition("q").sortWithinPartitions("q", "kind")
         last, state = state, stash(merged.mapInArrow(take_back, BEAM), "beam")
+        found = found.unionByName(finished(state))
         discard(last)
     rows.unpersist()
-    return state.select("q", F.explode(F.arrays_zip("ids", "sims")).alias("x")).select("q", F.col("x.ids").alias("node"), F.col("x.sims").alias("sim"))
+    discard(state)
+    return found.select("q", F.explode(F.arrays_zip("ids", "sims")).alias("x")).select("q", F.col("x.ids").alias("node"), F.col("x.sims").alias("sim"))
 
 
 def nearest(
@@ -339,8 +357,8 @@ def classes(rows: DataFrame, dims: int, k: int) -> tuple[DataFrame, DataFrame]:
 def _nearest(rows: DataFrame, dims: int, k: int, shape: Shape) -> DataFrame:
     nodes, coded = classes(rows, dims, k)
     queries = nodes.where("asked").select(F.col("node").alias("q"), "code")
-    beam = search(queries, build(nodes, nodes.count(), dims, shape), nodes, dims, shape).where("q <> node")
-    beam = best(beam, "q", max(shape.recheck, 4 * k), F.desc("sim"), F.asc("node")).select("q", "node")
+    keep = max(shape.recheck, 4 * k) + 1  # the query itself may be among them
+    beam = search(queries, build(nodes, nodes.count(), dims, shape), nodes, dims, shape, keep).where("q <> node").select("q", "node")
     beam = beam.unionByName(queries.select("q", F.col("q").alias("node")))  # the query's own copies
     pairs = (
         beam.join(nodes.select("node", F.col("vector").alias("v"), "members"), "node")

@@ -192,6 +192,9 @@ def test_neighbours_are_found(spark):
         hits += len({i for _, i in best} & {i for i, _ in got[q[0]]})
         total += 5
     assert hits / total >= 0.9
+    clashing = frame.withColumns({"rank": F.lit("x"), "score": F.lit("y"), "node": F.lit(None)})
+    again = nndescent.nearest(clashing.repartition(3), F.col("vec_id") % 10 == 0, 5, shape).select("query_id", "rank", "vec_id", "score")
+    assert again.count() == sum(map(len, got.values()))
     few = nndescent.nearest(frame.where("vec_id >= 207"), F.lit(True), 5).collect()
     assert {(r["query_id"], r["vec_id"]) for r in few} == {(207, 208), (208, 207)}
     assert nndescent.nearest(frame.limit(0), F.lit(True), 5).count() == 0
