@@ -1,9 +1,9 @@
 """Language ID by language-bitmask n-gram filters.
 
-The filters of all languages share one table of bit slices: ``slices[p]`` holds bit p
-of every language's Bloom filter side by side.  An n-gram reads the slices at its hash
-positions and ANDs them, which gives the set of all languages that contain it in one
-step.  A text's n-grams add up to one popcount per language; each is corrected for
+The filters of all languages share one table of bit slices: ``slices[:, p]`` holds bit p
+of every language's Bloom filter side by side, 64 languages to a word.  An n-gram reads the
+slices at its hash positions and ANDs them, which gives the set of all languages that contain
+it in one step.  A text's n-grams add up to one popcount per language; each is corrected for
 that filter's false-positive rate, and the largest decides.
 
 A language's filter holds the n-grams that make up at least ``least_share`` of its
@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import discard, stash
+
 UNKNOWN = "und"
 BLOCK = 1 << 20
 SIZES = (2, 3, 4)
@@ -92,15 +94,17 @@ class LanguageFilters:
             if not len(h):
                 continue
             at = positions(h, self.bits)
-            mask = self.slices[at[0]]
-            for p in at[1:]:
-                mask &= self.slices[p]
-            if len(self.languages) <= 16:
-                seen = np.bincount(mask.astype(np.int64), minlength=1 << len(self.languages))
-                which = np.arange(len(seen))
-                hits += [seen[(which >> i) & 1 == 1].sum() for i in range(len(self.languages))]
-            else:
-                hits += [np.count_nonzero(mask & np.uint64(1 << i)) for i in range(len(self.languages))]
+            for k, slices in enumerate(self.slices):
+                mask, some = slices[at[0]], len(self.languages[64 * k : 64 * k + 64])
+                for p in at[1:]:
+                    mask &= slices[p]
+                if some <= 16:
+                    seen = np.bincount(mask.astype(np.int64), minlength=1 << some)
+                    which = np.arange(len(seen))
+                    found = [seen[(which >> i) & 1 == 1].sum() for i in range(some)]
+                else:
+                    found = [np.count_nonzero(mask & np.uint64(1 << i)) for i in range(some)]
+                hits[64 * k : 64 * k + some] += found
         return np.maximum(hits - n * self.false_rate, 0) / (1 - self.false_rate), n
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -122,20 +126,21 @@ def fit(
     bits: int = 20,
     least_share: float = 1e-5,
     near: float = 0.3,
+    most_languages: int = 1024,
 ) -> LanguageFilters:
     """Learn the filters from about ``most_rows`` labelled rows, those with the smallest hashes of id and text.
 
     Each language has an equal part of the sample, and is taken whole where it has fewer rows.
     The sample bound is the only one; every row counts towards what fraction of its language it is.
-    Counting is distributed; the driver receives at most ``2 ** bits`` slices.
+    Counting is distributed; the driver receives at most ``2 ** bits`` slices for each 64 languages.
+    Where labels name more than ``most_languages`` languages, those with most rows are learned.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    per = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
+    per = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    per = sorted(per.orderBy(F.desc("n"), "lang").limit(most_languages).collect())
     languages = tuple(r["lang"] for r in per)
-    if len(languages) > 64:
-        raise ValueError("a slice holds 64 languages")
     if not languages:
-        return LanguageFilters((), np.zeros(1 << bits, np.uint64), bits, np.zeros(0))
+        return LanguageFilters((), np.zeros((0, 1 << bits), np.uint64), bits, np.zeros(0))
     each = most_rows / len(languages)
     keep = F.create_map(*[x for r in per for x in (F.lit(r["lang"]), F.lit(int((1 << 40) * min(1.0, each / r["n"]))).cast("long"))])
     sample = rows.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col), F.col(text_col)), F.lit(1 << 40)) < keep[F.col(lang_col)])
@@ -168,31 +173,30 @@ def fit(
         .groupBy("gram", "lang")
         .agg(F.sum("n").alias("n"))
     )
+    counted = stash(counted, "grams")
     sums = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     bit = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
     all_n = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(float(sums.get(name, 1))))])
     shares = counted.select("gram", bit[F.col("lang")].alias("bit"), (F.col("n") / all_n[F.col("lang")]).alias("share"))
     per_gram = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("bit", "share")).alias("in"))
-    held = per_gram.select(
-        "gram",
-        F.aggregate(
-            F.filter("in", lambda x: (x["share"] >= least_share) & (x["share"] >= F.col("top") * near)),
-            F.lit(0).cast("long"),
-            lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["bit"])),
-        ).alias("mask"),
-    ).where("mask <> 0")
-    sizes = held.agg(*[F.coalesce(F.sum(F.getbit("mask", F.lit(i)).cast("long")), F.lit(0)).alias(f"l{i}") for i in range(len(languages))]).first()
+    kept = F.filter("in", lambda x: (x["share"] >= least_share) & (x["share"] >= F.col("top") * near))
+    held = stash(per_gram.select("gram", F.explode(kept).alias("x")).select("gram", "x.bit"), "held")
+    full = np.zeros(len(languages))
+    for r in held.groupBy("bit").count().collect():
+        full[r["bit"]] = r["count"]
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))
+    masks = held.groupBy("gram", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(one).alias("mask"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            at = np.concatenate(positions(h, bits))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(batch.column(1).to_numpy(), HASHES))], ["at", "mask"])
-
-    set_bits = held.mapInArrow(spread, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
-    slices = np.zeros(1 << bits, dtype=np.uint64)
-    slices[set_bits.column(0).to_numpy()] = set_bits.column(1).to_numpy().view(np.uint64)
-    full = np.array([sizes[i] for i in range(len(languages))], dtype=float)
+            at = np.concatenate(positions(batch.column(0).to_numpy().view(np.uint64), bits))
+            rest = [pa.array(np.tile(batch.column(k).to_numpy(), HASHES)) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(at), *rest], ["at", "word", "mask"])
+
+    set_bits = masks.mapInArrow(spread, "at long, word int, mask long").groupBy("word", "at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    slices = np.zeros((-(-len(languages) // 64), 1 << bits), dtype=np.uint64)
+    slices[set_bits.column(0).to_numpy(), set_bits.column(1).to_numpy()] = set_bits.column(2).to_numpy().view(np.uint64)
+    discard(counted, held)
     return LanguageFilters(languages, slices, bits, (1 - np.exp(-HASHES * full / (1 << bits))) ** HASHES)
 
 

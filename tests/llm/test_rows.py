@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -231,6 +232,64 @@ def test_filter_corrects_false_positives(spark):
     assert small.predict("the house and of the")[0] == "en"
 
 
+def plain_languages(rows, least_share=1e-5, near=0.3):
+    """A predictor with exact n-gram sets in place of filters, from all rows (lang, text)."""
+    counts = defaultdict(Counter)
+    for lang, text in rows:
+        counts[lang].update(plain_grams(text))
+    shares = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    top = defaultdict(float)
+    for some in shares.values():
+        for g, s in some.items():
+            top[g] = max(top[g], s)
+    sets = {lang: {g for g, s in shares[lang].items() if s >= least_share and s >= near * top[g]} for lang in sorted(shares)}
+
+    def predict(text):
+        own = plain_grams(text)
+        hits = {lang: sum(g in some for g in own) for lang, some in sets.items()}
+        best = max(hits, key=hits.get)
+        return best, hits[best] / len(own)
+
+    return predict
+
+
+def plain_grams(text):
+    letters = "".join(c.lower() if len(c.lower()) == 1 else c for c in (x if unicodedata.category(x)[0] in "LM" else " " for x in text))
+    letters = " " + " ".join(letters.split(" ")) + " "
+    letters = re.sub(" +", " ", letters)
+    return [letters[i : i + n] for n in langid.SIZES for i in range(len(letters) - n + 1)]
+
+
+def test_languages_equal_exact_sets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("held_out", langid.held_out())
+    rows = docs.where("text IS NOT NULL").collect()
+    want = plain_languages([(r["lang"], r["text"]) for r in rows if not r["held_out"] and r["lang"] is not None])
+    told = {r["doc_id"]: r for r in langid.predict(docs, langid.fit(docs.where("NOT held_out"))).collect()}
+    for r in rows:
+        if any(map(str.isalpha, r["text"])):
+            lang, score = want(r["text"])
+            assert told[r["doc_id"]]["lang_pred"] == lang and told[r["doc_id"]]["score"] == pytest.approx(score, abs=0.01)
+
+
+def test_more_languages_than_a_word_holds(spark):
+    rng = np.random.default_rng(3)
+    words = {f"l{k:02}": ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(5)] for k in range(100)}
+    rows = [(i, " ".join(rng.permutation(words[lang])), lang) for lang in words for i in range(3)]
+    filters = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert filters.slices.shape == (2, 1 << 20) and filters.languages == tuple(sorted(words))
+    assert all(filters.predict(" ".join(some))[0] == lang for lang, some in words.items())
+    two = langid.fit(spark.createDataFrame(rows + [(9, "abc", "l50"), (9, "abc", "l70")], "doc_id long, text string, lang string"), most_languages=2)
+    assert two.languages == ("l50", "l70")
+
+
+def test_languages_ignore_clashing_columns(spark):
+    rows = [(1, "the house", "en", "x", 0.5), (2, "das Haus", "de", "y", None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    told = langid.predict(docs, langid.fit(docs))
+    assert sorted(told.columns) == sorted(docs.columns) and {r["lang_pred"] for r in told.collect()} == {"en", "de", "und"}
+    assert told.where("doc_id IS NULL").count() == 1
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "123 456", "en", "src0", 7), (None, "the and of the", "en", "src0", 14)], docs.schema)
