@@ -67,15 +67,24 @@ QUOTATIONS = rf"""
     walk AS (SELECT conv_id, turn, up FROM chain UNION
              SELECT walk.conv_id, walk.turn, chain.up FROM walk JOIN chain ON walk.conv_id IS NOT DISTINCT FROM chain.conv_id AND walk.up = chain.turn),
     roots AS (SELECT conv_id, turn, min(up) AS root FROM walk GROUP BY ALL),
-    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, key) - 1 AS position,
-                      max(turn) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM msg)
+    placed AS (SELECT *, row_number() OVER w - 1 AS place, lag(turn) OVER w AS before FROM msg
+               WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, key)),
+    linked AS (SELECT p.*, rep.original, rep.n_linked FROM placed p
+               LEFT JOIN rep ON p.conv_id IS NOT DISTINCT FROM rep.conv_id AND p.turn IS NOT DISTINCT FROM rep.turn AND p.key = rep.key),
+    ups AS (SELECT l.conv_id, l.place, CASE WHEN l.original IS NULL THEN l.place - 1
+                     ELSE (SELECT min(o.place) FROM placed o WHERE o.conv_id IS NOT DISTINCT FROM l.conv_id AND o.turn = l.original) END AS up
+            FROM linked l),
+    tree AS (SELECT conv_id, place, [place] AS path FROM ups WHERE place = 0 UNION ALL
+             SELECT ups.conv_id, ups.place, list_append(path, ups.place) FROM tree
+             JOIN ups ON ups.conv_id IS NOT DISTINCT FROM tree.conv_id AND ups.up = tree.place AND ups.place > 0),
+    ordered AS (SELECT conv_id, place, row_number() OVER (PARTITION BY conv_id ORDER BY path) - 1 AS position FROM tree)
     SELECT p.conv_id, p.turn, role, body, copies, coalesce(n_quotes, 0) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked,
-           CAST(levels AS INTEGER) AS levels, coalesce(rep.original, before) AS reply_to,
-           CASE WHEN rep.original IS NOT NULL THEN 'quote' WHEN before IS NOT NULL THEN 'previous' ELSE 'start' END AS link,
+           CAST(levels AS INTEGER) AS levels, coalesce(original, before) AS reply_to,
+           CASE WHEN original IS NOT NULL THEN 'quote' WHEN before IS NOT NULL THEN 'previous' ELSE 'start' END AS link,
            coalesce(root, p.turn) AS root, position
-    FROM placed p
+    FROM linked p
+    JOIN ordered ON p.conv_id IS NOT DISTINCT FROM ordered.conv_id AND p.place = ordered.place
     LEFT JOIN made ON p.conv_id IS NOT DISTINCT FROM made.conv_id AND p.turn IS NOT DISTINCT FROM made.turn AND p.key = made.key
-    LEFT JOIN rep ON p.conv_id IS NOT DISTINCT FROM rep.conv_id AND p.turn IS NOT DISTINCT FROM rep.turn AND p.key = rep.key
     LEFT JOIN roots ON p.conv_id IS NOT DISTINCT FROM roots.conv_id AND p.turn = roots.turn"""
 
 

@@ -6,18 +6,24 @@ runs to one space) and hashed with MD5.  The level-0 passages of messages are th
 originals; a quoted passage belongs to the first message of its conversation, before
 the quoting one, that holds it unquoted.  A message replies to the message most of its
 level-1 passages come from (the later one if tied), else the most of any level, else
-to the message before it.  Conversations come back without quotes, in reply order:
-a message after the one it replies to, by turn.
+to the message before it.
 
-Originals are reduced to one row per conversation and hash before the join, and
-positions come from chunks of turns, so one conversation or one passage with a third
-of all rows spreads over many tasks.
+Conversations come back without quotes, in reply order: depth first, a message's replies by
+turn.  As a message without a link follows the one before it, the messages from one link to
+the next are a segment that stays together, and only segments form a tree: behind a segment
+come those that reply into it, the last message replied to first.  Their places come from
+ranking the tour around that tree by pointer jumping.
+
+Originals are reduced to one row per conversation and hash before the join.  Messages are
+numbered over ranges of their order, so one conversation, turn or passage with a third of all
+rows spreads over many tasks.
 
 Edge cases: a null text has an empty body and quotes nothing; a null conversation id
 is a conversation of its own kind (all such rows together); a null turn sorts first and
 is never replied to; rows that repeat conversation, turn, role and text are one message
-with ``copies``; messages with equal turns keep the order of role and text; an empty
-table gives an empty result; other columns are ignored.
+with ``copies``; messages with equal turns keep the order of role and text, and a reply to
+their turn is one to the first of them; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +34,6 @@ from pyspark.sql import functions as F
 from .common import discard, stash
 
 MARKS = r"^[ \t]*(>[ \t]?)+"
-#: Turns that are numbered together.
-CHUNK = 256
 
 
 def level(line: Column) -> Column:
@@ -88,15 +92,15 @@ def quotations(messages: DataFrame) -> DataFrame:
 def threads(
     chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
-    """The messages in reply order, and their quotations.
+    """The messages, numbered in reply order, and their quotations.
 
     Messages: conv, turn, role, body, copies, n_quotes, n_linked, levels, reply_to (turn),
     link ('quote', 'previous', 'start'), root (turn where its chain of quotes starts),
-    position (from 0 within the conversation).
+    position (from 0 within the conversation, in reply order).
     """
     messages = parse(chats, conv, turn, role, text)
     messages = messages.withColumn("key", F.md5(F.concat_ws("\x01", F.coalesce("role", F.lit("\x02")), F.coalesce("text", F.lit("\x02"))).cast("binary")))
-    messages = stash(messages.drop("text"), "messages")
+    messages = in_ranges(messages.drop("text"), [F.col("conv"), F.col("turn"), F.col("role"), F.col("key")], "messages")
     quotes = stash(quotations(messages), "quotes")
     votes = quotes.where("original IS NOT NULL").groupBy("conv", "turn", "key", "original").agg(
         F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).alias("direct"), F.count(F.lit(1)).alias("n")
@@ -107,8 +111,9 @@ def threads(
     made = quotes.groupBy("conv", "turn", "key").agg(F.count(F.lit(1)).alias("n_quotes"))
     replies = stash(_with(made, replies), "replies")
     roots = chain_roots(replies.where("original IS NOT NULL").groupBy("conv", "turn").agg(F.min("original").alias("to")))
-    placed = positions(messages)
-    out = _with(placed, replies)
+    out = stash(_with(numbered(messages), replies), "numbered")
+    discard(messages, replies)
+    out = reply_order(out)
     out = out.join(roots, out["conv"].eqNullSafe(roots["r_conv"]) & (out["turn"] == roots["r_turn"]), "left")
     out = out.select(
         "conv",
@@ -127,6 +132,18 @@ def threads(
     return out, quotes
 
 
+def conversations(messages: DataFrame, most: int = 256) -> DataFrame:
+    """Messages of :func:`threads` put together: conv, part, n_messages, text.
+
+    A part is up to ``most`` messages in reply order, each as its role and body; a longer
+    conversation goes on in the next part, so no row and no task grows with a conversation.
+    """
+    line = F.concat(F.coalesce("role", F.lit("")), F.lit(": "), "body")
+    parts = messages.select("conv", F.floor(F.col("position") / most).alias("part"), F.struct("position", line.alias("line")).alias("m"))
+    parts = parts.groupBy("conv", "part").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    return parts.select("conv", "part", F.size("ms").alias("n_messages"), F.array_join("ms.line", "\n\n").alias("text"))
+
+
 def _with(left: DataFrame, right: DataFrame) -> DataFrame:
     """Left join on conv, turn and key, nulls being equal."""
     names = ["conv", "turn", "key"]
@@ -153,20 +170,83 @@ def chain_roots(links: DataFrame) -> DataFrame:
             return now.select(F.col("conv").alias("r_conv"), F.col("turn").alias("r_turn"), F.col("to").alias("root"))
 
 
-def positions(messages: DataFrame) -> DataFrame:
-    """Add position (from 0 by turn, role, key) and before (the turn before), chunk by chunk of turns."""
-    rows = messages.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 60))))
-    sizes = rows.groupBy("conv", "chunk").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last"))
-    order = Window.partitionBy("conv").orderBy("chunk")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(
-        F.col("conv").alias("s_conv"),
-        F.col("chunk").alias("s_chunk"),
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"),
-        F.max("last").over(earlier).alias("last_before"),
+def in_ranges(rows: DataFrame, order: list[Column], label: str) -> DataFrame:
+    """``rows`` written in ranges of ``order``, numbered by ``range``: groups of equal first columns may span several."""
+    return stash(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), label)
+
+
+def numbered(messages: DataFrame) -> DataFrame:
+    """Messages (in ranges) with place (from 0 by turn, role, key) and before (the turn of the message before)."""
+    ends = messages.groupBy("conv", "range").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last"))
+    ranges = Window.partitionBy("conv").orderBy("range")  # a row for each range at most
+    ends = ends.select(
+        F.col("conv").alias("e_conv"),
+        F.col("range").alias("e_range"),
+        F.coalesce(F.sum("n").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+        F.lag("last").over(ranges).alias("last_before"),
+    )
+    rows = messages.join(ends, messages["conv"].eqNullSafe(ends["e_conv"]) & (messages["range"] == ends["e_range"]))
+    order = Window.partitionBy("conv", "range").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), "key")
+    number = F.row_number().over(order)
+    before = F.when(number == 1, F.col("last_before")).otherwise(F.lag("turn").over(order))
+    return rows.withColumns({"place": F.col("base") + number - 1, "before": before}).drop("e_conv", "e_range", "base", "last_before")
+
+
+def reply_order(rows: DataFrame) -> DataFrame:
+    """Add position to rows (conv, range, turn, key, place, original)."""
+    head = F.when(F.col("original").isNotNull() | (F.col("place") == 0), F.col("place"))
+    tops = rows.groupBy("conv", "range").agg(F.max(head).alias("top"))
+    earlier = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(F.col("conv").alias("t_conv"), F.col("range").alias("t_range"), F.max("top").over(earlier).alias("top"))
+    upto = Window.partitionBy("conv", "range").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = rows.join(tops, rows["conv"].eqNullSafe(tops["t_conv"]) & (rows["range"] == tops["t_range"]))
+    cut = cut.withColumn("start", F.coalesce(F.max(head).over(upto), "top")).drop("t_conv", "t_range", "top")
+    cut = stash(cut, "segmented")
+    order = tour_places(cut)
+    moved = F.coalesce(F.col("begin") + F.col("place") - F.col("start"), F.col("place"))
+    return cut.join(order, cut["conv"].eqNullSafe(order["o_conv"]) & (cut["start"] == order["o_start"]), "left").withColumn("position", moved)
+
+
+def tour_places(cut: DataFrame) -> DataFrame:
+    """(o_conv, o_start, begin): where segments begin in reply order, for conversations of several segments."""
+    sizes = cut.groupBy("conv", "start").agg(F.count(F.lit(1)).alias("n"))
+    heads = cut.where("original IS NOT NULL AND place > 0").select(F.col("conv").alias("h_conv"), F.col("start").alias("h_start"), "original")
+    at = cut.where("turn IS NOT NULL").select("conv", "turn", "place", F.col("start").alias("up_start"))
+    into = heads.join(at, heads["h_conv"].eqNullSafe(at["conv"]) & (heads["original"] == at["turn"]))
+    into = into.groupBy("h_conv", "h_start").agg(F.min(F.struct("place", "up_start")).alias("to"))
+    several = into.select(F.col("h_conv").alias("s_conv")).distinct()
+    some = sizes.join(several, sizes["conv"].eqNullSafe(several["s_conv"]), "left_semi")
+    some = some.join(into, some["conv"].eqNullSafe(into["h_conv"]) & (some["start"] == into["h_start"]), "left")
+    some = some.select("conv", "start", "n", F.col("to.place").alias("into"), F.col("to.up_start").alias("up_start"))
+    some = stash(some.withColumn("id", F.monotonically_increasing_id()), "segments")
+    ups = some.select(F.col("conv").alias("u_conv"), F.col("start").alias("u_start"), F.col("id").alias("up"))
+    tree = some.join(ups, some["conv"].eqNullSafe(ups["u_conv"]) & (some["up_start"] == ups["u_start"]), "left")
+    tree = in_ranges(tree.select("conv", "start", "n", "id", "up", "into"), [F.col("up"), F.desc("into"), F.col("start")], "tree")
+    # the next reply into the same segment
+    order = Window.partitionBy("range", "up").orderBy(F.desc("into"), "start")
+    across = tree.where("up IS NOT NULL").groupBy("range", "up").agg(F.min(F.struct(-F.col("into"), "start", "id")).alias("first"))
+    ranges = Window.partitionBy("up").orderBy("range")
+    across = across.select(F.col("range").alias("a_range"), F.col("up").alias("a_up"), F.lead("first.id").over(ranges).alias("across"))
+    tree = tree.join(across, (tree["range"] == across["a_range"]) & (tree["up"] == across["a_up"]), "left")
+    tree = stash(tree.withColumn("next", F.when(F.col("up").isNotNull(), F.coalesce(F.lead("id").over(order), "across"))), "siblings")
+    below = tree.where("up IS NOT NULL").groupBy(F.col("up").alias("b_id")).agg(F.min(F.struct(-F.col("into"), "start", "id")).alias("first"))
+    # each segment is entered (2 id) and left (2 id + 1)
+    enter, leave = F.col("id") * 2, F.col("id") * 2 + 1
+    tour = tree.join(below, tree["id"] == below["b_id"], "left").select(
+        F.explode(
+            F.array(
+                F.struct(enter.alias("e"), F.coalesce(F.col("first.id") * 2, leave).alias("to"), F.col("n").alias("rest")),
+                F.struct(leave.alias("e"), F.coalesce(F.col("next") * 2, F.col("up") * 2 + 1).alias("to"), F.lit(0).cast("long").alias("rest")),
+            )
+        ).alias("x")
     )
-    rows = rows.join(sizes, rows["conv"].eqNullSafe(sizes["s_conv"]) & (rows["chunk"] == sizes["s_chunk"]))
-    by_turn = Window.partitionBy("conv", "chunk").orderBy("turn")
-    number = F.row_number().over(Window.partitionBy("conv", "chunk").orderBy(F.asc_nulls_first("turn"), "role", "key"))
-    before = F.coalesce(F.max("turn").over(by_turn.rangeBetween(Window.unboundedPreceding, -1)), F.col("last_before"))
-    return rows.withColumn("position", F.col("base") + number - 1).withColumn("before", F.when(F.col("turn").isNotNull(), before))
+    now = stash(tour.select("x.*"), "tour")
+    while now.where("to IS NOT NULL").limit(1).count():
+        ahead = now.select(F.col("e").alias("a"), F.col("to").alias("a_to"), F.col("rest").alias("a_rest"))
+        jumped = now.join(ahead, now["to"] == ahead["a"], "left").select("e", F.col("a_to").alias("to"), (F.col("rest") + F.coalesce("a_rest", F.lit(0))).alias("rest"))
+        last, now = now, stash(jumped, "tour")
+        discard(last)
+    whole = tree.groupBy("conv").agg(F.sum("n").alias("all")).select(F.col("conv").alias("w_conv"), "all")
+    placed = tree.join(now, now["e"] == tree["id"] * 2)
+    placed = placed.join(whole, placed["conv"].eqNullSafe(whole["w_conv"]))
+    return placed.select(F.col("conv").alias("o_conv"), F.col("start").alias("o_start"), (F.col("all") - F.col("rest")).alias("begin"))

@@ -171,6 +171,79 @@ def test_quotations(spark):
     assert quotes.threads(frame.limit(0))[0].count() == 0
 
 
+def plain_threads(rows):
+    """{(conv, turn): (body, reply_to, position)} for rows with distinct turns, message by message."""
+    out, convs = {}, defaultdict(list)
+    for conv, turn, _, text in rows:
+        convs[conv].append((turn, text))
+    for conv, messages in convs.items():
+        first, up, below, last = {}, {}, defaultdict(list), None
+        for turn, text in sorted(messages):
+            runs, body, level, before = defaultdict(list), [], 0, None
+            for line in text.split("\n"):
+                level = len(re.match(r"[ \t]*((?:>[ \t]?)*)", line)[0].replace(" ", "").replace("\t", ""))
+                bare = re.sub(r"^[ \t]*(>[ \t]?)+", "", line)
+                if not bare.strip() or level != before:
+                    before = level if bare.strip() else None
+                    if bare.strip():
+                        runs[level].append([bare])
+                else:
+                    runs[level][-1].append(bare)
+                if level == 0:
+                    body.append(bare)
+            clean = {k: [re.sub(r"\s+", " ", "\n".join(x)).strip().lower() for x in v] for k, v in runs.items()}
+            votes = Counter()
+            for k, parts in clean.items():
+                for p in parts:
+                    if k and p in first:
+                        votes[first[p]] += 10**6 * (k == 1) + 1
+            up[turn] = max(votes, key=lambda t: (votes[t], t)) if votes else last
+            below[up[turn]].append(turn)
+            for p in clean.get(0, ()):
+                first.setdefault(p, turn)
+            out[conv, turn] = ("\n".join(body).strip(" "), up[turn])
+            last = turn
+        todo, n = below[None][::-1], 0
+        while todo:
+            turn = todo.pop()
+            out[conv, turn] += (n,)
+            n += 1
+            todo += below[turn][::-1]
+    return out
+
+
+def test_generated_threads_equal_a_plain_parser(spark):
+    rng = np.random.default_rng(9)
+    rows, told = [], defaultdict(list)
+    for conv in range(60):
+        for turn in range(int(rng.integers(1, 60)) if conv else 700):
+            text = f"Message {turn} of  {conv}\nsays this" if rng.random() < 0.9 else "Same words"
+            if turn and rng.random() < 0.6:
+                quoted = told[conv][int(rng.integers(0, turn)) if rng.random() < 0.7 else 0]
+                marked = [("> " if rng.random() < 0.5 else ">") + x.upper() for x in quoted.split("\n")]
+                text = "\n".join(marked) + "\n" + text
+            told[conv].append(text)
+            rows.append((conv, turn, "ab"[turn % 2], text))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    out = quotes.threads(frame)[0]
+    got = {(r["conv"], r["turn"]): (r["body"], r["reply_to"], r["position"]) for r in out.collect()}
+    assert got == plain_threads(rows)
+    assert sum(p[2] != k[1] for k, p in got.items()) > 500 and max(text.count(">>") for *_, text in rows) > 0
+    parts = quotes.conversations(out, 50).where("conv = 0").orderBy("part").collect()
+    assert [p["n_messages"] for p in parts] == [50] * 14
+    by_place = {v[2]: v[0] for k, v in got.items() if k[0] == 0}
+    order = [x.split(": ", 1)[1] for p in parts for x in re.split(r"\n\n(?=[ab]: )", p["text"])]
+    assert order == [by_place[i] for i in range(700)]
+
+
+def test_equal_and_null_turns_are_numbered_over_ranges(spark):
+    rows = [(1, None if i % 2 else 5, "a", f"text {i}") for i in range(400)] + [(1, 6, "b", "> text 0\nyes")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = quotes.threads(frame)[0].collect()
+    assert sorted(r["position"] for r in got) == list(range(401))
+    assert next(r["reply_to"] for r in got if r["turn"] == 6) == 5
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href=/>Home</a><li>About</ul></nav><div class="ad">Buy</div><div id="cookie-notice">We use cookies</div>
 <article><header><h1>A &amp; B</h1></header><p>First   <b>bold <p>Second{extra}<br>line</p><aside>Related</aside>
