@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+from ..functions.errors import OverlapError
 from ..functions.params import BaseTie, CorrectionParams, EngineConfig, MergeParams, OverlapParams, OverlapTie, ValidationPolicy
 
 #: Status of a pair.
@@ -101,7 +102,7 @@ class Pairs:
 
     @property
     def live(self) -> np.ndarray:
-        return np.isin(self.status, (PAIR, MERGED))
+        return (self.status == PAIR) | (self.status == MERGED)
 
     def fail(self, rows: np.ndarray, kind: str) -> None:
         self.status[rows], self.error[rows] = FAILED, kind
@@ -131,7 +132,7 @@ def scan(left: np.ndarray, right: np.ndarray, params: OverlapParams) -> tuple[np
         if size < params.min_comparisons:
             continue
         if not size:
-            raise ValueError("an overlap of no bases: min_overlap and min_comparisons are 0")
+            raise OverlapError("an overlap of no bases: min_overlap and min_comparisons are 0")
         most = params.allowed(size)
         window, other = left[rows, at : at + size], right[rows, :size]
         head = min(32, size)
@@ -322,20 +323,40 @@ def reverse_mate(p: Pairs) -> tuple[np.ndarray, np.ndarray]:
     return _UPPER[p.b][:, ::-1], encode(p.qb)[:, ::-1]
 
 
-def run(p: Pairs, config: EngineConfig, steps: tuple[str, ...]) -> None:
-    for step in steps:
+def named(step: str | tuple[str, object]) -> tuple[str, object]:
+    """A step's name and its own parameters, if any."""
+    return (step, None) if isinstance(step, str) else step
+
+
+def check_spans(p: Pairs) -> None:
+    """Every overlap that was found lies within both reads and has at least one column."""
+    rows = p.length >= 0
+    n, s1, s2, d = (x[rows] for x in (p.length, p.s1, p.s2, p.diff))
+    inside = (n > 0) & (s1 >= 0) & (s2 >= 0) & (s1 + n <= p.a.shape[1]) & (s2 + n <= p.b.shape[1]) & (d >= 0) & (d <= n)
+    if not inside.all():
+        raise OverlapError("an overlap reaches beyond its reads")
+
+
+def run(p: Pairs, config: EngineConfig, steps: tuple[str | tuple[str, object], ...]) -> None:
+    """Run the steps; one without parameters of its own takes those of ``config``."""
+    for step, own in map(named, steps):
         if step == "overlap":
-            find_overlaps(p, config.overlap)
+            find_overlaps(p, own or config.overlap)
+            check_spans(p)
         elif step in ("overlap_start", "overlap_end"):
-            find_from_one_end(p, config.overlap, step == "overlap_end")
+            find_from_one_end(p, own or config.overlap, step == "overlap_end")
+            check_spans(p)
         elif step == "informative":
-            policy = config.validation or ValidationPolicy()
+            policy = own or config.validation or ValidationPolicy()
             p.informative = informative_length(p.a, p.b, policy.k, policy.score)
+        elif step in ("need_head", "need_tail"):
+            policy = own or config.validation or ValidationPolicy()
+            p.informative = complexity_need(p.a if step == "need_head" else p.a[:, ::-1], policy.k, policy.score)
         elif step == "validate":
-            validate(p, config.validation or ValidationPolicy())
+            validate(p, own or config.validation or ValidationPolicy())
         elif step == "merge":
-            merge(p, config.merge)
+            merge(p, own or config.merge)
         elif step == "correct":
-            correct(p, config.correction or CorrectionParams())
+            correct(p, own or config.correction or CorrectionParams())
         else:
             raise ValueError(step)

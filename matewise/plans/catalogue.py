@@ -199,7 +199,7 @@ def _merged_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merged_read_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.concat(F.lit("@read"), F.col("key").cast("string"), F.lit("/1")).alias("header")
-    reads = assemble(pairs(spark, sf_dir)).where("status = 'merged'").select(*_labelled("normal"), header, "seq", "qual")
+    reads = assemble(pairs(spark, sf_dir)).where("status = 'merged'").select(*_labelled("normal"), header, "seq", "qual", "avg_qual", "min_qual", "max_qual")
     return W.read_records(reads).withColumn("avg_qual", F.round("avg_qual", 6))
 
 

@@ -54,8 +54,15 @@ CHECKS = {
 
 
 def read_records(reads: DataFrame, header: str = "header", seq: str = "seq", qual: str = "qual") -> DataFrame:
-    """Merged reads as warehouse rows: id, header, length, quality summary, two tagged hashes."""
-    summary = C.quality_summary(F.col(qual))
+    """Merged reads as warehouse rows: id, header, length, quality summary, two tagged hashes.
+
+    The summary is taken from the assembly result's columns where ``reads`` has them.
+    """
+    names = ("avg_qual", "min_qual", "max_qual")
+    if set(names) <= set(reads.columns):
+        summary = {n[:3]: F.coalesce(F.col(n), F.lit(0)).cast("double" if n == "avg_qual" else "long") for n in names}
+    else:
+        summary = C.quality_summary(F.col(qual))
     keep = [c for c in reads.columns if c in PARTITIONS]
     return reads.select(
         *keep,

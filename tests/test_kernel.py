@@ -5,12 +5,13 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from matewise.functions.errors import ConfigError, StageError
+from matewise.functions.errors import ConfigError, OverlapError, PairingError, RecordError, StageError, ValidationError
 from matewise.functions.params import (
     BaseTie,
     CorrectionParams,
@@ -22,7 +23,7 @@ from matewise.functions.params import (
 )
 from matewise.operators import kernel as K
 from matewise.operators import relational as R
-from matewise.operators.assembly import PairFlow, assemble, assemble_arrays, pairs_from, raise_on_error
+from matewise.operators.assembly import RESULT, Assembler, PairFlow, Read, assemble, assemble_arrays, pairs_from, raise_on_error
 
 COMP = str.maketrans("ACGTacgt", "TGCAtgca")
 
@@ -57,9 +58,14 @@ def plain_overlap(r1: str, r2: str, p: OverlapParams):
     return None if hit is None else (hit[1], 0 if use_end else hit[0], hit[0] if use_end else 0, hit[2])
 
 
+def columns(reads, config, steps, mates):
+    arrays = assemble_arrays([pa.array(x, pa.string()) for x in reads], pa.array([True] * len(reads[0])), config, steps, mates)
+    return {f.name: x.to_pylist() for f, x in zip(RESULT.fields, arrays)}
+
+
 def outcome(r1, r2, q1=None, q2=None, config=None, steps=("overlap",)):
     reads = [[r1], [q1 or "I" * len(r1)], [r2], [q2 or "I" * len(r2)]]
-    out = assemble_arrays(reads, [True], config or EngineConfig(), steps, "merge" not in steps)
+    out = columns(reads, config or EngineConfig(), steps, "merge" not in steps)
     return {k: v[0] for k, v in out.items()}
 
 
@@ -213,7 +219,7 @@ def test_correction():
 
 def test_order_of_correction_and_merge():
     reads = [[MIXED], ["I" * 56], [rc(MIXED[:20] + "A" + MIXED[21:])], ["5" * 56]]
-    runs = [assemble_arrays(reads, [True], EngineConfig(), s, False) for s in (("overlap", "merge", "correct"), ("overlap", "correct", "merge"))]
+    runs = [columns(reads, EngineConfig(), s, False) for s in (("overlap", "merge", "correct"), ("overlap", "correct", "merge"))]
     assert runs[0]["seq"] == runs[1]["seq"] and runs[0]["qual"] == runs[1]["qual"]
 
 
@@ -229,6 +235,76 @@ def test_flow_states(spark):
     assert flow.find_overlap().no_overlap().count() == 0
 
 
+LOW = ("AC" * 28, "I" * 56)
+
+
+def test_each_stage_keeps_its_own_parameters(spark):
+    schema = "key long, r1_seq string, r1_qual string, r2_seq string, r2_qual string"
+    rows = pairs_from(spark.createDataFrame([(1, MIXED, "I" * 56, rc(MIXED), "I" * 56)], schema), "key")
+    loose, strict = ValidationPolicy(score=4, floor=1), ValidationPolicy(floor=57)
+    flow = PairFlow(rows).find_overlap().validate(loose).correct().validate(strict)
+    assert flow.result().first()["status"] == "validation_rejected"
+    assert PairFlow(rows).find_overlap().validate(strict).correct().validate(loose).result().first()["status"] == "validation_rejected"
+    one = PairFlow(rows).find_overlap().validate(loose).result().first()
+    assert (one["status"], one["min_informative"]) == ("pair", 3)
+    two = PairFlow(rows, EngineConfig(validation=loose)).find_overlap().validate().correct().validate(ValidationPolicy()).metrics().first()
+    assert two["min_informative"] > 3 and two["expected_rate"] == pytest.approx(two["expected_errors"] / 56)
+    seen = []
+    out = PairFlow(rows).find_overlap().inspect(lambda d: seen.append(d.count())).inspect(lambda d: seen.append(d.count()), found=False)
+    assert seen == [1, 0] and out.and_then_found(lambda f: f.merge()).reads().count() == 1
+    assert PairFlow(rows).process().result("fail").first()["seq"] == MIXED
+    with pytest.raises(ConfigError):
+        PairFlow(rows).process().result("skip")
+
+
+def test_records_in_hand():
+    q = "I" * 56
+    good, none = (Read("a", MIXED, q), Read("a", rc(MIXED), q)), (Read("b", "A" * 56, q), Read("b", "C" * 56, q))
+    foreign, broken = (good[0], Read("x", rc(MIXED), q)), (Read("c", "ACG", "I"), Read("c", "ACG", "III"))
+    low = (Read("d", *LOW), Read("d", rc(LOW[0]), LOW[1]))
+    chain = Assembler()
+    assert chain.process_pair(*good).seq == MIXED and chain.process_pair(*none) is None
+    for pair, error in ((foreign, PairingError), (broken, RecordError), (low, ValidationError)):
+        with pytest.raises(error):
+            chain.process_pair(*pair)
+    got = list(chain.process_iter([good, none, foreign, broken, low, good], batch=4))
+    assert [type(x).__name__ for x in got] == ["Read", "NoneType", "PairingError", "RecordError", "ValidationError", "Read"]
+    mates = next(chain.process_iter_with([good], ("overlap", "correct")))
+    assert (mates[0].seq, mates[1].seq) == (good[0].seq, good[1].seq)
+    tie = Assembler(EngineConfig(OverlapParams(5, 3, 0.2, 3, OverlapTie.REJECT)))
+    assert isinstance(next(tie.process_iter([(Read("e", "ACGTACGT", "I" * 8), Read("e", "ACGTACGT", "I" * 8))])), OverlapError)
+    assert list(chain.process_iter([])) == []
+
+
+def test_spans_are_checked():
+    p = K.Pairs.orient(*(np.frombuffer(x, np.uint8)[None, :] for x in (b"ACGT", b"IIII", b"ACGT", b"IIII")))
+    p.length[:], p.s1[:], p.s2[:], p.diff[:] = 4, 1, 0, 0
+    with pytest.raises(OverlapError):
+        K.check_spans(p)
+    with pytest.raises(OverlapError):
+        outcome("ACGT", "TTTT", config=EngineConfig(OverlapParams(0, 0, 0.0, 0)))
+
+
+def test_batches_of_many_lengths_keep_their_rows(spark):
+    rng = random.Random(11)
+    data = []
+    for i in range(300):
+        insert = "".join(rng.choice("ACGT") for _ in range(rng.randint(20, 60)))
+        n = rng.choice([30, 31, 45])
+        r1, r2 = (insert + "ACGTTGCA" * 5)[:n], (rc(insert) + "GGATCCTT" * 5)[: rng.choice([30, 40])]
+        quals = ["".join(rng.choice("5?I\u00c8") for _ in x) for x in (r1, r2)]
+        data.append((i, r1, quals[0], r2, quals[1]) if i % 17 else (i, None, quals[0], r2, "I"))
+    schema = "key long, r1_seq string, r1_qual string, r2_seq string, r2_qual string"
+    steps = EngineConfig(validation=None).steps()
+    got = {r["key"]: r for r in assemble(pairs_from(spark.createDataFrame(data, schema).repartition(3), "key"), EngineConfig(validation=None)).collect()}
+    for key, *reads in data:
+        want = columns([[x] for x in reads], EngineConfig(validation=None), steps, False)
+        assert [got[key][c] for c in want] == [v[0] for v in want.values()]
+        if (qual := got[key]["qual"]) is not None:
+            values = [ord(c) - 33 for c in qual]
+            assert (got[key]["min_qual"], got[key]["max_qual"]) == (min(values), max(values)) and got[key]["avg_qual"] == pytest.approx(sum(values) / len(values))
+
+
 def test_kernel_equals_relational_forms(spark):
     rng = random.Random(5)
     data = []
