@@ -9,11 +9,13 @@ and everything happens where the row is.  ``status`` is ``merged``, ``pair``, ``
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -214,10 +216,11 @@ def _collect(p: K.Pairs, rows: np.ndarray, out: Builder, mates: bool) -> None:
             out.put_text(name, rows, grid, np.where(p.live, grid.shape[1], -1))
 
 
-def run_steps(pairs: DataFrame, config: EngineConfig, steps: tuple[Step, ...]) -> DataFrame:
+def run_steps(pairs: DataFrame, config: EngineConfig, steps: tuple[Step, ...], seen: Accumulator | None = None) -> DataFrame:
     """Run the kernel over ``pairs`` (:func:`pairs_from`): its columns, then those of RESULT.
 
     A step is a name, with the parameters that ``config`` has for it, or a name and parameters of its own.
+    ``seen`` gets the numbers of pairs by status, as tasks end.
     """
     mates = "merge" not in [K.named(x)[0] for x in steps]
     names = pairs.columns
@@ -228,14 +231,16 @@ def run_steps(pairs: DataFrame, config: EngineConfig, steps: tuple[Step, ...]) -
         for batch in batches:
             *reads, match = (batch.column(i) for i in at)
             arrays = assemble_arrays(reads, match, config, steps, mates)
+            if seen is not None:
+                seen.add(Counter(arrays[0].to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*names, *(f.name for f in RESULT.fields)])
 
     return pairs.mapInArrow(go, schema)
 
 
-def assemble(pairs: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+def assemble(pairs: DataFrame, config: EngineConfig = EngineConfig(), seen: Accumulator | None = None) -> DataFrame:
     """The batch chain: overlap, validate, merge, correct, as ``config`` has them."""
-    return run_steps(pairs, config, config.steps())
+    return run_steps(pairs, config, config.steps(), seen)
 
 
 def compare(pairs: DataFrame, configs: dict[str, EngineConfig]) -> DataFrame:

@@ -12,16 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import mate_key
-from ..functions.errors import ConfigError, PairingError
+from ..functions.errors import ERRORS, ConfigError, InputError, PairingError
 from ..functions.params import CorrectionParams, EngineConfig, OverlapParams, ValidationPolicy
-from ..operators.assembly import assemble, pairs_from, raise_on_error
-from ..operators.relational import mate_budget
+from ..operators.assembly import assemble, pairs_from
+from ..operators.kernel import FAILED, MISMATCH
 from ..sources import fastq
+from .progress import Progress
 from .stats import RunSummary, run_stats
 
 log = logging.getLogger("matewise")
 
 
+ORDER = ["file_index", "pair_ordinal"]
+
+
 def run(
     spark: SparkSession,
     r1: str,
@@ -30,49 +34,66 @@ def run(
     unmerged_out: str | None = None,
     config: EngineConfig = EngineConfig(),
     max_mismatches: int = 3,
+    progress_every: int = 0,
+    progress_mode: str = "plain",
 ) -> RunSummary:
-    """Assemble two FASTQ files (or lists of files by comma).
+    """Assemble two FASTQ files, or lists of files by comma, whose pairs are one sequence in the order of the lists.
 
-    Nothing is written if mates mismatch more often than allowed or any pair fails.  The
-    two outputs and the counters share one persisted result.
+    Files are parsed and pairs assembled once, into a persisted result that the checks, the
+    counters and both outputs share.  Nothing is written if mates mismatch more often than
+    allowed, or any pair fails.
     """
     began = time.monotonic()
     fastq.register(spark)
     scanned = spark.read.format("fastq_pairs").option("r1", r1).option("r2", r2).load()
-    named = pairs_from(scanned, ["pair_ordinal", "r1_name", "r2_name"], r1_name="r1_name", r2_name="r2_name")
-    over = mate_budget(named, "pair_ordinal", max_mismatches).first()
-    if over is not None:
-        raise PairingError(f"more than {max_mismatches} mates don't match; {over['pairs_seen']} pairs seen before failure")
+    named = pairs_from(scanned, [*ORDER, "r1_name", "r2_name"], r1_name="r1_name", r2_name="r2_name")
     spread = named.repartition(spark.sparkContext.defaultParallelism * 2)
-    result = raise_on_error(assemble(spread, config)).persist(StorageLevel.MEMORY_AND_DISK)
+    progress = Progress(spark.sparkContext, progress_every, progress_mode)
+    result = assemble(spread, config, progress.seen if progress.active else None).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        counters = run_stats(result, config.correction is not None, unmerged_out is not None).first().asDict()
+        with progress:
+            counters = run_stats(result, config.correction is not None, unmerged_out is not None).first().asDict()
+        if counters["mate_id_mismatches"] > max_mismatches:
+            raise out_of_order(result, max_mismatches)
+        if failed := result.where(F.col("status") == FAILED).orderBy(*ORDER).select("r1_name", "reason").first():
+            raise ERRORS.get(failed["reason"], InputError)(f"pair failed: {failed['r1_name']}: {failed['reason']}")
         merged = merged_reads(result)
         if out:
-            fastq.write_file(merged, out, ["pair_ordinal"])
+            fastq.write_file(merged, out, ORDER)
         else:
-            for row in merged.orderBy("pair_ordinal").select(fastq.record_text("name", "seq", "qual").alias("v")).toLocalIterator():
+            for row in merged.orderBy(*ORDER).select(fastq.record_text("name", "seq", "qual").alias("v")).toLocalIterator():
                 sys.stdout.write(row["v"] + "\n")
         if unmerged_out:
-            fastq.write_file(unmerged_reads(result), unmerged_out, ["pair_ordinal", "mate"])
+            fastq.write_file(unmerged_reads(result), unmerged_out, [*ORDER, "mate"])
     finally:
         result.unpersist()
     return RunSummary(r1, r2, out, unmerged_out, time.monotonic() - began, counters)
 
 
+def out_of_order(result: DataFrame, most: int) -> PairingError:
+    """The error about the pair with which mismatched mates exceed ``most``."""
+    bad = result.where(F.col("status") == MISMATCH).orderBy(*ORDER).limit(most + 1)
+    last = bad.orderBy(*[F.desc(c) for c in ORDER]).first()
+    earlier = result.where(f"file_index < {last['file_index']}").count()
+    return PairingError(
+        f"more than {most} mates don't match, so the files seem to be in different orders; last headers: {last['r1_name']}, "
+        f"{last['r2_name']}; {earlier + last['pair_ordinal'] + 1} pairs seen before failure; sort both files alike and run again"
+    )
+
+
 def merged_reads(result: DataFrame) -> DataFrame:
-    """(pair_ordinal, name, seq, qual); the name has no description."""
+    """(file_index, pair_ordinal, name, seq, qual); the name has no description."""
     name = F.regexp_extract("r1_name", r"^(\S*)", 1)
-    return result.where("status = 'merged'").select("pair_ordinal", mate_key(name).alias("name"), "seq", "qual")
+    return result.where("status = 'merged'").select(*ORDER, mate_key(name).alias("name"), "seq", "qual")
 
 
 def unmerged_reads(result: DataFrame) -> DataFrame:
-    """(pair_ordinal, mate, name, seq, qual): both original records, headers untouched."""
+    """(file_index, pair_ordinal, mate, name, seq, qual): both original records, headers untouched."""
     mates = [
         F.struct(F.lit(m).alias("mate"), F.col(f"r{m}_name").alias("name"), F.col(f"r{m}_seq").alias("seq"), F.col(f"r{m}_qual").alias("qual"))
         for m in (1, 2)
     ]
-    return result.where(F.col("status").isin("no_overlap", "validation_rejected")).select("pair_ordinal", F.inline(F.array(*mates)))
+    return result.where(F.col("status").isin("no_overlap", "validation_rejected")).select(*ORDER, F.inline(F.array(*mates)))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -90,6 +111,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-validate", action="store_true")
     p.add_argument("--no-correct", action="store_true")
     p.add_argument("--max-mate-mismatches", type=int, default=3)
+    p.add_argument("--progress-every", type=int, default=100_000, help="pairs between progress lines; 0 for none")
     p.add_argument("--summary", help="write the summary as JSON")
     p.add_argument("-v", "--verbose", action="count", default=0)
     p.add_argument("-q", "--quiet", action="count", default=0)
@@ -116,7 +138,9 @@ def main(argv: list[str] | None = None) -> int:
         log.error("%s", e)
         return 2
     spark = SparkSession.builder.appName("matewise").getOrCreate()
-    summary = run(spark, args.r1, args.r2, args.output, args.unmerged, config, args.max_mate_mismatches)
+    mode = "off" if args.quiet else "live" if sys.stderr.isatty() else "plain"
+    every = max(0, args.progress_every)
+    summary = run(spark, args.r1, args.r2, args.output, args.unmerged, config, args.max_mate_mismatches, every, mode)
     if args.summary:
         with open(args.summary, "w", encoding="utf-8") as f:
             f.write(summary.json())

@@ -1,11 +1,15 @@
 """FASTQ as Spark data sources.
 
-``fastq`` reads a file of records (ordinal, name, description, seq, qual);
-``fastq_pairs`` reads two files in step (pair_ordinal and both records).  A file is one
-partition, since record boundaries can't be found from within; scale comes from many
-files, and ``repartition`` after the scan spreads a large one.  Files are opened through
+``fastq`` reads files of records (file_index, ordinal, name, description, seq, qual);
+``fastq_pairs`` reads two files in step (file_index, pair_ordinal and both records).  A file
+is one partition, since record boundaries can't be found from within; scale comes from many
+files, and ``repartition`` after the scan spreads a large one.  The order of a list of files is
+that of (file_index, ordinal); :func:`with_place` numbers it through.  Files are opened through
 pyarrow's file systems: local and shared folders by path, other stores by URI.
 
+Writers sort and write parts on the executors; a single file is its parts put together, as
+bytes, in order (members of a gzip file may follow each other).
+
 Records are strict: a header that starts with @, a separator that starts with +, equal
 lengths of sequence and quality, quality bytes of 33 or more, and no record cut short.
 Gzip is chosen by the extension ``gz``; all members are read.
@@ -13,23 +17,23 @@ Gzip is chosen by the extension ``gz``; all members are read.
 
 from __future__ import annotations
 
-import contextlib
 import gzip
 import io
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.errors import InputError, PairingError
 
-RECORD = "ordinal bigint, name string, description string, seq string, qual string"
-PAIR = "pair_ordinal bigint, r1_name string, r1_seq string, r1_qual string, r2_name string, r2_seq string, r2_qual string"
+RECORD = "file_index int, ordinal bigint, name string, description string, seq string, qual string"
+PAIR = "file_index int, pair_ordinal bigint, r1_name string, r1_seq string, r1_qual string, r2_name string, r2_seq string, r2_qual string"
 BATCH = 8192
 
 
@@ -75,8 +79,8 @@ def records(path: str) -> Iterator[tuple[str, str, str, str]]:
 
 
 class Files(InputPartition):
-    def __init__(self, paths: tuple[str, ...]):
-        self.paths = paths
+    def __init__(self, index: int, paths: tuple[str, ...]):
+        self.index, self.paths = index, paths
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -99,11 +103,11 @@ class FastqReader(DataSourceReader):
         self.paths = paths
 
     def partitions(self) -> list[InputPartition]:
-        return [Files((p,)) for p in self.paths]
+        return [Files(i, (p,)) for i, p in enumerate(self.paths)]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("ordinal", pa.int64()), *((c, pa.string()) for c in ("name", "description", "seq", "qual"))])
-        yield from _batches(((i, *r) for i, r in enumerate(records(partition.paths[0]))), schema)
+        schema = pa.schema([("file_index", pa.int32()), ("ordinal", pa.int64()), *((c, pa.string()) for c in ("name", "description", "seq", "qual"))])
+        yield from _batches(((partition.index, i, *r) for i, r in enumerate(records(partition.paths[0]))), schema)
 
 
 class PairReader(DataSourceReader):
@@ -111,11 +115,11 @@ class PairReader(DataSourceReader):
         self.pairs = pairs
 
     def partitions(self) -> list[InputPartition]:
-        return [Files(p) for p in self.pairs]
+        return [Files(i, p) for i, p in enumerate(self.pairs)]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         names = ("r1_name", "r1_seq", "r1_qual", "r2_name", "r2_seq", "r2_qual")
-        schema = pa.schema([("pair_ordinal", pa.int64()), *((c, pa.string()) for c in names)])
+        schema = pa.schema([("file_index", pa.int32()), ("pair_ordinal", pa.int64()), *((c, pa.string()) for c in names)])
 
         def rows() -> Iterator[tuple]:
             one, two, n = records(partition.paths[0]), records(partition.paths[1]), 0
@@ -126,7 +130,7 @@ class PairReader(DataSourceReader):
                 if left is None or right is None:
                     short = partition.paths[0 if left is None else 1]
                     raise PairingError(f"{short} ends after {n} complete pairs, its mate file goes on")
-                yield (n, _full(left), left[2], left[3], _full(right), right[2], right[3])
+                yield (partition.index, n, _full(left), left[2], left[3], _full(right), right[2], right[3])
                 n += 1
 
         yield from _batches(rows(), schema)
@@ -189,16 +193,36 @@ def write_folder(rows: DataFrame, path: str, order: list[str], name: str = "name
     text.write.mode("overwrite").option("compression", "gzip" if path.endswith("gz") else "none").text(path)
 
 
-def write_file(rows: DataFrame, path: str, order: list[str], name: str = "name", seq: str = "seq", qual: str = "qual") -> int:
-    """Records in order as one file, streamed through the driver partition by partition; returns their number."""
-    text, n = rows.orderBy(*order).select(record_text(name, seq, qual).alias("value")), 0
-    system, inner = _file_system(path)
-    raw = system.open_output_stream(inner, compression=None)
-    with raw, gzip.GzipFile(fileobj=raw, mode="wb") if path.endswith("gz") else contextlib.nullcontext(raw) as out:
-        for row in text.toLocalIterator(prefetchPartitions=True):
-            out.write(f"{row['value']}\n".encode())
-            n += 1
-    return n
+def _hadoop(spark: SparkSession, path: str) -> tuple[object, object]:
+    """The file system of a path, and the path, as the JVM knows them."""
+    full = path if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", path) else f"file://{os.path.abspath(path)}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(full)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def join_parts(spark: SparkSession, folder: str, path: str) -> None:
+    """The part files of a folder as one file, in the order of their names; the folder goes."""
+    system, where = _hadoop(spark, folder)
+    out_system, out_where = _hadoop(spark, path)
+    out_system.setWriteChecksum(False)
+    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    out = out_system.create(out_where, True)
+    try:
+        for part in sorted((f.getPath() for f in system.listStatus(where)), key=lambda p: p.getName()):
+            if part.getName().startswith("part-"):
+                source = system.open(part)
+                copy(source, out, 1 << 20, False)
+                source.close()
+    finally:
+        out.close()
+    system.delete(where, True)
+
+
+def write_file(rows: DataFrame, path: str, order: list[str], name: str = "name", seq: str = "seq", qual: str = "qual") -> None:
+    """Records in order as one file: sorted parts beside it, then their bytes put together."""
+    parts = f"{path}.parts-{uuid.uuid4().hex}" + (".gz" if path.endswith("gz") else "")
+    write_folder(rows, _hadoop(rows.sparkSession, parts)[1].toString(), order, name, seq, qual)
+    join_parts(rows.sparkSession, parts, path)
 
 
 def write_pair_files(rows: DataFrame, r1: str, r2: str, order: str) -> None:
@@ -213,6 +237,19 @@ def count_records(path: str) -> int:
         return sum(1 for _ in lines) // 4
 
 
+def record_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, records) of many files, lines by four."""
+    full = [_hadoop(spark, p)[1].toString() for p in paths]
+    lines = spark.read.text(full).select(F.input_file_name().alias("read"))
+    counted = lines.groupBy("read").agg(F.floor(F.count(F.lit(1)) / 4).alias("n"))
+    # a name that Spark reports has its scheme spelt out
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    asked = spark.createDataFrame(list(zip(paths, full)), "path string, read string")
+    return asked.join(counted.select(plain("read").alias("r"), "n"), plain(asked["read"]) == F.col("r"), "left").select(
+        "path", F.coalesce("n", F.lit(0)).cast("long").alias("records")
+    )
+
+
 def check_gzip(path: str) -> None:
     """Decode a gzip file and discard it; damage is an error."""
     try:
@@ -223,6 +260,19 @@ def check_gzip(path: str) -> None:
         raise InputError(f"{path} is damaged: {e}") from e
 
 
-def head(pairs: DataFrame, n: int, ordinal: str = "pair_ordinal") -> DataFrame:
-    """The first n pairs by ordinal."""
-    return pairs.where(F.col(ordinal) < n)
+def with_place(rows: DataFrame, ordinal: str = "pair_ordinal", place: str = "place", most: int | None = None) -> DataFrame:
+    """Number rows through over all files, in the order of (file_index, ordinal).
+
+    Files are counted (each up to ``most`` rows, where later places don't matter), and only these
+    counts, one row per file, are summed in one task.
+    """
+    counted = rows if most is None else rows.where(F.col(ordinal) < most)
+    files = counted.groupBy("file_index").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file_index").rowsBetween(Window.unboundedPreceding, -1)
+    bases = files.select("file_index", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    return counted.join(bases, "file_index").withColumn(place, F.col("__base") + F.col(ordinal)).select(*rows.columns, place)
+
+
+def head(rows: DataFrame, n: int, ordinal: str = "pair_ordinal") -> DataFrame:
+    """The first n rows over all files."""
+    return with_place(rows, ordinal, "__place", n).where(F.col("__place") < n).drop("__place")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import json
+from collections import Counter
 
 import duckdb
 import pytest
@@ -12,8 +14,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from matewise.functions import columns as C
-from matewise.functions.errors import EvidenceError, InputError, PairingError
-from matewise.plans import catalogue, datagen, job
+from matewise.functions.errors import EvidenceError, InputError, OverlapError, PairingError
+from matewise.functions.params import EngineConfig, OverlapParams, OverlapTie
+from matewise.operators.assembly import assemble, pairs_from
+from matewise.plans import catalogue, datagen, job, progress
 from matewise.plans import warehouse as W
 from matewise.sources import fastq, tables
 from matewise.streaming import pairs as stream
@@ -96,6 +100,54 @@ def test_mismatch_budget(spark, tmp_path):
     assert not (tmp_path / "never.fastq").exists()
 
 
+@pytest.mark.parametrize("end", ["", ".gz"])
+def test_job_over_several_files(spark, tmp_path, end):
+    """Two pairs of files: outputs in the order of the lists, one mismatch budget over both."""
+    many = [_mix(9), _mix(30, mismatch=(5,)), _mix(4, mismatch=(0, 2))]
+    ones, twos = ([_fastq(tmp_path / f"{k}{i}.fastq{end}", f[k]) for i, f in enumerate(many)] for k in (0, 1))
+    out, rest = str(tmp_path / f"out.fastq{end}"), str(tmp_path / f"rest.fastq{end}")
+    s = job.run(spark, ",".join(ones), ",".join(twos), out, rest).stats
+    assert (s["pairs_seen"], s["mate_id_mismatches"], s["pairs_merged"]) == (49, 3, 40)
+    want = [f"m{i}" for i in range(9)] + [f"m{i}" for i in range(30) if i != 5] + ["m1", "m3"]
+    assert [r[0] for r in fastq.records(out)] == want
+    assert [r[0] for r in fastq.records(rest)] == ["none/1", "none/2", "low/1", "low/2"] * 3
+    with pytest.raises(PairingError, match="44 pairs seen"):
+        job.run(spark, ",".join(ones), ",".join(twos), str(tmp_path / "never.fastq"), max_mismatches=1)
+    assert sorted(x.name for x in tmp_path.iterdir() if not x.name[0].isdigit()) == [f"out.fastq{end}", f"rest.fastq{end}"]
+    fastq.register(spark)
+    pairs = spark.read.format("fastq_pairs").option("r1", ",".join(ones)).option("r2", ",".join(twos)).load()
+    got = [(r["file_index"], r["pair_ordinal"]) for r in fastq.head(pairs, 13).orderBy("file_index", "pair_ordinal").collect()]
+    assert got == [(0, i) for i in range(11)] + [(1, 0), (1, 1)]
+    assert [r["place"] for r in fastq.with_place(pairs).orderBy("place").collect()] == list(range(49))
+    assert {r["path"]: r["records"] for r in fastq.record_counts(spark, ones).collect()} == dict(zip(ones, (11, 32, 6)))
+
+
+def test_a_failed_pair_ends_the_job(spark, tmp_path):
+    one_, two = _mix(3)
+    two[1] = ("m1/2", rc(MIXED)[:-1] + "A" * 0, "I" * 55)
+    r1, r2 = _fastq(tmp_path / "a.fastq", one_), _fastq(tmp_path / "b.fastq", two)
+    config = EngineConfig(OverlapParams(5, 10, 0.2, 10, OverlapTie.REJECT))
+    with pytest.raises(OverlapError, match="m0/1: overlap_tie"):
+        job.run(spark, r1, r2, str(tmp_path / "o.fastq"), config=config)
+    assert not (tmp_path / "o.fastq").exists()
+
+
+def test_progress(spark, tmp_path):
+    one_, two = _mix(40)
+    r1, r2 = _fastq(tmp_path / "a.fastq", one_), _fastq(tmp_path / "b.fastq", two)
+    assert progress.message(Counter(merged=3, no_overlap=1, validation_rejected=1, mate_mismatch=1), 2.0) == (
+        "pairs=6 merged=3 unmerged=2 (60.0% merged) mate_mismatches=1 3 pairs/s top_unmerged=no_overlap:1"
+    )
+    assert progress.message(Counter(), 0.0).endswith("(0.0% merged) mate_mismatches=0 0 pairs/s top_unmerged=none")
+    fastq.register(spark)
+    named = pairs_from(spark.read.format("fastq_pairs").option("r1", r1).option("r2", r2).load(), "pair_ordinal")
+    for mode, lines in (("plain", 1), ("live", 0), ("off", 0)):
+        out = io.StringIO()
+        with progress.Progress(spark.sparkContext, 10, mode, out) as p:
+            assemble(named, seen=p.seen).count()
+        assert out.getvalue().count("\n") >= lines and ("pairs=42 merged=40" in out.getvalue()) == (mode != "off")
+
+
 def test_files_of_different_lengths(spark, tmp_path):
     one_, two = _mix(2)
     r1, r2 = _fastq(tmp_path / "a.fastq", one_), _fastq(tmp_path / "b.fastq", two[:-1])
