@@ -1,12 +1,17 @@
 """The evidence warehouse: six tables, their constraints, changes, and reports.
 
-Tables are Parquet folders under one root.  The facts (merged reads, artifacts,
-executions) are partitioned by run, dataset and tool, so replacing one tool's evidence
-overwrites its partitions alone, and reports on one run read only that run.
+Tables are Parquet folders under one root.  Merged reads, the one large table, are partitioned
+by run, dataset, tool and generation, so replacing one tool's evidence writes its partition
+alone, and reports on one run read only that run.  The other tables are small; a change writes
+them anew under another version.  Which versions hold is one small file that is replaced
+by an atomic rename, and an execution names the generation of its reads: a change of several
+tables shows as a whole or, on failure, not at all.  One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,20 +20,22 @@ from pyspark.sql.types import StructType
 
 from ..functions import columns as C
 from ..functions.errors import EvidenceError
+from ..sources import fastq, tables
 
 # The columns, keys, references and literals of the tables.
 SCHEMAS = {
-    "benchmark_runs": "run_key string, created_at string, completed_at string, status string, benchmark_mode string, read_pairs bigint, "
-    "replicates bigint, threads bigint, vcs_branch string, vcs_commit string, vcs_change string, vcs_description string, vcs_dirty boolean",
+    "benchmark_runs": "run_key string, created_at string, status string, completed_at string, benchmark_mode string, read_pairs bigint, "
+    "replicates bigint, threads bigint, run_dir string, config_path string, data_root string, vcs_kind string, vcs_change_id string, "
+    "vcs_commit_id string, vcs_description string, vcs_working_copy_dirty boolean",
     "dataset_subsets": "run_key string, dataset_name string, accession string, read_pairs bigint, r1_path string, r2_path string, "
     "r1_bytes bigint, r2_bytes bigint",
-    "tool_versions": "run_key string, tool string, version string, command string",
-    "tool_executions": "hyperfine_mean_s double, hyperfine_median_s double, hyperfine_stddev_s double, hyperfine_min_s double, "
-    "hyperfine_max_s double, hyperfine_user_s double, hyperfine_system_s double, merged_reads bigint, merged_read_records bigint, "
-    "output_dir string, run_key string, dataset_name string, tool string",
-    "merged_read_records": "read_id string, output_header string, merged_len bigint, avg_qual double, min_qual bigint, max_qual bigint, "
-    "sequence_hash string, quality_hash string, run_key string, dataset_name string, tool string",
-    "artifacts": "artifact_kind string, path string, required boolean, bytes bigint, run_key string, dataset_name string, tool string",
+    "tool_versions": "run_key string, tool string, path string, version string",
+    "tool_executions": "run_key string, dataset_name string, tool string, command string, execution_order bigint, hyperfine_mean_s double, "
+    "hyperfine_median_s double, hyperfine_stddev_s double, hyperfine_min_s double, hyperfine_max_s double, hyperfine_user_s double, "
+    "hyperfine_system_s double, merged_reads bigint, merged_read_records bigint, output_dir string",
+    "merged_read_records": "run_key string, dataset_name string, tool string, read_id string, output_header string, merged_len bigint, "
+    "avg_qual double, min_qual bigint, max_qual bigint, sequence_hash string, quality_hash string",
+    "artifacts": "run_key string, dataset_name string, tool string, artifact_kind string, path string, required boolean, bytes bigint",
 }
 KEYS = {
     "benchmark_runs": ["run_key"],
@@ -45,12 +52,32 @@ PARENTS = {
     "merged_read_records": ("tool_executions", ["run_key", "dataset_name", "tool"]),
     "artifacts": ("tool_executions", ["run_key", "dataset_name", "tool"]),
 }
-PARTITIONS = ["run_key", "dataset_name", "tool"]
-FACTS = ("tool_executions", "merged_read_records", "artifacts")
-OPTIONAL = {"completed_at", "vcs_branch", "vcs_commit", "vcs_change", "vcs_description", "vcs_dirty", "version", "hyperfine_stddev_s", "bytes"}
+OPTIONAL = {
+    "completed_at", "vcs_kind", "vcs_change_id", "vcs_commit_id", "vcs_description", "vcs_working_copy_dirty", "version", "hyperfine_stddev_s", "bytes"
+}
+#: Artifacts of every tool, and of each tool: kind, file below the output folder, required.  This engine's own carry its name.
+COMMON_ARTIFACTS = ("command", "stdout_log", "stderr_log", "hyperfine_json", "merged_fastq")
+TOOL_ARTIFACTS = {
+    "matewise": [("matewise_summary_json", "matewise.summary.json", True), ("matewise_unmerged_fastq", "matewise.unmerged.fastq", False)],
+    "fastp": [
+        ("fastp_json", "fastp.json", True),
+        ("fastp_html", "fastp.html", True),
+        ("fastp_unpaired1_fastq", "fastp.unpaired1.fastq", False),
+        ("fastp_unpaired2_fastq", "fastp.unpaired2.fastq", False),
+        ("fastp_failed_fastq", "fastp.failed.fastq", False),
+    ],
+    "bbmerge": [("bbmerge_unmerged1_fastq", "bbmerge.unmerged1.fastq", False), ("bbmerge_unmerged2_fastq", "bbmerge.unmerged2.fastq", False)],
+    "vsearch": [("vsearch_unmerged1_fastq", "vsearch.unmerged1.fastq", False), ("vsearch_unmerged2_fastq", "vsearch.unmerged2.fastq", False)],
+}
+ARTIFACT_KINDS = (*COMMON_ARTIFACTS, *(kind for some in TOOL_ARTIFACTS.values() for kind, _, _ in some))
 CHECKS = {
     "benchmark_runs": "status IN ('running', 'completed') AND (status = 'completed') = (completed_at IS NOT NULL)",
+    "artifacts": "artifact_kind IN (" + ", ".join(f"'{k}'" for k in ARTIFACT_KINDS) + ")",
 }
+RESULT_COLUMNS = {"run_key": "run_id", "dataset_name": "dataset"}
+# End of fixed values.
+PARTITIONS = ["run_key", "dataset_name", "tool"]
+RECORDS, GENERATION = "merged_read_records", "generation"
 
 
 def read_records(reads: DataFrame, header: str = "header", seq: str = "seq", qual: str = "qual") -> DataFrame:
@@ -127,6 +154,23 @@ def latest_run(runs: DataFrame, mode: str) -> DataFrame:
     return done.orderBy(F.desc("created_at"), F.desc("run_key")).limit(1)
 
 
+def artifacts_of(spark: SparkSession, execution: dict, paths: dict[str, str]) -> DataFrame:
+    """The artifacts of an execution (run_key, dataset_name, tool, output_dir): the common ones at ``paths``, and its tool's.
+
+    A file that isn't there has no bytes.
+    """
+    folder = execution["output_dir"].rstrip("/")
+    named = [(k, paths[k], True) for k in COMMON_ARTIFACTS]
+    named += [(kind, paths.get(kind, f"{folder}/{name}"), needed) for kind, name, needed in TOOL_ARTIFACTS.get(execution["tool"], [])]
+    rows = [(*(execution[c] for c in PARTITIONS), kind, path, needed, fastq.file_size(path)) for kind, path, needed in named]
+    return spark.createDataFrame(rows, SCHEMAS["artifacts"])
+
+
+def missing_artifacts(artifacts: DataFrame) -> DataFrame:
+    """Required artifacts whose file isn't there."""
+    return artifacts.where("required AND bytes IS NULL").select(*KEYS["artifacts"], "path")
+
+
 @dataclass(frozen=True)
 class Warehouse:
     spark: SparkSession
@@ -136,87 +180,145 @@ class Warehouse:
     def create(cls, spark: SparkSession, root: str) -> Warehouse:
         """Open a warehouse, making the tables it lacks."""
         found = cls(spark, root.rstrip("/"))
-        for name in SCHEMAS:
-            if not found._exists(name):
-                found._write(name, spark.createDataFrame([], SCHEMAS[name]), "append")
+        have = found._versions()
+        found._switch(have | {n: found._write(n, spark.createDataFrame([], found._schema(n))) for n in SCHEMAS if n != RECORDS and n not in have})
         return found
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Warehouse:
         """Open an existing warehouse; one that isn't there is an error and isn't made."""
         found = cls(spark, root.rstrip("/"))
-        if not all(found._exists(name) for name in SCHEMAS):
+        if set(found._versions()) != set(SCHEMAS) - {RECORDS}:
             raise EvidenceError(f"no warehouse at {root}")
         return found
 
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def _exists(self, name: str) -> bool:
-        path = self._path(name)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-    def _write(self, name: str, rows: DataFrame, mode: str) -> None:
-        out = rows.write.mode(mode)
-        if name in FACTS:
-            out = out.partitionBy(*PARTITIONS).option("partitionOverwriteMode", "dynamic")
-        out.parquet(f"{self.root}/{name}")
+    def _system(self):
+        return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _versions(self) -> dict[str, str]:
+        """The version of each small table that holds."""
+        if not self._system().exists(self._path("versions.json")):
+            return {}
+        lines = self.spark.read.text(f"{self.root}/versions.json", wholetext=True).first()
+        return json.loads(lines["value"])
+
+    def _switch(self, versions: dict[str, str]) -> None:
+        """Make versions hold, all at once."""
+        jvm, new = self.spark.sparkContext._jvm, self._path(f"versions-{uuid.uuid4().hex}.json")
+        out = self._system().create(new, True)
+        out.write(json.dumps(versions).encode())
+        out.close()
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(new, self._path("versions.json"), how)
 
     def _schema(self, name: str) -> StructType:
-        return self.spark.createDataFrame([], SCHEMAS[name]).schema
+        schema = self.spark.createDataFrame([], SCHEMAS[name]).schema
+        return schema.add(GENERATION, "string") if name == "tool_executions" else schema
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        """A small table anew, as one file; returns its version, which doesn't hold yet."""
+        version = uuid.uuid4().hex
+        cast = rows.select(*[F.col(f.name).cast(f.dataType) for f in self._schema(name).fields])
+        cast.coalesce(1).write.parquet(f"{self.root}/{name}/{version}")
+        return version
+
+    def _held(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self._schema(name)).parquet(f"{self.root}/{name}/{self._versions()[name]}")
+
+    def _generation(self, key: dict) -> str:
+        return f"{self.root}/{RECORDS}/" + "/".join(f"{c}={key[c]}" for c in (*PARTITIONS, GENERATION))
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(self._schema(name)).parquet(f"{self.root}/{name}")
+        """A table as it stands now."""
+        if name != RECORDS:
+            return self._held(name).drop(GENERATION)
+        schema = self.spark.createDataFrame([], SCHEMAS[name]).schema
+        if not self._system().exists(self._path(RECORDS)):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(StructType(schema.fields).add(GENERATION, "string")).parquet(f"{self.root}/{RECORDS}")
+        standing = F.broadcast(self._held("tool_executions").select(*PARTITIONS, GENERATION))  # a row for each execution
+        return rows.join(standing, [*PARTITIONS, GENERATION], "left_semi").select(*schema.fieldNames())
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self._write(name, rows.select(*[F.col(f.name).cast(f.dataType) for f in self._schema(name).fields]), "append")
+        """Add rows to a small table; merged reads come with :meth:`replace_evidence`."""
+        if name == RECORDS:
+            raise EvidenceError("merged reads belong to an execution: use replace_evidence")
+        held = self._held(name)
+        for c in held.columns:
+            rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None))
+        self._switch(self._versions() | {name: self._write(name, held.unionByName(rows.select(*held.columns)))})
 
     def insert(self, name: str, *rows: dict) -> None:
-        fields = self._schema(name).fieldNames()
+        fields = self.spark.createDataFrame([], SCHEMAS[name]).schema.fieldNames()
         self.append(name, self.spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], SCHEMAS[name]))
 
     def complete_run(self, run_key: str, at: str) -> None:
-        """Mark a run completed: the small table of runs is rewritten."""
-        runs = self.table("benchmark_runs")
-        hit = F.col("run_key") == run_key
+        """Mark a run completed."""
+        runs, hit = self._held("benchmark_runs"), F.col("run_key") == run_key
         done = runs.withColumn("status", F.when(hit, "completed").otherwise(F.col("status"))).withColumn(
             "completed_at", F.when(hit, at).otherwise(F.col("completed_at"))
         )
-        rows = [tuple(r) for r in done.collect()]  # one row per run
-        self.spark.createDataFrame(rows, SCHEMAS["benchmark_runs"]).write.mode("overwrite").parquet(f"{self.root}/benchmark_runs")
+        self._switch(self._versions() | {"benchmark_runs": self._write("benchmark_runs", done)})
+
+    def _executions_with(self, row: dict, generation: str | None) -> DataFrame:
+        held = self._held("tool_executions")
+        fields = [f for f in held.columns if f != GENERATION]
+        new = self.spark.createDataFrame([tuple(row.get(f) for f in fields)], SCHEMAS["tool_executions"])
+        if generation is not None:
+            new = new.withColumn(GENERATION, F.lit(generation))
+        else:  # the reads of the execution that was there stay its reads
+            new = new.join(held.select(*PARTITIONS, GENERATION), PARTITIONS, "left").select(*held.columns)
+        return upserted(held, new, PARTITIONS)
 
     def upsert_execution(self, row: dict) -> None:
         """Replace the execution of a run, dataset and tool, or add it."""
-        fields = self._schema("tool_executions").fieldNames()
-        frame = self.spark.createDataFrame([tuple(row.get(f) for f in fields)], SCHEMAS["tool_executions"])
-        self._write("tool_executions", frame, "overwrite")
+        rows = self._executions_with(row, None)
+        self._switch(self._versions() | {"tool_executions": self._write("tool_executions", rows)})
 
-    def replace_evidence(self, execution: dict, records: DataFrame) -> None:
-        """Replace a tool's execution and merged reads together.
+    def replace_evidence(self, execution: dict, records: DataFrame, artifacts: DataFrame | None = None) -> None:
+        """Replace a tool's execution, merged reads and artifacts together.
 
-        Everything is checked before anything visible changes: records of one execution,
-        no read twice, as many as the execution says.  On failure the old rows stay.
+        Everything is checked before anything visible changes: no read twice, as many as the
+        execution says.  On failure the old rows stay, all of them.
         """
-        names = [f.name for f in self._schema("merged_read_records").fields]
-        staged = f"{self.root}/_staged/{execution['run_key']}/{execution['dataset_name']}/{execution['tool']}"
-        named = records
-        for c in PARTITIONS:
-            named = named.withColumn(c, F.lit(execution[c]))
-        named.select(*names).write.mode("overwrite").parquet(staged)
-        held = self.spark.read.schema(self._schema("merged_read_records")).parquet(staged)
-        if twice := held.groupBy("read_id").count().where("count > 1").first():
-            raise EvidenceError(f"read {twice['read_id']} is merged {twice['count']} times")
-        if (n := held.count()) != execution["merged_read_records"]:
-            raise EvidenceError(f"{n} merged reads, but the execution says {execution['merged_read_records']}")
-        if n:
-            self._write("merged_read_records", held, "overwrite")
-        else:
-            self._drop_partition("merged_read_records", execution)
-        self.upsert_execution(execution)
-
-    def _drop_partition(self, name: str, key: dict) -> None:
-        path = self._path(name + "".join(f"/{c}={key[c]}" for c in PARTITIONS))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        generation = uuid.uuid4().hex
+        path, names = self._generation(execution | {GENERATION: generation}), [f for f in records.columns if f not in PARTITIONS]
+        schema = StructType([f for f in self._schema(RECORDS).fields if f.name not in PARTITIONS])
+        try:
+            records.select(*names).write.parquet(path)
+            held = self.spark.read.schema(schema).parquet(path)
+            if twice := duplicate_ids(held).first():
+                raise EvidenceError(f"read {twice['read_id']} is merged {twice['n']} times")
+            if (n := held.count()) != execution["merged_read_records"]:
+                raise EvidenceError(f"{n} merged reads, but the execution says {execution['merged_read_records']}")
+            new = {"tool_executions": self._write("tool_executions", self._executions_with(execution, generation))}
+            mine = " AND ".join(f"{c} = '{execution[c]}'" for c in PARTITIONS)
+            rest = self._held("artifacts").where(f"NOT ({mine})")
+            new["artifacts"] = self._write("artifacts", rest if artifacts is None else rest.unionByName(artifacts))
+        except Exception:
+            self._system().delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), True)
+            raise
+        self._switch(self._versions() | new)
+
+    def vacuum(self) -> int:
+        """Delete what no version that holds refers to; returns how many folders went.  Not while reports still read."""
+        system, held, gone = self._system(), self._versions(), 0
+        standing = {self._generation(r.asDict()) for r in self._held("tool_executions").where(f"{GENERATION} IS NOT NULL").collect()}
+        old = [f.getPath() for n in held for f in system.listStatus(self._path(n)) if f.getPath().getName() != held[n]]
+        if system.exists(self._path(RECORDS)):
+            for f in system.globStatus(self._path(f"{RECORDS}/*/*/*/*")) or []:
+                below = f.getPath().toString().partition(f"/{RECORDS}/")[2]
+                if f"{self.root}/{RECORDS}/{below}" not in standing:
+                    old.append(f.getPath())
+        for path in old:
+            gone += system.delete(path, True)
+        return gone
 
     def violations(self) -> DataFrame:
         """(table, rule, key) of every broken key, reference, check or missing value."""
@@ -281,31 +383,83 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("__r", rank).where("__r = 1").drop("__n", "__r")
 
 
-def accounting(expected_pairs: int, reported_pairs: int, joined: int, records: int, parts: list[int], unmerged: tuple[int, int] | None, log: str) -> list[str]:
-    """What in a tool's own numbers doesn't add up; empty if all does."""
+def duplicate_ids(records: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, read_id, n) of reads that are there more than once."""
+    return records.groupBy(*keys, "read_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def accounting(expected_pairs: int, reported_pairs: int, joined: int, records: int, parts: list[int], unmerged: list[int], log: str) -> list[str]:
+    """What in a tool's own numbers doesn't add up; empty if all does.
+
+    ``parts`` are the outcomes it reports, ``unmerged`` the records of each of its unmerged files.
+    """
     wrong = []
     if reported_pairs != expected_pairs:
         wrong.append(f"reported {reported_pairs} pairs, expected {expected_pairs}")
     if joined != records:
         wrong.append(f"reported {joined} joined reads, but {records} records")
-    if parts and sum(parts) != reported_pairs:
-        wrong.append(f"outcomes sum to {sum(parts)} of {reported_pairs} pairs")
-    if unmerged is not None and unmerged[0] != unmerged[1]:
-        wrong.append(f"unmerged files differ: {unmerged[0]} and {unmerged[1]} records")
+    if parts and sum(parts) != expected_pairs:
+        wrong.append(f"outcomes sum to {sum(parts)} of {expected_pairs} pairs")
+    wrong += [f"an unmerged file has {n} records, expected {expected_pairs - joined}" for n in unmerged if n != expected_pairs - joined]
     if "Exception in thread" in log or "java.lang." in log:
         wrong.append("the log holds an exception")
     return wrong
 
 
+#: What a tool's log says of its pairs (fixed values): labels before or words after a number; pairs, merged, then the other outcomes.
+LOG_METRICS = {"bbmerge": ("label", ["Pairs", "Joined", "No Solution", "Too Short"]), "vsearch": ("words", ["Pairs", "Merged", "Not merged"])}
+
+
+def check_tool(spark: SparkSession, tool: str, folder: str, expected_pairs: int, merged_path: str, log_path: str | None = None) -> None:
+    """Hold a tool's log against its files; anything that doesn't add up is an error.  Tools without a known log pass."""
+    if tool not in LOG_METRICS:
+        return
+    kind, names = LOG_METRICS[tool]
+    path = log_path or f"{folder.rstrip('/')}/{tool}.stderr.log"
+    found = tables.log_metrics(spark, path, names if kind == "label" else [], names if kind == "words" else [])
+    if lost := [n for n in names if found[n] is None]:
+        raise EvidenceError(f"{path} lacks {', '.join(lost)}")
+    pairs, joined, *rest = (found[n] for n in names)
+    exceptions = spark.read.text(path).where("value LIKE '%Exception in thread%' OR value LIKE '%java.lang.%'").limit(1).collect()
+    unmerged = [p for _, name, _ in TOOL_ARTIFACTS[tool] if fastq.file_size(p := f"{folder.rstrip('/')}/{name}") is not None] if tool == "bbmerge" else []
+    counts = {r["path"]: r["records"] for r in fastq.record_counts(spark, [merged_path, *unmerged]).collect()}
+    wrong = accounting(
+        expected_pairs, pairs, joined, counts[merged_path], [joined, *rest], [counts[p] for p in unmerged], "".join(r["value"] for r in exceptions)
+    )
+    if wrong:
+        raise EvidenceError(f"{tool}: {'; '.join(wrong)}")
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Tool results as a folder with one tab-separated file: 20 columns, an empty cell for a missing deviation."""
+    if results.limit(1).count() == 0:
+        raise EvidenceError("no tool results")
+    tables.write_tsv(results.withColumnsRenamed(RESULT_COLUMNS), path)
+
+
 def timing_markdown(rows: list[dict]) -> str:
-    """Tool results as a rounded Markdown table."""
-    head = ["dataset", "tool", "mean s", "median s", "stddev s", "min s", "max s", "merged reads"]
+    """Tool results as a Markdown table of 8 columns."""
+    head = ["dataset", "tool", "mean_s", "median_s", "stddev_s", "min_s", "max_s", "merged_reads"]
 
-    def number(x: float | None) -> str:
-        return "" if x is None else f"{x:.3f}"
+    def cell(x: object) -> str:
+        return "" if x is None else str(x)
 
-    lines = ["| " + " | ".join(head) + " |", "|" + " --- |" * len(head)]
+    lines = ["| " + " | ".join(head) + " |", "| --- | --- |" + " ---: |" * 6]
     for r in rows:
-        cells = [r["dataset_name"], r["tool"], *(number(r[f"{x}_s"]) for x in ("mean", "median", "stddev", "min", "max")), str(r["merged_reads"])]
-        lines.append("| " + " | ".join(cells) + " |")
+        lines.append("| " + " | ".join([r["dataset_name"], r["tool"], *(cell(r[c]) for c in head[2:])]) + " |")
     return "\n".join(lines) + "\n"
+
+
+def overlap_table(rows: list[dict]) -> str:
+    """The agreement report as a table with rounded corners; it needs two tools."""
+    if not rows:
+        raise EvidenceError("an overlap report needs two tools in one run")
+    names = ["dataset", "left_tool", "right_tool", "left_merged", "right_merged", "shared_merged", "left_only", "right_only", "jaccard"]
+    cells = [names, *([str(r["dataset_name" if n == "dataset" else n]) for n in names] for r in rows)]
+    widths = [max(len(row[k]) for row in cells) for k in range(len(names))]
+
+    def rule(left: str, middle: str, right: str) -> str:
+        return left + middle.join("─" * (w + 2) for w in widths) + right
+
+    body = ["│" + "│".join(f" {x:<{w}} " for x, w in zip(row, widths)) + "│" for row in cells]
+    return "\n".join([rule("╭", "┬", "╮"), body[0], rule("├", "┼", "┤"), *body[1:], rule("╰", "┴", "╯")]) + "\n"

@@ -41,6 +41,13 @@ def _file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", path) else f"file://{os.path.abspath(path)}")
 
 
+def file_size(path: str) -> int | None:
+    """Bytes of a file, or None where there is none."""
+    system, inner = _file_system(path)
+    info = system.get_file_info(inner)
+    return info.size if info.type == pyarrow.fs.FileType.File else None
+
+
 def open_lines(path: str) -> io.BufferedReader:
     """A file's bytes, unpacked if its extension is gz."""
     try:
@@ -239,6 +246,7 @@ def count_records(path: str) -> int:
 
 def record_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, records) of many files, lines by four."""
+    paths = sorted(set(paths))
     full = [_hadoop(spark, p)[1].toString() for p in paths]
     lines = spark.read.text(full).select(F.input_file_name().alias("read"))
     counted = lines.groupBy("read").agg(F.floor(F.count(F.lit(1)) / 4).alias("n"))

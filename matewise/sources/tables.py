@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import effective_pairs
 from ..functions.errors import InputError
+from . import fastq
 
 
 def datasets(spark: SparkSession, path: str) -> DataFrame:
@@ -42,6 +43,36 @@ def write_tsv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, nullValue="", emptyValue="")
 
 
+# The columns of the two metadata files.
+SOURCE_COLUMNS = ("name", "accession", "run", "platform", "layout", "strategy", "read_count", "base_count", "r1", "r2", "note")
+SUBSET_COLUMNS = ("name", "accession", "read_pairs", "r1", "r2", "r1_bytes", "r2_bytes", "r1_records", "r2_records")
+
+
+def write_source(spark: SparkSession, path: str, dataset: dict, listing: dict, r1: str, r2: str) -> None:
+    """Metadata of a fetched dataset, a row of 11 columns; the run must be paired, with two files."""
+    paired_run(listing["layout"], listing["urls"])
+    row = dataset | listing | {"r1": r1, "r2": r2}
+    write_tsv(spark.createDataFrame([tuple(str(row.get(c, "")) for c in SOURCE_COLUMNS)], list(SOURCE_COLUMNS)), path)
+
+
+def write_subset(spark: SparkSession, path: str, source: dict, read_pairs: int, r1: str, r2: str) -> None:
+    """Metadata of a prepared subset, a row of 9 columns: sizes and records are read from its files."""
+    for p in (r1, r2):
+        if p.endswith("gz"):
+            fastq.check_gzip(p)
+    counts = {r["path"]: r["records"] for r in fastq.record_counts(spark, [r1, r2]).collect()}
+    row = (source["name"], source["accession"], read_pairs, r1, r2, fastq.file_size(r1), fastq.file_size(r2), counts[r1], counts[r2])
+    write_tsv(spark.createDataFrame([tuple(map(str, row))], list(SUBSET_COLUMNS)), path)
+
+
+def read_source(spark: SparkSession, path: str) -> dict[str, str]:
+    return metadata(spark, path, 10)
+
+
+def read_subset(spark: SparkSession, path: str) -> dict[str, str]:
+    return metadata(spark, path, 5)
+
+
 def paired_run(layout: str, urls: str) -> list[str]:
     """The two files of a sequencing run's listing; it must be paired."""
     found = [u for u in urls.split(";") if u]

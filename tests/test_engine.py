@@ -208,25 +208,37 @@ def test_small_sources(spark, tmp_path):
         tables.paired_run("SINGLE", "a;b")
 
 
-def _execution(tool, n):
+def _execution(tool, n, folder="o"):
     return dict(
-        run_key="r1", dataset_name="d", tool=tool, hyperfine_mean_s=1.0, hyperfine_median_s=1.0, hyperfine_stddev_s=None, hyperfine_min_s=1.0,
-        hyperfine_max_s=1.0, hyperfine_user_s=1.0, hyperfine_system_s=1.0, merged_reads=n, merged_read_records=n, output_dir="o",
+        run_key="r1", dataset_name="d", tool=tool, command="run it", execution_order=1, hyperfine_mean_s=1.5, hyperfine_median_s=1.0,
+        hyperfine_stddev_s=None, hyperfine_min_s=1.0, hyperfine_max_s=1.0, hyperfine_user_s=1.0, hyperfine_system_s=1.0, merged_reads=n,
+        merged_read_records=n, output_dir=folder,
     )
 
 
-def test_warehouse(spark, tmp_path):
-    with pytest.raises(EvidenceError):
-        W.Warehouse.open(spark, str(tmp_path / "none"))
-    assert not (tmp_path / "none").exists()
+def _run(key="r1", **more):
+    return dict(
+        run_key=key, created_at="20240101T000000Z", status="running", benchmark_mode="default", read_pairs=10, replicates=3, threads=8,
+        run_dir="runs/r1", config_path="c.tsv", data_root="data", vcs_kind="git",
+    ) | more
+
+
+def _warehouse(spark, tmp_path):
     w = W.Warehouse.create(spark, str(tmp_path / "w"))
-    w.insert("benchmark_runs", dict(run_key="r1", created_at="20240101T000000Z", status="running", benchmark_mode="default", read_pairs=10, replicates=3, threads=8))
+    w.insert("benchmark_runs", _run())
     w.insert("dataset_subsets", dict(run_key="r1", dataset_name="d", accession="X", read_pairs=10, r1_path="a", r2_path="b", r1_bytes=1, r2_bytes=2))
+    return w
+
+
+def _reads(spark, *ids):
+    return W.read_records(spark.createDataFrame([(f"@{i} x", "ACGT", "IIII") for i in ids], "header string, seq string, qual string"))
 
-    def reads(*ids):
-        rows = [(f"@{i} x", "ACGT", "IIII") for i in ids]
-        return W.read_records(spark.createDataFrame(rows, "header string, seq string, qual string"))
 
+def test_warehouse(spark, tmp_path):
+    with pytest.raises(EvidenceError):
+        W.Warehouse.open(spark, str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+    w, reads = _warehouse(spark, tmp_path), lambda *ids: _reads(spark, *ids)
     w.replace_evidence(_execution("one", 2), reads("a", "b"))
     w.replace_evidence(_execution("two", 3), reads("b", "c", "d"))
     w.upsert_execution(_execution("zero", 0))
@@ -234,6 +246,7 @@ def test_warehouse(spark, tmp_path):
     with pytest.raises(EvidenceError):
         w.latest("default")
     w.complete_run("r1", "20240102T000000Z")
+    w = W.Warehouse.open(spark, w.root)
     assert w.latest("default") == "r1" and w.run("r1").count() == 1
     got = {(r["left_tool"], r["right_tool"]): (r["left_merged"], r["right_merged"], r["shared_merged"], r["jaccard"]) for r in w.agreement_report("r1").collect()}
     assert got == {("one", "two"): (2, 3, 1, 0.25), ("one", "zero"): (2, 0, 0, 0.0), ("two", "zero"): (3, 0, 0, 0.0)}
@@ -242,13 +255,100 @@ def test_warehouse(spark, tmp_path):
             w.replace_evidence(_execution("one", 2), bad)
     assert {r["read_id"] for r in w.table("merged_read_records").where("tool = 'one'").collect()} == {"a", "b"}
     w.validate()
-    w.insert("artifacts", dict(run_key="r1", dataset_name="lost", tool="one", artifact_kind="log", path="p", required=True))
+    w.insert("artifacts", dict(run_key="r1", dataset_name="lost", tool="one", artifact_kind="command", path="p", required=True))
     with pytest.raises(EvidenceError, match="reference"):
         w.validate()
     rows = [r.asDict() for r in w.tool_results("r1").collect()]
-    assert len(rows[0]) == 20 and W.timing_markdown(rows).startswith("| dataset | tool |")
-    assert W.accounting(10, 10, 5, 5, [5, 5], (5, 5), "") == []
-    assert len(W.accounting(10, 9, 5, 4, [5, 5], (5, 4), "java.lang.Error")) == 5
+    assert len(rows[0]) == 20 and "| d | one | 1.5 | 1.0 |  | 1.0 | 1.0 | 2 |" in W.timing_markdown(rows)
+    W.write_results(w.tool_results("r1"), str(tmp_path / "results"))
+    text = next(p for p in (tmp_path / "results").iterdir() if p.name.startswith("part-")).read_text().splitlines()
+    assert text[0].split("\t")[:3] == ["run_id", "benchmark_mode", "dataset"] and len(text) == 4
+    assert text[1].split("\t")[8:11] == ["1.5", "1.0", ""]
+    table = W.overlap_table([r.asDict() for r in w.agreement_report("r1").collect()]).splitlines()
+    assert table[0].startswith("╭─") and len(table) == 7 and "│ one       │ two        │ 2" in table[3]
+    for empty in (lambda: W.overlap_table([]), lambda: W.write_results(w.tool_results("none"), str(tmp_path / "no"))):
+        with pytest.raises(EvidenceError):
+            empty()
+
+
+def test_evidence_changes_as_a_whole(spark, tmp_path, monkeypatch):
+    w, reads = _warehouse(spark, tmp_path), lambda *ids: _reads(spark, *ids)
+    log = spark.createDataFrame([("r1", "d", "one", "command", "old", True, 1)], W.SCHEMAS["artifacts"])
+    w.replace_evidence(_execution("one", 1), reads("a"), log)
+    state = lambda: [sorted(map(tuple, w.table(n).collect()), key=str) for n in W.SCHEMAS]
+    before, switch = state(), W.Warehouse._switch
+    monkeypatch.setattr(W.Warehouse, "_switch", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    for change in (lambda: w.replace_evidence(_execution("one", 2), reads("b", "c")), lambda: w.complete_run("r1", "t"), lambda: w.upsert_execution(_execution("x", 0))):
+        with pytest.raises(RuntimeError):
+            change()
+        assert state() == before
+    monkeypatch.setattr(W.Warehouse, "_switch", switch)
+    w.replace_evidence(_execution("one", 2), reads("b", "c"))
+    assert {r["read_id"] for r in w.table("merged_read_records").collect()} == {"b", "c"} and w.table("artifacts").count() == 0
+    w.upsert_execution(_execution("one", 2, "elsewhere"))
+    assert w.table("merged_read_records").count() == 2 and w.table("tool_executions").first()["output_dir"] == "elsewhere"
+    now = state()
+    assert w.vacuum() > 3 and state() == now and w.vacuum() == 0
+    with pytest.raises(EvidenceError):
+        w.append("merged_read_records", reads("z"))
+
+
+def test_artifacts(spark, tmp_path):
+    assert len(W.ARTIFACT_KINDS) == 16
+    for name in ("fastp.json", "out.fastq"):
+        (tmp_path / name).write_text("12345")
+    paths = {k: str(tmp_path / ("out.fastq" if k == "merged_fastq" else k)) for k in W.COMMON_ARTIFACTS}
+    rows = W.artifacts_of(spark, _execution("fastp", 1, str(tmp_path)), paths)
+    got = {r["artifact_kind"]: (r["required"], r["bytes"]) for r in rows.collect()}
+    assert len(got) == 10 and got["merged_fastq"] == (True, 5) and got["fastp_json"] == (True, 5) and got["fastp_failed_fastq"] == (False, None)
+    assert {r["artifact_kind"] for r in W.missing_artifacts(rows).collect()} == {"command", "stdout_log", "stderr_log", "hyperfine_json", "fastp_html"}
+    w = _warehouse(spark, tmp_path)
+    w.replace_evidence(_execution("fastp", 0, str(tmp_path)), _reads(spark, "a").limit(0), rows)
+    w.validate()
+    w.insert("artifacts", dict(run_key="r1", dataset_name="d", tool="fastp", artifact_kind="photo", path="p", required=True))
+    with pytest.raises(EvidenceError, match="artifacts: check"):
+        w.validate()
+
+
+def test_tool_accounting(spark, tmp_path):
+    assert W.accounting(10, 10, 5, 5, [5, 5], [5, 5], "") == []
+    assert len(W.accounting(10, 9, 5, 4, [5, 4], [5, 4], "java.lang.Error")) == 5
+    record = "@a\nA\n+\nI\n"
+    (tmp_path / "m.fastq").write_text(record * 7)
+    (tmp_path / "bbmerge.unmerged1.fastq").write_text(record * 3)
+    log = "Pairs:  10\t100%\nJoined:  7 \t70%\nNo Solution: 2\nToo Short: 1\n"
+    (tmp_path / "bbmerge.stderr.log").write_text(log)
+    check = lambda tool="bbmerge", pairs=10: W.check_tool(spark, tool, str(tmp_path), pairs, str(tmp_path / "m.fastq"))
+    check()
+    (tmp_path / "vsearch.stderr.log").write_text("  10  Pairs\n   7  Merged (70.0%)\n   3  Not merged (30.0%)\n")
+    check("vsearch")
+    check("unknown")
+    (tmp_path / "bbmerge.unmerged2.fastq").write_text(record * 4)
+    with pytest.raises(EvidenceError, match="4 records, expected 3"):
+        check()
+    (tmp_path / "bbmerge.unmerged2.fastq").write_text(record * 3)
+    with pytest.raises(EvidenceError, match="reported 10 pairs, expected 11"):
+        check(pairs=11)
+    for text, message in ((log + "java.lang.OutOfMemoryError\n", "exception"), (log.replace("Joined", "Jonied"), "lacks Joined")):
+        (tmp_path / "bbmerge.stderr.log").write_text(text)
+        with pytest.raises(EvidenceError, match=message):
+            check()
+
+
+def test_metadata_files(spark, tmp_path):
+    r1 = _fastq(tmp_path / "a.fastq.gz", [("x", "ACGT", "IIII")] * 3)
+    dataset = {"name": "d", "accession": "X1", "note": "few"}
+    listing = {"run": "R", "platform": "P", "layout": "PAIRED", "strategy": "S", "read_count": 3, "base_count": 12, "urls": "u1;u2"}
+    tables.write_source(spark, str(tmp_path / "source"), dataset, listing, r1, r1)
+    source = tables.read_source(spark, str(tmp_path / "source"))
+    assert (source["name"], source["r1"], source["note"]) == ("d", r1, "few")
+    tables.write_subset(spark, str(tmp_path / "subset"), source, 3, r1, r1)
+    subset = tables.read_subset(spark, str(tmp_path / "subset"))
+    assert (subset["read_pairs"], subset["r2_records"]) == ("3", "3") and int(subset["r1_bytes"]) > 20
+    with pytest.raises(InputError):
+        tables.write_source(spark, str(tmp_path / "x"), dataset, listing | {"layout": "SINGLE"}, r1, r1)
+    with pytest.raises(InputError):
+        tables.metadata(spark, str(tmp_path / "subset"), 10)
 
 
 QUERIES = sorted(set(catalogue.queries()) - {"fastq_roundtrip"})
