@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +19,8 @@ from ..functions.params import (
     ValidationPolicy,
 )
 from ..operators import relational as R
-from ..operators.assembly import PairFlow, assemble, compare, pairs_from, run_steps
+from ..operators.assembly import Assembler, PairFlow, Read, assemble, compare, pairs_from, run_steps
+from . import evidence_queries, file_queries
 from . import oracles as O
 from . import stats as S
 from . import warehouse as W
@@ -101,7 +102,8 @@ def _search(tie: OverlapTie) -> Query:
 
 def _complexity(tail: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return R.complexity_need(_names(spark, sf_dir), "key", "r1_seq", 3, 30, "need", tail)
+        rows = pairs(spark, sf_dir).withColumn("mates_match", F.lit(True))
+        return run_steps(rows, EngineConfig(), ("need_tail" if tail else "need_head",)).select("key", F.col("min_informative").alias("need"))
 
     return query
 
@@ -112,16 +114,9 @@ def min_informative_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = PairFlow(pairs(spark, sf_dir)).find_overlap().validate().found()
-    n = F.col("overlap_len")
-    return rows.select(
-        "key",
-        "overlap_len",
-        "min_informative",
-        "mismatches",
-        F.round(F.col("expected_errors") + 3e-5, 1).alias("expected_errors"),
-        F.round(F.col("mismatches") / n, 6).alias("observed_rate"),
-    )
+    rows = PairFlow(pairs(spark, sf_dir).where("mates_match")).find_overlap().validate().metrics()
+    rounded = {c: F.round(c, 6) for c in ("expected_errors", "observed_rate", "expected_rate")}
+    return rows.withColumns(rounded)
 
 
 def _validate(policy: ValidationPolicy) -> Query:
@@ -252,18 +247,69 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.latest_run(_runs(spark, sf_dir)[0], "default")
 
 
-def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs written as two FASTQ files in the shared folder and read again in step."""
-    from ..sources import fastq
+def overlap_tie_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes where equally good overlaps of both directions are an error."""
+    rows = PairFlow(pairs(spark, sf_dir)).find_overlap(OverlapParams(tie=OverlapTie.REJECT)).result()
+    return rows.select("key", "status", "reason", *OVERLAP_COLUMNS)
+
+
+def merge_prefer_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes where equally sure mates that differ are an error."""
+    return PairFlow(pairs(spark, sf_dir)).find_overlap().merge(MergeParams(BaseTie.REJECT)).result().select("key", "status", "reason")
+
+
+def overlap_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that overlap and pairs that don't, as an inspecting flow sees them."""
+    seen: list[DataFrame] = []
+    flow = PairFlow(pairs(spark, sf_dir).where("mates_match")).find_overlap()
+    flow.inspect(lambda d: seen.append(d.select("key", F.lit("found").alias("outcome")))).inspect(
+        lambda d: seen.append(d.select("key", F.lit("no_overlap").alias("outcome"))), found=False
+    )
+    return seen[0].unionByName(seen[1])
+
+
+def validate_custom_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of the caller's in the loose policy: floor and allowance stay the policy's."""
+    return _validate(POLICIES["loose"].with_score(40))(spark, sf_dir)
+
+
+def valid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each pair that overlaps is valid, merged first and validated then."""
+    flow = PairFlow(pairs(spark, sf_dir).where("mates_match")).find_overlap().merge().validate()
+    return flow.found().select("key", flow.valid().alias("is_valid"))
+
 
-    fastq.register(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    root = f"{shared.rstrip('/')}/fastq-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
-    fastq.write_pair_files(generated(spark, sf_dir), f"{root}/r1.fastq", f"{root}/r2.fastq.gz", order="key")
-    read = spark.read.format("fastq_pairs").option("r1", f"{root}/r1.fastq").option("r2", f"{root}/r2.fastq.gz").load()
-    return read.select("pair_ordinal", "r1_name", "r1_seq", "r1_qual", "r2_name", "r2_seq", "r2_qual")
+def broken_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of pairs with missing, cut and foreign parts; with k-mers longer than some reads."""
+    rows = generated(spark, sf_dir)
+    fault = F.col("key") % 8
+    rows = rows.select(
+        "key",
+        F.when(fault == 1, None).when(fault == 2, F.concat(F.lit("\u65e5"), F.substring("r1_seq", 2, 99))).when(fault == 5, F.substring("r1_seq", 1, 12)).otherwise(F.col("r1_seq")).alias("r1_seq"),
+        F.when(fault == 3, F.substring("r1_qual", 2, 99)).when(fault == 5, F.substring("r1_qual", 1, 12)).otherwise(F.col("r1_qual")).alias("r1_qual"),
+        F.when(fault == 4, "").otherwise(F.col("r2_seq")).alias("r2_seq"),
+        F.when(fault == 4, "").otherwise(F.col("r2_qual")).alias("r2_qual"),
+        "name1",
+        F.when(fault == 6, F.lit("other")).otherwise(F.col("name2")).alias("name2"),
+    )
+    found = assemble(pairs_from(rows, "key", r1_name="name1", r2_name="name2"), EngineConfig(validation=ValidationPolicy(30, 13)))
+    return found.where("key % 8 <> 0 AND key % 8 <> 7").select("key", F.when(F.col("status") == "merged", "processed").when(F.col("reason").isin("insufficient_overlap_length", "excessive_mismatch_rate"), "processed").when((F.col("key") % 8 == 5) & (F.col("status") == "no_overlap"), "error").otherwise(F.col("status")).alias("outcome"))
+
+
+def records_in_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain over records one by one, as they come out of an iterator: merged, none, or the error's class."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = Assembler()
+        for batch in batches:
+            key, n1, s1, q1, n2, s2, q2 = (c.to_pylist() for c in batch.columns)
+            mates = ((Read(a, b, c), Read(d, e, f)) for a, b, c, d, e, f in zip(n1, s1, q1, n2, s2, q2))
+            out = [(x.seq, None) if isinstance(x, Read) else (None, x and type(x).__name__) for x in chain.process_iter(mates)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in zip(*out))], ["key", "seq", "error"])
+
+    rows = generated(spark, sf_dir)
+    named = rows.select("key", C.mate_key(F.col("name1")).alias("n1"), "r1_seq", "r1_qual", C.mate_key(F.col("name2")).alias("n2"), "r2_seq", "r2_qual")
+    return named.mapInArrow(go, "key long, seq string, error string")
 
 
 def queries() -> dict[str, Query]:
@@ -302,7 +348,15 @@ def queries() -> dict[str, Query]:
         "tool_counts": tool_counts,
         "tool_results": tool_results,
         "latest_run": latest_run,
-        "fastq_roundtrip": fastq_roundtrip,
+        "overlap_tie_reject": overlap_tie_reject,
+        "merge_prefer_reject": merge_prefer_reject,
+        "overlap_outcomes": overlap_outcomes,
+        "validate_custom_score": validate_custom_score,
+        "valid_pairs": valid_pairs,
+        "broken_pairs": broken_pairs,
+        "records_in_hand": records_in_hand,
+        **file_queries.queries(),
+        **evidence_queries.queries(),
     }
 
 
@@ -338,9 +392,10 @@ def oracle_sql() -> dict[str, str]:
         "complexity_tail": f(f"{O.base()}, {O.need('h', 'reverse(upper(a))', POLICIES['normal'])}", "SELECT key, CAST(need AS INTEGER) AS need FROM h"),
         "min_informative_overlap": f(f"{O.base()}, {O.informative(POLICIES['normal'])}", "SELECT key, CAST(informative AS INTEGER) AS min_informative FROM inf"),
         "validation_metrics": f(
-            normal,
+            f"{normal}, {O.float_errors()}",
             "SELECT key, CAST(n AS INTEGER) AS overlap_len, CAST(informative AS INTEGER) AS min_informative, CAST(mm AS INTEGER) AS mismatches, "
-            "round(ee + 3e-5, 1) AS expected_errors, round(CAST(mm AS DOUBLE) / n, 6) AS observed_rate FROM val WHERE n IS NOT NULL AND same",
+            "round(CAST(err AS DOUBLE), 6) AS expected_errors, round(CAST(mm AS DOUBLE) / n, 6) AS observed_rate, round(CAST(err AS DOUBLE) / n, 6) AS expected_rate "
+            "FROM val JOIN errs USING (key) WHERE n IS NOT NULL AND same",
         ),
         **{f"validate_{n}": f(O.validated(p), "SELECT key, status, reason FROM val") for n, p in POLICIES.items()},
         **{f"merge_prefer_{t.value}": f(O.merged(any_pair, MergeParams(t)), reads) for t in BaseTie if t is not BaseTie.REJECT},
@@ -387,6 +442,33 @@ def oracle_sql() -> dict[str, str]:
         f"CAST(list_max({values}) AS BIGINT) AS max_qual, {tagged('seq')} AS sequence_hash, {tagged('qual')} AS quality_hash FROM res WHERE status = 'merged'",
     )
 
+    out["overlap_tie_reject"] = f(
+        O.search(),
+        "SELECT key, CASE WHEN NOT same THEN 'mate_mismatch' WHEN tied THEN 'error' WHEN hit THEN 'pair' ELSE 'no_overlap' END AS status, "
+        "CASE WHEN same AND tied THEN 'overlap_tie' END AS reason, "
+        + ", ".join(f"CAST(CASE WHEN same AND NOT tied THEN {x} END AS INTEGER) AS {y}" for x, y in (("n", "overlap_len"), ("s1", "r1_start"), ("s2", "r2_start"), ("d", "diff")))
+        + " FROM (SELECT ov.*, hit, coalesce(fs.n - 5 * fs.d = fe.n - 5 * fe.d, FALSE) AS tied FROM ov JOIN found USING (key) LEFT JOIN fs USING (key) LEFT JOIN fe USING (key))",
+    )
+    out["merge_prefer_reject"] = f(
+        f"{any_pair}, win AS (SELECT key, bool_or(substr(a, s1 + j, 1) <> substr(b, s2 + j, 1) AND greatest(ascii(substr(qa, s1 + j, 1)), 33) = greatest(ascii(substr(qb, s2 + j, 1)), 33)) AS bad "
+        "FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM val WHERE status = 'ok') GROUP BY key)",
+        "SELECT key, CASE WHEN status <> 'ok' THEN status WHEN bad THEN 'error' ELSE 'merged' END AS status, CASE WHEN bad THEN 'base_disagreement' END AS reason FROM val LEFT JOIN win USING (key)",
+    )
+    out["overlap_outcomes"] = f(O.search(), "SELECT key, CASE WHEN n IS NULL THEN 'no_overlap' ELSE 'found' END AS outcome FROM ov WHERE same")
+    out["validate_custom_score"] = f(O.validated(ValidationPolicy(40, 3, 5, 10.0, 1.5)), "SELECT key, status, reason FROM val")
+    out["valid_pairs"] = f(normal, "SELECT key, status = 'ok' AS is_valid FROM val WHERE same AND n IS NOT NULL")
+    out["broken_pairs"] = f(
+        O.search(),
+        "SELECT key, CASE WHEN key % 8 = 6 OR NOT same THEN 'mate_mismatch' WHEN key % 8 IN (1, 2, 3, 5) THEN 'error' WHEN key % 8 = 4 OR n IS NULL THEN 'no_overlap' ELSE 'processed' END AS outcome "
+        "FROM ov WHERE key % 8 NOT IN (0, 7)",
+    )
+    out["records_in_hand"] = f(
+        O.merged(normal, correction=c),
+        "SELECT key, seq, CASE status WHEN 'mate_mismatch' THEN 'PairingError' WHEN 'validation_rejected' THEN 'ValidationError' END AS error FROM res",
+    )
+    out |= file_queries.oracle_sql(stats)
+    out |= evidence_queries.oracle_sql(lambda config: O.merged(O.validated(config.validation) if config.validation else any_pair, correction=c))
+
     def nested(name: str, config: EngineConfig) -> str:
         source = O.validated(config.validation) if config.validation else any_pair
         return f"(WITH {source} SELECT '{name}' AS tool, key FROM val WHERE status = 'ok')"

@@ -66,7 +66,7 @@ def _p_error(base_col: str, qual: str) -> str:
 
 def validated(policy: ValidationPolicy = ValidationPolicy(), p: OverlapParams = OverlapParams()) -> str:
     return f"""{search(p)}, {informative(policy)},
-    col AS (SELECT key, substr(a, s1 + j, 1) AS x, substr(b, s2 + j, 1) AS y, greatest(ascii(substr(qa, s1 + j, 1)) - 33, 0) AS qx,
+    col AS (SELECT key, j, substr(a, s1 + j, 1) AS x, substr(b, s2 + j, 1) AS y, greatest(ascii(substr(qa, s1 + j, 1)) - 33, 0) AS qx,
                    greatest(ascii(substr(qb, s2 + j, 1)) - 33, 0) AS qy
             FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM ov WHERE n IS NOT NULL)),
     sums AS (SELECT key, count(*) FILTER (x <> y) AS mm, least(sum({_p_error('x', 'qx')}), sum({_p_error('y', 'qy')})) AS ee FROM col GROUP BY key),
@@ -79,6 +79,20 @@ def validated(policy: ValidationPolicy = ValidationPolicy(), p: OverlapParams =
             FROM ov JOIN inf USING (key) LEFT JOIN sums USING (key))"""
 
 
+def float_errors() -> str:
+    """``errs``: expected errors of the rows of ``col`` in 32-bit floats: eights are summed first, then what is left one by one."""
+    each = "CASE WHEN {0} IN ('A', 'C', 'G', 'T') THEN CAST(pow(10.0, CAST(CAST(-q{0} AS FLOAT) / CAST(10 AS FLOAT) AS DOUBLE)) AS FLOAT) ELSE CAST(1 AS FLOAT) END".format
+    add = "lambda acc, x: acc + x"
+
+    def summed(values: str) -> str:
+        eights = f"list_transform(range(0, len({values}) // 8), lambda c: list_reduce({values}[c * 8 + 1 : c * 8 + 8], {add}))"
+        rest = f"{values}[len({values}) // 8 * 8 + 1 :]"
+        return f"list_reduce([CAST(0 AS FLOAT)] || {eights} || {rest}, {add})"
+
+    return f"""lists AS (SELECT key, list({each('x')} ORDER BY j) AS ex, list({each('y')} ORDER BY j) AS ey FROM col GROUP BY key),
+    errs AS (SELECT key, least({summed('ex')}, {summed('ey')}) AS err FROM lists)"""
+
+
 def unchecked(p: OverlapParams = OverlapParams()) -> str:
     """As :func:`validated`, without validation."""
     return f"""{search(p)},
