@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drop documents that no learned language explains: without letters, or with too few known n-grams.
 
     The filters are learned from the stage's own labelled documents; with none, nothing is known
-    and nothing is dropped.
+    and nothing is dropped.  Null and empty texts have no letters; repeated rows share their fate.
     """
     filters = langid.fit(docs)
     if not filters.languages:
@@ -46,14 +46,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix at weights 3, 1, 2: one row per document and pass, with the words that pass takes."""
+    """The mix at weights 3, 1, 2: one row per document and pass, with the words that pass takes.
+
+    Documents without words have none to give; rows that are equal in id, source and text give
+    theirs through one of them; a null source is one of its own; an empty table gives an empty mix.
+    """
     rows, _, pieces = mixing.mix(docs)
     out = mixing.mixed_documents(docs, rows, pieces)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents of the mix in sequences of 2048 ids, one row per piece."""
+    """All documents of the mix in sequences of 2048 ids, one row per piece.
+
+    A null or empty text is the end id alone; repeated rows and rows without an id are packed
+    each; an empty table gives no pieces.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 

@@ -42,7 +42,7 @@ def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_host_suffix_array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     rows = htmltext.extract(table(spark, sf_dir, "pages"))
-    return rows.withColumnRenamed("id", "page_id")
+    return rows.select(F.col("id").alias("page_id"), "url", "text", "n_chars")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     with map-side partial minima and one join, so a node with a third of all edges needs
     no single task; the number of rounds grows with the logarithm of the longest chain.
     Each round is written to the shared folder, and nothing but its check sum reaches the
-    driver.
+    driver.  Edges of a node to itself are ignored, repeated edges count once, an edge with a
+    null end is no edge, and no edges give no rows.
     """
     tree = stash(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"

@@ -88,9 +88,24 @@ QUOTATIONS = rf"""
     LEFT JOIN roots ON p.conv_id IS NOT DISTINCT FROM roots.conv_id AND p.turn = roots.turn"""
 
 
+#: Main text by the layout of the given pages: one article, cut at headings and paragraphs.  It knows nothing of other
+#: layouts or of repeats; no block of these articles recurs on most pages of a host.
+_PART = "regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')"
+for _name, _sign in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·")):
+    _PART = f"replace({_PART}, '{_name}', '{_sign}')"
+ARTICLES = rf"""
+    WITH parts AS (
+      SELECT page_id, url, list_filter(list_transform(
+               regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:h1|p)>'),
+               lambda x: trim(regexp_replace(regexp_replace({_PART}, '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM pages),
+    texts AS (SELECT page_id, url, array_to_string(blocks, chr(10)) AS text FROM parts)
+    SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quotation_threads": QUOTATIONS,
         "op2_setsketch_near_duplicates": NEAR_DUPLICATES,
+        "op5_host_suffix_array_text": ARTICLES,
         "op10_rotation_code_links": VECTOR_LINKS,
     }

@@ -12,6 +12,7 @@ def by_run(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.T
     """One table per run of rows with equal, non-null values in the columns ``names``.
 
     Only one run is held at a time, so callers bound the length of runs, not of partitions.
+    Empty batches and partitions give nothing; columns with nulls must not be among ``names``.
     """
     held: list[pa.Table] = []
     last = None

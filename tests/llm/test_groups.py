@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matewise.llm import graph, neardup, nndescent, vectorlinks
+from matewise.llm import catalogue, graph, neardup, nndescent, vectorlinks
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -200,6 +200,26 @@ def test_neighbours_are_found(spark):
     assert nndescent.nearest(frame.limit(0), F.lit(True), 5).count() == 0
 
 
+def test_the_registered_search_against_brute_force(spark):
+    """Recall of the production parameters over the largest given table."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    ok = [(r["vec_id"], r["embedding"]) for r in table if usable(r["embedding"])]
+    ids, unit = np.array([i for i, _ in ok]), np.array([np.array(v) / np.linalg.norm(v) for _, v in ok])
+    got: dict[int, list] = {}
+    for r in catalogue.op7_nn_descent_search(spark, "/root/testdata/sf0.1").orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r)
+    hits = total = 0
+    for k in np.flatnonzero(ids % 50 == 0):
+        sims = unit @ unit[k]
+        sims[k] = -9
+        best = sorted(zip(-sims, ids))[:5]
+        mine = got[int(ids[k])]
+        assert [r["rank"] for r in mine] == [1, 2, 3, 4, 5]
+        assert all(r["score"] == pytest.approx(float(unit[np.flatnonzero(ids == r["vec_id"])[0]] @ unit[k]), abs=1e-12) for r in mine)
+        hits, total = hits + len({i for _, i in best} & {r["vec_id"] for r in mine}), total + 5
+    assert set(got) == set(ids[ids % 50 == 0].tolist()) and hits / total >= 0.95
+
+
 def test_ties_go_to_the_smallest_ids_in_any_row_order(spark):
     rng = np.random.default_rng(6)
     copied = [float(x) for x in rng.standard_normal(16).astype(np.float32)]

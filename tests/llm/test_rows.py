@@ -10,9 +10,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from matewise.llm import common, htmltext, langid, mixing, quotes, sharding
@@ -363,6 +365,84 @@ def test_languages_ignore_clashing_columns(spark):
     assert told.where("doc_id IS NULL").count() == 1
 
 
+def plain_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def test_pipeline_equals_plain_stages(spark):
+    """Each stage on a table with nulls, repeats, a long text and clashing columns, against plain Python."""
+    given = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows = [(*r, "x", 0.5) for r in given]
+    rows += [(*given[0], "y", None), (given[1][0], "a different text under the id of another document here", "en", "s", 54, "z", 0.1)]
+    rows += [(10**6, None, None, None, None, None, None), (10**6 + 1, "", "en", "src0", 0, "x", 1.0), (10**6 + 2, "the and of " * 40_000, "en", None, 440_000, "x", 1.0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id string, score double"
+    docs = spark.createDataFrame(rows, schema).repartition(4).persist()
+    told = corpus_pipeline.identify_language(spark, docs, SF).collect()
+    predict = plain_languages([(r[2], r[1]) for r in rows if r[1] and r[2]])
+    letters = [r for r in rows if r[1] and any(map(str.isalpha, r[1]))]
+    assert Counter((r["doc_id"], r["text"]) for r in told) == Counter((r[0], r[1]) for r in letters if predict(r[1])[1] >= corpus_pipeline.LEAST_SCORE)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    sets = {(r[0], r[1]): plain_set(r[1]) for r in rows}
+    group = {k: k for k in sets}
+
+    def find(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    keys = sorted((k for k in sets if sets[k]), key=lambda k: len(sets[k]))
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if 100 * len(sets[a]) < 75 * len(sets[b]):
+                break
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                group[find(a)] = find(b)
+    members = defaultdict(list)
+    for k in sets:
+        members[find(k)].append(k)
+    stay = Counter((r["doc_id"], r["text"]) for r in kept)
+    assert set(stay.values()) == {1} and len(stay) == len(members)
+    assert all(sum(k in stay for k in some) == 1 and min(k[0] for k in some) == next(k[0] for k in some if k in stay) for some in members.values())
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF).collect()
+    sizes, taken, per = defaultdict(int), defaultdict(int), Counter()
+    words = lambda t: len(re.findall(mixing.WORD, t or ""))
+    for r in rows:
+        sizes[r[3]] += words(r[1])
+    for r in mixed:
+        taken[r["source"]] += words(r["text"])
+        per[r["doc_id"]] += words(r["text"])
+        assert r["n_chars"] == len(r["text"]) and mixed[0].__fields__ == docs.columns
+    want = plain_targets({s: n for s, n in sizes.items()}, (3, 1, 2), 1.5, 2.0)
+    assert all(abs(taken[s] - want[s]) <= 1 + 2 * words(given[0][1]) for s in want)  # rows that are equal speak for each other
+    own = Counter()
+    for r in rows:
+        own[r[0]] += words(r[1])
+    assert all(n <= 2 * own[i] for i, n in per.items())
+    packed = corpus_pipeline.pack_sequences(spark, docs, SF).collect()
+    ids = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lengths = Counter()
+    for r in rows:
+        lengths[r[0]] += len(ids.encode(r[1] or "", add_special_tokens=False).ids) + 1
+    got = Counter()
+    for r in packed:
+        got[r["doc_id"]] += r["length"]
+    assert got == lengths and len({r["sequence_id"] for r in packed}) <= 1 + 1.01 * sum(lengths.values()) / 2048
+    docs.unpersist()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_long_texts_are_taken_whole(spark):
+    long = "word é " * 200_000
+    docs = spark.createDataFrame([(1, long, "s", 3), (2, None, None, None)], "doc_id long, text string, region string, slot int")
+    got = {r["id"]: r for r in sharding.shard_rows(docs, sharding.HashTree.uniform(2, 3, 4)).collect()}
+    assert (got[1]["size"], got[1]["text_crc32"]) == (len(long.encode()) + 8, zlib.crc32(long.encode())) and got[2]["size"] == 8
+    chat = [(1, 0, "a", f"first\n\n{long}"), (1, 1, "b", f"> {long}\nyes")]
+    out = quotes.threads(spark.createDataFrame(chat, "conv_id long, turn long, role string, text string"))[0].collect()
+    assert next(r for r in out if r["turn"] == 1)["n_linked"] == 1 and sum(len(r["body"]) for r in out) == len(f"first\n\n{long}".strip()) + 3
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "123 456", "en", "src0", 7), (None, "the and of the", "en", "src0", 14)], docs.schema)

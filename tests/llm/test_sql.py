@@ -33,7 +33,7 @@ def same(frame, relation):
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "pages"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     same(catalogue.queries()[name](spark, SF), con.sql(catalogue.oracle_sql()[name]))
 

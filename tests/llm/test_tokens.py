@@ -79,6 +79,24 @@ def test_packed_pieces_are_the_documents_and_sequences_have_no_gaps(spark, libra
         assert at <= 64
 
 
+def test_packing_ignores_clashing_columns_and_takes_long_and_equal_rows(spark, library):
+    rows = [(1, "word " * 60_000, 7, "x"), (2, "same", 8, "y"), (2, "same", 8, "y"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, length int, sequence_id string")
+    got = packing.pack(docs, WORD).collect()
+    n = len(library[1].encode("word " * 60_000, add_special_tokens=False).ids) + 1
+    assert sum(r["length"] for r in got if r["id"] == 1) == n and [r["length"] for r in got if r["id"] == 2] == [2, 2]
+    assert [(r["length"], r["piece"]) for r in got if r["id"] is None] == [(1, 0)]
+    assert len({r["sequence_id"] for r in got}) == -(-(n + 5) // 2048)
+
+
+def test_long_frequent_pre_tokens_are_no_join_key(spark, library):
+    long = "x" * 5000
+    docs = spark.createDataFrame([(i, f"{long} a{i}") for i in range(50)], "doc_id long, text string")
+    want = {i: len(library[0].encode(f"{long} a{i}", add_special_tokens=False).ids) for i in range(50)}
+    for frequent in (1, 200, 1 << 20):
+        assert {r["id"]: r["n_tokens"] for r in tokens.count_tokens(docs, BYTE, frequent=frequent).collect()} == want
+
+
 def test_sum_of_squares_takes_the_smallest_sum():
     rng = np.random.default_rng(1)
     lengths = np.sort(rng.integers(1, 33, 300))[::-1]
