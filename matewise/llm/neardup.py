@@ -226,6 +226,8 @@ def near_duplicates(
     )
     nodes = grouped.select("print", "first", "first.place", "n", "registers", F.monotonically_increasing_id().alias("node"))
     nodes = stash(nodes, "nodes")
+    wide, drawn = drawn, stash(drawn.drop("registers"), "rows")
+    discard(wide)
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
