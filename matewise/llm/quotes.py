@@ -100,7 +100,7 @@ def threads(
     """
     messages = parse(chats, conv, turn, role, text)
     messages = messages.withColumn("key", F.md5(F.concat_ws("\x01", F.coalesce("role", F.lit("\x02")), F.coalesce("text", F.lit("\x02"))).cast("binary")))
-    messages = in_ranges(messages.drop("text"), [F.col("conv"), F.col("turn"), F.col("role"), F.col("key")], "messages")
+    messages = stash(messages.drop("text"), "messages")
     quotes = stash(quotations(messages), "quotes")
     votes = quotes.where("original IS NOT NULL").groupBy("conv", "turn", "key", "original").agg(
         F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).alias("direct"), F.count(F.lit(1)).alias("n")
@@ -111,10 +111,12 @@ def threads(
     made = quotes.groupBy("conv", "turn", "key").agg(F.count(F.lit(1)).alias("n_quotes"))
     replies = stash(_with(made, replies), "replies")
     roots = chain_roots(replies.where("original IS NOT NULL").groupBy("conv", "turn").agg(F.min("original").alias("to")))
-    out = stash(_with(numbered(messages), replies), "numbered")
-    discard(messages, replies)
-    out = reply_order(out)
-    out = out.join(roots, out["conv"].eqNullSafe(roots["r_conv"]) & (out["turn"] == roots["r_turn"]), "left")
+    # numbered without their texts, which are shuffled for the last join alone
+    placed = numbered(in_ranges(messages.select("conv", "turn", "role", "key"), [F.col(c) for c in ("conv", "turn", "role", "key")], "order"))
+    placed = reply_order(stash(_with(placed.drop("role"), replies), "numbered"))
+    placed = placed.join(roots, placed["conv"].eqNullSafe(roots["r_conv"]) & (placed["turn"] == roots["r_turn"]), "left")
+    placed = placed.select("conv", "turn", "key", "n_quotes", "n_linked", "original", "before", "root", "position")
+    out = _with(messages.select("conv", "turn", "key", "role", "body", "copies", "levels"), placed)
     out = out.select(
         "conv",
         "turn",
