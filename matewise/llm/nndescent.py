@@ -292,19 +292,21 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, dims: int, sh
         if out:
             yield _beams(out)
 
-    def finished(beams: DataFrame) -> DataFrame:
-        best_of = [F.slice(c, 1, keep).alias(c) for c in ("ids", "sims")]
-        return stash(beams.where("open = 0").select("q", *best_of), "found")
-
+    found = None
     state = stash(queries.select("q", "code").mapInArrow(begin, BEAM), "beam")
-    found = finished(state)
-    while state.where("open > 0").limit(1).count():
+    while True:
+        now = state.agg(F.count_if(F.col("open") > 0).alias("going"), F.count_if(F.col("open") == 0).alias("done")).first()
+        if now["done"] or not now["going"]:
+            done = state.where("open = 0").select("q", *[F.slice(c, 1, keep).alias(c) for c in ("ids", "sims")])
+            done = stash(done, "found")
+            found = done if found is None else found.unionByName(done)
+        if not now["going"]:
+            break
         going = state.where("open > 0")
         asked = going.mapInArrow(ask, "q long, code binary, bound float, node long")
         answers = asked.join(rows, "node").select("q", "code", "bound", "nbrs", "codes").mapInArrow(answer, BEAM)
         merged = going.unionByName(answers).repartition("q").sortWithinPartitions("q", "kind")
         last, state = state, stash(merged.mapInArrow(take_back, BEAM), "beam")
-        found = found.unionByName(finished(state))
         discard(last)
     rows.unpersist()
     discard(state)
