@@ -123,7 +123,9 @@ class Builder:
     def put_text(self, name: str, rows: np.ndarray, grid: np.ndarray, sizes: np.ndarray) -> None:
         """Texts of the rows with sizes of 0 or more; others stay null."""
         some = sizes >= 0
-        if some.any():
+        if some.all():
+            self.texts.setdefault(name, []).append((rows, grid, sizes))
+        elif some.any():
             self.texts.setdefault(name, []).append((rows[some], grid[some], sizes[some]))
 
     def _text(self, name: str) -> pa.Array:
@@ -137,7 +139,10 @@ class Builder:
         data = np.empty(int(ends[-1]), np.uint8)
         for rows, grid, some in parts:
             inside = np.arange(grid.shape[1]) < some[:, None]
-            data[(ends[rows][:, None] + np.arange(grid.shape[1]))[inside]] = grid[inside]
+            if len(parts) == 1 and (np.diff(rows) > 0).all():
+                data = grid[inside]  # already in the order of the rows
+            else:
+                data[(ends[rows][:, None] + np.arange(grid.shape[1]))[inside]] = grid[inside]
         if (data > 127).any():
             raw = data.tobytes()
             return pa.array([raw[a:z].decode("latin-1") if v else None for a, z, v in zip(ends, ends[1:], valid)], pa.string())
@@ -206,10 +211,10 @@ def _collect(p: K.Pairs, rows: np.ndarray, out: Builder, mates: bool) -> None:
         out.put_text("qual", rows, K.encode(p.out_q), sizes)
         inside = np.arange(p.out_q.shape[1]) < sizes[:, None]
         merged = sizes > 0
-        total = np.where(inside, p.out_q, 0).sum(axis=1, dtype=np.int64)
+        total = (p.out_q * inside).sum(axis=1, dtype=np.int32)
         out.doubles["avg_qual"][rows] = np.where(merged, total / np.maximum(sizes, 1), np.nan)
         out.ints["min_qual"][rows] = np.where(merged, np.where(inside, p.out_q, 255).min(axis=1, initial=255), -1)
-        out.ints["max_qual"][rows] = np.where(merged, np.where(inside, p.out_q, 0).max(axis=1, initial=0), -1)
+        out.ints["max_qual"][rows] = np.where(merged, (p.out_q * inside).max(axis=1, initial=0), -1)
     elif mates:
         seq2, qual2 = K.reverse_mate(p)
         for name, grid in (("r1_out", p.a), ("q1_out", K.encode(p.qa)), ("r2_out", seq2), ("q2_out", qual2)):

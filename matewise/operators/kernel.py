@@ -28,8 +28,10 @@ def byte_table(source: str, target: str) -> np.ndarray:
 
 _READ = byte_table("ACGTacgt", "TGCAtgca")
 _UPPER = byte_table("ACGT", "TGCA")
-_CODE = np.full(256, -1, dtype=np.int64)
+_CODE = np.full(256, -1, dtype=np.int16)
 _CODE[np.frombuffer(b"ACGTacgt", np.uint8)] = [0, 1, 2, 3, 0, 1, 2, 3]
+#: Points of a k-mer by how often it was seen before.
+_POINTS = np.array([4, 1, 0], np.int32)
 _DEFINED = np.zeros(256, dtype=bool)
 _DEFINED[np.frombuffer(b"ACGT", np.uint8)] = True
 _ERROR = np.power(np.float32(10), -np.arange(256, dtype=np.float32) / np.float32(10)).astype(np.float32)
@@ -120,11 +122,12 @@ class Pairs:
 def scan(left: np.ndarray, right: np.ndarray, params: OverlapParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First acceptable (offset into left, length, differences) of each row; -1 where none is.
 
-    ``left`` slides against the start of ``right``.  Resolved rows leave the comparison.
+    ``left`` slides against the start of ``right``.  The first 32 columns are compared for all rows, the
+    others where these leave it open; rows that are resolved leave once they are a quarter.
     """
     n, l1, l2 = len(left), left.shape[1], right.shape[1]
     offset, length, diff = (np.full(n, -1, np.int64) for _ in range(3))
-    rows = np.arange(n)
+    rows, going = np.arange(n), np.ones(n, bool)
     for at in range(max(l1 - params.min_overlap, 0) + 1):
         size = min(l1 - at, l2)
         if size < params.min_overlap or not len(rows):
@@ -133,18 +136,19 @@ def scan(left: np.ndarray, right: np.ndarray, params: OverlapParams) -> tuple[np
             continue
         if not size:
             raise OverlapError("an overlap of no bases: min_overlap and min_comparisons are 0")
-        most = params.allowed(size)
-        window, other = left[rows, at : at + size], right[rows, :size]
-        head = min(32, size)
-        d = np.count_nonzero(window[:, :head] != other[:, :head], axis=1)
-        if head < size:
-            near = np.flatnonzero(d <= most)
-            d[near] += np.count_nonzero(window[near, head:] != other[near, head:], axis=1)
-        hit = d <= most
-        if hit.any():
-            found = rows[hit]
-            offset[found], length[found], diff[found] = at, size, d[hit]
-            rows = rows[~hit]
+        most, head = params.allowed(size), min(32, size)
+        d = (left[:, at : at + head] != right[:, :head]).view(np.uint8).sum(axis=1, dtype=np.uint8).astype(np.int64)
+        near = np.flatnonzero((d <= most) & going)
+        if head < size and len(near):
+            d[near] += np.count_nonzero(left[near, at + head : at + size] != right[near, head:size], axis=1)
+            near = near[d[near] <= most]
+        if len(near):
+            found = rows[near]
+            offset[found], length[found], diff[found] = at, size, d[near]
+            going[near] = False
+            if np.count_nonzero(going) <= 0.75 * len(rows):
+                left, right, rows = left[going], right[going], rows[going]
+                going = np.ones(len(rows), bool)
     return offset, length, diff
 
 
@@ -176,12 +180,38 @@ def find_from_one_end(p: Pairs, params: OverlapParams, end: bool) -> None:
 
 
 def complexity_need(bases: np.ndarray, k: int, score: int) -> np.ndarray:
-    """Bases from the start until k-mers (first sighting 4, second 1) score enough; the length + 1 if never."""
+    """Bases from the start until k-mers (first sighting 4, second 1) score enough; the length + 1 if never.
+
+    Rows leave as soon as they score enough, which most do within a few k-mers.
+    """
     n, size = bases.shape
     if size < k:
         return np.full(n, size + 1)
+    if k > 5:
+        return _need_by_order(bases, k, score)
+    need, rows, total, seen = np.full(n, size + 1), np.arange(n), np.zeros(n, np.int32), np.zeros((n, 4**k), np.uint8)
+    powers = 4 ** np.arange(k - 1, -1, -1)
+    for at in range(size - k + 1):
+        letters = _CODE[bases[rows, at : at + k]]
+        good = (letters >= 0).all(axis=1)
+        code = np.where(good, letters @ powers, 0)
+        before = seen[rows, code]
+        total += np.where(good, _POINTS[before], 0)
+        seen[rows, code] = np.where(good, np.minimum(before + 1, 2), before)
+        done = good & (total >= score)
+        if done.any():
+            need[rows[done]] = at + k
+            rows, total = rows[~done], total[~done]
+            if not len(rows):
+                break
+    return need
+
+
+def _need_by_order(bases: np.ndarray, k: int, score: int) -> np.ndarray:
+    """The same for any k, with all k-mers of a row sorted at once."""
+    size = bases.shape[1]
     each = _CODE[bases]
-    code, bad = np.zeros((n, size - k + 1), np.int64), np.zeros((n, size - k + 1), bool)
+    code, bad = np.zeros((len(bases), size - k + 1), np.int64), np.zeros((len(bases), size - k + 1), bool)
     for j in range(k):
         part = each[:, j : j + size - k + 1]
         code, bad = code * 4 + np.maximum(part, 0), bad | (part < 0)
@@ -193,7 +223,7 @@ def complexity_need(bases: np.ndarray, k: int, score: int) -> np.ndarray:
     fresh[:, 1:] = sorted_codes[:, 1:] != sorted_codes[:, :-1]
     seen = np.empty(code.shape, np.int64)
     np.put_along_axis(seen, order, index - np.maximum.accumulate(np.where(fresh, index, 0), axis=1), 1)
-    total = np.cumsum(np.where(bad, 0, np.where(seen == 0, 4, np.where(seen == 1, 1, 0))), axis=1)
+    total = np.cumsum(np.where(bad, 0, _POINTS[np.minimum(seen, 2)]), axis=1)
     enough = (total >= score) & ~bad
     return np.where(enough.any(axis=1), enough.argmax(axis=1) + k, size + 1)
 

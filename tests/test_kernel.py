@@ -285,6 +285,14 @@ def test_spans_are_checked():
         outcome("ACGT", "TTTT", config=EngineConfig(OverlapParams(0, 0, 0.0, 0)))
 
 
+def test_both_ways_to_score_kmers_agree():
+    rng = np.random.default_rng(4)
+    for letters in (b"ACGT", b"AC", b"ACGTNacgt"):
+        bases = np.frombuffer(letters, np.uint8)[rng.integers(0, len(letters), (200, 40))]
+        for k, score in ((1, 10), (2, 20), (3, 30), (3, 64), (5, 39)):
+            assert (K.complexity_need(bases, k, score) == K._need_by_order(bases, k, score)).all()
+
+
 def test_batches_of_many_lengths_keep_their_rows(spark):
     rng = random.Random(11)
     data = []
