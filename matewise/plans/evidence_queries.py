@@ -14,7 +14,7 @@ from ..operators.assembly import assemble, pairs_from
 from . import oracles as O
 from . import warehouse as W
 from .datagen import pairs as generated
-from .shared import folder, write_text
+from .shared import folder, once, write_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 NAMES = ("mean", "median", "min", "max", "user", "system")
@@ -46,8 +46,8 @@ def _made(spark: SparkSession) -> W.Warehouse:
     return w
 
 
-def _records(spark: SparkSession, sf_dir: str, config: EngineConfig, condition: str = "TRUE") -> DataFrame:
-    pairs = pairs_from(generated(spark, sf_dir).where(condition), "key", r1_name="name1", r2_name="name2")
+def _records(spark: SparkSession, sf_dir: str, config: EngineConfig) -> DataFrame:
+    pairs = pairs_from(generated(spark, sf_dir), "key", r1_name="name1", r2_name="name2")
     header = F.concat(F.lit("@read"), F.col("key").cast("string"), F.lit("/1")).alias("header")
     merged = assemble(pairs, config).where("status = 'merged'")
     return W.read_records(merged.select(header, "seq", "qual", "avg_qual", "min_qual", "max_qual"))
@@ -55,17 +55,25 @@ def _records(spark: SparkSession, sf_dir: str, config: EngineConfig, condition:
 
 def _filled(spark: SparkSession, sf_dir: str) -> W.Warehouse:
     """Evidence of three tools: one replaced, and one whose replacement fails on its count and on a read that is there twice."""
-    w = _made(spark)
-    for config, tool, condition in ((EngineConfig(), "normal", "key % 2 = 0"), (EngineConfig(), "normal", "TRUE"), (EngineConfig(validation=None), "unchecked", "key % 3 = 0")):
-        records = _records(spark, sf_dir, config, condition)
-        w.replace_evidence(_execution(tool, records.count(), 1 if tool == "normal" else 2), records)
-    some = _records(spark, sf_dir, EngineConfig(), "key % 5 = 0")
-    for records, n in ((some, 0), (some.unionByName(some), 2 * some.count())):
-        with contextlib.suppress(EvidenceError):
-            w.replace_evidence(_execution("unchecked", n, 9), records)
-    w.upsert_execution(_execution("zero", 0, 3))
-    w.complete_run("run1", "20240201T000000Z")
-    return W.Warehouse.open(spark, w.root)
+
+    def make() -> str:
+        w = _made(spark)
+        merged = {config.validation is None: _records(spark, sf_dir, config).persist() for config in (EngineConfig(), EngineConfig(validation=None))}
+        number = F.regexp_extract("read_id", r"([0-9]+)$", 1).cast("long")
+        for unchecked, tool, part in ((False, "normal", 2), (False, "normal", 1), (True, "unchecked", 3)):
+            records = merged[unchecked].where(number % part == 0)
+            w.replace_evidence(_execution(tool, records.count(), 1 if tool == "normal" else 2), records)
+        some = merged[False].where(number % 5 == 0)
+        for records, n in ((some, 0), (some.unionByName(some), 2 * some.count())):
+            with contextlib.suppress(EvidenceError):
+                w.replace_evidence(_execution("unchecked", n, 9), records)
+        for rows in merged.values():
+            rows.unpersist()
+        w.upsert_execution(_execution("zero", 0, 3))
+        w.complete_run("run1", "20240201T000000Z")
+        return w.root
+
+    return W.Warehouse.open(spark, once(spark, sf_dir, "evidence", make))
 
 
 def evidence_replace(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from ..streaming import pairs as stream
 from . import job
 from . import oracles as O
 from .datagen import pairs as generated
-from .shared import folder, write_text
+from .shared import folder, once, write_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: More mismatched mates than any table has.
@@ -26,11 +26,15 @@ ANY = 1 << 40
 def _files(spark: SparkSession, sf_dir: str) -> tuple[str, list[str], list[str]]:
     """All pairs by the parity of their keys in two pairs of files, plain and gzip: the folder, forward and reverse files."""
     fastq.register(spark)
-    root, rows = folder(spark, "fastq"), generated(spark, sf_dir)
-    ones, twos = ([f"{root}/r{k}_even.fastq", f"{root}/r{k}_odd.fastq.gz"] for k in (1, 2))
-    for i in range(2):
-        fastq.write_pair_files(rows.where(F.col("key") % 2 == i), ones[i], twos[i], order="key")
-    return root, ones, twos
+
+    def make() -> tuple[str, list[str], list[str]]:
+        root, rows = folder(spark, "fastq"), generated(spark, sf_dir)
+        ones, twos = ([f"{root}/r{k}_even.fastq", f"{root}/r{k}_odd.fastq.gz"] for k in (1, 2))
+        for i in range(2):
+            fastq.write_pair_files(rows.where(F.col("key") % 2 == i), ones[i], twos[i], order="key")
+        return root, ones, twos
+
+    return once(spark, sf_dir, "fastq", make)
 
 
 def _pairs(spark: SparkSession, ones: list[str], twos: list[str]) -> DataFrame:
@@ -116,8 +120,8 @@ def gzip_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _job(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
     root, ones, twos = _files(spark, sf_dir)
-    summary = job.run(spark, ",".join(ones), ",".join(twos), f"{root}/merged.fastq.gz", f"{root}/rest.fastq", max_mismatches=ANY)
-    return root, summary
+    run = lambda: job.run(spark, ",".join(ones), ",".join(twos), f"{root}/merged.fastq.gz", f"{root}/rest.fastq", max_mismatches=ANY)
+    return root, once(spark, sf_dir, "job", run)
 
 
 def _output(name: str) -> Query:

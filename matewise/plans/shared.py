@@ -5,10 +5,14 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import SparkSession
 
+T = TypeVar("T")
 _MADE: list[tuple[SparkSession, str]] = []
+_ONCE: dict[tuple[str, str, str], object] = {}
 
 
 def _place(spark: SparkSession, path: str) -> tuple[object, object]:
@@ -33,6 +37,14 @@ def folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once for an application and a scale: files that several queries read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _ONCE:
+        _ONCE[key] = make()
+    return _ONCE[key]
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> str:
     """A small file; returns its path."""
     system, where = _place(spark, path)
