@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, mixing, neardup, nndescent, oracles, packing, quotes, sharding, tokens, vectorlinks, whitening
+from . import collocations, htmltext, langid, mixing, neardup, nndescent, oracles, packing, quotes, sharding, tokens, vectorlinks, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op10_rotation_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "vec_id")
 
 
+def op12_prefix_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of 2 to 5 words of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_compensated_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding on the four leading components of the distinct ones, at unit variance."""
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hash_tree_shards": op8_hash_tree_shards,
         "op9_language_filters": op9_language_filters,
         "op10_rotation_code_links": op10_rotation_code_links,
+        "op12_prefix_collocations": op12_prefix_collocations,
         "op13_compensated_whitening": op13_compensated_whitening,
     }
 

@@ -102,10 +102,35 @@ ARTICLES = rf"""
     SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts"""
 
 
+#: Every contiguous phrase counted by itself; exact in HUGEINT.
+COLLOCATIONS = r"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+    starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+    spans AS (SELECT lang, w, i, unnest(range(0, 5)) AS more FROM starts),
+    f AS (SELECT lang, array_to_string(w[i : i + more], ' ') AS phrase, more + 1 AS m, count(*) AS a
+          FROM spans WHERE i + more <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+    cuts AS (SELECT lang, phrase, a, m, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+    cut AS (SELECT c.lang, c.phrase, c.a, c.m, k, x.a AS l, y.a AS r, sizes.n, CAST((1000::HUGEINT * c.a * sizes.n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+            FROM cuts c JOIN sizes ON sizes.lang = c.lang
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 :], ' ')),
+    worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (SELECT DISTINCT s.lang, s.phrase FROM worst s JOIN worst t ON s.lang = t.lang AND s.m < t.m AND t.a >= s.a
+               AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ')),
+    ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+               FROM worst ANTI JOIN inside USING (lang, phrase))
+    SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quotation_threads": QUOTATIONS,
         "op2_setsketch_near_duplicates": NEAR_DUPLICATES,
         "op5_host_suffix_array_text": ARTICLES,
         "op10_rotation_code_links": VECTOR_LINKS,
+        "op12_prefix_collocations": COLLOCATIONS,
     }
