@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, htmltext, langid, mixing, neardup, nndescent, oracles, packing, quotes, sharding, tokens, vectorlinks, whitening
+from . import collocations, htmltext, langid, mixing, neardup, nndescent, oracles, packing, quotes, secrets, sharding, tokens, vectorlinks, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,16 @@ def op10_rotation_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("id", "vec_id")
 
 
+def op11_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document; base kinds are the first three rules."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    counts = [secrets.count_of("spans", k).alias(f"n_{r.kind}") for k, r in enumerate(secrets.RULES[:3])]
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans")
+    )
+
+
 def op12_prefix_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 strongest phrases of 2 to 5 words of each language."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
@@ -99,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hash_tree_shards": op8_hash_tree_shards,
         "op9_language_filters": op9_language_filters,
         "op10_rotation_code_links": op10_rotation_code_links,
+        "op11_trigram_secrets": op11_trigram_secrets,
         "op12_prefix_collocations": op12_prefix_collocations,
         "op13_compensated_whitening": op13_compensated_whitening,
     }

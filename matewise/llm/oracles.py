@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import quotes
+import re
+
+from . import quotes, secrets
 
 #: Whole table of components from ``nodes`` (id) and ``links`` (a, b): id, component.
 _COMPONENTS = """
@@ -102,6 +104,39 @@ ARTICLES = rf"""
     SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts"""
 
 
+
+def _spelt(pattern: str) -> str:
+    """A pattern with both cases of each letter outside classes and escapes."""
+    part = r"\[[^\]]*\]|\\(?:x[0-9A-Fa-f]{2}|.)|[a-z]"
+    return re.sub(part, lambda m: f"[{m[0]}{m[0].upper()}]" if len(m[0]) == 1 else m[0], pattern)
+
+
+def _secrets() -> str:
+    """Matches of each rule in order; each starts where its text next occurs behind the end of the one before."""
+    rules = []
+    for k, r in enumerate(secrets.RULES):
+        # runs of one class as long as wanted are the maximal runs
+        pattern = r.pattern[:-1] + f"{{{r.least},}}" if r.kind == "hex" else r.pattern
+        pattern = (_spelt(pattern) if r.fold else pattern).replace("'", "''")
+        short = f"len(regexp_extract(match, '{pattern}', {r.group})) >= {r.least}"
+        rules.append(f"SELECT id, {k} AS rule, '{r.kind}' AS kind, text, regexp_extract_all(text, '{pattern}') AS found FROM docs")
+        rules[-1] = f"({rules[-1]})", f"WHEN {k} THEN {short}"
+    return f"""
+    WITH RECURSIVE docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+    hits AS (SELECT * FROM ({" UNION ALL ".join(r for r, _ in rules)}) WHERE len(found) > 0),
+    walk AS (
+      SELECT id, rule, 1 AS i, strpos(text, found[1]) - 1 AS s, strpos(text, found[1]) - 1 + length(found[1]) AS e FROM hits
+      UNION ALL
+      SELECT h.id, h.rule, i + 1, e + strpos(substr(text, e + 1), found[i + 1]) - 1, e + strpos(substr(text, e + 1), found[i + 1]) - 1 + length(found[i + 1])
+      FROM walk JOIN hits h ON h.id = walk.id AND h.rule = walk.rule WHERE i < len(found)),
+    spans AS (SELECT w.id, w.rule, kind, s, e, found[i] AS match FROM walk w JOIN hits h ON h.id = w.id AND h.rule = w.rule),
+    good AS (SELECT id, rule, s, kind || ':' || s || ':' || e AS span FROM spans WHERE CASE rule {" ".join(s for _, s in rules)} END),
+    lists AS (SELECT id, count(*) FILTER (rule = 0) AS n_assign, count(*) FILTER (rule = 1) AS n_access, count(*) FILTER (rule = 2) AS n_hex,
+                     string_agg(span, ',' ORDER BY s, rule) FILTER (rule < 3) AS base, string_agg(span, ',' ORDER BY s, rule) AS spans FROM good GROUP BY id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN lists USING (id)"""
+
+
 #: Every contiguous phrase counted by itself; exact in HUGEINT.
 COLLOCATIONS = r"""
     WITH pieces AS (
@@ -132,5 +167,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_setsketch_near_duplicates": NEAR_DUPLICATES,
         "op5_host_suffix_array_text": ARTICLES,
         "op10_rotation_code_links": VECTOR_LINKS,
+        "op11_trigram_secrets": _secrets(),
         "op12_prefix_collocations": COLLOCATIONS,
     }
