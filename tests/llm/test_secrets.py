@@ -87,13 +87,19 @@ def test_queries_are_what_matches_need():
     assert holds(query(r"x[ab]y"), "--xby") and not holds(query(r"x[ab]y"), "xcy xay"[:3])
 
 
-PATTERNS = [r.pattern for r in secrets.RULES] + [r"a(b|cd)?e{2,}f", r"(foo|ba[rz])+q?u*x", r"\bkey\d*=é?", r"[a-c]{3}(?=x)", r"(ab){2}c|x[0-9]y"]
+SAMPLES = {
+    "assign": "Api_Key='abcdefghijkl", "access": "AKIA0123456789ABCDE", "hex": "0123456789abcdef", "private_key": "-----BEGIN EC PRIVATE KEY-----",
+    "github": "ghp_" + "a1B2" * 9, "google": "AIza" + "x" * 35, "slack": "xoxb-1234567890", "jwt": "eyJh.eyJz.c2",
+}
+PATTERNS = {r.pattern: SAMPLES[r.kind] for r in secrets.RULES}
+PATTERNS |= {r"a(b|cd)?e{2,}f": "acdeef", r"(foo|ba[rz])+q?u*x": "foobazx", r"\bkey\d*=é?": "key7=é", r"[a-c]{3}(?=x)": "abcx", r"(ab){2}c|x[0-9]y": "ababc"}
 
 
 @pytest.mark.parametrize("pattern", PATTERNS)
 def test_every_match_satisfies_its_query(pattern):
     rng = random.Random(pattern)
-    parts = 12 * [p for p in re.split(r"[^a-zA-Z0-9_éǵ=.-]+", pattern) if p] + ["a", "b", "c", "e", "x", "ab", "cd", "ee", "f", "x7y", "foo", "bar", "baz", "qux", "key", "é", "=", "abc", "A", "eyJa", ".", "xoxb-"] + WORDS + SIGNS + TAILS
+    sample = PATTERNS[pattern]
+    parts = 9 * [sample, sample[: len(sample) // 2], sample[len(sample) // 2 :]] + ["a", "b", "c", "e", "f", "x7y", "foo", "bar", "x", "é"] + WORDS + SIGNS + TAILS
     for fold in (False, True):
         rule = secrets.Rule("k", pattern, fold=fold)
         query, hits = secrets.trigram_query(rule), 0
@@ -102,7 +108,7 @@ def test_every_match_satisfies_its_query(pattern):
             if rule.spans(text):
                 hits += 1
                 assert holds(query, text), (pattern, text)
-        assert hits or "PRIVATE" in pattern or "{3" in pattern
+        assert hits > 10
 
 
 def test_index_finds_each_trigram(spark, monkeypatch):
