@@ -8,7 +8,7 @@ projections than a task should hold is split: it is counted by an aggregation an
 prefixes of one word more, are dealt in its place.
 
 Words and pairs that are frequent are known to the tasks as bit maps of bounded size, which only
-leave out what is surely not frequent; counts are exact.  A phrase scores ``1000 * a * n / (l * r)``
+leave out what is surely not frequent (pairs are first counted by hash); counts are exact.  A phrase scores ``1000 * a * n / (l * r)``
 at its worst cut, in integers of 38 digits.
 
 Edge cases: null and empty texts have no words; a null language is ``und``; repeated rows count
@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, stash
+from .neardup import _ODD, mixed
 from .runs import by_run
 
 #: Lower case for A-Z, one sign for all that ends a piece, a space for a tab.
@@ -97,31 +98,30 @@ def batch_of(langs: list[str], phrases: list[bytes], counts: np.ndarray) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), text, pa.array(counts, pa.int64())], ["lang", "phrase", "n"])
 
 
+def codes(names: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+
+
+def word_codes(ids: np.ndarray, of: np.ndarray, names: list[bytes], langs: list[str]) -> np.ndarray:
+    """A hash of the language and word at each place."""
+    return mixed(codes(names)[ids] + _ODD[0] * codes([x.encode() for x in langs])[of])
+
+
 class BitMap:
-    """Hashes of (lang, phrase) that are in a set, or by chance: 16 bits for each, 2 ** 27 at most."""
-
-    def __init__(self, phrases: DataFrame):
-        """From (lang, phrase); what reaches the driver is the map, not the phrases."""
-        self.bits = min(27, max(12, (16 * phrases.count()).bit_length()))
-
-        def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = [self.spot(lang, text.encode()) for lang, text in zip(*(c.to_pylist() for c in batch.columns))]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], ["spot"])
-
-        marked = phrases.select("lang", "phrase").mapInArrow(spots, "spot long")
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("spot") % 64).cast("int"))
-        rows = marked.groupBy(F.shiftright("spot", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
-        words = np.zeros(1 << (self.bits - 6), np.int64)
-        words[rows["at"].to_numpy()] = rows["bits"].to_numpy()
-        self.map = phrases.sparkSession.sparkContext.broadcast(words)
-
-    def spot(self, lang: str, phrase: bytes) -> int:
-        return xxhash.xxh3_64_intdigest(phrase, seed=xxhash.xxh32_intdigest(lang)) & ((1 << self.bits) - 1)
-
-    def holds(self, lang: str, phrases: list[bytes]) -> np.ndarray:
-        seed, most = xxhash.xxh32_intdigest(lang), (1 << self.bits) - 1
-        at = np.fromiter((xxhash.xxh3_64_intdigest(p, seed=seed) & most for p in phrases), np.int64, len(phrases))
+    """Hashes that are in a set, or are held by chance: 16 bits for each, 2 ** 27 at most."""
+
+    def __init__(self, hashes: DataFrame):
+        """From (code long); what reaches the driver is the map, not the hashes."""
+        bits = min(27, max(12, (16 * hashes.count()).bit_length()))
+        spot = F.pmod("code", F.lit(1 << bits))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))
+        rows = hashes.groupBy(F.shiftright(spot, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
+        held = np.zeros(1 << (bits - 6), np.int64)
+        held[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+        self.last, self.map = np.uint64((1 << bits) - 1), hashes.sparkSession.sparkContext.broadcast(held)
+
+    def holds(self, code: np.ndarray) -> np.ndarray:
+        at = (code & self.last).astype(np.int64)
         return (self.map.value[at >> 6] >> (at & 63)) & 1 == 1
 
 
@@ -140,58 +140,61 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(counted, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def flagged(of: np.ndarray, codes: np.ndarray, names: list[bytes], langs: list[str], known: BitMap) -> np.ndarray:
-    """Whether ``known`` holds (lang, name) of each place; ``codes`` number the names."""
-    out = np.zeros(len(codes), bool)
-    for k, lang in enumerate(langs):
-        at = np.flatnonzero(of == k)
-        some, back = np.unique(codes[at], return_inverse=True)
-        if len(some):
-            out[at] = known.holds(lang, [names[c] for c in some])[back]
-    return out
+def word_map(words: DataFrame) -> BitMap:
+    """The bit map of words (lang, phrase)."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, names = (c.to_pylist() for c in batch.columns)
+            at = np.arange(len(names))
+            code = word_codes(at, at, [x.encode() for x in names], langs)
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64))], ["code"])
+
+    return BitMap(words.select("lang", "phrase").mapInArrow(hashed, "code long"))
 
 
-def frequent_places(tokens: Tokens, words: BitMap) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], list[str]]:
-    """Ids, languages, whether each place starts a pair of frequent words, and the names of both."""
-    ids, of, names, langs = tokens.arrays()
-    good = (ids > 1) & flagged(of, ids, names, langs, words)
+def frequent_pairs(ids: np.ndarray, code: np.ndarray, words: BitMap) -> tuple[np.ndarray, np.ndarray]:
+    """Places that start a pair of frequent words, and hashes of the pairs."""
+    good = (ids > 1) & words.holds(code)
     # every text ends with the end of a piece, so a pair never passes from one text to the next
-    return ids, of, good & np.append(good[1:], False), names, langs
+    at = np.flatnonzero(good[:-1] & good[1:])
+    return at, mixed(code[at] * _ODD[1] + code[at + 1])
 
 
-def pair_counts(texts: DataFrame, words: BitMap) -> DataFrame:
-    """(lang, phrase, n) of pairs of frequent words."""
+def pair_map(texts: DataFrame, words: BitMap, least: int) -> BitMap:
+    """The bit map of pairs that may be frequent: those whose hash is, counted over all texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens in batches_of_tokens(batches):
-            ids, of, pair, names, langs = frequent_places(tokens, words)
-            at = np.flatnonzero(pair)
-            first, n = distinct_rows([of[at], ids[at], ids[at + 1]])
-            at = at[first]
-            yield batch_of([langs[k] for k in of[at]], [names[a] + b" " + names[b] for a, b in zip(ids[at], ids[at + 1])], n)
+            ids, of, names, langs = tokens.arrays()
+            code, n = np.unique(frequent_pairs(ids, word_codes(ids, of, names, langs), words)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], ["code", "n"])
 
-    return texts.mapInArrow(counted, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return BitMap(stash(found.select("code"), "pair-hashes"))
 
 
 def projections(texts: DataFrame, words: BitMap, pairs: BitMap, longest: int) -> DataFrame:
-    """(lang, phrase, n): the up to ``longest`` words from each occurrence of a frequent pair, if three or more."""
+    """(lang, phrase, n): each pair in the maps, and the up to ``longest`` words from each place where one starts, if three or more."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens in batches_of_tokens(batches):
-            ids, of, pair, names, langs = frequent_places(tokens, words)
-            at = np.flatnonzero(pair)
-            first, back = np.unique(ids[at] * (len(names) + 1) + ids[at + 1], return_index=True, return_inverse=True)[1:]
-            joined = [names[a] + b" " + names[b] for a, b in zip(ids[at[first]], ids[at[first] + 1])]
+            ids, of, names, langs = tokens.arrays()
+            at, code = frequent_pairs(ids, word_codes(ids, of, names, langs), words)
+            at = at[pairs.holds(code)]
+            if not len(at):
+                continue
+            first, n = distinct_rows([of[at], ids[at], ids[at + 1]])
+            found = at[first]
+            yield batch_of([langs[k] for k in of[found]], [names[a] + b" " + names[b] for a, b in zip(ids[found], ids[found + 1])], n)
             good = np.zeros(len(ids) + longest, bool)
-            good[at] = flagged(of[at], back, joined, langs, pairs)
-            starts = np.flatnonzero(good[: len(ids)] & good[1 : len(ids) + 1])
+            good[at] = True
+            starts = at[good[at + 1]]
             padded = np.append(ids, np.zeros(longest, np.int64))
             going, window = np.ones(len(starts), bool), [padded[starts]]
             for k in range(1, longest):
                 going = going & good[starts + k - 1]
                 window.append(np.where(going, padded[starts + k], 0))
-            if not len(starts):
-                continue
             first, n = distinct_rows([of[starts], *window])
             rows = zip(*(w[first].tolist() for w in window))
             yield batch_of([langs[k] for k in of[starts[first]]], [b" ".join(names[w] for w in row if w) for row in rows], n)
@@ -204,7 +207,7 @@ def grown(projected: DataFrame, depth: int, least: int) -> DataFrame:
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in by_run(batches, ["lang", "prefix"]):
-            windows = [tuple(w) for w in run.column("words").to_pylist()]
+            windows = [p.split(" ") for p in run.column("phrase").to_pylist()]
             before = np.concatenate(([0], np.cumsum(run.column("n").to_numpy()))).tolist()
             found: list[tuple[str, int]] = []
 
@@ -228,8 +231,8 @@ def grown(projected: DataFrame, depth: int, least: int) -> DataFrame:
                 ["lang", "phrase", "n"],
             )
 
-    rows = projected.select("lang", "prefix", F.split("phrase", " ").alias("words"), "n")
-    rows = rows.repartition("lang", "prefix").sortWithinPartitions("lang", "prefix", "words")
+    rows = projected.select("lang", "prefix", "phrase", "n").repartition("lang", "prefix")
+    rows = rows.sortWithinPartitions("lang", "prefix", F.split("phrase", " "))
     return rows.mapInArrow(extend, "lang string, phrase string, n long")
 
 
@@ -307,10 +310,11 @@ def frequent_phrases(
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where("text IS NOT NULL AND text <> ''")
     counted = stash(word_counts(texts).where((F.col("n") >= least) | F.col("phrase").isNull()), "words")
     words = counted.where("phrase IS NOT NULL")
-    word_map = BitMap(words)
-    pairs = stash(pair_counts(texts, word_map).where(F.col("n") >= least), "pairs")
-    projected = stash(projections(texts, word_map, BitMap(pairs), longest), "projections")
-    longer = stash(long_phrases(projected, least, longest, most_rows), "longer")
+    held = word_map(words)
+    projected = stash(projections(texts, held, pair_map(texts, held, least), longest), "projections")
+    pair = F.size(F.split("phrase", " ")) == 2
+    pairs = stash(projected.where(pair & (F.col("n") >= least)), "pairs")
+    longer = stash(long_phrases(projected.where(~pair), least, longest, most_rows), "longer")
     discard(projected)
     return words.unionByName(pairs).unionByName(longer), counted.where("phrase IS NULL").select("lang", "n")
 
@@ -327,6 +331,9 @@ def collocations(
     """The first ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     phrases, sizes = frequent_phrases(docs, lang_col, text_col, least, longest, most_rows)
     candidates = stash(scored(phrases, sizes, longest), "candidates")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = maximal(candidates).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # the first of each part of a language, then the first of these
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    parts = maximal(candidates).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    some = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
