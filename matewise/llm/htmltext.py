@@ -2,16 +2,19 @@
 
 A page becomes blocks of text, each with a zone: ``main`` (inside an article or main
 element), ``chrome`` (menus, headers, footers, sidebars, notices, adverts, forms,
-comments) or ``plain`` (anything else in the body).  The pages of a host are
+comments), ``plain`` (anything else in the body) or ``loose`` (as plain, but in no paragraph,
+heading or other element for text).  The pages of a host are
 concatenated as token streams; a suffix array over them, sorted to the depth of the
 shortest long substring, finds every substring of ``least`` tokens that occurs, and on how
 many distinct pages, and so which tokens of each block are covered by repeats.
 
 Chrome is never text.  Where a page marks its main part, its blocks are the text, elsewhere
 the plain blocks are, in both cases but for boilerplate; if that leaves nothing, all of them
-stay.  Boilerplate is a block that is mostly covered by substrings that recur on a share of
-the host's distinct pages (:class:`Rule`): most pages for blocks of the main part, as articles
-may share passages, a tenth for plain blocks.
+stay.  Boilerplate are the runs of tokens in substrings that recur on most of the host's distinct
+pages (:class:`Rule`); they are cut out, and a block's other runs stay.  Articles may share passages, so
+what recurs on fewer pages, a tenth at least, is boilerplate only with its place as further evidence:
+loose blocks that are mostly covered by it and lie at a page's rim, with nothing but chrome and
+such blocks before them, or behind.
 
 Hosts are cut into chunks of about ``chunk_pages`` pages, or ``chunk_bytes`` of them, by hash of
 their content, so a host with a third of all pages is many tasks.  Results don't depend on the
@@ -44,7 +47,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from .common import discard, stash
 from .runs import by_run
 
-ZONES = {"main": "m", "chrome": "c", "plain": "p"}
+ZONES = {"main": "m", "chrome": "c", "plain": "p", "loose": "l"}
 
 #: A comment, a tag (attributes with quoted values, or failing that anything up to >), or a declaration.
 _TAG = re.compile(
@@ -65,6 +68,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that hold text of their own; of others, text is loose.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th caption figcaption summary address body html".split())
 #: An open element of the value's kinds ends where one of the key's kind starts.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}
@@ -114,7 +119,8 @@ def blocks(page: str | None) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Block(text, zone))
+                loose = zone == "plain" and bool(stack) and stack[-1][0] not in TEXTUAL
+                out.append(Block(text, "loose" if loose else zone))
 
     while at < end:
         tag = _TAG.search(page, at, end)
@@ -175,10 +181,11 @@ def blocks(page: str | None) -> list[Block]:
 
 @dataclass(frozen=True)
 class Rule:
-    """What makes a block boilerplate: the share of its tokens in substrings that recur on enough pages.
+    """What makes boilerplate: substrings that recur on enough of the host's distinct pages.
 
-    Enough is a share of the host's distinct pages, and ``least_pages`` at least.  The main part
-    needs more pages, as its mark is evidence for text.
+    Anywhere these are a ``main_share`` of them, and ``least_main_pages`` at least; for loose blocks at the
+    rim, covered to ``covered`` or more, a ``plain_share`` and ``least_pages``.  Of a block covered that much
+    only runs of ``least_run`` other tokens stay; from others, only runs of as many covered ones are cut.
     """
 
     covered: float = 0.8
@@ -186,6 +193,7 @@ class Rule:
     least_pages: int = 3
     main_share: float = 0.5
     least_main_pages: int = 5
+    least_run: int = 8
 
     def __post_init__(self) -> None:
         if not 0 < self.plain_share <= self.main_share <= 1 or not 0 < self.least_pages <= self.least_main_pages:
@@ -343,16 +351,41 @@ class Chunk:
         counts = self.repeats.counts if some is None else counts
         out = []
         plain, main = (self._covered(counts, n, some) for n in (rule.plain_pages(pages), rule.main_pages(pages)))
-        for page, end, *often in zip(self.pages, self.words[2], plain, main):
-            zone = "main" if any(b.zone == "main" for b in page) else "plain"
-            boiler = often[zone == "main"]
-            share = [boiler[a:z].mean() for a, z in zip(end, end[1:])]
-            text = [(b.text, s < rule.covered) for b, s in zip(page, share) if b.zone == zone]
-            kept = [t for t, own in text if own] or [t for t, _ in text]
-            out.append(("\n".join(kept), int(end[-1]), int(often[0].sum())))
+        for page, end, often, most in zip(self.pages, self.words[2], plain, main):
+            zones = ("main",) if any(b.zone == "main" for b in page) else ("plain", "loose")
+            spans = list(zip(end, end[1:]))
+            outer = [b.zone == "chrome" or (b.zone == "loose" and often[a:z].mean() >= rule.covered) for b, (a, z) in zip(page, spans)]
+            rim = at_rim(outer) if "loose" in zones else [False] * len(page)
+            text = [(b.text, "" if r else unique_runs(b.text, most[a:z], rule)) for b, r, (a, z) in zip(page, rim, spans) if b.zone in zones]
+            kept = [own for _, own in text if own] or [t for t, _ in text]
+            out.append(("\n".join(kept), int(end[-1]), int(often.sum())))
         return [out[k] for k in self.which]
 
 
+def at_rim(outer: list[bool]) -> list[bool]:
+    """Which blocks have only ``outer`` ones, themselves included, before them or behind."""
+    first = next((i for i, x in enumerate(outer) if not x), len(outer))
+    last = next((i for i in range(len(outer) - 1, -1, -1) if not outer[i]), -1)
+    return [i < first or i > last for i in range(len(outer))]
+
+
+def unique_runs(text: str, covered: np.ndarray, rule: Rule) -> str:
+    """A block without its covered runs.
+
+    If they are most of it, short runs between them go too; if not, short covered runs stay (a repeated
+    substring that begins in the block before may end in this one).
+    """
+    if not covered.any():
+        return text
+    mostly = covered.mean() >= rule.covered
+    words, out = text.split(" "), []
+    cuts = np.flatnonzero(np.diff(covered)) + 1
+    for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(words)]):
+        if (not covered[a] and z - a >= rule.least_run) if mostly else (not covered[a] or z - a < rule.least_run):
+            out += words[a:z]
+    return " ".join(out)
+
+
 def main_texts(pages: list[str | None], least: int = 8, rule: Rule = Rule()) -> list[tuple[str, int, int]]:
     """(text, tokens, tokens in what enough pages for plain boilerplate share) of the pages of one host."""
     chunk = Chunk([blocks(p) for p in pages], pages, least=least)

@@ -27,9 +27,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import discard, stash
 
@@ -107,14 +107,40 @@ class LanguageFilters:
                 hits[64 * k : 64 * k + some] += found
         return np.maximum(hits - n * self.false_rate, 0) / (1 - self.false_rate), n
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def best(self, text: str | None) -> tuple[str, float, int]:
+        """The likeliest of these languages, its corrected count and the number of n-grams; UNKNOWN if there are none."""
         if not text or not self.languages or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         hits, n = self.counts(text)
         if not n:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         best = int(np.argmax(hits))
-        return self.languages[best], float(min(1.0, hits[best] / n))
+        return self.languages[best], float(hits[best]), n
+
+
+@dataclass(frozen=True)
+class Learned:
+    """Filters of any number of languages, of which ``block`` (a multiple of 64) are held in memory together."""
+
+    languages: tuple[str, ...]
+    bits: int
+    false_rate: np.ndarray
+    marks: DataFrame | None  # (word, at, mask): a stashed table of slices
+    block: int
+
+    def blocks(self) -> Iterator[LanguageFilters]:
+        for first in range(0, len(self.languages), self.block):
+            names = self.languages[first : first + self.block]
+            some = self.marks.where(F.col("word").between(first // 64, (first + len(names) - 1) // 64)).toArrow()
+            slices = np.zeros((-(-len(names) // 64), 1 << self.bits), dtype=np.uint64)
+            slices[some.column(0).to_numpy() - first // 64, some.column(1).to_numpy()] = some.column(2).to_numpy().view(np.uint64)
+            yield LanguageFilters(names, slices, self.bits, self.false_rate[first : first + len(names)])
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """Language and score of one text."""
+        found = [b.best(text) for b in self.blocks()] or [(UNKNOWN, 0.0, 0)]
+        lang, hits, n = max(found, key=lambda x: x[1])  # the first of equals
+        return lang, min(1.0, hits / n) if n else 0.0
 
 
 def fit(
@@ -126,24 +152,30 @@ def fit(
     bits: int = 20,
     least_share: float = 1e-5,
     near: float = 0.3,
-    most_languages: int = 1024,
-) -> LanguageFilters:
+    block_languages: int = 1024,
+) -> Learned:
     """Learn the filters from about ``most_rows`` labelled rows, those with the smallest hashes of id and text.
 
     Each language has an equal part of the sample, and is taken whole where it has fewer rows.
     The sample bound is the only one; every row counts towards what fraction of its language it is.
-    Counting is distributed; the driver receives at most ``2 ** bits`` slices for each 64 languages.
-    Where labels name more than ``most_languages`` languages, those with most rows are learned.
+    Counting is distributed; the driver receives a row for each language, and at most ``2 ** bits`` slices for
+    each 64 of ``block_languages`` languages at a time.  Every language is learned, however many there are.
     """
+    if block_languages < 64 or block_languages % 64:
+        raise ValueError("block_languages must be a multiple of 64")
+    spark = labelled.sparkSession
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    per = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    per = sorted(per.orderBy(F.desc("n"), "lang").limit(most_languages).collect())
+    rows = rows.select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col), F.col(text_col)), F.lit(1 << 40)).alias("draw")
+    )
+    per = sorted(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
     languages = tuple(r["lang"] for r in per)
     if not languages:
-        return LanguageFilters((), np.zeros((0, 1 << bits), np.uint64), bits, np.zeros(0))
+        return Learned((), bits, np.zeros(0), None, block_languages)
     each = most_rows / len(languages)
-    keep = F.create_map(*[x for r in per for x in (F.lit(r["lang"]), F.lit(int((1 << 40) * min(1.0, each / r["n"]))).cast("long"))])
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("fit"), F.col(id_col), F.col(text_col)), F.lit(1 << 40)) < keep[F.col(lang_col)])
+    limits = [(r["lang"], i, int((1 << 40) * min(1.0, each / r["n"]))) for i, r in enumerate(per)]
+    index = F.broadcast(spark.createDataFrame(limits, "lang string, bit int, most long"))  # a row for each language, as on the driver
+    sample = rows.join(index, "lang").where(F.col("draw") < F.col("most"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -168,16 +200,14 @@ def fit(
             yield flush()
 
     counted = (
-        sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+        sample.select("lang", "text")
         .mapInArrow(count, "lang string, gram long, n long")
         .groupBy("gram", "lang")
         .agg(F.sum("n").alias("n"))
     )
     counted = stash(counted, "grams")
-    sums = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    bit = F.create_map(*[x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))])
-    all_n = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(float(sums.get(name, 1))))])
-    shares = counted.select("gram", bit[F.col("lang")].alias("bit"), (F.col("n") / all_n[F.col("lang")]).alias("share"))
+    sums = F.broadcast(counted.groupBy("lang").agg(F.sum("n").alias("all_n")).join(index, "lang"))
+    shares = counted.join(sums, "lang").select("gram", "bit", (F.col("n") / F.col("all_n")).alias("share"))
     per_gram = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("bit", "share")).alias("in"))
     kept = F.filter("in", lambda x: (x["share"] >= least_share) & (x["share"] >= F.col("top") * near))
     held = stash(per_gram.select("gram", F.explode(kept).alias("x")).select("gram", "x.bit"), "held")
@@ -193,35 +223,47 @@ def fit(
             rest = [pa.array(np.tile(batch.column(k).to_numpy(), HASHES)) for k in (1, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(at), *rest], ["at", "word", "mask"])
 
-    set_bits = masks.mapInArrow(spread, "at long, word int, mask long").groupBy("word", "at").agg(F.bit_or("mask").alias("mask")).toArrow()
-    slices = np.zeros((-(-len(languages) // 64), 1 << bits), dtype=np.uint64)
-    slices[set_bits.column(0).to_numpy(), set_bits.column(1).to_numpy()] = set_bits.column(2).to_numpy().view(np.uint64)
+    set_bits = masks.mapInArrow(spread, "at long, word int, mask long").groupBy("word", "at").agg(F.bit_or("mask").alias("mask"))
+    marks = stash(set_bits, "slices")
     discard(counted, held)
-    return LanguageFilters(languages, slices, bits, (1 - np.exp(-HASHES * full / (1 << bits))) ** HASHES)
+    return Learned(languages, bits, (1 - np.exp(-HASHES * full / (1 << bits))) ** HASHES, marks, block_languages)
 
 
-def predict(docs: DataFrame, filters: LanguageFilters, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+def predict(docs: DataFrame, filters: Learned, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Add the predicted language and its score (the corrected share of known n-grams, 0 to 1).
 
     All columns of ``docs`` stay; one named like an output is replaced.  Only the text is
-    read by the prediction.
+    read by the prediction.  Each block of languages is a pass over the texts; where there are several,
+    the best so far is written with the rows between them, so one block at a time is broadcast.
     """
-    docs = docs.drop(lang_out, score_out)
-    known = docs.sparkSession.sparkContext.broadcast(filters)
-    at = docs.columns.index(text_col)
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = known.value
-        for batch in batches:
-            out = [model.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())],
-                [*batch.schema.names, lang_out, score_out],
-            )
-
-    more = [StructField(lang_out, StringType()), StructField(score_out, DoubleType())]
-    schema = StructType([*docs.schema.fields, *more])
-    return docs.mapInArrow(tell, schema)
+    names = docs.drop(lang_out, score_out).columns
+    docs = docs.select(*names, F.lit(UNKNOWN).alias("__best"), F.lit(0.0).alias("__hits"), F.lit(0).cast("long").alias("__n"))
+    schema, at, spark = docs.schema, names.index(text_col), docs.sparkSession
+
+    def told(docs: DataFrame, known: Broadcast) -> DataFrame:
+        def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = known.value
+            for batch in batches:
+                before = zip(*(batch.column(k).to_pylist() for k in range(len(names), len(names) + 3)))
+                out = []
+                for text, held in zip(batch.column(at), before):
+                    found = model.best(text.as_py())
+                    out.append(found if held[0] == UNKNOWN or found[1] > held[1] else held)
+                kinds = (pa.string(), pa.float64(), pa.int64())
+                columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *columns], batch.schema.names)
+
+        return docs.mapInArrow(tell, schema)
+
+    last = None
+    for block in filters.blocks():
+        if last is not None:
+            docs = stash(docs, "languages")
+            last.destroy()
+        last = spark.sparkContext.broadcast(block)
+        docs = told(docs, last)
+    score = F.when(F.col("__n") > 0, F.least(F.lit(1.0), F.col("__hits") / F.col("__n"))).otherwise(0.0)
+    return docs.select(*names, F.col("__best").alias(lang_out), score.alias(score_out))
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:

@@ -8,6 +8,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from itertools import groupby
 
 import numpy as np
 import public_tokenizers
@@ -351,10 +352,25 @@ def test_more_languages_than_a_word_holds(spark):
     words = {f"l{k:02}": ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(5)] for k in range(100)}
     rows = [(i, " ".join(rng.permutation(words[lang])), lang) for lang in words for i in range(3)]
     filters = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert filters.slices.shape == (2, 1 << 20) and filters.languages == tuple(sorted(words))
-    assert all(filters.predict(" ".join(some))[0] == lang for lang, some in words.items())
-    two = langid.fit(spark.createDataFrame(rows + [(9, "abc", "l50"), (9, "abc", "l70")], "doc_id long, text string, lang string"), most_languages=2)
-    assert two.languages == ("l50", "l70")
+    (block,) = filters.blocks()
+    assert block.slices.shape == (2, 1 << 20) and filters.languages == tuple(sorted(words))
+    assert all(block.best(" ".join(some))[0] == lang for lang, some in words.items())
+
+
+def test_every_one_of_1500_languages_is_learned(spark):
+    """In blocks of 640 as in one, and each predicted from its own words."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ")
+    words = {f"l{k:04}": " ".join("".join(rng.choice(letters, 7)) for _ in range(6)) for k in range(1500)}
+    rows = [(i, text, lang) for lang, text in words.items() for i in range(2)] + [(0, words["l0007"], "l0008")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = spark.createDataFrame([(lang, text, 1) for lang, text in words.items()] + [("none", "12", 2), ("null", None, 3)], "want string, text string, __n2 int")
+    several = langid.predict(texts, langid.fit(docs, bits=16, block_languages=640)).collect()
+    assert sum(r["want"] == r["lang_pred"] for r in several) >= 1499 and all(0 <= r["score"] <= 1 for r in several)
+    assert {r["want"]: r["lang_pred"] for r in several if r["want"] in ("none", "null")} == {"none": "und", "null": "und"}
+    assert sorted(several) == sorted(langid.predict(texts, langid.fit(docs, bits=16, block_languages=1536)).collect())
+    with pytest.raises(ValueError):
+        langid.fit(docs, block_languages=100)
 
 
 def test_languages_ignore_clashing_columns(spark):
@@ -469,19 +485,30 @@ def plain_main_text(pages: list[list[htmltext.Block]], rule=htmltext.Rule()) ->
     on = Counter(w for some in windows for w in some)
     out = []
     for page in pages:
-        zone = "main" if any(b.zone == "main" for b in page) else "plain"
-        least = rule.main_pages(len(pages)) if zone == "main" else rule.plain_pages(len(pages))
         words = [(k, w) for k, b in enumerate(page) for w in b.text.split(" ")]
-        hit = [False] * len(words)
-        for i in range(len(words) - 7):
-            if on[tuple(w for _, w in words[i : i + 8])] >= least:
-                hit[i : i + 8] = [True] * 8
+
+        def hit(least):
+            marks = [False] * len(words)
+            for i in range(len(words) - 7):
+                if on[tuple(w for _, w in words[i : i + 8])] >= least:
+                    marks[i : i + 8] = [True] * 8
+            return [[m for m, (j, _) in zip(marks, words) if j == k] for k in range(len(page))]
+
+        often, most = hit(max(3, 0.1 * len(pages))), hit(max(5, 0.5 * len(pages)))
+        main = any(b.zone == "main" for b in page)
+        outer = [b.zone == "chrome" or (b.zone == "loose" and sum(o) >= rule.covered * len(o)) for b, o in zip(page, often)]
         kept = []
         for k, b in enumerate(page):
-            mine = [h for h, (j, _) in zip(hit, words) if j == k]
-            if b.zone == zone and sum(mine) < rule.covered * len(mine):
-                kept.append(b.text)
-        out.append("\n".join(kept or [b.text for b in page if b.zone == zone]))
+            if b.zone not in (("main",) if main else ("plain", "loose")) or (not main and (all(outer[: k + 1]) or all(outer[k:]))):
+                continue
+            runs = [(m, [w for _, w in g]) for m, g in groupby(zip(most[k], b.text.split(" ")), key=lambda x: x[0])]
+            if sum(most[k]) >= rule.covered * len(most[k]):
+                runs = [r for m, r in runs if not m and len(r) >= 8]
+            else:
+                runs = [r for m, r in runs if not m or len(r) < 8]
+            kept.append(" ".join(w for r in runs for w in r))
+        zones = ("main",) if main else ("plain", "loose")
+        out.append("\n".join([x for x in kept if x] or [b.text for b in page if b.zone in zones]))
     return out
 
 
@@ -500,7 +527,7 @@ def test_extraction_equals_plain_windows_for_any_number_of_chunks(spark):
     assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
     want = plain_main_text([htmltext.blocks(h) for _, _, h in rows[:300]])
     assert [got[0][i][2] for i in range(300)] == want
-    without = plain_main_text([htmltext.blocks(h) for _, _, h in rows[:300]], htmltext.Rule(covered=2.0))
+    without = ["\n".join(b.text for b in htmltext.blocks(h) if b.zone != "chrome") for _, _, h in rows[:300]]
     assert sum(a != b for a, b in zip(want, without)) > 250 and any("<article>" in h and a != b for (_, _, h), a, b in zip(rows, want, without))
     assert all(got[0][1000 + k][2] == want[1] for k in range(200)) and got[0][2001][2] == ""
     by_bytes = {r["id"]: tuple(r) for r in htmltext.extract(frame, chunk_bytes=20_000).collect()}
@@ -516,6 +543,34 @@ def test_page_text_of_the_given_table(spark):
         assert r["text"] == "\n".join(x for x in parts if x)
 
 
+def test_no_article_is_lost_on_the_given_pages_without_their_tags(spark):
+    """Every page's text is its article also where nothing marks it; without the list of names too, but for what is left besides."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["id"]: r["text"] for r in htmltext.extract(pages).collect()}
+    bare = pages.withColumn("html", F.regexp_replace("html", "</?(article|main)>", ""))
+    assert {r["id"]: r["text"] for r in htmltext.extract(bare).collect()} == want
+    names, htmltext.CHROME_NAMES = htmltext.CHROME_NAMES, frozenset()
+    try:
+        hosts = defaultdict(list)
+        for r in bare.collect():
+            hosts[r["url"].split("/")[2]].append(r)
+        for rows in hosts.values():
+            for r, (text, _, _) in zip(rows, htmltext.main_texts([r["html"] for r in rows])):
+                assert not Counter(want[r["page_id"]].split("\n")) - Counter(text.split("\n"))
+    finally:
+        htmltext.CHROME_NAMES = names
+
+
+def test_unique_runs_of_a_covered_block_stay():
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    legal = words("legal", 40)
+    pages = [f"<article><p>{words(f'own{i}x', 20)}</p><p>{words(f'lead{i}x', 9)} {legal} by{i}</p></article>" for i in range(6)]
+    pages += [f"<article><p>{words(f'own{i}x', 20)}</p><p>{legal} by{i}</p></article>" for i in range(6, 9)]
+    got = [x[0] for x in htmltext.main_texts(pages)]
+    assert got[:6] == [f"{words(f'own{i}x', 20)}\n{words(f'lead{i}x', 9)}" for i in range(6)]
+    assert got[6:] == [words(f"own{i}x", 20) for i in range(6, 9)]
+
+
 def test_pipeline_keeps_one_of_each_group_where_ids_repeat(spark):
     one, two, far = "a b c d e f g h", "p q r s t u v w", "k l m n o p"
     rows = [(1, one), (1, two), (2, one + " "), (0, two), (3, far), (3, far), (4, far), (5, None), (5, ""), (None, far)]
