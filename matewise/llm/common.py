@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 #: Words as the contracts define them (white space is these six ASCII characters only).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch in passes that :func:`stash` runs; rows may hold whole texts or sets.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _STASHED: list[tuple[SparkSession, str]] = []
 
 
@@ -35,6 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_matewise"
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stash(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -44,7 +58,8 @@ def stash(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _setting(spark, _BATCH, str(BATCH_BYTES)):
+        df.write.parquet(path)
     _STASHED.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed_at = path
@@ -98,6 +113,16 @@ def uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
+def apart(key: Column) -> Column:
+    """A join key (long) with the meaning of ``key`` that no aggregation by ``key`` is partitioned by.
+
+    A join on the key of an aggregate uses its partitions as they are, and then Spark can't split a
+    skewed one.  On this key both sides are shuffled for the join (the aggregated one is small), so
+    a key with a third of all rows is split where adaptive execution finds it.
+    """
+    return F.bitwise_not(key)
+
+
 def running_sum(rows: DataFrame, keys: list[str], at: str, value: str, out: str, width: int = 4096) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same ``keys`` with a smaller ``at`` (unique within keys).
 
@@ -119,6 +144,7 @@ def running_offsets(
     value: str | None,
     out: str,
     rows_per_chunk: int = 512,
+    row: str = "row",
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` (or the count) over the rows before, within ``group``.
 
@@ -126,16 +152,23 @@ def running_offsets(
     Rows are cut by hash into chunks of about ``rows_per_chunk`` rows over all groups;
     the chunks of a group are summed up in two levels, and only rows of one group and chunk
     are ever sorted together: a group that holds a third of all rows spreads over many
-    tasks.  ``group`` must not be null; ``rows`` is read three times, so stash what is
-    dear to compute.
+    tasks.  Where more rows than a chunk should hold are equal in ``order``, their unique number
+    ``row`` spreads them; between such rows alone the order depends on it.  ``group`` must not be
+    null; ``rows`` is read four times, so stash what is dear to compute.
     """
     h, chunk, base = "__h", "__chunk", "__base"
     amount = F.lit(1).cast("long") if value is None else F.col(value).cast("long")
     chunks = max(1, -(-rows.count() // rows_per_chunk))
-    placed = rows.withColumn(h, F.xxhash64(*[F.col(c) for c in order])).withColumn(chunk, F.pmod(F.col(h), F.lit(chunks)))
+    placed = rows.withColumn(h, F.xxhash64(*[F.col(c) for c in order]))
+    equal = stash(placed.groupBy(h).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows_per_chunk).select(h), "equal")
+    if n := equal.count():
+        some = equal.select(F.col(h).alias("__equal"))
+        placed = placed.join(F.broadcast(some) if n <= 100_000 else some, F.col(h) == F.col("__equal"), "left")
+        placed = placed.withColumn(h, F.when(F.col("__equal").isNull(), F.col(h)).otherwise(F.xxhash64(h, row))).drop("__equal")
+    placed = placed.withColumn(chunk, F.pmod(F.col(h), F.lit(chunks)))
     totals = placed.groupBy(group, chunk).agg(F.sum(amount).alias("__total"))
     bases = running_sum(totals, [group], chunk, "__total", base).drop("__total")
-    within = Window.partitionBy(group, chunk).orderBy(h, *order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(group, chunk).orderBy(h, *order, row).rowsBetween(Window.unboundedPreceding, -1)
     return (
         placed.join(bases, [group, chunk])
         .withColumn(out, F.col(base) + F.coalesce(F.sum(amount).over(within), F.lit(0)))

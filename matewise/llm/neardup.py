@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import apart, discard, stash
 from .graph import components
 from .runs import by_run
 
@@ -192,7 +192,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 23) ->
     some = docs.select("place", "text", at, bit).join(F.broadcast(marks), "at").where(F.col("bit").bitwiseAND(F.col("bits")) != 0)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task makes the set of a text once, however many copies it meets
         for batch in batches:
+            first = [p not in seen and not seen.add(p) for p in batch.column(0).to_pylist()]
+            batch = batch.filter(pa.array(first, pa.bool_()))
             for k in range(0, len(batch), 500):
                 part = batch.slice(k, 500)
                 sets = [shingles(t.as_py(), words).tobytes() for t in part.column(1)]
@@ -237,8 +240,8 @@ def near_duplicates(
 
     banded_rows = nodes.select("node", "registers").mapInArrow(banded, "node long, key long")
     leaders = banded_rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
-    shared = leaders.where("leader < last").select("key", "leader")
-    members = stash(banded_rows.join(shared, "key").select("key", "leader", "node"), "bands")
+    shared = leaders.where("leader < last").select(apart(F.col("key")).alias("at"), "leader")
+    members = stash(banded_rows.withColumn("at", apart(F.col("key"))).join(shared, "at").select("key", "leader", "node"), "bands")
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that the estimate doesn't rule out."""
@@ -285,9 +288,9 @@ def near_duplicates(
         known = components(links)
         rows = members.join(known, "node", "left").select("key", "leader", "node", F.coalesce("component", "node").alias("comp"))
         mixed_keys = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"))
-        open_keys = mixed_keys.where("low < high").select("key", "size")
+        open_keys = mixed_keys.where("low < high").select(apart(F.col("key")).alias("at"), "size")
         lead = known.select(F.col("node").alias("leader"), F.col("component").alias("lead_comp"))
-        rows = rows.join(open_keys, "key").join(lead, "leader", "left")
+        rows = rows.withColumn("at", apart(F.col("key"))).join(open_keys, "at").drop("at").join(lead, "leader", "left")
         return stash(rows.withColumn("lead_comp", F.coalesce("lead_comp", "leader")), "open")
 
     # 1. every set against the smallest of its buckets' leaders; 2. against the other leaders

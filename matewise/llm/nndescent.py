@@ -39,7 +39,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stash
+from .common import apart, discard, stash
 from .runs import by_run
 from .vectorlinks import matrix, unit_rows, usable
 
@@ -94,7 +94,8 @@ def first_graph(nodes: DataFrame, n: int, dims: int, shape: Shape) -> DataFrame:
     placed = stash(nodes.select("node", "code").mapInArrow(place, "node long, bucket long"), "buckets")
     sizes = placed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / shape.bucket).alias("parts"))
     work = (
-        placed.join(sizes, "bucket")
+        placed.withColumn("at", apart(F.col("bucket")))
+        .join(sizes.select(apart(F.col("bucket")).alias("at"), "parts"), "at")
         .select("node", "bucket", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
         .join(nodes.select("node", "code"), "node")
         .repartition("bucket", "part")

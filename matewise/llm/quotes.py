@@ -83,7 +83,10 @@ def quotations(messages: DataFrame) -> DataFrame:
         .withColumn("c", F.coalesce(F.col("conv").cast("string"), F.lit("")))
         .withColumn("cn", F.col("conv").isNull())
     )
-    found = asked.join(firsts, ["c", "cn", "print"], "left")
+    # a key that the aggregation is not partitioned by, so a passage that a third of all messages quote can be split
+    key = ["c", "cn", "turned"]
+    firsts = firsts.select("c", "cn", F.reverse("print").alias("turned"), "original")
+    found = asked.withColumn("turned", F.reverse("print")).join(firsts, key, "left")
     return found.select(
         "conv", "turn", "key", "level", "print", F.when(F.col("original") < F.col("turn"), F.col("original")).alias("original")
     )

@@ -96,10 +96,11 @@ def shard_rows(
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("id"),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
     )
     rows = descend(rows, F.col("id"), tree)
     rows = descend(rows, F.col("id"), tree.grown(), "grown_")
-    return running_offsets(stash(rows, "places"), "shard", ["id", "text_crc32", "size"], None, "slot")
+    return running_offsets(stash(rows, "places"), "shard", ["id", "text_crc32", "size"], None, "slot").drop("row")

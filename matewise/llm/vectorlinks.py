@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import apart, stash
 from .graph import components
 from .runs import by_run
 
@@ -158,8 +158,11 @@ def link_counts(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")),
     )
+    at = lambda rows: rows.withColumn("__key", apart(F.col("key")))
     work = (
-        members.join(shared, bucket)
+        at(members)
+        .join(at(shared).drop("key"), ["label", "dims", "band", "__key"])
+        .drop("__key")
         .withColumn("blocks", blocks)
         .withColumn("block", block)
         .select("node", *bucket, "block", F.explode(meets).alias("meet"))

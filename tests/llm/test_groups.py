@@ -235,3 +235,30 @@ def test_ties_go_to_the_smallest_ids_in_any_row_order(spark):
     assert all(got[q] == [0, 1, 2, 3, 4] for q in (50, 100, 150, 200, 250, 400))
     seven = nndescent.nearest(frame, F.col("vec_id") == 7, 9, shape).orderBy("rank").collect()
     assert [r["vec_id"] for r in seven] == sorted([*range(9)] * 2)
+
+
+def test_a_hot_node_is_split_in_the_join_with_its_minimum(spark, tmp_path):
+    """A third of all edges at one node: no task of the join gets more than twice an even share of it."""
+    edges = spark.range(0, 900_000, 1, 12).select(F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("u"), F.xxhash64("id").alias("v"))
+    edges.write.parquet(str(tmp_path / "edges"))
+    edges = spark.read.option("maxPartitionBytes", "1m").parquet(str(tmp_path / "edges"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "300KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "300KB",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        sizes = {}
+        for name, joined in (("apart", graph.meet(edges, low)), ("plain", edges.join(low, "u"))):
+            parts = joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "m").cast("double")).alias("s"))
+            sizes[name] = [r["n"] for r in parts.collect()]
+        assert sum(sizes["apart"]) == sum(sizes["plain"]) == 900_000
+        assert max(sizes["plain"]) > 300_000 > 2 * 900_000 / 8 >= max(sizes["apart"])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
