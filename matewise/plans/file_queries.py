@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.errors import InputError
 from ..functions.params import CorrectionParams
 from ..sources import fastq, tables
+from ..sources.splits import file_system
 from ..streaming import pairs as stream
 from . import job
 from . import oracles as O
@@ -21,6 +22,8 @@ from .shared import folder, once, write_text
 Query = Callable[[SparkSession, str], DataFrame]
 #: More mismatched mates than any table has.
 ANY = 1 << 40
+#: Bytes of a piece, so that small files are read in several.
+SMALL = 1 << 16
 
 
 def _files(spark: SparkSession, sf_dir: str) -> tuple[str, list[str], list[str]]:
@@ -42,18 +45,19 @@ def _pairs(spark: SparkSession, ones: list[str], twos: list[str]) -> DataFrame:
 
 
 def fastq_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reverse reads, each file in pieces of 64 KiB."""
     _, _, twos = _files(spark, sf_dir)
-    return spark.read.format("fastq").option("path", ",".join(twos)).load()
+    return fastq.scan(spark, twos, SMALL)
 
 
 def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs written as FASTQ files in the shared folder and read again in step."""
-    return _pairs(spark, *_files(spark, sf_dir)[1:])
+    """All pairs written as FASTQ files in the shared folder and read again in step, by pieces of the forward files."""
+    return fastq.scan_pairs(spark, *_files(spark, sf_dir)[1:], SMALL).read()
 
 
 def fastq_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 1,000 pairs over both files."""
-    return fastq.head(fastq_roundtrip(spark, sf_dir), 1000).select("file_index", "pair_ordinal", "r1_name")
+    return fastq.head(_pairs(spark, *_files(spark, sf_dir)[1:]), 1000).select("file_index", "pair_ordinal", "r1_name")
 
 
 def fastq_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +90,7 @@ def malformed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             faults = []
             for k in batch.column(0).to_pylist():
                 path = f"{root}/{k}.fastq"
-                system, inner = fastq._file_system(path)
+                system, inner = file_system(path)
                 with system.open_output_stream(inner) as out:
                     out.write(_TEXTS[k % 7].format(k=k).encode("utf-8", "surrogateescape"))
                 try:
@@ -100,34 +104,38 @@ def malformed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gzip_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A gzip file, and the same cut in the middle."""
-    root, ones, _ = _files(spark, sf_dir)
-    system, inner = fastq._file_system(ones[1])
-    with system.open_input_file(inner) as whole:
-        half = whole.read(whole.size() // 2)
-    system, inner = fastq._file_system(f"{root}/cut.fastq.gz")
-    with system.open_output_stream(inner, compression=None) as out:
-        out.write(half)
-    rows = []
-    for name in ("r1_odd", "cut"):
-        try:
-            fastq.check_gzip(f"{root}/{name}.fastq.gz")
-            rows.append((name, True))
-        except InputError:
-            rows.append((name, False))
-    return spark.createDataFrame(rows, "file string, whole boolean")
+    """Gzip files, the same cut in the middle, and with a byte changed there: checked by ranges of members on executors."""
+    root, ones, twos = _files(spark, sf_dir)
+    paths = []
+    for path in (ones[1], twos[1]):
+        system, inner = file_system(path)
+        with system.open_input_file(inner) as f:
+            data = bytearray(f.read())
+        name = path.rsplit("/", 1)[1].removesuffix(".fastq.gz")
+        cut, changed = bytes(data[: len(data) // 2]), data
+        changed[len(data) // 2] ^= 255
+        paths.append(path)
+        for kind, some in (("cut", cut), ("changed", bytes(changed))):
+            paths.append(f"{root}/{name}_{kind}.fastq.gz")
+            system, inner = file_system(paths[-1])
+            with system.open_output_stream(inner, compression=None) as out:
+                out.write(some)
+    told = fastq.gzip_faults(spark, paths, SMALL)
+    return told.select(F.regexp_extract("path", r"([^/]*)\.fastq\.gz$", 1).alias("file"), F.col("fault").isNull().alias("whole"))
 
 
 def _job(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
     root, ones, twos = _files(spark, sf_dir)
-    run = lambda: job.run(spark, ",".join(ones), ",".join(twos), f"{root}/merged.fastq.gz", f"{root}/rest.fastq", max_mismatches=ANY)
+    outputs = f"{root}/merged.fastq.gz/", f"{root}/rest.fastq/"
+    run = lambda: job.run(spark, ",".join(ones), ",".join(twos), *outputs, max_mismatches=ANY, split_bytes=SMALL)
     return root, once(spark, sf_dir, "job", run)
 
 
 def _output(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         root, _ = _job(spark, sf_dir)
-        return spark.read.format("fastq").option("path", f"{root}/{name}").load().drop("file_index")
+        rows = fastq.with_place(fastq.scan(spark, [f"{root}/{name}"], SMALL), "ordinal")
+        return rows.select(F.col("place").alias("ordinal"), "name", "description", "seq", "qual")
 
     return query
 
@@ -244,7 +252,7 @@ def oracle_sql(totals: str) -> dict[str, str]:
             "SELECT 'r' || mate || CASE key % 2 WHEN 0 THEN '_even.fastq' ELSE '_odd.fastq.gz' END AS file, count(*) AS records FROM pairs, (SELECT unnest([1, 2]) AS mate) GROUP BY ALL",
         ),
         "malformed_records": f"SELECT CAST(n_nationkey AS BIGINT) AS k, CASE n_nationkey % 7 {faults} END AS fault FROM nation",
-        "gzip_integrity": "SELECT 'r1_odd' AS file, TRUE AS whole UNION ALL SELECT 'cut', FALSE",
+        "gzip_integrity": "SELECT 'r' || mate || '_odd' || kind AS file, kind = '' AS whole FROM (SELECT unnest([1, 2]) AS mate), (SELECT unnest(['', '_cut', '_changed']) AS kind)",
         "merged_fastq": f(
             result,
             f"SELECT row_number() OVER (ORDER BY key % 2, key) - 1 AS ordinal, {O.KEY.format('name1')} AS name, '' AS description, seq, qual "

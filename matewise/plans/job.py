@@ -11,11 +11,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import mate_key
+from ..functions.columns import mate_key, same_mates
 from ..functions.errors import ERRORS, ConfigError, InputError, PairingError
 from ..functions.params import CorrectionParams, EngineConfig, OverlapParams, ValidationPolicy
 from ..operators.assembly import assemble, pairs_from
-from ..operators.kernel import FAILED, MISMATCH
+from ..operators.kernel import FAILED
 from ..sources import fastq
 from .progress import Progress
 from .stats import RunSummary, run_stats
@@ -36,46 +36,62 @@ def run(
     max_mismatches: int = 3,
     progress_every: int = 0,
     progress_mode: str = "plain",
+    split_bytes: int = fastq.SPLIT_BYTES,
 ) -> RunSummary:
     """Assemble two FASTQ files, or lists of files by comma, whose pairs are one sequence in the order of the lists.
 
-    Files are parsed and pairs assembled once, into a persisted result that the checks, the
-    counters and both outputs share.  Nothing is written if mates mismatch more often than
-    allowed, or any pair fails.
+    A first pass takes headers alone and ends as soon as mates mismatch more often than allowed, before
+    any pair is assembled.  Then pairs are parsed and assembled once, into a persisted result that the
+    counters and both outputs share.  Nothing is written if any pair fails.  Outputs are folders of parts
+    where their names end in a slash, else single files, through which all bytes pass the driver.
     """
     began = time.monotonic()
-    fastq.register(spark)
-    scanned = spark.read.format("fastq_pairs").option("r1", r1).option("r2", r2).load()
-    named = pairs_from(scanned, [*ORDER, "r1_name", "r2_name"], r1_name="r1_name", r2_name="r2_name")
-    spread = named.repartition(spark.sparkContext.defaultParallelism * 2)
+    scan = fastq.scan_pairs(spark, r1.split(","), r2.split(","), split_bytes)
+    check_mates(scan.read(names_only=True), max_mismatches)
+    named = pairs_from(scan.read(), [*ORDER, "r1_name", "r2_name"], r1_name="r1_name", r2_name="r2_name")
+    tasks = spark.sparkContext.defaultParallelism
+    spread = named if len(scan.parts) >= tasks else named.repartition(tasks * 2)
     progress = Progress(spark.sparkContext, progress_every, progress_mode)
     result = assemble(spread, config, progress.seen if progress.active else None).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         with progress:
             counters = run_stats(result, config.correction is not None, unmerged_out is not None).first().asDict()
-        if counters["mate_id_mismatches"] > max_mismatches:
-            raise out_of_order(result, max_mismatches)
         if failed := result.where(F.col("status") == FAILED).orderBy(*ORDER).select("r1_name", "reason").first():
             raise ERRORS.get(failed["reason"], InputError)(f"pair failed: {failed['r1_name']}: {failed['reason']}")
         merged = merged_reads(result)
         if out:
-            fastq.write_file(merged, out, ORDER)
+            write(merged, out, ORDER)
         else:
             for row in merged.orderBy(*ORDER).select(fastq.record_text("name", "seq", "qual").alias("v")).toLocalIterator():
                 sys.stdout.write(row["v"] + "\n")
         if unmerged_out:
-            fastq.write_file(unmerged_reads(result), unmerged_out, [*ORDER, "mate"])
+            write(unmerged_reads(result), unmerged_out, [*ORDER, "mate"])
     finally:
         result.unpersist()
     return RunSummary(r1, r2, out, unmerged_out, time.monotonic() - began, counters)
 
 
-def out_of_order(result: DataFrame, most: int) -> PairingError:
-    """The error about the pair with which mismatched mates exceed ``most``."""
-    bad = result.where(F.col("status") == MISMATCH).orderBy(*ORDER).limit(most + 1)
-    last = bad.orderBy(*[F.desc(c) for c in ORDER]).first()
-    earlier = result.where(f"file_index < {last['file_index']}").count()
-    return PairingError(
+def write(rows: DataFrame, path: str, order: list[str]) -> None:
+    """Records in order, as a folder of parts if the path ends in a slash."""
+    (fastq.write_folder if path.endswith("/") else fastq.write_file)(rows, path, order)
+
+
+def mismatches(names: DataFrame) -> DataFrame:
+    """The pairs (file_index, pair_ordinal, r1_name, r2_name) whose mates don't match."""
+    return names.where(~same_mates(F.col("r1_name"), F.col("r2_name")))
+
+
+def check_mates(names: DataFrame, most: int) -> None:
+    """Raise if more than ``most`` pairs have mates that don't match, naming the pair with which that is so.
+
+    As many mismatches are looked for as make the error, so on files in different orders few tasks run.
+    """
+    bad = mismatches(names)
+    if most >= (1 << 31) - 1 or bad.limit(most + 1).count() <= most:
+        return
+    last = bad.orderBy(*ORDER).limit(most + 1).orderBy(*[F.desc(c) for c in ORDER]).first()
+    earlier = names.where(f"file_index < {last['file_index']}").count()
+    raise PairingError(
         f"more than {most} mates don't match, so the files seem to be in different orders; last headers: {last['r1_name']}, "
         f"{last['r2_name']}; {earlier + last['pair_ordinal'] + 1} pairs seen before failure; sort both files alike and run again"
     )
@@ -100,8 +116,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="matewise", description="Merge overlapping read pairs.")
     p.add_argument("r1")
     p.add_argument("r2")
-    p.add_argument("-o", "--output", help="merged reads; standard output if left out")
-    p.add_argument("-u", "--unmerged", help="unmerged pairs, interleaved")
+    p.add_argument("-o", "--output", help="merged reads, as a folder of parts if it ends in a slash; standard output if left out")
+    p.add_argument("-u", "--unmerged", help="unmerged pairs, interleaved; a folder if it ends in a slash")
     p.add_argument("--max-differences", type=int, default=5)
     p.add_argument("--min-overlap", type=int, default=10)
     p.add_argument("--max-difference-share", type=float, default=0.2)

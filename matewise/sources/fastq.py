@@ -1,14 +1,18 @@
 """FASTQ as Spark data sources.
 
 ``fastq`` reads files of records (file_index, ordinal, name, description, seq, qual);
-``fastq_pairs`` reads two files in step (file_index, pair_ordinal and both records).  A file
-is one partition, since record boundaries can't be found from within; scale comes from many
-files, and ``repartition`` after the scan spreads a large one.  The order of a list of files is
-that of (file_index, ordinal); :func:`with_place` numbers it through.  Files are opened through
-pyarrow's file systems: local and shared folders by path, other stores by URI.
-
-Writers sort and write parts on the executors; a single file is its parts put together, as
-bytes, in order (members of a gzip file may follow each other).
+``fastq_pairs`` reads two files in step (file_index, pair_ordinal and both records).  By
+:func:`scan` and :func:`scan_pairs` large files are many tasks: plain ones are cut anywhere, gzip
+ones between members that state their sizes (:mod:`.splits`); mates that are cut at different
+bytes meet by their ordinals.  Read by ``format`` alone, a file is one task.  A folder stands for
+its part files.  The order of a list of files is that of (file_index, ordinal); :func:`with_place`
+numbers it through.  Files are opened through pyarrow's file systems: local and shared folders by
+path, other stores by URI.
+
+``df.write.format("fastq")`` writes a folder of numbered parts, blocked gzip if its name ends in
+``gz``: tasks write beside it, and all parts show with one rename when the last has ended, so a
+failed task leaves nothing.  A single file is made on request only, of the parts' bytes in order
+(members of a gzip file may follow each other).
 
 Records are strict: a header that starts with @, a separator that starts with +, equal
 lengths of sequence and quality, quality bytes of 33 or more, and no record cut short.
@@ -17,144 +21,223 @@ Gzip is chosen by the extension ``gz``; all members are read.
 
 from __future__ import annotations
 
-import gzip
 import io
+import json
 import os
 import re
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from ..functions.errors import InputError, PairingError
+from .splits import SPLIT_BYTES, Piece, file_system, index, is_blocked, is_gzip, members, open_bytes
 
 RECORD = "file_index int, ordinal bigint, name string, description string, seq string, qual string"
 PAIR = "file_index int, pair_ordinal bigint, r1_name string, r1_seq string, r1_qual string, r2_name string, r2_seq string, r2_qual string"
-BATCH = 8192
-
-
-def _file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*:", path) else f"file://{os.path.abspath(path)}")
+PAIR_NAMES = "file_index int, pair_ordinal bigint, r1_name string, r2_name string"
+#: Bytes that are parsed together.
+CHUNK = 4 << 20
 
 
 def file_size(path: str) -> int | None:
     """Bytes of a file, or None where there is none."""
-    system, inner = _file_system(path)
+    system, inner = file_system(path)
     info = system.get_file_info(inner)
     return info.size if info.type == pyarrow.fs.FileType.File else None
 
 
 def open_lines(path: str) -> io.BufferedReader:
     """A file's bytes, unpacked if its extension is gz."""
-    try:
-        system, inner = _file_system(path)
-        raw = system.open_input_file(inner)
-    except (OSError, pa.ArrowInvalid) as e:
-        raise InputError(f"can't open {path}: {e}") from e
-    return io.BufferedReader(gzip.GzipFile(fileobj=raw) if path.rsplit(".", 1)[-1] == "gz" else raw, 1 << 20)
+    return Piece(path).open()
+
+
+def _checked(lines: io.BufferedIOBase, n: int, path: str) -> Iterator[tuple[str, str, str]]:
+    """(header, seq, qual) of each record from the ``n``-th on; a malformed one is an error."""
+    while header := lines.readline():
+        seq, plus, qual = lines.readline(), lines.readline(), lines.readline()
+        where = f"record {n + 1} of {path}"
+        if not header.startswith(b"@"):
+            raise InputError(f"{where}: the header must start with @")
+        if not qual:
+            raise InputError(f"{where}: cut short")
+        if not plus.startswith(b"+"):
+            raise InputError(f"{where}: the separator must start with +")
+        seq, qual = seq.rstrip(b"\r\n"), qual.rstrip(b"\r\n")
+        if len(seq) != len(qual):
+            raise InputError(f"{where}: {len(seq)} bases, {len(qual)} qualities")
+        if qual and min(qual) < 33:
+            raise InputError(f"{where}: a quality byte is below 33")
+        try:
+            yield header[1:].rstrip(b"\r\n").decode(), seq.decode(), qual.decode("latin-1")
+        except UnicodeDecodeError as e:
+            raise InputError(f"{where}: not UTF-8") from e
+        n += 1
+
+
+def _named(header: str) -> tuple[str, str]:
+    name, _, description = header.partition(" ")
+    return (header if "\t" in name else name), description
 
 
 def records(path: str) -> Iterator[tuple[str, str, str, str]]:
     """(name, description, seq, qual) of each record; a malformed one is an error."""
     with open_lines(path) as lines:
-        n = 0
-        while header := lines.readline():
-            seq, plus, qual = lines.readline(), lines.readline(), lines.readline()
-            where = f"record {n + 1} of {path}"
-            if not header.startswith(b"@"):
-                raise InputError(f"{where}: the header must start with @")
-            if not qual:
-                raise InputError(f"{where}: cut short")
-            if not plus.startswith(b"+"):
-                raise InputError(f"{where}: the separator must start with +")
-            seq, qual = seq.rstrip(b"\r\n"), qual.rstrip(b"\r\n")
-            if len(seq) != len(qual):
-                raise InputError(f"{where}: {len(seq)} bases, {len(qual)} qualities")
-            if qual and min(qual) < 33:
-                raise InputError(f"{where}: a quality byte is below 33")
-            try:
-                full = header[1:].rstrip(b"\r\n").decode()
-                name, _, description = full.partition(" ")
-                yield full if "\t" in name else name, description, seq.decode(), qual.decode("latin-1")
-            except UnicodeDecodeError as e:
-                raise InputError(f"{where}: not UTF-8") from e
-            n += 1
-
-
-class Files(InputPartition):
-    def __init__(self, index: int, paths: tuple[str, ...]):
-        self.index, self.paths = index, paths
-
-
-def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == BATCH:
-            yield _batch(held, schema)
-            held = []
-    if held:
-        yield _batch(held, schema)
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        for header, seq, qual in _checked(lines, 0, path):
+            yield *_named(header), seq, qual
+
+
+def _plain_chunk(data: bytes, ends: np.ndarray) -> pa.Table | None:
+    """Records (header, seq, qual) of whole lines by Arrow alone, or None where a record needs a closer look."""
+    a = np.frombuffer(data, np.uint8, ends[-1] + 1)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    sizes = (ends - starts).reshape(-1, 4)
+    first = a[starts].reshape(-1, 4)
+    if (first[:, 0] != 64).any() or (first[:, 2] != 43).any() or (sizes[:, 1] != sizes[:, 3]).any() or (a == 13).any():
+        return None
+    odd = np.flatnonzero(((a < 33) & (a != 10)) | (a > 127))
+    if (np.searchsorted(ends, odd) % 4 == 3).any():
+        return None
+    offsets = np.append(starts, ends[-1] + 1).astype(np.int32)
+    lines = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    each = np.arange(0, len(ends), 4)
+    try:
+        columns = [pc.binary_slice(lines.take(pa.array(each + k)), s, -1).cast(pa.string()) for k, s in ((0, 1), (1, 0), (3, 0))]
+    except pa.ArrowInvalid:  # not UTF-8
+        return None
+    return pa.table(columns, ["header", "seq", "qual"])
+
+
+def record_tables(piece: Piece, drop: int = 0) -> Iterator[pa.Table]:
+    """The records (header, seq, qual) of a piece but its first ``drop``, some thousands at a time."""
+    n, held, left = piece.ordinal, b"", piece.records
+    with piece.open() as stream:
+        while left is None or left > 0:
+            data = stream.read(CHUNK)
+            held += data
+            ends = np.flatnonzero(np.frombuffer(held, np.uint8) == 10)
+            ends = ends[: len(ends) // 4 * 4]
+            if data and not len(ends):
+                continue
+            if data:
+                table = _plain_chunk(held, ends)
+                stop = int(ends[-1]) + 1
+            else:
+                table, stop = None, len(held)
+            if table is None:
+                rows = list(zip(*_checked(io.BytesIO(held[:stop]), n, piece.path))) or [[], [], []]
+                table = pa.table([pa.array(c, pa.string()) for c in rows], ["header", "seq", "qual"])
+            held = held[stop:]
+            if left is not None:
+                table = table.slice(0, left)
+                left -= len(table)
+            n += len(table)
+            if drop:
+                gone = min(drop, len(table))
+                table, drop = table.slice(gone), drop - gone
+            if len(table):
+                yield table
+            if not data:
+                return
+
+
+def _in_step(one: Iterator[pa.Table], two: Iterator[pa.Table], paths: tuple[str, str], n: int) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """Equal numbers of rows of both; one that ends before the other is an error, ``n`` pairs having been before."""
+    left, right = next(one, None), next(two, None)
+    while left is not None and right is not None:
+        k = min(len(left), len(right))
+        yield left.slice(0, k), right.slice(0, k)
+        n += k
+        left = left.slice(k) if len(left) > k else next(one, None)
+        right = right.slice(k) if len(right) > k else next(two, None)
+    if left is not None or right is not None:
+        raise PairingError(f"{paths[0 if left is None else 1]} ends after {n} complete pairs, its mate file goes on")
+
+
+@dataclass
+class Part(InputPartition):
+    """What one task reads: a piece of a file, or of two with the same ordinals; ``drop`` records of the second come before."""
+
+    index: int
+    pieces: tuple[Piece, ...]
+    drop: int = 0
+
+
+def _numbered(part: Part, n: int, rows: int) -> list[pa.Array]:
+    return [pa.array(np.full(rows, part.index, np.int32)), pa.array(np.arange(n, n + rows))]
 
 
 class FastqReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-    def partitions(self) -> list[InputPartition]:
-        return [Files(i, (p,)) for i, p in enumerate(self.paths)]
-
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("file_index", pa.int32()), ("ordinal", pa.int64()), *((c, pa.string()) for c in ("name", "description", "seq", "qual"))])
-        yield from _batches(((partition.index, i, *r) for i, r in enumerate(records(partition.paths[0]))), schema)
-
-
-class PairReader(DataSourceReader):
-    def __init__(self, pairs: list[tuple[str, str]]):
-        self.pairs = pairs
+    def __init__(self, parts: list[Part]):
+        self.parts = parts
 
     def partitions(self) -> list[InputPartition]:
-        return [Files(i, p) for i, p in enumerate(self.pairs)]
-
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        names = ("r1_name", "r1_seq", "r1_qual", "r2_name", "r2_seq", "r2_qual")
-        schema = pa.schema([("file_index", pa.int32()), ("pair_ordinal", pa.int64()), *((c, pa.string()) for c in names)])
-
-        def rows() -> Iterator[tuple]:
-            one, two, n = records(partition.paths[0]), records(partition.paths[1]), 0
-            while True:
-                left, right = next(one, None), next(two, None)
-                if left is None and right is None:
-                    return
-                if left is None or right is None:
-                    short = partition.paths[0 if left is None else 1]
-                    raise PairingError(f"{short} ends after {n} complete pairs, its mate file goes on")
-                yield (partition.index, n, _full(left), left[2], left[3], _full(right), right[2], right[3])
-                n += 1
-
-        yield from _batches(rows(), schema)
-
-
-def _full(record: tuple[str, str, str, str]) -> str:
-    return f"{record[0]} {record[1]}" if record[1] else record[0]
+        return self.parts
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        (piece,), n = partition.pieces, partition.pieces[0].ordinal
+        for table in record_tables(piece):
+            header = table.column("header").combine_chunks()
+            if pc.any(pc.match_substring(header, "\t")).as_py():
+                name, description = (pa.array(c, pa.string()) for c in zip(*map(_named, header.to_pylist())))
+            else:
+                cut = pc.extract_regex(header, r"(?s)^(?P<name>[^ ]*) ?(?P<description>.*)$")
+                name, description = cut.field("name"), cut.field("description")
+            columns = [*_numbered(partition, n, len(table)), name, description, *(table.column(c).combine_chunks() for c in ("seq", "qual"))]
+            yield pa.RecordBatch.from_arrays(columns, ["file_index", "ordinal", "name", "description", "seq", "qual"])
+            n += len(table)
+
+
+class PairReader(FastqReader):
+    def __init__(self, parts: list[Part], names_only: bool):
+        super().__init__(parts)
+        self.fields = [("header", "name")] if names_only else [("header", "name"), ("seq", "seq"), ("qual", "qual")]
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        one, two = partition.pieces
+        n = one.ordinal
+        names = ["file_index", "pair_ordinal", *(f"r{k}_{to}" for k in (1, 2) for _, to in self.fields)]
+        for left, right in _in_step(record_tables(one), record_tables(two, partition.drop), (one.path, two.path), n):
+            mates = [t.column(c).combine_chunks() for t in (left, right) for c, _ in self.fields]
+            yield pa.RecordBatch.from_arrays([*_numbered(partition, n, len(left)), *mates], names)
+            n += len(left)
+
+
+def files_of(path: str) -> list[str]:
+    """The part files of a folder by name, or the file."""
+    system, inner = file_system(path)
+    if system.get_file_info(inner).type != pyarrow.fs.FileType.Directory:
+        return [path]
+    found = system.get_file_info(pyarrow.fs.FileSelector(inner))
+    return [f"{path.rstrip('/')}/{f.base_name}" for f in sorted(found, key=lambda f: f.base_name) if f.is_file and f.base_name.startswith("part-")]
 
 
 def _paths(text: str | None, option: str) -> list[str]:
     if not text:
         raise InputError(f"option {option} is needed")
-    return [p for p in text.split(",") if p]
+    return [f for p in text.split(",") if p for f in files_of(p)]
+
+
+def _parts(options: dict, whole: list[tuple[Piece, ...]]) -> list[Part]:
+    """The parts that an option tells, or each file or pair of files as a whole."""
+    if told := options.get("parts"):
+        return [Part(i, tuple(Piece(**p) for p in pieces), drop) for i, pieces, drop in json.loads(told)]
+    return [Part(i, pieces) for i, pieces in enumerate(whole)]
 
 
 class FastqSource(DataSource):
-    """``spark.read.format("fastq").option("path", "a.fastq,b.fastq.gz")``."""
+    """``spark.read.format("fastq").option("path", "a.fastq,b.fastq.gz")``; ``df.write.format("fastq").save("folder.gz")``."""
 
     @classmethod
     def name(cls) -> str:
@@ -163,25 +246,31 @@ class FastqSource(DataSource):
     def schema(self) -> str:
         return RECORD
 
-    def reader(self, schema: object) -> DataSourceReader:
-        return FastqReader(_paths(self.options.get("path"), "path"))
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return FastqReader(_parts(self.options, [(Piece(p),) for p in _paths(self.options.get("path"), "path")]))
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return FastqWriter(self.options, schema.names, overwrite)
 
 
 class FastqPairSource(DataSource):
-    """``spark.read.format("fastq_pairs").option("r1", "a_1.fastq.gz").option("r2", "a_2.fastq.gz")``; lists by comma."""
+    """``spark.read.format("fastq_pairs").option("r1", "a_1.fastq.gz").option("r2", "a_2.fastq.gz")``; lists by comma.
+
+    With option ``columns`` as ``names`` only headers are taken.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "fastq_pairs"
 
     def schema(self) -> str:
-        return PAIR
+        return PAIR_NAMES if self.options.get("columns") == "names" else PAIR
 
-    def reader(self, schema: object) -> DataSourceReader:
+    def reader(self, schema: StructType) -> DataSourceReader:
         one, two = _paths(self.options.get("r1"), "r1"), _paths(self.options.get("r2"), "r2")
         if len(one) != len(two):
             raise PairingError(f"{len(one)} forward files, {len(two)} reverse files")
-        return PairReader(list(zip(one, two)))
+        return PairReader(_parts(self.options, [(Piece(a), Piece(b)) for a, b in zip(one, two)]), self.options.get("columns") == "names")
 
 
 def register(spark: SparkSession) -> None:
@@ -189,15 +278,166 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastqPairSource)
 
 
+def _told(parts: list[Part]) -> str:
+    return json.dumps([(p.index, [asdict(x) for x in p.pieces], p.drop) for p in parts])
+
+
+def scan(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The records of files, large ones in pieces of about ``split_bytes``."""
+    register(spark)
+    paths = [f for p in paths for f in files_of(p)]
+    found = index(spark, paths, split_bytes)
+    parts = [Part(i, (piece,)) for i, p in enumerate(paths) for piece in found[p]]
+    return spark.read.format("fastq").option("path", ",".join(paths)).option("parts", _told(parts)).load()
+
+
+@dataclass(frozen=True)
+class PairScan:
+    """Two lists of files, and the parts that tasks read of them."""
+
+    spark: SparkSession
+    ones: list[str]
+    twos: list[str]
+    parts: list[Part]
+
+    def read(self, names_only: bool = False) -> DataFrame:
+        """The pairs, or of each only its place and headers."""
+        reader = self.spark.read.format("fastq_pairs").option("r1", ",".join(self.ones)).option("r2", ",".join(self.twos))
+        return reader.option("parts", _told(self.parts)).option("columns", "names" if names_only else "all").load()
+
+
+def scan_pairs(spark: SparkSession, ones: list[str], twos: list[str], split_bytes: int = SPLIT_BYTES) -> PairScan:
+    """A scan of two lists of files, large ones in pieces of about ``split_bytes`` of the forward file.
+
+    A piece's mates start in the last piece of the other file with an ordinal that isn't larger.  A pair of
+    files of which one can't be cut is one task.
+    """
+    register(spark)
+    ones, twos = ([f for p in paths for f in files_of(p)] for paths in (ones, twos))
+    if len(ones) != len(twos):
+        raise PairingError(f"{len(ones)} forward files, {len(twos)} reverse files")
+    found = index(spark, [*ones, *twos], split_bytes)
+    parts = []
+    for i, (a, b) in enumerate(zip(ones, twos)):
+        left, right = found[a], found[b]
+        if left[0].records is None or right[0].records is None:
+            parts.append(Part(i, (Piece(a), Piece(b))))
+            continue
+        if (n := sum(p.records for p in left)) != (m := sum(p.records for p in right)):
+            raise PairingError(f"{a if n < m else b} ends after {min(n, m)} complete pairs, its mate file goes on")
+        firsts = [p.ordinal for p in right]
+        for piece in left:
+            mate = right[np.searchsorted(firsts, piece.ordinal, "right") - 1]
+            drop = piece.ordinal - mate.ordinal
+            parts.append(Part(i, (piece, Piece(b, mate.at, mate.skip, mate.ordinal, piece.records + drop)), drop))
+    return PairScan(spark, ones, twos, parts)
+
+
+#: Content of a member of blocked gzip, so that its size in bytes fits 16 bits, and the empty member that ends a file.
+BLOCK = 0xFF00
+_LAST = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+
+
+def blocked_gzip(data: bytes) -> bytes:
+    """``data`` as gzip members that state their sizes."""
+    out = []
+    for at in range(0, len(data), BLOCK):
+        part = data[at : at + BLOCK]
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = packer.compress(part) + packer.flush()
+        head = b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H2sHH", 6, b"BC", 2, len(body) + 25)
+        out.append(head + body + struct.pack("<II", zlib.crc32(part), len(part)))
+    return b"".join(out)
+
+
+@dataclass
+class Wrote(WriterCommitMessage):
+    partition: int
+    path: str
+    records: int
+
+
+class FastqWriter(DataSourceArrowWriter):
+    """Parts of a folder, one a task.  Tasks write to a folder beside it; the commit renames it.
+
+    Columns are ``name``, ``seq`` and ``qual``, or those that options of these names give.  An existing
+    folder is replaced (overwrite) or added to (append).
+    """
+
+    def __init__(self, options: dict, columns: list[str], overwrite: bool):
+        self.path = (options.get("path") or "").rstrip("/")
+        if not self.path:
+            raise InputError("option path is needed")
+        self.at = [columns.index(options.get(c, c)) for c in ("name", "seq", "qual")]
+        self.overwrite, self.beside = overwrite, f"{self.path}.writing-{uuid.uuid4().hex}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Wrote:
+        context, gz = TaskContext.get(), is_gzip(self.path)
+        system, folder = file_system(self.beside)
+        system.create_dir(folder, recursive=True)
+        # an attempt's file has a name of its own; only those that the driver hears of are taken
+        name = f"{context.partitionId():05d}-{context.taskAttemptId()}"
+        n, held, size = 0, [], 0
+        with system.open_output_stream(f"{folder}/{name}", compression=None) as out:
+
+            def flush() -> None:
+                data = b"".join(held)
+                held.clear()
+                out.write(blocked_gzip(data) if gz else data)
+
+            for batch in iterator:
+                header, seq, qual = (batch.column(k) for k in self.at)
+                header, end = pc.binary_join_element_wise("@", header, ""), pc.binary_join_element_wise(qual, "\n", "")
+                text = pc.binary_join_element_wise(header, seq, "+", end, "\n")
+                n += len(text)
+                held.append(b"".join(text.cast(pa.binary()).to_pylist()))
+                size += len(held[-1])
+                if size > CHUNK:
+                    flush()
+                    size = 0
+            flush()
+            if gz:
+                out.write(_LAST)
+        return Wrote(context.partitionId(), name, n)
+
+    def commit(self, messages: list[Wrote | None]) -> None:
+        system, folder = file_system(self.beside)
+        target, end = file_system(self.path)[1], ".fastq.gz" if is_gzip(self.path) else ".fastq"
+        system.create_dir(folder, recursive=True)
+        there = system.get_file_info(target).type == pyarrow.fs.FileType.Directory
+        label = uuid.uuid4().hex[:8]
+        names = {f"part-{m.partition:05d}-{label}{end}": m.path for m in sorted((m for m in messages if m), key=lambda m: m.partition)}
+        for name, made in names.items():
+            system.move(f"{folder}/{made}", f"{folder}/{name}")
+        for info in system.get_file_info(pyarrow.fs.FileSelector(folder)):
+            if info.base_name not in names:
+                system.delete_file(info.path)  # of attempts that were lost
+        if there and not self.overwrite:
+            first = sum(f.base_name.startswith("part-") for f in system.get_file_info(pyarrow.fs.FileSelector(target)))
+            for k, name in enumerate(sorted(names)):
+                system.move(f"{folder}/{name}", f"{target}/part-{first + k:05d}-{label}{end}")
+            system.delete_dir(folder)
+        else:
+            if there:
+                system.delete_dir(target)
+            system.move(folder, target)
+
+    def abort(self, messages: list[Wrote | None]) -> None:
+        system, folder = file_system(self.beside)
+        if system.get_file_info(folder).type == pyarrow.fs.FileType.Directory:
+            system.delete_dir(folder)
+
+
 def record_text(name: str, seq: str, qual: str) -> F.Column:
     """A record as four lines."""
     return F.concat(F.lit("@"), F.col(name), F.lit("\n"), F.col(seq), F.lit("\n+\n"), F.col(qual))
 
 
 def write_folder(rows: DataFrame, path: str, order: list[str], name: str = "name", seq: str = "seq", qual: str = "qual") -> None:
-    """Records in order as numbered part files of a folder; gzip if the path ends in gz."""
-    text = rows.orderBy(*order).select(record_text(name, seq, qual).alias("value"))
-    text.write.mode("overwrite").option("compression", "gzip" if path.endswith("gz") else "none").text(path)
+    """Records in order as numbered part files of a folder, in place of one that is there; gzip if the path ends in gz."""
+    register(rows.sparkSession)
+    sorted_rows = rows.orderBy(*order).select(F.col(name).alias("name"), F.col(seq).alias("seq"), F.col(qual).alias("qual"))
+    sorted_rows.write.format("fastq").mode("overwrite").save(path)
 
 
 def _hadoop(spark: SparkSession, path: str) -> tuple[object, object]:
@@ -228,7 +468,7 @@ def join_parts(spark: SparkSession, folder: str, path: str) -> None:
 def write_file(rows: DataFrame, path: str, order: list[str], name: str = "name", seq: str = "seq", qual: str = "qual") -> None:
     """Records in order as one file: sorted parts beside it, then their bytes put together."""
     parts = f"{path}.parts-{uuid.uuid4().hex}" + (".gz" if path.endswith("gz") else "")
-    write_folder(rows, _hadoop(rows.sparkSession, parts)[1].toString(), order, name, seq, qual)
+    write_folder(rows, parts, order, name, seq, qual)
     join_parts(rows.sparkSession, parts, path)
 
 
@@ -268,6 +508,42 @@ def check_gzip(path: str) -> None:
         raise InputError(f"{path} is damaged: {e}") from e
 
 
+def gzip_faults(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(path, fault): what is wrong with each gzip file, null where it is whole; decoded and checked on executors.
+
+    Blocked files are checked by ranges of their members, others by a task each.
+    """
+    work = []
+    for path in dict.fromkeys(paths):
+        size = file_size(path) or 0
+        cuts = range(0, size, split_bytes) if size and is_blocked(path) else []
+        work += [(path, a, min(a + split_bytes, size)) for a in cuts] or [(path, 0, None)]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                path, start, end = work[k]
+                first = last = fault = None
+                try:
+                    if end is None:
+                        check_gzip(path)
+                    else:
+                        for at, step, _ in members(path, start, end):
+                            first, last = at if first is None else first, at + step
+                except InputError as e:
+                    fault = str(e)
+                row = dict(path=path, start=start, first=first, last=last, fault=fault)
+                yield pa.RecordBatch.from_pylist([row], schema)
+
+    schema = pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("start", "first", "last")), ("fault", pa.string())])
+    told = spark.range(0, len(work), 1, max(1, len(work))).mapInArrow(check, "path string, start long, first long, last long, fault string")
+    # members follow each other without a gap, also from one range to the next
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.concat(F.col("path"), F.lit(" is damaged: no whole member at byte "), F.col("before").cast("string"))
+    told = told.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("fault", F.coalesce("fault", F.when(F.col("first") != F.col("before"), gap)))
+    return told.groupBy("path").agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("start"))).alias("fault"))
+
+
 def with_place(rows: DataFrame, ordinal: str = "pair_ordinal", place: str = "place", most: int | None = None) -> DataFrame:
     """Number rows through over all files, in the order of (file_index, ordinal).
 
