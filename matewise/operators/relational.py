@@ -42,10 +42,97 @@ def first_hit(left: Column, right: Column, params: OverlapParams) -> Column:
     return F.get(F.filter(F.transform(F.sequence(F.lit(0), last), candidate), accepted), F.lit(0))
 
 
+#: Bases of a word, so that two words fit a long.
+WORD = 32
+_FULL = (1 << WORD) - 1
+#: The symbols that are packed, and their bits in three planes: two tell A, C, G and T apart, the third marks N.
+SYMBOLS, PLANES = "ACGTN", ("00110", "01010", "00001")
+
+
+def _call(name: str, value: Column, bits: Column) -> Column:
+    return F.call_function(name, value, bits.cast("int"))
+
+
+def packed(seq: Column) -> list[Column]:
+    """A read's planes, each an array of longs: bases 32 i to 32 i + 63 in the i-th, one bit each, the first one highest."""
+
+    def plane(signs: str) -> Column:
+        bits = F.translate(seq, SYMBOLS, signs)
+        count = F.floor((F.length(seq) + WORD - 1) / WORD).cast("int")
+        some = F.transform(F.sequence(F.lit(0), count), lambda i: F.rpad(F.substring(bits, i * WORD + 1, F.lit(WORD)), WORD, "0"))
+        words = F.transform(some, lambda x: F.conv(x, 2, 10).cast("long"))
+        return F.zip_with(words, F.slice(words, 2, 1 << 30), lambda x, y: F.shiftleft(x, WORD).bitwiseOR(F.coalesce(y, F.lit(0).cast("long"))))
+
+    return [plane(signs) for signs in PLANES]
+
+
+def _window(plane: Column, at: Column) -> Column:
+    """The 32 bits of a plane from base ``at`` on."""
+    word = F.coalesce(F.get(plane, F.floor(at / WORD).cast("int")), F.lit(0).cast("long"))
+    return _call("shiftrightunsigned", word, WORD - at % WORD).bitwiseAND(F.lit(_FULL))
+
+
+def _unequal(left: list[Column], right: list[Column], at: Column, k: Column, n: Column) -> Column:
+    """Of the n bases of ``left`` from ``at`` on, how many of the k-th 32 differ from those of ``right``: XOR and bit count."""
+    apart = None
+    for p, q in zip(left, right):
+        x = _window(p, at + k * WORD).bitwiseXOR(_window(q, k * WORD))
+        apart = x if apart is None else apart.bitwiseOR(x)
+    # of the last word only the first bases count
+    held = F.greatest(F.lit(0), WORD - (n - k * WORD))
+    mask = _call("shiftleft", F.lit(_FULL), held).bitwiseAND(F.lit(_FULL))
+    return F.bit_count(apart.bitwiseAND(mask))
+
+
+def first_packed_hit(left: list[Column], right: list[Column], left_len: Column, right_len: Column, params: OverlapParams) -> Column:
+    """As :func:`first_hit`, on packed reads.
+
+    The first 32 bases rule out nearly every offset; those that are left are counted in full.
+    """
+    last = F.greatest(left_len - params.min_overlap, F.lit(0))
+    need = max(params.min_overlap, params.min_comparisons)
+    size = lambda at: F.least(left_len - at, right_len)
+
+    def candidate(at: Column) -> Column:
+        n = size(at)
+        words = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / WORD).cast("int"), F.lit(0)))
+        d = F.aggregate(words, F.lit(0), lambda acc, k: acc + _unequal(left, right, at, k, n))
+        return F.struct(at.alias("at"), n.alias("n"), d.alias("d"))
+
+    near = F.filter(F.sequence(F.lit(0), last), lambda at: (size(at) >= need) & (_unequal(left, right, at, F.lit(0), size(at)) <= params.max_differences))
+    allowed = lambda x: x["d"] <= C.allowed_differences(x["n"], params.max_difference_share, params.max_differences)
+    return F.get(F.filter(F.transform(near, candidate), allowed), F.lit(0))
+
+
+def _once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are worked out once a row: a generator's output isn't written out again where it is used."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def packed_overlap_search(pairs: DataFrame, params: OverlapParams = OverlapParams()) -> DataFrame:
+    """:func:`overlap_search` by bit-parallel comparison, in built-in expressions.
+
+    Reads with symbols other than A, C, G, T and N are compared letter by letter.
+    """
+    rows = oriented(pairs)
+    planes = {f"{x}{k}": p for x in "ab" for k, p in enumerate(packed(F.col(x)))}
+    odd = F.coalesce(F.col("a").rlike(f"[^{SYMBOLS}]") | F.col("b").rlike(f"[^{SYMBOLS}]"), F.lit(False))
+    rows = _once(rows, planes | {"la": F.length("a"), "lb": F.length("b"), "odd": odd})
+    hit = lambda x, y: F.when(F.col("odd"), first_hit(F.col(x), F.col(y), params)).otherwise(
+        first_packed_hit(*([F.col(f"{z}{k}") for k in range(len(PLANES))] for z in (x, y)), F.col(f"l{x}"), F.col(f"l{y}"), params)
+    )
+    return _chosen(_once(rows, {"fs": hit("a", "b"), "fe": hit("b", "a")}), pairs.columns, params)
+
+
 def overlap_search(pairs: DataFrame, params: OverlapParams = OverlapParams()) -> DataFrame:
     """Add overlap_len, r1_start, r2_start, diff (null where there is none), from both directions."""
     rows = oriented(pairs)
     rows = rows.withColumn("fs", first_hit(F.col("a"), F.col("b"), params)).withColumn("fe", first_hit(F.col("b"), F.col("a"), params))
+    return _chosen(rows, pairs.columns, params)
+
+
+def _chosen(rows: DataFrame, columns: list[str], params: OverlapParams) -> DataFrame:
+    """The better of the hits fs (from the start) and fe (from the end)."""
     score_s, score_e = C.evidence_score(F.col("fs.n"), F.col("fs.d")), C.evidence_score(F.col("fe.n"), F.col("fe.d"))
     tied = F.coalesce(score_s == score_e, F.lit(False))
     end_wins = score_e >= score_s if params.tie is OverlapTie.FROM_END else score_e > score_s
@@ -54,7 +141,7 @@ def overlap_search(pairs: DataFrame, params: OverlapParams = OverlapParams()) ->
     hit = F.when(failed, None).when(use_end, F.col("fe")).otherwise(F.col("fs"))
     rows = rows.withColumn("hit", hit).withColumn("use_end", use_end)
     return rows.select(
-        *pairs.columns,
+        *columns,
         F.col("hit.n").alias("overlap_len"),
         F.when(F.col("hit").isNotNull(), F.when(F.col("use_end"), F.lit(0)).otherwise(F.col("hit.at"))).alias("r1_start"),
         F.when(F.col("hit").isNotNull(), F.when(F.col("use_end"), F.col("hit.at")).otherwise(F.lit(0))).alias("r2_start"),

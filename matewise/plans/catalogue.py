@@ -100,6 +100,12 @@ def _search(tie: OverlapTie) -> Query:
     return query
 
 
+def packed_overlap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search by bit-parallel comparison of packed reads, without Python."""
+    found = R.packed_overlap_search(pairs(spark, sf_dir).where("mates_match"))
+    return found.where("overlap_len IS NOT NULL").select("key", *OVERLAP_COLUMNS)
+
+
 def _complexity(tail: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = pairs(spark, sf_dir).withColumn("mates_match", F.lit(True))
@@ -323,6 +329,7 @@ def queries() -> dict[str, Query]:
         "overlap_from_start": _direction(False),
         "overlap_from_end": _direction(True),
         "overlap_search": _search(OverlapTie.FROM_START),
+        "packed_overlap_search": packed_overlap_search,
         "overlap_tie_from_end": _search(OverlapTie.FROM_END),
         "complexity_head": _complexity(False),
         "complexity_tail": _complexity(True),
@@ -387,6 +394,7 @@ def oracle_sql() -> dict[str, str]:
         "overlap_from_start": f(f"{O.base()}, {O.direction('fs', 'a', 'b', OverlapParams())}", start + "fs"),
         "overlap_from_end": f(f"{O.base()}, {O.direction('fe', 'b', 'a', OverlapParams())}", start + "fe"),
         "overlap_search": f(O.search(), found),
+        "packed_overlap_search": f(O.search(), found),
         "overlap_tie_from_end": f(O.search(OverlapParams(tie=OverlapTie.FROM_END)), found),
         "complexity_head": f(f"{O.base()}, {O.need('h', 'upper(a)', POLICIES['normal'])}", "SELECT key, CAST(need AS INTEGER) AS need FROM h"),
         "complexity_tail": f(f"{O.base()}, {O.need('h', 'reverse(upper(a))', POLICIES['normal'])}", "SELECT key, CAST(need AS INTEGER) AS need FROM h"),

@@ -329,6 +329,28 @@ def test_kernel_equals_relational_forms(spark):
     assert all(need[r["key"]] == r["min_informative"] for r in kernel)
 
 
+def test_packed_search_equals_the_kernel(spark):
+    """Reads of 0 to 200 bases, with N and other symbols, under several parameters; no Python in the plan."""
+    rng = random.Random(12)
+    data = []
+    for i in range(250):
+        letters = rng.choice(["ACGT", "ACGT", "ACGTN", "AC", "ACGTRn."])
+        insert = "".join(rng.choice(letters) for _ in range(rng.choice([12, 31, 32, 33, 64, 65, 90, 150, 190])))
+        cut = [rng.choice([10, 31, 32, 33, 63, 64, 65, 100, 200]) for _ in range(2)]
+        r1, r2 = (insert + "ACGTTGCA" * 25)[: cut[0]], (rc(insert) + "GGATCCTT" * 25)[: cut[1]]
+        r2 = "".join(rng.choice("ACGTN") if rng.random() < 0.02 else c for c in r2)
+        data.append((i, r1, "I" * len(r1), r2, "I" * len(r2)))
+    data.append((999, "", "", "ACGT" * 5, "I" * 20))
+    rows = pairs_from(spark.createDataFrame(data, "key long, r1_seq string, r1_qual string, r2_seq string, r2_qual string"), "key")
+    columns = ["key", "overlap_len", "r1_start", "r2_start", "diff"]
+    for params in (OverlapParams(), OverlapParams(9, 5, 0.35, 5, OverlapTie.FROM_END), OverlapParams(0, 20, 0.0, 12, OverlapTie.FROM_START)):
+        want = {tuple(r) for r in PairFlow(rows).find_overlap(params).result().select(*columns).collect()}
+        found = R.packed_overlap_search(rows, params)
+        assert {tuple(r) for r in found.select(*columns).collect()} == want and sum(r[1] is not None for r in want) > 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan
+
+
 def test_bad_rows_have_a_status(spark):
     data = [(1, None, "I", "A", "I"), (2, "ACG", "II", "ACG", "III"), (3, "", "", "A", "I"), (4, "日本", "II", "AC", "II")]
     rows = pairs_from(spark.createDataFrame(data, "key long, r1_seq string, r1_qual string, r2_seq string, r2_qual string"), "key")
