@@ -20,7 +20,7 @@ million characters.
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -37,8 +37,8 @@ UNKNOWN = "und"
 BLOCK = 1 << 20
 SIZES = (2, 3, 4)
 HASHES = 3
-#: Distinct n-grams a task counts before it passes them on.
-FLUSH = 500_000
+#: N-grams whose counts a task adds up before it passes them on.
+FLUSH = 2_000_000
 
 
 @cache
@@ -178,26 +178,24 @@ def fit(
     sample = rows.join(index, "lang").where(F.col("draw") < F.col("most"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: defaultdict[str, list[np.ndarray]] = defaultdict(list)
+        size = 0
 
-        def flush() -> pa.RecordBatch:
-            keys = list(seen)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())],
-                ["lang", "gram", "n"],
-            )
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                which, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(which), pa.array(n)], ["lang", "gram", "n"])
+            held.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for block in blocks(text.as_py()):
-                    which, n = np.unique(grams(block).view(np.int64), return_counts=True)
-                    for g, k in zip(which.tolist(), n.tolist()):
-                        seen[lang, g] += k
-                if len(seen) > FLUSH:
-                    yield flush()
-                    seen.clear()
-        if seen:
-            yield flush()
+                    held[lang].append(grams(block).view(np.int64))
+                    size += len(held[lang][-1])
+                    if size > FLUSH:
+                        yield from flush()
+                        size = 0
+        yield from flush()
 
     counted = (
         sample.select("lang", "text")

@@ -359,12 +359,11 @@ def cross_pairs(
         band = int(np.flatnonzero(sketch.band_keys(regs[:1])[0] == key)[0])
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         columns, held = np.ascontiguousarray(regs[right].T), some.column("set")
-        sets: dict[int, frozenset] = {}
 
-        def set_of(k: int) -> frozenset:
-            if k not in sets:
-                sets[k] = frozenset(np.frombuffer(held[k].as_buffer(), np.uint32).tolist())
-            return sets[k]
+        def in_both(p: int, q: int) -> tuple[int, int]:
+            """Elements that two sets share, and the sum of their sizes."""
+            s, t = (np.frombuffer(held[k].as_buffer(), np.uint32) for k in (p, q))
+            return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()), len(s) + len(t)
 
         found: list[tuple[int, int]] = []
         for at in range(0, len(left), 128):
@@ -386,9 +385,8 @@ def cross_pairs(
                 likely = sketch.similarity(more.sum(axis=1), less.sum(axis=1), n[c], n[d]) >= limit.least
                 pick = (same.argmax(axis=1) == band) & likely
                 for p, q in zip(c[pick].tolist(), d[pick].tolist()):
-                    s, t = set_of(p), set_of(q)
-                    both = len(s & t)
-                    if 100 * both >= (limit.percent - 1) * (len(s) + len(t) - both):
+                    both, sizes = in_both(p, q)
+                    if 100 * both >= (limit.percent - 1) * (sizes - both):
                         found.append((p, q))
         pairs = node[np.array(found, np.int64).reshape(-1, 2)]
         return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
