@@ -109,19 +109,60 @@ def _once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+def _hits(rows: DataFrame, params: OverlapParams, needed: Column | None = None) -> DataFrame:
+    """Add fs and fe, the first hits of oriented rows from both directions, where ``needed`` (everywhere, if not given)."""
+    only = lambda c: c if needed is None else F.when(needed, c)
+    planes = {f"__{x}{k}": only(p) for x in "ab" for k, p in enumerate(packed(F.col(x)))}
+    odd = F.coalesce(F.col("a").rlike(f"[^{SYMBOLS}]") | F.col("b").rlike(f"[^{SYMBOLS}]"), F.lit(False))
+    names = [*planes, "__la", "__lb", "__odd"]
+    rows = _once(rows, planes | {"__la": F.length("a"), "__lb": F.length("b"), "__odd": odd})
+    hit = lambda x, y: F.when(F.col("__odd"), first_hit(F.col(x), F.col(y), params)).otherwise(
+        first_packed_hit(*([F.col(f"__{z}{k}") for k in range(len(PLANES))] for z in (x, y)), F.col(f"__l{x}"), F.col(f"__l{y}"), params)
+    )
+    return _once(rows, {"fs": only(hit("a", "b")), "fe": only(hit("b", "a"))}).drop(*names)
+
+
 def packed_overlap_search(pairs: DataFrame, params: OverlapParams = OverlapParams()) -> DataFrame:
     """:func:`overlap_search` by bit-parallel comparison, in built-in expressions.
 
     Reads with symbols other than A, C, G, T and N are compared letter by letter.
     """
-    rows = oriented(pairs)
-    planes = {f"{x}{k}": p for x in "ab" for k, p in enumerate(packed(F.col(x)))}
-    odd = F.coalesce(F.col("a").rlike(f"[^{SYMBOLS}]") | F.col("b").rlike(f"[^{SYMBOLS}]"), F.lit(False))
-    rows = _once(rows, planes | {"la": F.length("a"), "lb": F.length("b"), "odd": odd})
-    hit = lambda x, y: F.when(F.col("odd"), first_hit(F.col(x), F.col(y), params)).otherwise(
-        first_packed_hit(*([F.col(f"{z}{k}") for k in range(len(PLANES))] for z in (x, y)), F.col(f"l{x}"), F.col(f"l{y}"), params)
+    return _chosen(_hits(oriented(pairs), params), pairs.columns, params)
+
+
+DETAIL = "struct<mate:int,bases:int,qualities:int,overlap_len:int,diff:int,offset:int,left_base:string,right_base:string,quality:int>"
+
+
+def with_details(result: DataFrame, params: OverlapParams = OverlapParams()) -> DataFrame:
+    """Add ``detail`` to outcomes that still have their reads: what a failed pair's error is about, null elsewhere.
+
+    Unequal lengths: the mate, its bases and qualities.  A tie of overlaps: length and differences of the one
+    from the start.  Mates that differ with equal quality: the first such offset in the overlap, both bases in one
+    orientation, and the quality.  The search is repeated for such pairs alone.
+    """
+    reason, names = F.col("reason"), ("a", "qa", "b", "qb", "fs", "fe")
+    rows = _hits(oriented(result), params, F.coalesce(reason.isin("base_disagreement", "overlap_tie"), F.lit(False)))
+    none = {f.split(":")[0]: F.lit(None).cast(f.split(":")[1]) for f in DETAIL[7:-1].split(",")}
+    told = lambda **more: F.struct(*((more.get(n, c)).alias(n) for n, c in none.items()))
+    uneven = F.length("r1_seq") != F.length("r1_qual")
+    mate = [F.when(uneven, one).otherwise(two) for one, two in ((F.lit(1), F.lit(2)), *((F.length(f"r1_{c}"), F.length(f"r2_{c}")) for c in ("seq", "qual")))]
+    hit, use_end = _choice(params)
+    s1, s2 = F.when(use_end, 0).otherwise(hit["at"]), F.when(use_end, hit["at"]).otherwise(0)
+    at = lambda c, i: F.substring(c, i + 1, F.lit(1))
+    score = lambda c, i: F.greatest(F.ascii(at(c, i)) - 33, F.lit(0))
+    equal = lambda j: (at("a", s1 + j) != at("b", s2 + j)) & (score("qa", s1 + j) == score("qb", s2 + j))
+    offset = F.get(F.filter(F.sequence(F.lit(0), hit["n"] - 1), equal), F.lit(0))
+    rows = _once(rows, {"__offset": F.when(reason == "base_disagreement", offset), "__s1": s1, "__s2": s2})
+    j = F.col("__offset")
+    apart = told(
+        offset=j, left_base=at("a", F.col("__s1") + j), right_base=at("b", F.col("__s2") + j), quality=score("qa", F.col("__s1") + j)
+    )
+    detail = (
+        F.when(reason == "sequence_quality_length", told(mate=mate[0], bases=mate[1], qualities=mate[2]))
+        .when(reason == "overlap_tie", told(overlap_len=F.col("fs.n"), diff=F.col("fs.d")))
+        .when(reason == "base_disagreement", apart)
     )
-    return _chosen(_once(rows, {"fs": hit("a", "b"), "fe": hit("b", "a")}), pairs.columns, params)
+    return rows.withColumn("detail", detail).drop(*names, "__offset", "__s1", "__s2")
 
 
 def overlap_search(pairs: DataFrame, params: OverlapParams = OverlapParams()) -> DataFrame:
@@ -131,14 +172,19 @@ def overlap_search(pairs: DataFrame, params: OverlapParams = OverlapParams()) ->
     return _chosen(rows, pairs.columns, params)
 
 
-def _chosen(rows: DataFrame, columns: list[str], params: OverlapParams) -> DataFrame:
-    """The better of the hits fs (from the start) and fe (from the end)."""
+def _choice(params: OverlapParams) -> tuple[Column, Column]:
+    """The better of the hits fs (from the start) and fe (from the end), and whether it is the one from the end."""
     score_s, score_e = C.evidence_score(F.col("fs.n"), F.col("fs.d")), C.evidence_score(F.col("fe.n"), F.col("fe.d"))
     tied = F.coalesce(score_s == score_e, F.lit(False))
     end_wins = score_e >= score_s if params.tie is OverlapTie.FROM_END else score_e > score_s
     use_end = F.col("fe").isNotNull() & (F.col("fs").isNull() | end_wins)
     failed = tied if params.tie is OverlapTie.REJECT else F.lit(False)
-    hit = F.when(failed, None).when(use_end, F.col("fe")).otherwise(F.col("fs"))
+    return F.when(failed, None).when(use_end, F.col("fe")).otherwise(F.col("fs")), use_end
+
+
+def _chosen(rows: DataFrame, columns: list[str], params: OverlapParams) -> DataFrame:
+    """The columns of the better hit."""
+    hit, use_end = _choice(params)
     rows = rows.withColumn("hit", hit).withColumn("use_end", use_end)
     return rows.select(
         *columns,

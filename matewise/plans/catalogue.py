@@ -35,6 +35,8 @@ TOOLS = {
     "strict": EngineConfig(validation=POLICIES["strict"]),
     "unchecked": EngineConfig(validation=None),
 }
+#: K-mers that are longer than some of the broken reads.
+LONG_MERS = ValidationPolicy(30, 13)
 OVERLAP_COLUMNS = ("overlap_len", "r1_start", "r2_start", "diff")
 OUTCOME = ("key", "status", "reason", "seq", "qual")
 
@@ -260,8 +262,9 @@ def overlap_tie_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_prefer_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes where equally sure mates that differ are an error."""
-    return PairFlow(pairs(spark, sf_dir)).find_overlap().merge(MergeParams(BaseTie.REJECT)).result().select("key", "status", "reason")
+    """Outcomes where equally sure mates that differ are an error, and what the error is about."""
+    rows = R.with_details(PairFlow(pairs(spark, sf_dir)).find_overlap().merge(MergeParams(BaseTie.REJECT)).result())
+    return rows.select("key", "status", "reason", "detail.offset", "detail.left_base", "detail.right_base", "detail.quality")
 
 
 def overlap_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,8 +301,7 @@ def broken_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "name1",
         F.when(fault == 6, F.lit("other")).otherwise(F.col("name2")).alias("name2"),
     )
-    found = assemble(pairs_from(rows, "key", r1_name="name1", r2_name="name2"), EngineConfig(validation=ValidationPolicy(30, 13)))
-    return found.where("key % 8 <> 0 AND key % 8 <> 7").select("key", F.when(F.col("status") == "merged", "processed").when(F.col("reason").isin("insufficient_overlap_length", "excessive_mismatch_rate"), "processed").when((F.col("key") % 8 == 5) & (F.col("status") == "no_overlap"), "error").otherwise(F.col("status")).alias("outcome"))
+    return assemble(pairs_from(rows, "key", r1_name="name1", r2_name="name2"), EngineConfig(validation=LONG_MERS)).select("key", "status", "reason")
 
 
 def records_in_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,17 +460,27 @@ def oracle_sql() -> dict[str, str]:
         + " FROM (SELECT ov.*, hit, coalesce(fs.n - 5 * fs.d = fe.n - 5 * fe.d, FALSE) AS tied FROM ov JOIN found USING (key) LEFT JOIN fs USING (key) LEFT JOIN fe USING (key))",
     )
     out["merge_prefer_reject"] = f(
-        f"{any_pair}, win AS (SELECT key, bool_or(substr(a, s1 + j, 1) <> substr(b, s2 + j, 1) AND greatest(ascii(substr(qa, s1 + j, 1)), 33) = greatest(ascii(substr(qb, s2 + j, 1)), 33)) AS bad "
-        "FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM val WHERE status = 'ok') GROUP BY key)",
-        "SELECT key, CASE WHEN status <> 'ok' THEN status WHEN bad THEN 'error' ELSE 'merged' END AS status, CASE WHEN bad THEN 'base_disagreement' END AS reason FROM val LEFT JOIN win USING (key)",
+        f"{any_pair}, win AS (SELECT key, arg_min(j, j) AS j, arg_min(x, j) AS x, arg_min(y, j) AS y, arg_min(qx, j) AS q FROM ("
+        "SELECT key, j, substr(a, s1 + j, 1) AS x, substr(b, s2 + j, 1) AS y, greatest(ascii(substr(qa, s1 + j, 1)) - 33, 0) AS qx, greatest(ascii(substr(qb, s2 + j, 1)) - 33, 0) AS qy "
+        "FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM val WHERE status = 'ok')) WHERE x <> y AND qx = qy GROUP BY key)",
+        "SELECT key, CASE WHEN status <> 'ok' THEN status WHEN j IS NOT NULL THEN 'error' ELSE 'merged' END AS status, CASE WHEN j IS NOT NULL THEN 'base_disagreement' END AS reason, "
+        'CAST(j - 1 AS INTEGER) AS "offset", x AS left_base, y AS right_base, CAST(q AS INTEGER) AS quality FROM val LEFT JOIN win USING (key)',
     )
     out["overlap_outcomes"] = f(O.search(), "SELECT key, CASE WHEN n IS NULL THEN 'no_overlap' ELSE 'found' END AS outcome FROM ov WHERE same")
     out["validate_custom_score"] = f(O.validated(ValidationPolicy(40, 3, 5, 10.0, 1.5)), "SELECT key, status, reason FROM val")
     out["valid_pairs"] = f(normal, "SELECT key, status = 'ok' AS is_valid FROM val WHERE same AND n IS NOT NULL")
+    # reads of class 5 are cut and those of class 4 empty, so the search sees them; what fails before it is told by class
+    whole_pairs = O.base().partition("pairs AS (")[2].rpartition("),\n    ori AS")[0]
+    cut = (
+        f"raw AS ({whole_pairs}), pairs AS (SELECT key, ins, name1, CASE WHEN key % 8 = 5 THEN substr(r1_seq, 1, 12) ELSE r1_seq END AS r1_seq, "
+        "CASE WHEN key % 8 = 5 THEN substr(r1_qual, 1, 12) ELSE r1_qual END AS r1_qual, CASE WHEN key % 8 = 6 THEN 'other' ELSE name2 END AS name2, "
+        "CASE WHEN key % 8 = 4 THEN '' ELSE r2_seq END AS r2_seq, CASE WHEN key % 8 = 4 THEN '' ELSE r2_qual END AS r2_qual FROM raw),\n    ori AS"
+    )
+    fault = "CASE key % 8 WHEN 1 THEN 'null_read' WHEN 2 THEN 'not_bytes' WHEN 3 THEN 'sequence_quality_length' WHEN 5 THEN CASE WHEN n IS NOT NULL THEN 'k_exceeds_read' END END"
     out["broken_pairs"] = f(
-        O.search(),
-        "SELECT key, CASE WHEN key % 8 = 6 OR NOT same THEN 'mate_mismatch' WHEN key % 8 IN (1, 2, 3, 5) THEN 'error' WHEN key % 8 = 4 OR n IS NULL THEN 'no_overlap' ELSE 'processed' END AS outcome "
-        "FROM ov WHERE key % 8 NOT IN (0, 7)",
+        O.validated(LONG_MERS).replace(f"pairs AS ({whole_pairs}),\n    ori AS", cut),
+        "SELECT key, CASE WHEN status = 'mate_mismatch' THEN status WHEN fault IS NOT NULL THEN 'error' WHEN status = 'ok' THEN 'merged' ELSE status END AS status, "
+        f"CASE WHEN status <> 'mate_mismatch' THEN coalesce(fault, reason) END AS reason FROM (SELECT *, {fault} AS fault FROM val)",
     )
     out["records_in_hand"] = f(
         O.merged(normal, correction=c),

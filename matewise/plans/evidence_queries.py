@@ -80,56 +80,94 @@ def evidence_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filled(spark, sf_dir).table(W.RECORDS).withColumn("avg_qual", F.round("avg_qual", 6))
 
 
+def _dimensions(spark: SparkSession, sf_dir: str) -> W.Warehouse:
+    """A warehouse of a run for each nation, a subset for each run, and an execution for each supplier."""
+    w = W.Warehouse.create(spark, folder(spark, "dimensions"))
+    nation, supplier = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "supplier"))
+    number, whole = F.col("n_nationkey").cast("long"), lambda n: F.lit(n).cast("long")
+    run = F.concat(F.lit("run"), F.col("n_nationkey").cast("string")).alias("run_key")
+    created = F.concat(F.lit("2024010"), F.col("n_regionkey").cast("string")).alias("created_at")
+    mode = F.when(F.col("n_nationkey") % 2 == 0, "default").otherwise("tuned").alias("benchmark_mode")
+    same = {"run_dir": "runs", "config_path": "c.tsv", "data_root": "data", "vcs_kind": "git"}
+    runs = nation.select(
+        run, created, F.lit("running").alias("status"), mode, number.alias("read_pairs"), whole(3).alias("replicates"), whole(8).alias("threads"),
+        *(F.lit(v).alias(c) for c, v in same.items()),
+    )
+    w.append("benchmark_runs", runs)
+    paths = [F.lit("a").alias("r1_path"), F.lit("b").alias("r2_path"), whole(10).alias("r1_bytes"), whole(20).alias("r2_bytes")]
+    w.append("dataset_subsets", nation.select(run, F.lit("orders").alias("dataset_name"), F.col("n_name").alias("accession"), number.alias("read_pairs"), *paths))
+    balance, key = F.col("s_acctbal").cast("double"), F.col("s_suppkey").cast("long")
+    executions = supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select(
+        run, F.lit("orders").alias("dataset_name"), F.concat(F.lit("tool"), key.cast("string")).alias("tool"), F.lit("run it").alias("command"),
+        key.alias("execution_order"), *((balance / k).alias(f"hyperfine_{x}_s") for k, x in enumerate(NAMES, 1)),
+        F.lit(None).cast("double").alias("hyperfine_stddev_s"), key.alias("merged_reads"), key.alias("merged_read_records"), F.lit("out").alias("output_dir"),
+    )
+    w.upsert_executions(executions)
+    return w
+
+
 def execution_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Executions added, and one of them replaced."""
-    w = _made(spark)
-    for row in (_execution("one", 1), _execution("two", 2, 2), _execution("one", 5, 4, at="again")):
-        w.upsert_execution(row)
-    return w.table("tool_executions")
+    """Executions added together, and every third of them replaced."""
+    w = _dimensions(spark, sf_dir)
+    again = w.table("tool_executions").where("execution_order % 3 = 0").withColumns({"merged_reads": F.col("merged_reads") * 2, "output_dir": F.lit("again")})
+    w.upsert_executions(again)
+    return w.table("tool_executions").select("run_key", "tool", "execution_order", F.round("hyperfine_mean_s", 6).alias("mean_s"), "merged_reads", "merged_read_records", "output_dir")
 
 
 def run_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _made(spark)
-    w.complete_run("run2", "20240202T000000Z")
-    return w.table("benchmark_runs")
+    """Runs, two of which were completed."""
+    w = _dimensions(spark, sf_dir)
+    for k in (2, 7):
+        w.complete_run(f"run{k}", f"2024020{k}")
+    return w.table("benchmark_runs").select("run_key", "created_at", "status", "completed_at", "benchmark_mode", "read_pairs")
 
 
 def run_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _made(spark).run("run3")
+    return _dimensions(spark, sf_dir).run("run13").select("run_key", "created_at", "status", "benchmark_mode", "read_pairs", "threads")
 
 
 def latest_completed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key of the newest completed run of a mode, and the error where there is none."""
-    w = _made(spark)
-    for key in ("run1", "run2"):
-        w.complete_run(key, "20240203T000000Z")
-    rows = [("default", w.latest("default"))]
-    try:
-        rows.append(("tuned", w.latest("tuned")))
-    except EvidenceError:
-        rows.append(("tuned", None))
+    """The key of the newest completed run of each mode, and of none where there is an error."""
+    w = _dimensions(spark, sf_dir)
+    for k in (2, 4, 6, 10):
+        w.complete_run(f"run{k}", "20240203")
+    rows = []
+    for mode in ("default", "tuned"):
+        try:
+            rows.append((mode, w.latest(mode)))
+        except EvidenceError:
+            rows.append((mode, None))
     return spark.createDataFrame(rows, "mode string, run_key string")
 
 
 def warehouse_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows by table after every kind of insert, in a warehouse that was made twice and opened."""
-    w = _made(spark)
-    w.insert("tool_versions", *[dict(run_key="run1", tool=t, path=f"/bin/{t}", version=v) for t, v in (("one", "1.0"), ("two", None))])
-    w.upsert_execution(_execution("one", 1))
-    w.insert("artifacts", dict(run_key="run1", dataset_name="orders", tool="one", artifact_kind="command", path="c.sh", required=True))
+    """Rows by table after inserts of every kind, in a warehouse that was made twice and opened."""
+    w = _dimensions(spark, sf_dir)
+    executions = w.table("tool_executions")
+    w.append("tool_versions", executions.select("run_key", "tool", F.lit("/bin/tool").alias("path")))
+    artifact = [F.lit("command").alias("artifact_kind"), F.lit("c.sh").alias("path"), F.lit(True).alias("required")]
+    w.append("artifacts", executions.where("execution_order % 2 = 0").select(*W.PARTITIONS, *artifact))
     W.Warehouse.create(spark, w.root)
     w = W.Warehouse.open(spark, w.root)
     w.validate()
-    return spark.createDataFrame([(n, w.table(n).count()) for n in W.SCHEMAS], "name string, n long")
+    counts = [w.table(n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n in W.SCHEMAS]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
 
 
 def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every kind of broken rule."""
-    w = _made(spark)
-    w.insert("benchmark_runs", _run("run3"), _run("run4", status="completed"), _run("run5", threads=None), _run("run6", status="lost"))
-    w.insert("dataset_subsets", _subset("run9", "orders"))
-    w.upsert_execution(_execution("one", 1))
-    w.insert("artifacts", dict(run_key="run1", dataset_name="orders", tool="one", artifact_kind="photo", path="p", required=True))
+    """Every kind of broken rule, by the keys of nations and suppliers."""
+    w = _dimensions(spark, sf_dir)
+    runs, number = w.table("benchmark_runs"), F.regexp_extract("run_key", "([0-9]+)$", 1).cast("int")
+    other = F.concat(F.lit("other-"), "run_key")
+    w.append("benchmark_runs", runs.where(number % 7 == 0))
+    for rest, change in ((1, {"status": F.lit("completed")}), (2, {"threads": F.lit(None).cast("long")}), (3, {"status": F.lit("lost")})):
+        w.append("benchmark_runs", runs.where(number % 7 == rest).withColumns(change | {"run_key": other}))
+    w.append("dataset_subsets", w.table("dataset_subsets").where(number % 7 == 4).withColumn("run_key", other))
+    photo = [F.lit("photo").alias("artifact_kind"), F.lit("p").alias("path"), F.lit(True).alias("required")]
+    w.append("artifacts", w.table("tool_executions").where("execution_order % 5 = 0").select(*W.PARTITIONS, *photo))
     return w.violations()
 
 
@@ -196,7 +234,7 @@ def results_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def timing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of a run's timing table."""
-    rows = [r.asDict() for r in _filled(spark, sf_dir).tool_results("run1").drop("merged_reads").withColumn("merged_reads", F.lit(7)).collect()]
+    rows = [r.asDict() for r in _filled(spark, sf_dir).tool_results("run1").collect()]
     return spark.createDataFrame(list(enumerate(W.timing_markdown(rows).splitlines())), "line long, text string")
 
 
@@ -249,9 +287,7 @@ def oracle_sql(result: Callable[[EngineConfig], str]) -> dict[str, str]:
         )
 
     records = f"SELECT * FROM {reads(EngineConfig(), 'normal', 'TRUE')} UNION ALL SELECT * FROM {reads(EngineConfig(validation=None), 'unchecked', 'key % 3 = 0')}"
-    runs = [_run("run1"), _run("run2", "20240102T000000Z"), _run("run3", "20240103T000000Z", benchmark_mode="tuned")]
-    done = [r | ({"status": "completed", "completed_at": "20240202T000000Z"} if r["run_key"] == "run2" else {}) for r in runs]
-    executions = [_execution("one", 5, 4, at="again"), _execution("two", 2, 2)]
+    run = "SELECT 'run' || n_nationkey AS run_key, '2024010' || n_regionkey AS created_at, CASE WHEN n_nationkey % 2 = 0 THEN 'default' ELSE 'tuned' END AS benchmark_mode, CAST(n_nationkey AS BIGINT) AS read_pairs,"
     tools = [("normal", 1), ("unchecked", 2), ("zero", 3)]
     counts = f"rec AS ({records}), n AS (SELECT tool, count(*) AS c FROM rec GROUP BY tool)"
 
@@ -268,10 +304,10 @@ def oracle_sql(result: Callable[[EngineConfig], str]) -> dict[str, str]:
             "CAST(10 AS BIGINT) AS r1_bytes, CAST(20 AS BIGINT) AS r2_bytes, 'out' AS output_dir"
         )
 
-    lines = ["| dataset | tool | mean_s | median_s | stddev_s | min_s | max_s | merged_reads |", "| --- | --- |" + " ---: |" * 6]
+    lines = ["'| dataset | tool | mean_s | median_s | stddev_s | min_s | max_s | merged_reads |'", "'| --- | --- |" + " ---: |" * 6 + "'"]
     for tool, order in tools:
         t = [order + i / 8 for i in range(4)]
-        lines.append(f"| orders | {tool} | {t[0]} | {t[1]} | {0.25 if order % 2 else ''} | {t[2]} | {t[3]} | 7 |")
+        lines.append(f"'| orders | {tool} | {t[0]} | {t[1]} | {0.25 if order % 2 else ''} | {t[2]} | {t[3]} | ' || {merged(tool)} || ' |'")
     sizes = {k: len(k) for k in W.COMMON_ARTIFACTS if k != "stderr_log"} | {"fastp_json": 2, "vsearch_unmerged2_fastq": 9}
     kinds = [(t, k, True) for t in W.TOOL_ARTIFACTS for k in W.COMMON_ARTIFACTS] + [(t, k, need) for t, some in W.TOOL_ARTIFACTS.items() for k, _, need in some]
     registry = [dict(tool=t, artifact_kind=k, required=need, bytes=sizes.get(k)) for t, k, need in kinds]
@@ -284,10 +320,6 @@ def oracle_sql(result: Callable[[EngineConfig], str]) -> dict[str, str]:
         ("exception", "'bbmerge: the log holds an exception'"), ("missing", "'/bbmerge.stderr.log lacks Joined, No Solution, Too Short'"),
         ("other grammar", "NULL"), ("unknown tool", "NULL"),
     ]
-    broken = [
-        ("benchmark_runs", "key", "run3"), ("benchmark_runs", "check", "run4"), ("benchmark_runs", "null", "run5"), ("benchmark_runs", "check", "run6"),
-        ("dataset_subsets", "reference", "run9/orders"), ("artifacts", "check", "run1/orders/one/photo"),
-    ]
     pairs = [(a, b) for i, (a, _) in enumerate(tools) for b, _ in tools[i + 1 :]]
     shared = "(SELECT count(*) FROM rec l JOIN rec r USING (read_id) WHERE l.tool = '{}' AND r.tool = '{}')".format
     cells = " UNION ALL ".join(
@@ -296,20 +328,24 @@ def oracle_sql(result: Callable[[EngineConfig], str]) -> dict[str, str]:
     number = "CAST({} AS VARCHAR) AS {}".format
     return {
         "evidence_replace": records,
-        "execution_upsert": _table(W.SCHEMAS["tool_executions"], executions),
-        "run_completed": _table(W.SCHEMAS["benchmark_runs"], done),
-        "run_by_key": _table(W.SCHEMAS["benchmark_runs"], runs[2:]),
-        "latest_completed_run": "SELECT 'default' AS mode, 'run2' AS run_key UNION ALL SELECT 'tuned', NULL",
-        "warehouse_tables": _table(
-            "name string, n bigint",
-            [dict(name=k, n=n) for k, n in zip(W.SCHEMAS, (3, 2, 2, 1, 0, 1))],
-        ),
-        "constraint_violations": _table('"table" string, "rule" string, "key" string', [{'"table"': t, '"rule"': r, '"key"': k} for t, r, k in broken]),
+        "execution_upsert": "SELECT 'run' || s_nationkey AS run_key, 'tool' || s_suppkey AS tool, CAST(s_suppkey AS BIGINT) AS execution_order, round(CAST(s_acctbal AS DOUBLE), 6) AS mean_s, "
+        "CAST(s_suppkey * CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS merged_reads, CAST(s_suppkey AS BIGINT) AS merged_read_records, "
+        "CASE WHEN s_suppkey % 3 = 0 THEN 'again' ELSE 'out' END AS output_dir FROM supplier",
+        "run_completed": f"{run} CASE WHEN n_nationkey IN (2, 7) THEN 'completed' ELSE 'running' END AS status, CASE WHEN n_nationkey IN (2, 7) THEN '2024020' || n_nationkey END AS completed_at FROM nation",
+        "run_by_key": f"{run} 'running' AS status, CAST(8 AS BIGINT) AS threads FROM nation WHERE n_nationkey = 13",
+        "latest_completed_run": "SELECT mode, (SELECT 'run' || n_nationkey FROM nation WHERE n_nationkey IN (2, 4, 6, 10) AND mode = CASE WHEN n_nationkey % 2 = 0 THEN 'default' ELSE 'tuned' END "
+        "ORDER BY n_regionkey DESC, 'run' || n_nationkey DESC LIMIT 1) AS run_key FROM (SELECT unnest(['default', 'tuned']) AS mode)",
+        "warehouse_tables": "SELECT 'benchmark_runs' AS name, count(*) AS n FROM nation UNION ALL SELECT 'dataset_subsets', count(*) FROM nation UNION ALL SELECT 'tool_versions', count(*) FROM supplier "
+        "UNION ALL SELECT 'tool_executions', count(*) FROM supplier UNION ALL SELECT 'merged_read_records', 0 UNION ALL SELECT 'artifacts', count(*) FROM supplier WHERE s_suppkey % 2 = 0",
+        "constraint_violations": "SELECT 'benchmark_runs' AS \"table\", CASE n_nationkey % 7 WHEN 0 THEN 'key' WHEN 2 THEN 'null' ELSE 'check' END AS \"rule\", "
+        "CASE n_nationkey % 7 WHEN 0 THEN '' ELSE 'other-' END || 'run' || n_nationkey AS \"key\" FROM nation WHERE n_nationkey % 7 < 4 "
+        "UNION ALL SELECT 'dataset_subsets', 'reference', 'other-run' || n_nationkey || '/orders' FROM nation WHERE n_nationkey % 7 = 4 "
+        "UNION ALL SELECT 'artifacts', 'check', 'run' || s_nationkey || '/orders/tool' || s_suppkey || '/photo' FROM supplier WHERE s_suppkey % 5 = 0",
         "duplicate_read_ids": "SELECT 'read' || (o_orderkey % 1000) AS read_id, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1",
         "artifact_registry": _table("tool string, artifact_kind string, required boolean, bytes bigint", registry),
         "tool_accounting": " UNION ALL ".join(f"SELECT '{k}' AS \"case\", CAST({v} AS VARCHAR) AS problem" for k, v in problems),
         "results_tsv": f"WITH {counts} " + " UNION ALL ".join(result_row(*t) for t in tools),
-        "timing_report": _table("line bigint, text string", [dict(line=i, text=x) for i, x in enumerate(lines)]),
+        "timing_report": f"WITH {counts} " + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS line, {x} AS text" for i, x in enumerate(lines)),
         "overlap_report": f"WITH {counts}, j AS ({cells}) SELECT 'orders' AS dataset, lt AS left_tool, rt AS right_tool, {number('l', 'left_merged')}, {number('r', 'right_merged')}, "
         f"{number('s', 'shared_merged')}, {number('l - s', 'left_only')}, {number('r - s', 'right_only')}, "
         f"{number('round(CASE WHEN l + r - s = 0 THEN 0.0 ELSE CAST(s AS DOUBLE) / (l + r - s) END, 6)', 'jaccard')} FROM j",

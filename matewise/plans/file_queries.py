@@ -105,8 +105,8 @@ def malformed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gzip_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gzip files, the same cut in the middle, and with a byte changed there: checked by ranges of members on executors."""
-    root, ones, twos = _files(spark, sf_dir)
-    paths = []
+    _, ones, twos = _files(spark, sf_dir)
+    root, paths = folder(spark, "damaged"), []
     for path in (ones[1], twos[1]):
         system, inner = file_system(path)
         with system.open_input_file(inner) as f:
@@ -206,6 +206,15 @@ def stream_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").select("key", "status", "reason", "seq", "qual")
 
 
+def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes of all file pairs of a folder, read as a stream."""
+    files, _, _ = _files(spark, sf_dir)
+    root = folder(spark, "stream-files")
+    arriving = stream.read_files(spark, files, f"{root}/log", "r1_", "r2_")
+    stream.assemble_files(arriving, f"{root}/out", f"{root}/state", max_mismatches=ANY).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("file_index", "pair_ordinal", "r1_name", "status", "reason", "seq", "qual")
+
+
 def queries() -> dict[str, Query]:
     return {
         "fastq_scan": fastq_scan,
@@ -223,6 +232,7 @@ def queries() -> dict[str, Query]:
         "tool_log": tool_log,
         "timing_json": timing_json,
         "stream_assemble": stream_assemble,
+        "stream_files": stream_files,
     }
 
 
@@ -279,4 +289,5 @@ def oracle_sql(totals: str) -> dict[str, str]:
         "tool_log": f"SELECT 'Pairs' AS metric, {n} AS value UNION ALL SELECT 'Joined', {n} // 3 UNION ALL SELECT 'Missing', NULL UNION ALL SELECT 'Not merged', {n} // 2",
         "timing_json": f"SELECT {timing}, CASE WHEN s_suppkey % 2 = 1 THEN CAST(0.5 AS DOUBLE) END AS stddev FROM supplier WHERE s_suppkey <= 10",
         "stream_assemble": f(result, "SELECT key, status, reason, seq, qual FROM res WHERE key % 4001 <> 0"),
+        "stream_files": f(result, f"SELECT {file}, {place} AS pair_ordinal, name1 AS r1_name, status, reason, seq, qual FROM res JOIN pairs USING (key)"),
     }

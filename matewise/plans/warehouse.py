@@ -108,32 +108,46 @@ def tool_counts(records: DataFrame) -> DataFrame:
     return records.groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("merged"))
 
 
+#: Tools that one long tells of.
+_BITS = 62
+
+
 def agreement(records: DataFrame, executions: DataFrame) -> DataFrame:
     """Per dataset and unordered pair of tools: merged, shared and exclusive reads, Jaccard.
 
-    One shuffle brings a read's tools together; every pair of them (a tool with itself gives
-    its own count) is counted, so the records are read once and never joined with
-    themselves.  Tools that merged nothing still appear.
+    Tools are numbered within their run and dataset.  A read's tools are bits that one aggregation
+    unites, with partial results; equal sets are counted, and only these few are taken apart into pairs
+    (a tool with itself gives its own count).  Tools that merged nothing still appear.
     """
     where = PARTITIONS[:2]
-    per_read = records.groupBy(*where, "read_id").agg(F.array_sort(F.collect_list("tool")).alias("tools"))
-    both = F.flatten(
-        F.transform("tools", lambda a: F.transform(F.filter("tools", lambda b: b >= a), lambda b: F.struct(a.alias("l"), b.alias("r"))))
-    )
-    counted = per_read.select(*where, F.explode(both).alias("pair")).groupBy(*where, "pair").agg(F.count(F.lit(1)).alias("n"))
-    counts = counted.groupBy(*where).agg(F.map_from_entries(F.collect_list(F.struct("pair", "n"))).alias("counts"))
     tools = executions.select(*PARTITIONS).distinct()
-    pairs = (
-        tools.withColumnRenamed("tool", "left_tool")
-        .join(tools.withColumnRenamed("tool", "right_tool"), where)
-        .where("right_tool > left_tool")
-        .join(counts, where, "left")
+    numbered = tools.select(
+        *PARTITIONS,
+        (F.row_number().over(Window.partitionBy(*where).orderBy("tool")) - 1).alias("at"),
+        F.dense_rank().over(Window.orderBy(*where)).alias("group"),
+    )  # a row for each execution
+    words = (numbered.agg(F.max("at")).first()[0] or 0) // _BITS + 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % _BITS)
+    sets = [f"w{k}" for k in range(words)]
+    per_read = (
+        records.join(F.broadcast(numbered), PARTITIONS)
+        .groupBy("group", "read_id")
+        .agg(*(F.bit_or(F.when(F.floor(F.col("at") / _BITS) == k, bit).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(sets)))
     )
+    counted = per_read.groupBy("group", *sets).agg(F.count(F.lit(1)).alias("n"))
+    held = [F.transform(F.filter(F.sequence(F.lit(0), F.lit(_BITS - 1)), _has(w)), _plus(k * _BITS)) for k, w in enumerate(sets)]
+    both = F.flatten(F.transform("held", lambda i: F.transform(F.filter("held", lambda j: j >= i), lambda j: F.struct(i.alias("l"), j.alias("r")))))
+    counted = counted.select("group", "n", F.flatten(F.array(*held)).alias("held")).select("group", "n", F.explode(both).alias("pair"))
+    counted = counted.groupBy("group", "pair").agg(F.sum("n").alias("n"))
+    counts = counted.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("pair", "n"))).alias("counts"))
+    left = numbered.select("group", *where, F.col("tool").alias("left_tool"), F.col("at").alias("left_at"))
+    right = numbered.select("group", F.col("tool").alias("right_tool"), F.col("at").alias("right_at"))
+    pairs = left.join(right, "group").where("right_at > left_at").join(counts, "group", "left")
 
     def number(left: str, right: str) -> F.Column:
         return F.coalesce(F.try_element_at("counts", F.struct(F.col(left).alias("l"), F.col(right).alias("r"))), F.lit(0)).cast("long")
 
-    n_l, n_r, shared = number("left_tool", "left_tool"), number("right_tool", "right_tool"), number("left_tool", "right_tool")
+    n_l, n_r, shared = number("left_at", "left_at"), number("right_at", "right_at"), number("left_at", "right_at")
     union = n_l + n_r - shared
     return pairs.select(
         *where,
@@ -148,6 +162,14 @@ def agreement(records: DataFrame, executions: DataFrame) -> DataFrame:
     )
 
 
+def _has(word: str):
+    return lambda i: F.call_function("shiftright", F.col(word), i).bitwiseAND(F.lit(1)) == 1
+
+
+def _plus(base: int):
+    return lambda i: i + base
+
+
 def latest_run(runs: DataFrame, mode: str) -> DataFrame:
     """The newest completed run of a mode: one row, or none."""
     done = runs.where((F.col("status") == "completed") & (F.col("benchmark_mode") == mode))
@@ -281,6 +303,12 @@ class Warehouse:
         rows = self._executions_with(row, None)
         self._switch(self._versions() | {"tool_executions": self._write("tool_executions", rows)})
 
+    def upsert_executions(self, rows: DataFrame) -> None:
+        """:meth:`upsert_execution` of many; a run, dataset and tool must not be there twice."""
+        held = self._held("tool_executions")
+        new = rows.join(held.select(*PARTITIONS, GENERATION), PARTITIONS, "left").select(*held.columns)
+        self._switch(self._versions() | {"tool_executions": self._write("tool_executions", upserted(held, new, PARTITIONS))})
+
     def replace_evidence(self, execution: dict, records: DataFrame, artifacts: DataFrame | None = None) -> None:
         """Replace a tool's execution, merged reads and artifacts together.
 

@@ -42,6 +42,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from ..functions.errors import InputError, PairingError
+from .arrivals import Arrivals, PairStreamReader
 from .splits import SPLIT_BYTES, Piece, file_system, index, is_blocked, is_gzip, members, open_bytes
 
 RECORD = "file_index int, ordinal bigint, name string, description string, seq string, qual string"
@@ -256,7 +257,9 @@ class FastqSource(DataSource):
 class FastqPairSource(DataSource):
     """``spark.read.format("fastq_pairs").option("r1", "a_1.fastq.gz").option("r2", "a_2.fastq.gz")``; lists by comma.
 
-    With option ``columns`` as ``names`` only headers are taken.
+    With option ``columns`` as ``names`` only headers are taken.  As a stream it takes the file pairs of option
+    ``folder`` as they get complete, and keeps their order in ``log``; options ``forward`` and ``reverse`` are what
+    tells the names of mates apart (``_1.`` and ``_2.``), and file_index numbers the pairs.
     """
 
     @classmethod
@@ -273,6 +276,14 @@ class FastqPairSource(DataSource):
         return PairReader(_parts(self.options, [(Piece(a), Piece(b)) for a, b in zip(one, two)]), self.options.get("columns") == "names")
 
 
+    def streamReader(self, schema: StructType) -> PairStreamReader:
+        folder, log = self.options.get("folder"), self.options.get("log")
+        if not folder or not log:
+            raise InputError("options folder and log are needed")
+        arrivals = Arrivals(folder, log, (self.options.get("forward", "_1."), self.options.get("reverse", "_2.")))
+        return PairStreamReader(arrivals, PairReader([], self.options.get("columns") == "names"), Part)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastqSource)
     spark.dataSource.register(FastqPairSource)

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import json
+import random
 from collections import Counter
 
 import duckdb
@@ -271,6 +272,21 @@ def test_warehouse(spark, tmp_path):
             empty()
 
 
+def test_agreement_of_many_tools(spark):
+    """More tools than a long has bits, in two datasets, against sets."""
+    rng = random.Random(9)
+    merged = {(d, f"t{k:02}"): {f"r{i}" for i in range(40) if rng.random() < 0.3} for d in ("d1", "d2") for k in range(70 if d == "d1" else 3)}
+    merged["d2", "t01"] = set()
+    records = spark.createDataFrame([("r", d, t, i) for (d, t), ids in merged.items() for i in ids], "run_key string, dataset_name string, tool string, read_id string")
+    executions = spark.createDataFrame([("r", d, t) for d, t in merged], "run_key string, dataset_name string, tool string")
+    got = {(r["dataset_name"], r["left_tool"], r["right_tool"]): tuple(r)[4:9] for r in W.agreement(records, executions).collect()}
+    want = {
+        (d, a, b): (len(x), len(y), len(x & y), len(x - y), len(y - x))
+        for (d, a), x in merged.items() for (e, b), y in merged.items() if d == e and a < b
+    }
+    assert got == want
+
+
 def test_evidence_changes_as_a_whole(spark, tmp_path, monkeypatch):
     w, reads = _warehouse(spark, tmp_path), lambda *ids: _reads(spark, *ids)
     log = spark.createDataFrame([("r1", "d", "one", "command", "old", True, 1)], W.SCHEMAS["artifacts"])

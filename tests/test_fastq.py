@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from matewise.functions.errors import InputError, PairingError
+from matewise.operators.assembly import assemble, pairs_from
 from matewise.plans import job
 from matewise.sources import fastq, splits
+from matewise.streaming import pairs as stream
 
 from test_engine import _fastq, _mix
 
@@ -198,3 +200,40 @@ def test_the_job_writes_folders(spark, tmp_path):
     job.run(spark, r1, r2, str(tmp_path / "out.fastq.gz") + "/", str(tmp_path / "rest") + "/", split_bytes=700)
     assert [r[0] for p in fastq.files_of(str(tmp_path / "out.fastq.gz")) for r in fastq.records(p)] == [f"m{i}" for i in range(40)]
     assert [r[0] for p in fastq.files_of(str(tmp_path / "rest")) for r in fastq.records(p)] == ["none/1", "none/2", "low/1", "low/2"]
+
+
+def test_a_stream_of_files(spark, tmp_path):
+    """Mates that arrive in different batches, a restart, and a budget of mismatches over all batches."""
+    files = [_mix(9), _mix(30, mismatch=(5,)), _mix(4, mismatch=(0, 2)), _mix(3, mismatch=(1,))]
+    (tmp_path / "in").mkdir()
+
+    def arrive(name: str, k: int, mate: int) -> None:
+        _fastq(tmp_path / name, files[k][mate - 1])
+        (tmp_path / name).rename(tmp_path / "in" / name)
+
+    def run(most: int = 3) -> list:
+        pairs = stream.read_files(spark, str(tmp_path / "in"), str(tmp_path / "log"))
+        stream.assemble_files(pairs, str(tmp_path / "out"), str(tmp_path / "state"), max_mismatches=most).awaitTermination(120)
+        if not (tmp_path / "out").exists():
+            return []
+        return sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("file_index", "pair_ordinal", "r1_name", "status").collect()))
+
+    arrive("b_1.fastq", 0, 1)
+    arrive("c_2.fastq", 1, 2)
+    assert run() == []
+    arrive("b_2.fastq", 0, 2)
+    first = run()
+    assert len(first) == 11 and {r[0] for r in first} == {0}
+    arrive("a_1.fastq.gz", 2, 1)
+    arrive("c_1.fastq", 1, 1)
+    arrive("a_2.fastq.gz", 2, 2)
+    rows = run()
+    ones, twos = ([str(tmp_path / "in" / f"{x}_{k}.fastq{'.gz' if x == 'a' else ''}") for x in "bac"] for k in (1, 2))
+    named = pairs_from(fastq.scan_pairs(spark, ones, twos).read(), stream.FILE_KEYS, r1_name="r1_name", r2_name="r2_name")
+    assert rows == sorted(map(tuple, assemble(named).select("file_index", "pair_ordinal", "r1_name", "status").collect()))
+    assert run() == rows
+    arrive("d_1.fastq", 3, 1)
+    arrive("d_2.fastq", 3, 2)
+    with pytest.raises(Exception, match="more than 3 mates don't match"):
+        run()
+    assert len(run(4)) == len(rows) + 5

@@ -329,6 +329,28 @@ def test_kernel_equals_relational_forms(spark):
     assert all(need[r["key"]] == r["min_informative"] for r in kernel)
 
 
+def test_details_of_errors(spark):
+    """What a failed pair's error is about; outcomes that aren't errors have none."""
+    insert = "ACGTTGCATCAGGATCCATTGACCATGCAA"
+    other = rc(insert[:7] + "G" + insert[8:])
+    data = [
+        (1, insert, "I" * 30, other, "I" * 30), (2, insert, "I" * 29, rc(insert), "I" * 30), (3, insert, "I" * 30, rc(insert), "I" * 28),
+        (4, insert, "I" * 30, rc(insert), "I" * 30), (5, None, "I", "A", "I"), (6, "A" * 30, "I" * 30, "C" * 30, "I" * 30),
+    ]
+    rows = pairs_from(spark.createDataFrame(data, "key long, r1_seq string, r1_qual string, r2_seq string, r2_qual string"), "key")
+    result = PairFlow(rows).find_overlap().merge(MergeParams(BaseTie.REJECT)).result()
+    found = R.with_details(result)
+    assert found.columns == [*result.columns, "detail"]
+    got = {r["key"]: (r["reason"], r["detail"] and tuple(r["detail"])) for r in found.collect()}
+    n = None
+    assert got == {
+        1: ("base_disagreement", (n, n, n, n, n, 7, insert[7], "G", 40)), 2: ("sequence_quality_length", (1, 30, 29, n, n, n, n, n, n)),
+        3: ("sequence_quality_length", (2, 30, 28, n, n, n, n, n, n)), 4: (None, n), 5: ("null_read", n), 6: (None, n),
+    }
+    tied = PairFlow(rows.where("key = 4")).find_overlap(OverlapParams(tie=OverlapTie.REJECT)).result()
+    assert tuple(R.with_details(tied).first()["detail"]) == (n, n, n, 30, 0, n, n, n, n)
+
+
 def test_packed_search_equals_the_kernel(spark):
     """Reads of 0 to 200 bases, with N and other symbols, under several parameters; no Python in the plan."""
     rng = random.Random(12)
