@@ -127,7 +127,7 @@ def running_sum(rows: DataFrame, keys: list[str], at: str, value: str, out: str,
     """Add ``out``: the sum of ``value`` over the rows of the same ``keys`` with a smaller ``at`` (unique within keys).
 
     Only rows of one key and block of ``width`` places are sorted together, and the sums of blocks.
-    Keys must not be null; ``rows`` is read twice.
+    Rows with a null key are left out (callers give none); ``rows`` is read twice.
     """
     block, base = "__block", "__block_base"
     placed = rows.withColumn(block, F.floor(F.col(at) / width))

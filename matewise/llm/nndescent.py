@@ -22,7 +22,7 @@ seeds, and beam width.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components
 take no part, as query or candidate; vectors of different lengths are separate indexes;
-repeated rows are separate candidates; a query with fewer candidates than asked gets
+repeated rows are separate candidates; a row without an id is a candidate, the last among ties; a query with fewer candidates than asked gets
 them all; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -351,7 +351,7 @@ def classes(rows: DataFrame, dims: int, k: int) -> tuple[DataFrame, DataFrame]:
     schema = f"row long, id {id_type}, is_query boolean, print binary, code binary"
     coded = stash(rows.select("row", "id", "is_query", "vector").mapInArrow(code, schema), "codes")
     first = coded.groupBy("print").agg(F.min("row").alias("node"), F.max("is_query").alias("asked"))
-    members = best(coded.select("print", "id", "row"), "print", k + 1, F.asc("id"), F.asc("row"))
+    members = best(coded.select("print", "id", "row"), "print", k + 1, F.asc_nulls_last("id"), F.asc("row"))
     members = members.groupBy("print").agg(F.collect_list(F.struct("id", "row")).alias("members"))
     kept = coded.select(F.col("row").alias("node"), "code").join(rows.select(F.col("row").alias("node"), "vector"), "node")
     return stash(first.join(members, "print").join(kept, "node"), "classes"), coded.drop("code")
@@ -378,7 +378,7 @@ def _nearest(rows: DataFrame, dims: int, k: int, shape: Shape) -> DataFrame:
     scored = pairs.mapInArrow(score, f"print binary, members array<struct<id:{id_type},row:bigint>>, score double")
     each = scored.select("print", "score", F.explode("members").alias("m")).select("print", "score", "m.id", "m.row")
     # one more than asked, as a query's own row is among them
-    w = Window.partitionBy("print").orderBy(F.desc("score"), F.asc("id"), F.asc("row"))
+    w = Window.partitionBy("print").orderBy(F.desc("score"), F.asc_nulls_last("id"), F.asc("row"))
     top = each.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
     top = top.groupBy("print").agg(F.array_sort(F.collect_list(F.struct("place", "id", "row", "score"))).alias("top"))
     told = coded.where("is_query").select("print", "row", F.col("id").alias("query_id")).join(top, "print")

@@ -9,7 +9,7 @@ Groups hold about ``group_rows`` pieces by a hash of the piece, so that a task p
 bounded number; at that size a group wastes a few bins in thousands.  Lengths travel,
 ids do not.
 
-Edge cases: a null or empty text is the end id alone; repeated rows are packed each;
+Edge cases: a null or empty text is the end id alone; repeated rows and rows without an id are packed each;
 an empty table gives no pieces; extra columns are ignored.
 """
 

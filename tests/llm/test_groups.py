@@ -262,3 +262,10 @@ def test_a_hot_node_is_split_in_the_join_with_its_minimum(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_rows_without_an_id_are_the_last_among_ties(spark):
+    rows = [(0, [1.0, 0.0]), (None, [0.5, 0.5]), (7, [1.0, 1.0]), (3, [2.0, 2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nndescent.nearest(frame, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [3, 7, None]
