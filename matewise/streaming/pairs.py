@@ -52,7 +52,9 @@ def assemble_files(pairs: DataFrame, out: str, checkpoint: str, config: EngineCo
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = pairs_from(batch, FILE_KEYS, r1_name="r1_name", r2_name="r2_name")
-        bad = rows.where(~F.col("mates_match")).count()
+        seen, bad = rows.agg(F.count(F.lit(1)), F.count_if(~F.col("mates_match"))).first()
+        if not seen:
+            return
         if number and bad <= max_mismatches:
             before = spark.read.schema("batch int, status string").option("basePath", out).parquet(out) if _is_there(spark, out) else None
             bad += before.where((F.col("batch") < number) & (F.col("status") == MISMATCH)).count() if before is not None else 0
