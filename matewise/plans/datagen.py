@@ -63,12 +63,20 @@ def pairs_sql(source: str = "orders") -> str:
     """
 
 
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+
+
+def pairs_of(orders: DataFrame) -> DataFrame:
+    """The pairs of orders (o_orderkey), partitioned and in order as these are."""
+    orders.createOrReplaceTempView("matewise_orders")
+    return orders.sparkSession.sql(pairs_sql("matewise_orders")).withColumn("ins", F.col("ins").cast("int"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of a scale's orders.
 
     Keys are spread before anything is generated: they are small, reads are not, and the
     source may be a single file.
     """
-    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
-    keys.repartition(spark.sparkContext.defaultParallelism, "o_orderkey").createOrReplaceTempView("matewise_orders")
-    return spark.sql(pairs_sql("matewise_orders")).withColumn("ins", F.col("ins").cast("int"))
+    return pairs_of(keys(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "o_orderkey"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.errors import InputError
 from ..functions.params import CorrectionParams
 from ..sources import fastq, tables
-from ..sources.splits import file_system
+from ..sources.splits import file_system, find_member
 from ..streaming import pairs as stream
-from . import job
+from . import datagen, job
 from . import oracles as O
 from .datagen import pairs as generated
 from .shared import folder, once, write_text
@@ -24,26 +25,30 @@ Query = Callable[[SparkSession, str], DataFrame]
 ANY = 1 << 40
 #: Bytes of a piece, so that small files are read in several.
 SMALL = 1 << 16
+#: Pairs of a part of a large file.
+PART = 250_000
 
 
 def _files(spark: SparkSession, sf_dir: str) -> tuple[str, list[str], list[str]]:
-    """All pairs by the parity of their keys in two pairs of files, plain and gzip: the folder, forward and reverse files."""
+    """All pairs by the parity of their keys in two pairs of files in parts, plain and gzip: the folder, forward and reverse files.
+
+    Keys are sorted before anything is generated, so reads are never shuffled, and mates' files have equal parts.
+    """
     fastq.register(spark)
 
     def make() -> tuple[str, list[str], list[str]]:
-        root, rows = folder(spark, "fastq"), generated(spark, sf_dir)
+        root, keys = folder(spark, "fastq"), datagen.keys(spark, sf_dir)
         ones, twos = ([f"{root}/r{k}_even.fastq", f"{root}/r{k}_odd.fastq.gz"] for k in (1, 2))
+        parts = max(spark.sparkContext.defaultParallelism, keys.count() // (2 * PART))
         for i in range(2):
-            fastq.write_pair_files(rows.where(F.col("key") % 2 == i), ones[i], twos[i], order="key")
+            mine = keys.where(F.col("o_orderkey") % 2 == i).repartitionByRange(parts, "o_orderkey").sortWithinPartitions("o_orderkey").persist()
+            fastq.write_pair_folders(datagen.pairs_of(mine), ones[i], twos[i])
+            mine.unpersist()
         return root, ones, twos
 
     return once(spark, sf_dir, "fastq", make)
 
 
-def _pairs(spark: SparkSession, ones: list[str], twos: list[str]) -> DataFrame:
-    return spark.read.format("fastq_pairs").option("r1", ",".join(ones)).option("r2", ",".join(twos)).load()
-
-
 def fastq_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All reverse reads, each file in pieces of 64 KiB."""
     _, _, twos = _files(spark, sf_dir)
@@ -57,12 +62,13 @@ def fastq_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fastq_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 1,000 pairs over both files."""
-    return fastq.head(_pairs(spark, *_files(spark, sf_dir)[1:]), 1000).select("file_index", "pair_ordinal", "r1_name")
+    scan = fastq.scan_pairs(spark, *_files(spark, sf_dir)[1:], SMALL)
+    return fastq.head(scan.first(1000).read(names_only=True), 1000).select("file_index", "pair_ordinal", "r1_name")
 
 
 def fastq_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, ones, twos = _files(spark, sf_dir)
-    counts = fastq.record_counts(spark, [*ones, *twos])
+    counts = fastq.record_counts(spark, [*ones, *twos], SMALL)
     return counts.select(F.element_at(F.split("path", "/"), -1).alias("file"), "records")
 
 
@@ -103,23 +109,44 @@ def malformed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.mapInArrow(tell, "k long, fault string")
 
 
+def _damaged(spark: SparkSession, path: str, root: str) -> list[str]:
+    """Copies of a blocked gzip file in parts, a task for each: one cut in the middle, one with a byte changed there."""
+    name, parts = path.rsplit("/", 1)[1].removesuffix(".fastq.gz"), fastq.files_of(path)
+    copies = [f"{root}/{name}_{kind}.fastq.gz" for kind in ("cut", "changed")]
+    ends = list(accumulate(fastq.file_size(p) for p in parts))
+    middle = next(k for k, end in enumerate(ends) if end > ends[-1] // 2)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                system, inner = file_system(parts[k])
+                with system.open_input_file(inner) as f:
+                    size = f.size()
+                    # the last bytes of a member are its check sum and size, so no damage there leaves it whole
+                    end = find_member(f, size // 2, size) or size
+                    f.seek(0)
+                    data = f.read()
+                cut, changed = data, bytearray(data)
+                if k == middle:
+                    cut, changed[end - 8] = data[: end - 4], data[end - 8] ^ 255
+                for to, some in zip(copies, (cut, bytes(changed))):
+                    if k > middle and some is cut:
+                        continue  # behind the cut
+                    system, inner = file_system(to)
+                    system.create_dir(inner, recursive=True)
+                    with system.open_output_stream(f"{inner}/{parts[k].rsplit('/', 1)[1]}", compression=None) as out:
+                        out.write(some)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["id"])
+
+    spark.range(0, len(parts), 1, len(parts)).mapInArrow(copy, "id long").count()
+    return copies
+
+
 def gzip_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gzip files, the same cut in the middle, and with a byte changed there: checked by ranges of members on executors."""
     _, ones, twos = _files(spark, sf_dir)
-    root, paths = folder(spark, "damaged"), []
-    for path in (ones[1], twos[1]):
-        system, inner = file_system(path)
-        with system.open_input_file(inner) as f:
-            data = bytearray(f.read())
-        name = path.rsplit("/", 1)[1].removesuffix(".fastq.gz")
-        cut, changed = bytes(data[: len(data) // 2]), data
-        changed[len(data) // 2] ^= 255
-        paths.append(path)
-        for kind, some in (("cut", cut), ("changed", bytes(changed))):
-            paths.append(f"{root}/{name}_{kind}.fastq.gz")
-            system, inner = file_system(paths[-1])
-            with system.open_output_stream(inner, compression=None) as out:
-                out.write(some)
+    root = folder(spark, "damaged")
+    paths = [p for path in (ones[1], twos[1]) for p in (path, *_damaged(spark, path, root))]
     told = fastq.gzip_faults(spark, paths, SMALL)
     return told.select(F.regexp_extract("path", r"([^/]*)\.fastq\.gz$", 1).alias("file"), F.col("fault").isNull().alias("whole"))
 

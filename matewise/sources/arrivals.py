@@ -2,22 +2,26 @@
 
 The stream's offset is a number of file pairs.  Mates may arrive in different batches: a pair
 counts when both its files are there, and is then written to a log, so that its number stays the
-same whatever arrives later and after a restart.  Files are to appear whole, by a rename; one
-reader at a time keeps the log.
+same whatever arrives later and after a restart.  Files are to appear whole, by a rename, as do
+folders of parts, which count as files; one reader at a time keeps the log.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql.datasource import DataSourceStreamReader, InputPartition
 
 from ..functions.errors import InputError
-from .splits import Piece, file_system
+from .splits import file_system
+
+#: Names of folders that hold a file's parts; what is written beside them has others.
+_FOLDER = re.compile(r"\.(fastq|fq)(\.gz)?$")
 
 
 class Arrivals:
@@ -45,7 +49,8 @@ class Arrivals:
     def look(self) -> int:
         """Log the pairs that are complete by now; how many are known."""
         system, inner = file_system(self.folder)
-        names = {f.base_name for f in system.get_file_info(pyarrow.fs.FileSelector(inner, allow_not_found=True)) if f.is_file}
+        there = system.get_file_info(pyarrow.fs.FileSelector(inner, allow_not_found=True))
+        names = {f.base_name for f in there if f.is_file or _FOLDER.search(f.base_name)}
         found, known = [], self.known()
         old = set(known)
         for name in sorted(names):
@@ -64,10 +69,10 @@ class Arrivals:
 
 
 class PairStreamReader(DataSourceStreamReader):
-    """Batches of file pairs; ``batch`` makes the parts and reads them."""
+    """Batches of file pairs; ``parts`` makes the parts of a pair and ``batch`` reads them."""
 
-    def __init__(self, arrivals: Arrivals, batch: object, part: type):
-        self.arrivals, self.batch, self.part = arrivals, batch, part
+    def __init__(self, arrivals: Arrivals, batch: object, parts: Callable[[int, str, str], list[InputPartition]]):
+        self.arrivals, self.batch, self.parts = arrivals, batch, parts
 
     def initialOffset(self) -> dict:
         return {"pairs": 0}
@@ -77,7 +82,7 @@ class PairStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         known = self.arrivals.known()
-        return [self.part(i, tuple(Piece(p) for p in known[i])) for i in range(start["pairs"], end["pairs"])]
+        return [part for i in range(start["pairs"], end["pairs"]) for part in self.parts(i, *known[i])]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         yield from self.batch.read(partition)

@@ -4,8 +4,8 @@
 ``fastq_pairs`` reads two files in step (file_index, pair_ordinal and both records).  By
 :func:`scan` and :func:`scan_pairs` large files are many tasks: plain ones are cut anywhere, gzip
 ones between members that state their sizes (:mod:`.splits`); mates that are cut at different
-bytes meet by their ordinals.  Read by ``format`` alone, a file is one task.  A folder stands for
-its part files.  The order of a list of files is that of (file_index, ordinal); :func:`with_place`
+bytes meet by their ordinals.  To them a folder is one file in parts.  Read by ``format`` alone, a
+file is one task, and a folder stands for its part files.  The order of a list of files is that of (file_index, ordinal); :func:`with_place`
 numbers it through.  Files are opened through pyarrow's file systems: local and shared folders by
 path, other stores by URI.
 
@@ -29,7 +29,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.errors import InputError, PairingError
 from .arrivals import Arrivals, PairStreamReader
-from .splits import SPLIT_BYTES, Piece, file_system, index, is_blocked, is_gzip, members, open_bytes
+from .splits import SPLIT_BYTES, Piece, cut_bytes, file_system, index, is_blocked, is_gzip, line_counts, members
 
 RECORD = "file_index int, ordinal bigint, name string, description string, seq string, qual string"
 PAIR = "file_index int, pair_ordinal bigint, r1_name string, r1_seq string, r1_qual string, r2_name string, r2_seq string, r2_qual string"
@@ -168,10 +169,11 @@ def _in_step(one: Iterator[pa.Table], two: Iterator[pa.Table], paths: tuple[str,
 
 @dataclass
 class Part(InputPartition):
-    """What one task reads: a piece of a file, or of two with the same ordinals; ``drop`` records of the second come before."""
+    """What one task reads: pieces of a file, and of its mate those with the same ordinals, ``drop`` records of which come before."""
 
     index: int
     pieces: tuple[Piece, ...]
+    mates: tuple[Piece, ...] = ()
     drop: int = 0
 
 
@@ -187,8 +189,8 @@ class FastqReader(DataSourceReader):
         return self.parts
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        (piece,), n = partition.pieces, partition.pieces[0].ordinal
-        for table in record_tables(piece):
+        n = partition.pieces[0].place
+        for table in chain.from_iterable(map(record_tables, partition.pieces)):
             header = table.column("header").combine_chunks()
             if pc.any(pc.match_substring(header, "\t")).as_py():
                 name, description = (pa.array(c, pa.string()) for c in zip(*map(_named, header.to_pylist())))
@@ -206,10 +208,12 @@ class PairReader(FastqReader):
         self.fields = [("header", "name")] if names_only else [("header", "name"), ("seq", "seq"), ("qual", "qual")]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        one, two = partition.pieces
-        n = one.ordinal
+        one, two = partition.pieces, partition.mates
+        n = one[0].place
         names = ["file_index", "pair_ordinal", *(f"r{k}_{to}" for k in (1, 2) for _, to in self.fields)]
-        for left, right in _in_step(record_tables(one), record_tables(two, partition.drop), (one.path, two.path), n):
+        drops = (partition.drop, *[0] * len(two))
+        mated = chain.from_iterable(map(record_tables, two, drops))
+        for left, right in _in_step(chain.from_iterable(map(record_tables, one)), mated, (one[0].path, two[0].path), n):
             mates = [t.column(c).combine_chunks() for t in (left, right) for c, _ in self.fields]
             yield pa.RecordBatch.from_arrays([*_numbered(partition, n, len(left)), *mates], names)
             n += len(left)
@@ -230,11 +234,14 @@ def _paths(text: str | None, option: str) -> list[str]:
     return [f for p in text.split(",") if p for f in files_of(p)]
 
 
-def _parts(options: dict, whole: list[tuple[Piece, ...]]) -> list[Part]:
-    """The parts that an option tells, or each file or pair of files as a whole."""
+def _parts(options: dict, names: tuple[str, ...]) -> list[Part]:
+    """The parts that an option tells, or each file or pair of files that options ``names`` list as a whole."""
     if told := options.get("parts"):
-        return [Part(i, tuple(Piece(**p) for p in pieces), drop) for i, pieces, drop in json.loads(told)]
-    return [Part(i, pieces) for i, pieces in enumerate(whole)]
+        return [Part(i, *(tuple(Piece(**p) for p in some) for some in (pieces, mates)), drop) for i, pieces, mates, drop in json.loads(told)]
+    lists = [_paths(options.get(n), n) for n in names]
+    if len(lists[0]) != len(lists[-1]):
+        raise PairingError(f"{len(lists[0])} forward files, {len(lists[-1])} reverse files")
+    return [Part(i, *((Piece(p),) for p in files)) for i, files in enumerate(zip(*lists))]
 
 
 class FastqSource(DataSource):
@@ -248,7 +255,7 @@ class FastqSource(DataSource):
         return RECORD
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return FastqReader(_parts(self.options, [(Piece(p),) for p in _paths(self.options.get("path"), "path")]))
+        return FastqReader(_parts(self.options, ("path",)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return FastqWriter(self.options, schema.names, overwrite)
@@ -270,10 +277,7 @@ class FastqPairSource(DataSource):
         return PAIR_NAMES if self.options.get("columns") == "names" else PAIR
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        one, two = _paths(self.options.get("r1"), "r1"), _paths(self.options.get("r2"), "r2")
-        if len(one) != len(two):
-            raise PairingError(f"{len(one)} forward files, {len(two)} reverse files")
-        return PairReader(_parts(self.options, [(Piece(a), Piece(b)) for a, b in zip(one, two)]), self.options.get("columns") == "names")
+        return PairReader(_parts(self.options, ("r1", "r2")), self.options.get("columns") == "names")
 
 
     def streamReader(self, schema: StructType) -> PairStreamReader:
@@ -281,7 +285,7 @@ class FastqPairSource(DataSource):
         if not folder or not log:
             raise InputError("options folder and log are needed")
         arrivals = Arrivals(folder, log, (self.options.get("forward", "_1."), self.options.get("reverse", "_2.")))
-        return PairStreamReader(arrivals, PairReader([], self.options.get("columns") == "names"), Part)
+        return PairStreamReader(arrivals, PairReader([], self.options.get("columns") == "names"), _arrived)
 
 
 def register(spark: SparkSession) -> None:
@@ -290,15 +294,30 @@ def register(spark: SparkSession) -> None:
 
 
 def _told(parts: list[Part]) -> str:
-    return json.dumps([(p.index, [asdict(x) for x in p.pieces], p.drop) for p in parts])
+    return json.dumps([(p.index, [asdict(x) for x in p.pieces], [asdict(x) for x in p.mates], p.drop) for p in parts])
+
+
+def _found(spark: SparkSession, lists: list[list[str]], split_bytes: int) -> list[list[Piece]]:
+    """The pieces of files and of folders, whose ordinals run through their parts."""
+    several = frozenset(f for files in lists if len(files) > 1 for f in files)
+    found = index(spark, [f for files in lists for f in files], split_bytes, several)
+    return [_through(files, found) if len(files) > 1 else [p for f in files for p in found[f]] for files in lists]
+
+
+def _through(files: list[str], found: dict[str, list[Piece]]) -> list[Piece]:
+    """The pieces of a folder's parts, each with the number of records in the parts before."""
+    out, before = [], 0
+    for f in files:
+        out += [replace(p, before=before) for p in found[f] if p.records]
+        before += sum(p.records for p in found[f])
+    return out or [Piece(f, records=0) for f in files[:1]]
 
 
 def scan(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of files, large ones in pieces of about ``split_bytes``."""
+    """The records of files, large ones in pieces of about ``split_bytes`` (more of very large ones); a folder is one file in parts."""
     register(spark)
-    paths = [f for p in paths for f in files_of(p)]
-    found = index(spark, paths, split_bytes)
-    parts = [Part(i, (piece,)) for i, p in enumerate(paths) for piece in found[p]]
+    found = _found(spark, [files_of(p) for p in paths], split_bytes)
+    parts = [Part(i, (piece,)) for i, pieces in enumerate(found) for piece in pieces]
     return spark.read.format("fastq").option("path", ",".join(paths)).option("parts", _told(parts)).load()
 
 
@@ -316,34 +335,68 @@ class PairScan:
         reader = self.spark.read.format("fastq_pairs").option("r1", ",".join(self.ones)).option("r2", ",".join(self.twos))
         return reader.option("parts", _told(self.parts)).option("columns", "names" if names_only else "all").load()
 
+    def first(self, n: int) -> PairScan:
+        """The scan without parts that start behind the first ``n`` pairs of a file."""
+        return replace(self, parts=[p for p in self.parts if p.pieces[0].place < n])
+
 
 def scan_pairs(spark: SparkSession, ones: list[str], twos: list[str], split_bytes: int = SPLIT_BYTES) -> PairScan:
     """A scan of two lists of files, large ones in pieces of about ``split_bytes`` of the forward file.
 
-    A piece's mates start in the last piece of the other file with an ordinal that isn't larger.  A pair of
-    files of which one can't be cut is one task.
+    A folder is one file in parts.  A pair of files of which one can't be cut is one task.
     """
     register(spark)
-    ones, twos = ([f for p in paths for f in files_of(p)] for paths in (ones, twos))
     if len(ones) != len(twos):
         raise PairingError(f"{len(ones)} forward files, {len(twos)} reverse files")
-    found = index(spark, [*ones, *twos], split_bytes)
-    parts = []
+    lists = [files_of(p) for p in (*ones, *twos)]
+    found = _found(spark, lists, split_bytes)
+    parts, k = [], len(ones)
     for i, (a, b) in enumerate(zip(ones, twos)):
-        left, right = found[a], found[b]
-        if left[0].records is None or right[0].records is None:
-            parts.append(Part(i, (Piece(a), Piece(b))))
-            continue
-        if (n := sum(p.records for p in left)) != (m := sum(p.records for p in right)):
-            raise PairingError(f"{a if n < m else b} ends after {min(n, m)} complete pairs, its mate file goes on")
-        firsts = [p.ordinal for p in right]
-        for piece in left:
-            mate = right[np.searchsorted(firsts, piece.ordinal, "right") - 1]
-            drop = piece.ordinal - mate.ordinal
-            parts.append(Part(i, (piece, Piece(b, mate.at, mate.skip, mate.ordinal, piece.records + drop)), drop))
+        parts += _mated(i, (a, b), (lists[i], lists[k + i]), found[i], found[k + i])
     return PairScan(spark, ones, twos, parts)
 
 
+def _mated(i: int, paths: tuple[str, str], files: tuple[list[str], list[str]], left: list[Piece], right: list[Piece]) -> list[Part]:
+    """The parts of a pair of files: a piece's mates start in the last piece of the other one with an ordinal that isn't larger."""
+    if any(p.records is None for p in (*left, *right)):
+        return [Part(i, *(tuple(map(Piece, some)) for some in files))]
+    if (n := sum(p.records for p in left)) != (m := sum(p.records for p in right)):
+        raise PairingError(f"{paths[n > m]} ends after {min(n, m)} complete pairs, its mate file goes on")
+    firsts, parts = [p.place for p in right], []
+    for piece in left:
+        k = max(0, int(np.searchsorted(firsts, piece.place, "right")) - 1)
+        drop = piece.place - right[k].place
+        parts.append(Part(i, (piece,), tuple(_covering(right, k, piece.records + drop)), drop))
+    return parts
+
+
+def _covering(pieces: list[Piece], k: int, n: int) -> Iterator[Piece]:
+    """``n`` records from the ``k``-th piece on, with one piece of each file."""
+    while True:
+        last, have = k + 1, pieces[k].records
+        while have < n and last < len(pieces) and pieces[last].path == pieces[k].path:
+            have, last = have + pieces[last].records, last + 1
+        yield replace(pieces[k], records=min(have, n))
+        n -= have
+        if n <= 0 or last == len(pieces):
+            return
+        k = last
+
+
+#: Records of a part, as its writer says in its name.
+_SAID = re.compile(r"part-\d+-[0-9a-f]{8}-(\d+)\.")
+
+
+def _arrived(i: int, one: str, two: str) -> list[Part]:
+    """The parts of a pair of files that a stream takes: those of folders where their names tell the numbers of records."""
+    files = files_of(one), files_of(two)
+    told = [{f: _SAID.match(f.rsplit("/", 1)[-1]) for f in some} for some in files]
+    if not all(m for some in told for m in some.values()):
+        return [Part(i, *(tuple(map(Piece, some)) for some in files))]
+    left, right = (_through(list(some), {f: [Piece(f, records=int(m[1]))] for f, m in some.items()}) for some in told)
+    return _mated(i, (one, two), files, left, right)
+
+
 #: Content of a member of blocked gzip, so that its size in bytes fits 16 bits, and the empty member that ends a file.
 BLOCK = 0xFF00
 _LAST = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -417,7 +470,7 @@ class FastqWriter(DataSourceArrowWriter):
         system.create_dir(folder, recursive=True)
         there = system.get_file_info(target).type == pyarrow.fs.FileType.Directory
         label = uuid.uuid4().hex[:8]
-        names = {f"part-{m.partition:05d}-{label}{end}": m.path for m in sorted((m for m in messages if m), key=lambda m: m.partition)}
+        names = {f"part-{m.partition:05d}-{label}-{m.records}{end}": m.path for m in sorted((m for m in messages if m), key=lambda m: m.partition)}
         for name, made in names.items():
             system.move(f"{folder}/{made}", f"{folder}/{name}")
         for info in system.get_file_info(pyarrow.fs.FileSelector(folder)):
@@ -426,7 +479,7 @@ class FastqWriter(DataSourceArrowWriter):
         if there and not self.overwrite:
             first = sum(f.base_name.startswith("part-") for f in system.get_file_info(pyarrow.fs.FileSelector(target)))
             for k, name in enumerate(sorted(names)):
-                system.move(f"{folder}/{name}", f"{target}/part-{first + k:05d}-{label}{end}")
+                system.move(f"{folder}/{name}", f"{target}/part-{first + k:05d}-{name.split('-', 2)[2]}")
             system.delete_dir(folder)
         else:
             if there:
@@ -445,9 +498,12 @@ def record_text(name: str, seq: str, qual: str) -> F.Column:
 
 
 def write_folder(rows: DataFrame, path: str, order: list[str], name: str = "name", seq: str = "seq", qual: str = "qual") -> None:
-    """Records in order as numbered part files of a folder, in place of one that is there; gzip if the path ends in gz."""
+    """Records in order as numbered part files of a folder, in place of one that is there; gzip if the path ends in gz.
+
+    Without ``order`` the rows are in order as they are partitioned.
+    """
     register(rows.sparkSession)
-    sorted_rows = rows.orderBy(*order).select(F.col(name).alias("name"), F.col(seq).alias("seq"), F.col(qual).alias("qual"))
+    sorted_rows = (rows.orderBy(*order) if order else rows).select(F.col(name).alias("name"), F.col(seq).alias("seq"), F.col(qual).alias("qual"))
     sorted_rows.write.format("fastq").mode("overwrite").save(path)
 
 
@@ -483,10 +539,10 @@ def write_file(rows: DataFrame, path: str, order: list[str], name: str = "name",
     join_parts(rows.sparkSession, parts, path)
 
 
-def write_pair_files(rows: DataFrame, r1: str, r2: str, order: str) -> None:
-    """Pairs (name1, r1_seq, r1_qual, name2, r2_seq, r2_qual) as two files in one order."""
-    write_file(rows, r1, [order], "name1", "r1_seq", "r1_qual")
-    write_file(rows, r2, [order], "name2", "r2_seq", "r2_qual")
+def write_pair_folders(rows: DataFrame, r1: str, r2: str) -> None:
+    """Pairs (name1, r1_seq, r1_qual, name2, r2_seq, r2_qual), in order as they are partitioned, as two folders with equal parts."""
+    write_folder(rows, r1, [], "name1", "r1_seq", "r1_qual")
+    write_folder(rows, r2, [], "name2", "r2_seq", "r2_qual")
 
 
 def count_records(path: str) -> int:
@@ -495,18 +551,11 @@ def count_records(path: str) -> int:
         return sum(1 for _ in lines) // 4
 
 
-def record_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, records) of many files, lines by four."""
-    paths = sorted(set(paths))
-    full = [_hadoop(spark, p)[1].toString() for p in paths]
-    lines = spark.read.text(full).select(F.input_file_name().alias("read"))
-    counted = lines.groupBy("read").agg(F.floor(F.count(F.lit(1)) / 4).alias("n"))
-    # a name that Spark reports has its scheme spelt out
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    asked = spark.createDataFrame(list(zip(paths, full)), "path string, read string")
-    return asked.join(counted.select(plain("read").alias("r"), "n"), plain(asked["read"]) == F.col("r"), "left").select(
-        "path", F.coalesce("n", F.lit(0)).cast("long").alias("records")
-    )
+def record_counts(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(path, records) of many files and folders, lines by four; large files are counted in pieces."""
+    parts = {p: files_of(p) for p in sorted(set(paths))}
+    lines = line_counts(spark, [f for some in parts.values() for f in some], split_bytes)
+    return spark.createDataFrame([(p, sum(lines[f] // 4 for f in some)) for p, some in parts.items()], "path string, records long")
 
 
 def check_gzip(path: str) -> None:
@@ -520,39 +569,43 @@ def check_gzip(path: str) -> None:
 
 
 def gzip_faults(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """(path, fault): what is wrong with each gzip file, null where it is whole; decoded and checked on executors.
+    """(path, fault): what is wrong with each gzip file or folder, null where it is whole; decoded and checked on executors.
 
     Blocked files are checked by ranges of their members, others by a task each.
     """
-    work = []
-    for path in dict.fromkeys(paths):
-        size = file_size(path) or 0
-        cuts = range(0, size, split_bytes) if size and is_blocked(path) else []
-        work += [(path, a, min(a + split_bytes, size)) for a in cuts] or [(path, 0, None)]
+    files = [(path, part, file_size(part) or 0) for path in dict.fromkeys(paths) for part in files_of(path)]
+    step, work = cut_bytes([size for _, _, size in files], split_bytes), []
+    for path, part, size in files:
+        cuts = range(0, size, step) if size and is_blocked(part) else []
+        work += [(path, part, a, min(a + step, size), size) for a in cuts] or [(path, part, 0, None, None)]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                path, start, end = work[k]
+                path, part, start, end, size = work[k]
                 first = last = fault = None
                 try:
                     if end is None:
-                        check_gzip(path)
+                        check_gzip(part)
                     else:
-                        for at, step, _ in members(path, start, end):
+                        for at, step, _ in members(part, start, end):
                             first, last = at if first is None else first, at + step
                 except InputError as e:
                     fault = str(e)
-                row = dict(path=path, start=start, first=first, last=last, fault=fault)
+                row = dict(path=path, part=part, start=start, first=first, last=last, size=size, fault=fault)
                 yield pa.RecordBatch.from_pylist([row], schema)
 
-    schema = pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("start", "first", "last")), ("fault", pa.string())])
-    told = spark.range(0, len(work), 1, max(1, len(work))).mapInArrow(check, "path string, start long, first long, last long, fault string")
-    # members follow each other without a gap, also from one range to the next
-    before = F.last("last", ignorenulls=True).over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    gap = F.concat(F.col("path"), F.lit(" is damaged: no whole member at byte "), F.col("before").cast("string"))
-    told = told.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("fault", F.coalesce("fault", F.when(F.col("first") != F.col("before"), gap)))
-    return told.groupBy("path").agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("start"))).alias("fault"))
+    schema = pa.schema([("path", pa.string()), ("part", pa.string()), *((c, pa.int64()) for c in ("start", "first", "last", "size")), ("fault", pa.string())])
+    told = spark.range(0, len(work), 1, max(1, len(work))).mapInArrow(check, "path string, part string, start long, first long, last long, size long, fault string")
+    # members follow each other without a gap, also from one range to the next and up to the end
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy("path", "part").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    gap = lambda at: F.concat(F.col("part"), F.lit(" is damaged: no whole member at byte "), at.cast("string"))
+    told = told.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("fault", F.coalesce("fault", F.when(F.col("first") != F.col("before"), gap(F.col("before")))))
+    by_part = told.groupBy("path", "part", "size").agg(
+        F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("start"))).alias("fault"), F.coalesce(F.max("last"), F.lit(0)).alias("end")
+    )
+    by_part = by_part.withColumn("fault", F.coalesce("fault", F.when(F.col("end") < F.col("size"), gap(F.col("end")))))
+    return by_part.groupBy("path").agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("part"))).alias("fault"))
 
 
 def with_place(rows: DataFrame, ordinal: str = "pair_ordinal", place: str = "place", most: int | None = None) -> DataFrame:

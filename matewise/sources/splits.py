@@ -28,6 +28,8 @@ from pyspark.sql import SparkSession
 from ..functions.errors import InputError
 
 SPLIT_BYTES = 64 << 20
+#: Pieces of less than ``SPLIT_BYTES`` are cut while a list of files has at most so many, as each is a task.
+MOST_SMALL = 256
 _READ = 1 << 20
 #: Start of a member with an extra field, and the fixed part of its header.
 MAGIC, FIXED = b"\x1f\x8b\x08\x04", 12
@@ -164,13 +166,22 @@ def count_lines(path: str, start: int, end: int, blocked: bool) -> Counted:
 
 @dataclass(frozen=True)
 class Piece:
-    """Records of a file: from where (a byte, or a member and bytes of its content), their first ordinal and number (None: all)."""
+    """Records of a file: from where (a byte, or a member and bytes of its content), their first ordinal and number (None: all).
+
+    ``before`` are the records of a folder's parts before this file.
+    """
 
     path: str
     at: int = 0
     skip: int = 0
     ordinal: int = 0
     records: int | None = None
+    before: int = 0
+
+    @property
+    def place(self) -> int:
+        """The first ordinal, over all parts of a folder."""
+        return self.before + self.ordinal
 
     def open(self) -> io.BufferedReader:
         raw = open_bytes(self.path)
@@ -180,12 +191,17 @@ class Piece:
         return stream
 
 
+def _gapless(ranges: list[Counted], size: int, blocked: bool) -> bool:
+    """Whether ranges that aren't empty make up the whole file; if not, some member's header was found by chance."""
+    ends = [0, *(r.end for r in ranges)]
+    return ends[-1] == size and not (blocked and any(e != r.start for e, r in zip(ends, ranges)))
+
+
 def pieces_of(path: str, ranges: list[Counted], size: int, blocked: bool) -> list[Piece]:
     """The pieces of a file from what was counted in its ranges, in order."""
     ranges = [r for r in ranges if r.end > r.start]
-    ends = [0, *(r.end for r in ranges)]
-    if blocked and any(e != r.start for e, r in zip(ends, ranges)) or ends[-1] != size:
-        return [Piece(path)]  # members don't follow each other: some header was found by chance
+    if not _gapless(ranges, size, blocked):
+        return [Piece(path)]
     closed = next((r.closed for r in reversed(ranges) if r.closed is not None), True)
     total, out, lines = sum(r.lines for r in ranges), [], 0
     for k, r in enumerate(ranges):
@@ -202,36 +218,96 @@ def pieces_of(path: str, ranges: list[Counted], size: int, blocked: bool) -> lis
     return out
 
 
-def index(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> dict[str, list[Piece]]:
-    """The pieces of each file.  Files that can't be cut, or needn't be, are one of unknown length.
+def lines_of(path: str, ranges: list[Counted], size: int, blocked: bool) -> int | None:
+    """The lines of a file from what was counted in its ranges, or None where these don't tell."""
+    ranges = [r for r in ranges if r.end > r.start]
+    if not _gapless(ranges, size, blocked):
+        return None
+    closed = next((r.closed for r in reversed(ranges) if r.closed is not None), True)
+    return sum(r.lines for r in ranges) + (not closed)
 
-    What the driver holds is a row for each range of ``split_bytes``.
-    """
-    out, ranges, blocked, sizes = {}, [], {}, {}
+
+def cut_bytes(sizes: list[int], split_bytes: int) -> int:
+    """Bytes of a piece: ``split_bytes``, or as many as leave no more than ``MOST_SMALL`` pieces of less than ``SPLIT_BYTES``."""
+    return max(split_bytes, min(SPLIT_BYTES, -(-sum(sizes) // MOST_SMALL)))
+
+
+def _count_whole(path: str) -> Counted:
+    """The lines of a file that can't be cut."""
+    lines, closed = 0, None
+    with Piece(path).open() as stream:
+        while data := stream.read(_READ):
+            lines, closed = lines + data.count(b"\n"), data.endswith(b"\n")
+    with open_bytes(path) as raw:
+        return Counted(0, raw.size(), lines, (), closed)
+
+
+def _count(spark: SparkSession, ranges: list[tuple[str, int, int]], blocked: dict[str, bool]) -> dict[str, list[Counted]]:
+    """What was counted in each file's ranges, in order; ``blocked`` lacks files that are counted as a whole."""
+    if not ranges:
+        return {}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                path, a, b = ranges[k]
+                r = count_lines(path, a, b, blocked[path]) if path in blocked else _count_whole(path)
+                row = {"id": k, "start": r.start, "end": r.end, "lines": r.lines, "first": [x for p in r.first for x in p], "closed": r.closed}
+                yield pa.RecordBatch.from_pylist([row], schema)
+
+    schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("lines", pa.int64()), ("first", pa.list_(pa.int64())), ("closed", pa.bool_())])
+    tasks = min(len(ranges), max(MOST_SMALL, sum(b - a for _, a, b in ranges) // SPLIT_BYTES))
+    told = spark.range(0, len(ranges), 1, tasks).mapInArrow(count, "id long, start long, end long, lines long, first array<long>, closed boolean")
+    counted: dict[str, list[Counted]] = {}
+    for r in sorted(told.collect()):
+        first = tuple(zip(r["first"][::2], r["first"][1::2]))
+        counted.setdefault(ranges[r["id"]][0], []).append(Counted(r["start"], r["end"], r["lines"], first, r["closed"]))
+    return counted
+
+
+def _opened(paths: list[str]) -> tuple[dict[str, int], dict[str, bool]]:
+    """The size of each file; whether those that can be cut are blocked gzip."""
+    sizes, blocked = {}, {}
     for path in dict.fromkeys(paths):
         with open_bytes(path) as raw:
             sizes[path] = raw.size()
-        blocked[path] = is_gzip(path) and is_blocked(path)
-        if sizes[path] <= split_bytes or (is_gzip(path) and not blocked[path]):
-            out[path] = [Piece(path)]
+        if not is_gzip(path) or is_blocked(path):
+            blocked[path] = is_gzip(path)
+    return sizes, blocked
+
+
+def _ranges(path: str, size: int, step: int, whole: bool) -> list[tuple[str, int, int]]:
+    return [(path, 0, size)] if whole else [(path, a, min(a + step, size)) for a in range(0, size, step)]
+
+
+def line_counts(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> dict[str, int]:
+    """The lines of each file, counted by ranges of large ones."""
+    sizes, blocked = _opened(paths)
+    step = cut_bytes(list(sizes.values()), split_bytes)
+    counted = _count(spark, [r for p, n in sizes.items() for r in _ranges(p, n, step, p not in blocked)], blocked)
+    lines = {p: lines_of(p, counted.get(p, []), n, blocked.get(p, False)) for p, n in sizes.items()}
+    again = _count(spark, [(p, 0, sizes[p]) for p, n in lines.items() if n is None], {})
+    return lines | {p: lines_of(p, rows, sizes[p], False) for p, rows in again.items()}
+
+
+def index(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES, counted: frozenset[str] = frozenset()) -> dict[str, list[Piece]]:
+    """The pieces of each file.  Files that can't be cut, or needn't be, are one of unknown length unless they are to be ``counted``.
+
+    What the driver holds is a row for each range of :func:`cut_bytes`.
+    """
+    out, ranges = {}, []
+    sizes, blocked = _opened(paths)
+    step = cut_bytes(list(sizes.values()), split_bytes)
+    for path, size in sizes.items():
+        if path in counted or size > step and path in blocked:
+            ranges += _ranges(path, size, step, path not in blocked)
         else:
-            ranges += [(path, a, min(a + split_bytes, sizes[path])) for a in range(0, sizes[path], split_bytes)]
-    if ranges:
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in batch.column(0).to_pylist():
-                    path, a, b = ranges[k]
-                    r = count_lines(path, a, b, blocked[path])
-                    row = {"id": k, "start": r.start, "end": r.end, "lines": r.lines, "first": [x for p in r.first for x in p], "closed": r.closed}
-                    yield pa.RecordBatch.from_pylist([row], schema)
-
-        schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("lines", pa.int64()), ("first", pa.list_(pa.int64())), ("closed", pa.bool_())])
-        told = spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(count, "id long, start long, end long, lines long, first array<long>, closed boolean")
-        counted: dict[str, list[Counted]] = {}
-        for r in sorted(told.collect()):
-            first = tuple(zip(r["first"][::2], r["first"][1::2]))
-            counted.setdefault(ranges[r["id"]][0], []).append(Counted(r["start"], r["end"], r["lines"], first, r["closed"]))
-        for path, rows in counted.items():
-            out[path] = pieces_of(path, rows, sizes[path], blocked[path])
+            out[path] = [Piece(path)]
+    found = _count(spark, ranges, blocked)
+    for path in (p for p in sizes if p not in out):
+        rows = found.get(path, [])
+        out[path] = [] if all(r.closed is None for r in rows) else pieces_of(path, rows, sizes[path], blocked.get(path, False))
+    unknown = [p for p in counted if any(x.records is None for x in out[p])]
+    for path, rows in _count(spark, [(p, 0, sizes[p]) for p in unknown], {}).items():
+        out[path] = pieces_of(path, rows, sizes[path], False)
     return out
