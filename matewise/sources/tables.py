@@ -56,12 +56,13 @@ def write_source(spark: SparkSession, path: str, dataset: dict, listing: dict, r
 
 
 def write_subset(spark: SparkSession, path: str, source: dict, read_pairs: int, r1: str, r2: str) -> None:
-    """Metadata of a prepared subset, a row of 9 columns: sizes and records are read from its files."""
-    for p in (r1, r2):
-        if p.endswith("gz"):
-            fastq.check_gzip(p)
+    """Metadata of a prepared subset, a row of 9 columns: sizes and records are read from its files, or folders of parts."""
+    packed = [p for p in dict.fromkeys((r1, r2)) if p.endswith("gz")]
+    if packed and (bad := fastq.gzip_faults(spark, packed).where("fault IS NOT NULL").first()):
+        raise InputError(bad["fault"])
     counts = {r["path"]: r["records"] for r in fastq.record_counts(spark, [r1, r2]).collect()}
-    row = (source["name"], source["accession"], read_pairs, r1, r2, fastq.file_size(r1), fastq.file_size(r2), counts[r1], counts[r2])
+    sizes = [sum(fastq.file_size(f) for f in fastq.files_of(p)) for p in (r1, r2)]
+    row = (source["name"], source["accession"], read_pairs, r1, r2, *sizes, counts[r1], counts[r2])
     write_tsv(spark.createDataFrame([tuple(map(str, row))], list(SUBSET_COLUMNS)), path)
 
 
