@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.errors import EvidenceError
 from ..functions.params import EngineConfig
-from ..operators.assembly import assemble, pairs_from
+from ..operators.assembly import assemble, pairs_from, run_steps
+from ..operators.kernel import PAIR
 from . import oracles as O
 from . import warehouse as W
 from .datagen import pairs as generated
-from .shared import folder, once, write_text
+from .shared import drop, folder, once, write_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 NAMES = ("mean", "median", "min", "max", "user", "system")
@@ -46,11 +47,16 @@ def _made(spark: SparkSession) -> W.Warehouse:
     return w
 
 
-def _records(spark: SparkSession, sf_dir: str, config: EngineConfig) -> DataFrame:
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged reads of a run without validation, and which of them a default run merges too (``passed``).
+
+    Pairs are generated once: validation only takes pairs away, so one assembly gives the reads of both runs.
+    """
     pairs = pairs_from(generated(spark, sf_dir), "key", r1_name="name1", r2_name="name2")
+    checked = run_steps(pairs, EngineConfig(), ("overlap", "validate")).select(*pairs.columns, (F.col("status") == PAIR).alias("passed"))
+    merged = assemble(checked, EngineConfig(validation=None)).where("status = 'merged'")
     header = F.concat(F.lit("@read"), F.col("key").cast("string"), F.lit("/1")).alias("header")
-    merged = assemble(pairs, config).where("status = 'merged'")
-    return W.read_records(merged.select(header, "seq", "qual", "avg_qual", "min_qual", "max_qual"))
+    return W.read_records(merged.select(header, "seq", "qual", "avg_qual", "min_qual", "max_qual", "passed"), also=("passed",))
 
 
 def _filled(spark: SparkSession, sf_dir: str) -> W.Warehouse:
@@ -58,7 +64,9 @@ def _filled(spark: SparkSession, sf_dir: str) -> W.Warehouse:
 
     def make() -> str:
         w = _made(spark)
-        merged = {config.validation is None: _records(spark, sf_dir, config).persist() for config in (EngineConfig(), EngineConfig(validation=None))}
+        _records(spark, sf_dir).write.parquet(staged := f"{folder(spark, 'records')}/all")
+        both = spark.read.parquet(staged)
+        merged = {False: both.where("passed").drop("passed"), True: both.drop("passed")}
         number = F.regexp_extract("read_id", r"([0-9]+)$", 1).cast("long")
         for unchecked, tool, part in ((False, "normal", 2), (False, "normal", 1), (True, "unchecked", 3)):
             records = merged[unchecked].where(number % part == 0)
@@ -67,8 +75,7 @@ def _filled(spark: SparkSession, sf_dir: str) -> W.Warehouse:
         for records, n in ((some, 0), (some.unionByName(some), 2 * some.count())):
             with contextlib.suppress(EvidenceError):
                 w.replace_evidence(_execution("unchecked", n, 9), records)
-        for rows in merged.values():
-            rows.unpersist()
+        drop(spark, staged)
         w.upsert_execution(_execution("zero", 0, 3))
         w.complete_run("run1", "20240201T000000Z")
         return w.root

@@ -55,6 +55,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> str:
     return path
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder before the driver ends."""
+    system, where = _place(spark, path)
+    system.delete(where, True)
+
+
 def drop_folders() -> None:
     """Delete every folder made here.  Best effort: the session may be gone."""
     while _MADE:

@@ -80,8 +80,8 @@ PARTITIONS = ["run_key", "dataset_name", "tool"]
 RECORDS, GENERATION = "merged_read_records", "generation"
 
 
-def read_records(reads: DataFrame, header: str = "header", seq: str = "seq", qual: str = "qual") -> DataFrame:
-    """Merged reads as warehouse rows: id, header, length, quality summary, two tagged hashes.
+def read_records(reads: DataFrame, header: str = "header", seq: str = "seq", qual: str = "qual", also: tuple[str, ...] = ()) -> DataFrame:
+    """Merged reads as warehouse rows: id, header, length, quality summary, two tagged hashes; columns ``also`` stay.
 
     The summary is taken from the assembly result's columns where ``reads`` has them.
     """
@@ -90,7 +90,7 @@ def read_records(reads: DataFrame, header: str = "header", seq: str = "seq", qua
         summary = {n[:3]: F.coalesce(F.col(n), F.lit(0)).cast("double" if n == "avg_qual" else "long") for n in names}
     else:
         summary = C.quality_summary(F.col(qual))
-    keep = [c for c in reads.columns if c in PARTITIONS]
+    keep = [c for c in reads.columns if c in (*PARTITIONS, *also)]
     return reads.select(
         *keep,
         C.checked_read_id(F.col(header)).alias("read_id"),
