@@ -25,6 +25,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 ANY = 1 << 40
 #: Bytes of a piece, so that small files are read in several.
 SMALL = 1 << 16
+#: Bytes of a row group that tasks share out.
+GROUP = 8 << 20
 #: Pairs of a part of a large file.
 PART = 250_000
 
@@ -225,10 +227,13 @@ def timing_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs as a stream of tables, by status."""
+    """All pairs as a stream of tables, by status.
+
+    Tables have small row groups, so a batch of two files is many tasks.
+    """
     root = folder(spark, "stream")
     rows = generated(spark, sf_dir).where("key % 4001 <> 0").select("key", "r1_seq", "r1_qual", "r2_seq", "r2_qual")
-    rows.write.parquet(f"{root}/in")
+    rows.write.option("parquet.block.size", GROUP).parquet(f"{root}/in")
     stream.assemble_stream(stream.read_pairs(spark, f"{root}/in", 2), f"{root}/out", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/out").select("key", "status", "reason", "seq", "qual")
 
