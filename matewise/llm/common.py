@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of an Arrow batch in passes that :func:`stash` runs; rows may hold whole texts or sets.
 BATCH_BYTES = 16 << 20
+#: The same where memory is short: the executor and its Python worker both hold a batch, some of it more than once.
+SMALL_BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _STASHED: list[tuple[SparkSession, str]] = []
@@ -49,8 +51,8 @@ def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def stash(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def stash(df: DataFrame, label: str = "step", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back; ``batch_bytes`` bounds its Arrow batches.
 
     This cuts the lineage, so a lost executor costs a re-read and no re-computation,
     and later readers prune columns.  The files go when the driver ends, at the end of
@@ -58,7 +60,7 @@ def stash(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    with _setting(spark, _BATCH, str(BATCH_BYTES)):
+    with _setting(spark, _BATCH, str(batch_bytes)):
         df.write.parquet(path)
     _STASHED.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)

@@ -35,14 +35,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, discard, stash
+from .common import SMALL_BATCH_BYTES, apart, discard
+from .common import stash as stashed
 from .graph import components
-from .runs import by_run
+from .runs import by_run, lean
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """Batches of texts and sets are small, as many steps run one after the other in the same workers."""
+    return stashed(df, label, SMALL_BATCH_BYTES)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -157,6 +163,7 @@ def sketches(docs: DataFrame, sketch: SetSketch, words: int, batch_elements: int
     id_type = docs.schema["id"].dataType.simpleString()
     names = ["id", "place", "n", "print", "registers"]
 
+    @lean
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, held, first = [], 0, 0
@@ -191,6 +198,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 23) ->
     marks = wanted.select(at, bit).groupBy("at").agg(F.bit_or("bit").alias("bits"))  # 2 ** (bits - 6) rows at most
     some = docs.select("place", "text", at, bit).join(F.broadcast(marks), "at").where(F.col("bit").bitwiseAND(F.col("bits")) != 0)
 
+    @lean
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task makes the set of a text once, however many copies it meets
         for batch in batches:
@@ -232,6 +240,7 @@ def near_duplicates(
     wide, drawn = drawn, stash(drawn.drop("registers"), "rows")
     discard(wide)
 
+    @lean
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = sketch.band_keys(unpack(batch.column(1), "<u2"))
@@ -250,6 +259,7 @@ def near_duplicates(
         near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
         joined = pairs.join(known, "a").join(other, "b").where(near).select("a", "b", "n_a", "n_b", "r_a", "r_b")
 
+        @lean
         def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 r_a, r_b = unpack(batch.column(4), "<u2"), unpack(batch.column(5), "<u2")
@@ -271,6 +281,7 @@ def near_duplicates(
             sets.select(F.col("node").alias("b"), F.col("set").alias("s_b")), "b"
         )
 
+        @lean
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hit = [
@@ -335,6 +346,7 @@ def cross_pairs(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))
     )
 
+    @lean
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             small = [np.unique(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint32)).tobytes() for x in batch.column(1)]
@@ -391,6 +403,7 @@ def cross_pairs(
         pairs = node[np.array(found, np.int64).reshape(-1, 2)]
         return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in by_run(batches, ["key", "i", "j"]):
             yield compare(some)

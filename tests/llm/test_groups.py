@@ -6,10 +6,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from matewise.llm import catalogue, graph, neardup, nndescent, vectorlinks
+from matewise.llm.runs import give_back, lean
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -269,3 +271,27 @@ def test_rows_without_an_id_are_the_last_among_ties(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = nndescent.nearest(frame, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [3, 7, None]
+
+
+def test_a_lean_pass_gives_its_memory_back():
+    """Freed blocks below one that is still held stay with the allocator of C unless it is told to return them."""
+    held = []
+
+    def resident() -> int:
+        return int(open("/proc/self/statm").read().split()[1]) * 4096
+
+    def make(batches):
+        for batch in batches:
+            blocks = [bytearray(b"x" * 100_000) for _ in range(2_000)]
+            held.append(blocks[-1])
+            del blocks
+            yield batch
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], ["a"])
+    list(make(iter([batch])))
+    before = resident()
+    kept = before - (give_back() or resident())
+    held.clear()
+    start = resident()
+    assert list(lean(make)(iter([batch, batch]))) == [batch, batch]
+    assert kept > 100 << 20 and resident() - start < 50 << 20
