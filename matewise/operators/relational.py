@@ -122,12 +122,84 @@ def _hits(rows: DataFrame, params: OverlapParams, needed: Column | None = None)
     return _once(rows, {"fs": only(hit("a", "b")), "fe": only(hit("b", "a"))}).drop(*names)
 
 
+#: Bases of a long at three bits each, its lowest bits one a base, and the symbols' digits: any two differ in at most three bits.
+OCTAL = 21
+_ONES, _LOW63, DIGITS = int("1" * OCTAL, 8), (1 << 63) - 1, "03567"
+#: Words of overlaps that are compared without a loop.
+UNROLLED = 4
+
+
+def octal_words(seq: Column) -> Column:
+    """A read as longs of 21 bases, three bits each, the first base highest; two without bases end it."""
+    digits = F.translate(seq, SYMBOLS, DIGITS)
+    count = F.ceil(F.length(seq) / OCTAL).cast("int")
+    some = F.transform(F.sequence(F.lit(0), count + 1), lambda i: F.rpad(F.substring(digits, i * OCTAL + 1, F.lit(OCTAL)), OCTAL, "0"))
+    return F.transform(some, lambda x: F.conv(x, 8, 10).cast("long"))
+
+
+def _octal_window(words: Column, q: Column, r: Column) -> Column:
+    """The 21 bases from base 21 q + r on."""
+    head = _call("shiftleft", F.get(words, q), r * 3).bitwiseAND(F.lit(_LOW63))
+    return head.bitwiseOR(_call("shiftrightunsigned", F.get(words, q + 1), 63 - r * 3))
+
+
+def _octal_differences(n: Column) -> Column:
+    """Of n bases of __left from base 21 __q + __r on, how many differ from those of __right; short reads in compiled code."""
+
+    def part(k: Column) -> Column:
+        x = _octal_window(F.col("__left"), F.col("__q") + k, F.col("__r")).bitwiseXOR(F.get("__right", k))
+        folded = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(_ONES))
+        counted = _call("shiftleft", F.lit(_ONES), 3 * F.greatest(F.lit(0), OCTAL - (n - k * OCTAL)))
+        return F.bit_count(folded.bitwiseAND(counted))
+
+    words = F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / OCTAL).cast("int"), F.lit(0)))
+    few = part(F.lit(0))
+    for k in range(1, UNROLLED):
+        few = few + F.when(n > k * OCTAL, part(F.lit(k))).otherwise(0)
+    return F.when(n <= UNROLLED * OCTAL, few).otherwise(F.aggregate(words, F.lit(0), lambda acc, k: acc + part(k)))
+
+
 def packed_overlap_search(pairs: DataFrame, params: OverlapParams = OverlapParams()) -> DataFrame:
     """:func:`overlap_search` by bit-parallel comparison, in built-in expressions.
 
+    Each direction and offset is a row while its first 21 bases are compared, in compiled code; the few that are near
+    are counted in full, and an aggregation finds each pair's first.  Every pair has a row (offset -1) whatever is found.
     Reads with symbols other than A, C, G, T and N are compared letter by letter.
     """
-    return _chosen(_hits(oriented(pairs), params), pairs.columns, params)
+    need = max(params.min_overlap, params.min_comparisons)
+    code = lambda at, d: _call("shiftleft", at.cast("long"), F.lit(32)).bitwiseOR(d.cast("long"))
+    odd = F.coalesce(F.col("a").rlike(f"[^{SYMBOLS}]") | F.col("b").rlike(f"[^{SYMBOLS}]"), F.lit(False))
+    rows = oriented(pairs).withColumn("__row", F.monotonically_increasing_id())
+    sizes = {"__la": F.length("a"), "__lb": F.length("b")}
+    rows = _once(rows, {"__a": octal_words(F.col("a")), "__b": octal_words(F.col("b")), "__odd": odd} | sizes)
+    plain = {f"__p{x}": F.when(F.col("__odd"), first_hit(F.col(x), F.col(y), params)) for x, y in ("ab", "ba")}
+    rows = rows.select(*pairs.columns, "__row", "__a", "__b", *sizes, "__odd", *(c.alias(n) for n, c in plain.items()))
+    ways = [
+        F.struct(F.lit(i).alias("__way"), F.col(f"__{x}").alias("__left"), F.col(f"__{y}").alias("__right"), F.col(f"__l{x}").alias("__m"),
+                 F.col(f"__l{y}").alias("__n"), F.col(f"__p{x}").alias("__plain"))
+        for i, (x, y) in enumerate(("ab", "ba"))
+    ]
+    rows = rows.select(*pairs.columns, "__row", *sizes, "__odd", F.inline(F.array(*ways)))
+    last = F.when(F.col("__odd") | F.col("__m").isNull() | F.col("__n").isNull(), -1).otherwise(F.greatest(F.col("__m") - params.min_overlap, F.lit(0)))
+    tried = rows.withColumn("__first", F.get("__right", F.lit(0))).withColumn("__at", F.explode(F.sequence(F.lit(-1), last)))
+    q = F.call_function("div", F.col("__at"), F.lit(OCTAL)).cast("int")
+    tried = tried.withColumn("__q", q).withColumn("__r", F.col("__at") - F.col("__q") * OCTAL)
+    tried = tried.withColumn("__size", F.least(F.col("__m") - F.col("__at"), F.col("__n")))
+    real, size = F.col("__at") >= 0, F.col("__size")
+    counted = _call("shiftleft", F.lit(_LOW63), 3 * F.greatest(F.lit(0), OCTAL - size)).bitwiseAND(F.lit(_LOW63))
+    bits = F.bit_count(_octal_window(F.col("__left"), F.col("__q"), F.col("__r")).bitwiseXOR(F.col("__first")).bitwiseAND(counted))
+    allowed = C.allowed_differences(size, params.max_difference_share, params.max_differences)
+    near = ~real | ((size >= need) & (bits <= 3 * allowed))
+    tried = tried.where(near).withColumn("__d", F.when(real, _octal_differences(size)))
+    hit = F.when(real, F.when(F.col("__d") <= allowed, code(F.col("__at"), F.col("__d")))).otherwise(code(F.col("__plain.at"), F.col("__plain.d")))
+    best = tried.withColumn("__hit", hit).groupBy("__row").agg(
+        *(F.first(c).alias(c) for c in [*pairs.columns, *sizes]), *(F.min(F.when(F.col("__way") == i, F.col("__hit"))).alias(f"__c{x}") for i, x in enumerate("ab"))
+    )
+    for x, y, out in (("a", "b", "fs"), ("b", "a", "fe")):
+        at = F.shiftright(f"__c{x}", 32).cast("int")
+        n, d = F.least(F.col(f"__l{x}") - at, F.col(f"__l{y}")), F.col(f"__c{x}").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+        best = best.withColumn(out, F.when(F.col(f"__c{x}").isNotNull(), F.struct(at.alias("at"), n.alias("n"), d.alias("d"))))
+    return _chosen(best, pairs.columns, params)
 
 
 DETAIL = "struct<mate:int,bases:int,qualities:int,overlap_len:int,diff:int,offset:int,left_base:string,right_base:string,quality:int>"

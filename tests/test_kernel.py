@@ -373,6 +373,18 @@ def test_packed_search_equals_the_kernel(spark):
     assert "Python" not in plan and "InArrow" not in plan
 
 
+def test_packed_search_tries_offsets_in_compiled_code(spark):
+    """No lambda goes over all offsets; repeated rows and null reads keep their rows."""
+    insert = "ACGTTGCAAGGTCCATTGACCGTAGGCT" * 5
+    data = [(1, insert, "I", rc(insert), "I")] * 2 + [(2, None, "I", "ACGT", "I"), (None, insert[:40], "I", rc(insert[:40]), "I")]
+    rows = pairs_from(spark.createDataFrame(data, "key long, r1_seq string, r1_qual string, r2_seq string, r2_qual string"), "key")
+    found = R.packed_overlap_search(rows)
+    assert "filter(sequence(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(((r["key"], r["overlap_len"], r["r1_start"], r["r2_start"], r["diff"]) for r in found.collect()), key=str)
+    n = None
+    assert got == [(1, 140, 0, 0, 0), (1, 140, 0, 0, 0), (2, n, n, n, n), (n, 40, 0, 0, 0)]
+
+
 def test_bad_rows_have_a_status(spark):
     data = [(1, None, "I", "A", "I"), (2, "ACG", "II", "ACG", "III"), (3, "", "", "A", "I"), (4, "日本", "II", "AC", "II")]
     rows = pairs_from(spark.createDataFrame(data, "key long, r1_seq string, r1_qual string, r2_seq string, r2_qual string"), "key")
