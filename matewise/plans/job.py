@@ -7,23 +7,27 @@ import logging
 import sys
 import time
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import mate_key, same_mates
 from ..functions.errors import ERRORS, ConfigError, InputError, PairingError
 from ..functions.params import CorrectionParams, EngineConfig, OverlapParams, ValidationPolicy
-from ..operators.assembly import assemble, pairs_from
+from ..operators.assembly import READS, assemble, pairs_from
 from ..operators.kernel import FAILED
 from ..sources import fastq
 from .progress import Progress
+from .shared import drop, folder
 from .stats import RunSummary, run_stats
 
 log = logging.getLogger("matewise")
 
 
 ORDER = ["file_index", "pair_ordinal"]
+#: What counters and outputs take of a result.
+KEPT = [*ORDER, "r1_name", "r2_name", *READS, "status", "reason", "seq", "qual"]
+#: Bytes of a row group of the result, which each task that writes it holds.
+GROUP = 8 << 20
 
 
 def run(
@@ -41,9 +45,10 @@ def run(
     """Assemble two FASTQ files, or lists of files by comma, whose pairs are one sequence in the order of the lists.
 
     A first pass takes headers alone and ends as soon as mates mismatch more often than allowed, before
-    any pair is assembled.  Then pairs are parsed and assembled once, into a persisted result that the
-    counters and both outputs share.  Nothing is written if any pair fails.  Outputs are folders of parts
-    where their names end in a slash, else single files, through which all bytes pass the driver.
+    any pair is assembled.  Then pairs are parsed and assembled once, into a result in the shared folder
+    (:func:`.shared.folder`) that the counters and both outputs read; executors keep none of it in memory.
+    No output is written if any pair fails.  Outputs are folders of parts where their names end in a slash,
+    else single files, through which all bytes pass the driver.
     """
     began = time.monotonic()
     scan = fastq.scan_pairs(spark, r1.split(","), r2.split(","), split_bytes)
@@ -52,9 +57,12 @@ def run(
     tasks = spark.sparkContext.defaultParallelism
     spread = named if len(scan.parts) >= tasks else named.repartition(tasks * 2)
     progress = Progress(spark.sparkContext, progress_every, progress_mode)
-    result = assemble(spread, config, progress.seen if progress.active else None).persist(StorageLevel.MEMORY_AND_DISK)
+    assembled = assemble(spread, config, progress.seen if progress.active else None).select(*KEPT)
+    place = folder(spark, "job")
     try:
         with progress:
+            assembled.write.option("parquet.block.size", GROUP).parquet(f"{place}/result")
+            result = spark.read.schema(assembled.schema).parquet(f"{place}/result")
             counters = run_stats(result, config.correction is not None, unmerged_out is not None).first().asDict()
         if failed := result.where(F.col("status") == FAILED).orderBy(*ORDER).select("r1_name", "reason").first():
             raise ERRORS.get(failed["reason"], InputError)(f"pair failed: {failed['r1_name']}: {failed['reason']}")
@@ -67,7 +75,7 @@ def run(
         if unmerged_out:
             write(unmerged_reads(result), unmerged_out, [*ORDER, "mate"])
     finally:
-        result.unpersist()
+        drop(spark, place)
     return RunSummary(r1, r2, out, unmerged_out, time.monotonic() - began, counters)
 
 

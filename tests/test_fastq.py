@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import os
 import random
 
 import pytest
@@ -202,6 +203,23 @@ def test_the_job_writes_folders(spark, tmp_path):
     assert [r[0] for p in fastq.files_of(str(tmp_path / "rest")) for r in fastq.records(p)] == ["none/1", "none/2", "low/1", "low/2"]
 
 
+def test_the_job_keeps_nothing_in_memory(spark, tmp_path, monkeypatch):
+    """Executors hold no result while outputs are written, and what is stored goes, also when a pair fails."""
+    one, two = _mix(40)
+    r1, r2 = _fastq(tmp_path / "a.fastq", one), _fastq(tmp_path / "b.fastq", two)
+    cached, places, write, folder = [], [], job.write, job.folder
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = held()
+    monkeypatch.setattr(job, "write", lambda *a: cached.append(held()) or write(*a))
+    monkeypatch.setattr(job, "folder", lambda *a: places.append(folder(*a)) or places[-1])
+    job.run(spark, r1, r2, str(tmp_path / "out") + "/", str(tmp_path / "rest") + "/", split_bytes=700)
+    assert cached == [before] * 2
+    monkeypatch.setattr(job, "run_stats", lambda *a: pytest.fail("no counters"))
+    with pytest.raises(pytest.fail.Exception, match="no counters"):
+        job.run(spark, r1, r2, str(tmp_path / "never") + "/", split_bytes=700)
+    assert len(places) == 2 and not any(os.path.exists(p.removeprefix("file:")) for p in places)
+
+
 def test_a_stream_of_files(spark, tmp_path):
     """Mates that arrive in different batches, a restart, and a budget of mismatches over all batches."""
     files = [_mix(9), _mix(30, mismatch=(5,)), _mix(4, mismatch=(0, 2)), _mix(3, mismatch=(1,))]
