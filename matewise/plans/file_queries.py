@@ -161,10 +161,11 @@ def _job(spark: SparkSession, sf_dir: str) -> tuple[str, object]:
 
 
 def _output(name: str) -> Query:
+    """The records of an output.  A folder is one file, whose ordinals run through its parts, so they need no numbering."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         root, _ = _job(spark, sf_dir)
-        rows = fastq.with_place(fastq.scan(spark, [f"{root}/{name}"], SMALL), "ordinal")
-        return rows.select(F.col("place").alias("ordinal"), "name", "description", "seq", "qual")
+        return fastq.scan(spark, [f"{root}/{name}"], SMALL).select("ordinal", "name", "description", "seq", "qual")
 
     return query
 

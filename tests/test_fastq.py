@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from matewise.functions.errors import InputError, PairingError
 from matewise.operators.assembly import assemble, pairs_from
-from matewise.plans import job
+from matewise.plans import file_queries, job
 from matewise.sources import fastq, splits
 from matewise.streaming import pairs as stream
 
@@ -220,6 +220,32 @@ def test_the_job_keeps_nothing_in_memory(spark, tmp_path, monkeypatch):
     assert len(places) == 2 and not any(os.path.exists(p.removeprefix("file:")) for p in places)
 
 
+def test_records_are_numbered_where_they_are_read(spark, tmp_path, monkeypatch):
+    """No row of a file is shuffled for its number, and an output's records are read once."""
+    paths = [written(tmp_path / f"{k}.fastq", text_of(k, 30).encode(), False) for k in range(2)]
+    placed = fastq.with_place(fastq.scan(spark, paths, 500), "ordinal")
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [r["place"] for r in placed.orderBy("file_index", "ordinal").collect()] == list(range(60))
+    one, two = _mix(40)
+    r1, r2 = _fastq(tmp_path / "a.fastq", one), _fastq(tmp_path / "b.fastq", two)
+    job.run(spark, r1, r2, f"{tmp_path}/merged.fastq.gz/", f"{tmp_path}/rest.fastq/", split_bytes=700)
+    monkeypatch.setattr(file_queries, "_job", lambda *a: (str(tmp_path), None))
+    for name, n in (("merged_fastq", 40), ("unmerged_fastq", 4)):
+        rows = file_queries.queries()[name](spark, "")
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.columns == ["ordinal", "name", "description", "seq", "qual"]
+        assert sorted(r["ordinal"] for r in rows.collect()) == list(range(n))
+
+
+def test_readers_hold_little_at_a_time(tmp_path):
+    text = "".join(f"@read{i}\n{'ACGT' * 64}\n+\n{'IJ!+' * 64}\n" for i in range(12_000))
+    pieces = [(splits.Piece(written(tmp_path / f"{k}.fastq", text.encode(), blocked, 1 << 15)),) for k, blocked in ((1, False), (2, True))]
+    batches = list(fastq.PairReader([], False).read(fastq.Part(0, *pieces)))
+    assert sum(b.num_rows for b in batches) == 12_000
+    assert max(b.nbytes for b in batches) < 3 << 20
+
+
 def test_a_stream_of_files(spark, tmp_path):
     """Mates that arrive in different batches, a restart, and a budget of mismatches over all batches."""
     files = [_mix(9), _mix(30, mismatch=(5,)), _mix(4, mismatch=(0, 2)), _mix(3, mismatch=(1,))]
